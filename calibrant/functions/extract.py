@@ -90,7 +90,7 @@ def is_truncated(finish_reason: Column) -> Column:
 
 def completion_text(messages: Column) -> Column:
     """Content of the last message of a chat completion; empty without messages."""
-    return F.coalesce(F.try_element_at(messages, F.lit(-1))["content"], F.lit(""))
+    return F.coalesce(F.get(messages, F.size(messages) - 1)["content"], F.lit(""))
 
 
 def answer_prefix(text: Column, marker: str = ANSWER_MARKER) -> Column:

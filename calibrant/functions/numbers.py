@@ -10,6 +10,11 @@ def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def clipped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """``x`` moved into [low, high]; NULL stays NULL, which ``least`` alone would turn into a bound."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
+
+
 def nearest_int(x: Column) -> Column:
     """Nearest integer; halves go to the even neighbour."""
     return F.rint(x.cast("double")).cast("int")

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from calibrant.functions.extract import extract_probability
+from calibrant.functions.numbers import clipped
 from calibrant.functions.parsing import edge_bin
 
 # Fixed value: probabilities are kept this far from 0 and 1 before a logarithm.
@@ -49,7 +50,7 @@ def score_reward(
     goal = checked
     if target is not None:
         goal = F.coalesce(blend * target + (1 - blend) * checked, checked)
-    p = F.when(prob.isNotNull(), F.greatest(F.least(prob, F.lit(clip[1])), F.lit(clip[0])))
+    p = clipped(prob, *clip)
     brier = (p - goal) * (p - goal)
     sharpness = F.abs(p - 0.5)
     reward = 1 - brier

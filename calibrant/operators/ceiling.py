@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibrant.functions.numbers import clipped
 from calibrant.operators.calibration import score
 from calibrant.operators.pairing import long_forecasts
 from calibrant.session import shared_folder
@@ -53,7 +54,5 @@ def ceiling_table(
     rows: DataFrame, forecasts: dict[str, Column], outcome: str = "outcome", rule: str = "edges"
 ) -> DataFrame:
     """Brier score and ECE of forecast columns on the same rows, clipped to [0, 1]."""
-    clipped = {name: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
-               for name, c in forecasts.items()}
-    stacked = long_forecasts(rows, clipped, [outcome])
+    stacked = long_forecasts(rows, {name: clipped(c) for name, c in forecasts.items()}, [outcome])
     return score(stacked, ["n", "brier", "ece"], outcome=outcome, rule=rule)

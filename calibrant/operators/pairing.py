@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibrant.functions.numbers import clipped
 from calibrant.operators.cleaning import clean_predictions
 
 
@@ -48,8 +49,7 @@ def align_models(preds: DataFrame, variants: Sequence[str], row_id: str = "row_i
     ``aligned`` is false where a variant is missing or repeated, or the outcomes disagree.
     """
     wide = {
-        v: F.max(F.when(F.col("variant") == v,
-                        F.greatest(F.least("prob", F.lit(1.0)), F.lit(0.0))))
+        v: F.max(F.when(F.col("variant") == v, clipped(F.col("prob"))))
         for v in variants}
     present = preds.where(F.col("variant").isin(*variants))
     return present.groupBy(row_id).agg(
@@ -84,7 +84,8 @@ def market_on_same_items(preds: DataFrame, suffix: str = ":market") -> DataFrame
     """Each variant's clean rows, and the market scored on exactly these rows."""
     lines = F.array(
         F.struct(F.col("variant"), F.col("prob")),
-        F.struct(F.concat("variant", F.lit(suffix)), F.col("market")))
+        F.struct(F.concat("variant", F.lit(suffix)).alias("variant"),
+                 F.col("market").alias("prob")))
     return clean_predictions(preds).select(
         "row_id", "outcome", F.explode(lines).alias("_line")
     ).select("row_id", "outcome", "_line.variant", "_line.prob")
