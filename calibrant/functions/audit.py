@@ -131,11 +131,10 @@ def judge_request(truth: Column, text: Column, parsed_prob: Column, repair: bool
 
 def verdict_json(reply: Column) -> Column:
     """The JSON object inside a reply: without a code fence, first brace to last; NULL if none."""
-    trimmed = F.regexp_replace(reply, r"(?U)^\s+|\s+$", "")
+    trimmed = F.regexp_replace(reply, r"(?U)^\s+", "")
     fenced = F.startswith(trimmed, F.lit("```"))
     inside = F.try_element_at(F.split(trimmed, "```", -1), F.lit(2))
-    body = F.when(fenced, inside).otherwise(trimmed)
-    cut = F.regexp_extract(body, r"(?s)\{.*\}", 0)
+    cut = F.regexp_extract(F.when(fenced, inside).otherwise(reply), r"(?s)\{.*\}", 0)
     return F.when(cut != "", cut)
 
 
@@ -153,31 +152,46 @@ def _truthy(node: Column) -> Column:
     )
 
 
-def parse_verdict(reply: Column, strict: bool = True) -> Column:
-    """Verdict struct: ``parse_ok``, one ``{v, q}`` per category, faithfulness label and reason.
+_STRICT_JSON = {"allowSingleQuotes": "false"}
+_RAW_VERDICT = "array<struct<{}, faithfulness: struct<v: string, q: string>>>".format(
+    ", ".join(f"{c}: struct<v: variant, q: string>" for c in BOOLEAN_CATEGORIES))
+
 
-    ``strict`` accepts only JSON booleans as flags. Otherwise any value is read by whether it is
-    empty, so the text ``"false"`` counts as yes.
+def verdict_node(cut: Column) -> Column:
+    """The object in ``cut`` as a raw verdict struct, NULL when it is not valid JSON.
+
+    The parser stops after the first complete value, so text after it would pass. Inside an array
+    and inside an object that text would have to start with a closing bracket and a closing brace
+    at once; a second element is what a comma leaves.
     """
-    node = F.try_parse_json(verdict_json(reply))
+    in_array = F.from_json(_text("[", cut, "]"), _RAW_VERDICT, _STRICT_JSON)
+    in_object = F.from_json(_text('{"x":', cut, "}"), "x string", _STRICT_JSON)
+    return F.when(
+        in_object["x"].isNotNull() & (F.size(in_array) == 1), F.get(in_array, F.lit(0)))
+
 
-    def part(path: str) -> Column:
-        return F.try_variant_get(node, path, "variant")
+def verdict_fields(cut: Column, node: Column, strict: bool = True) -> Column:
+    """Verdict struct: ``parse_ok``, ``usable``, one ``{v, q}`` per category, the faithfulness label.
 
-    def flag(category: str) -> Column:
-        value = part(f"$.{category}.v")
+    A verdict is usable when its object is not empty. ``strict`` accepts only JSON booleans as
+    flags. Otherwise any value is read by whether it is empty, so the text ``"false"`` counts as yes.
+    """
+    def flag(value: Column) -> Column:
         if not strict:
             return _truthy(value)
         return F.when(F.schema_of_variant(value) == "BOOLEAN",
                       F.try_variant_get(value, "$", "boolean"))
 
     fields = [node.isNotNull().alias("parse_ok"),
-              (node.isNotNull() & (F.schema_of_variant(node) != "OBJECT<>")).alias("usable")]
+              (node.isNotNull() & ~cut.rlike(r"^\{\s*\}$")).alias("usable")]
     for category in BOOLEAN_CATEGORIES:
-        quote = F.try_variant_get(node, f"$.{category}.q", "string")
-        fields.append(F.struct(flag(category).alias("v"), quote.alias("q")).alias(category))
-    fields.append(F.struct(
-        F.try_variant_get(node, "$.faithfulness.v", "string").alias("v"),
-        F.try_variant_get(node, "$.faithfulness.q", "string").alias("q"),
-    ).alias("faithfulness"))
+        part = node[category]
+        fields.append(F.struct(flag(part["v"]).alias("v"), part["q"].alias("q")).alias(category))
+    fields.append(node["faithfulness"].alias("faithfulness"))
     return F.struct(*fields)
+
+
+def parse_verdict(reply: Column, strict: bool = True) -> Column:
+    """Verdict struct of a reply; ``with_verdict`` parses each reply once where filters follow."""
+    cut = verdict_json(reply)
+    return verdict_fields(cut, verdict_node(cut), strict)

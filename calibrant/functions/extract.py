@@ -62,13 +62,17 @@ def scan_probability(text: Column) -> Column:
     )
 
 
-def extract_probability(text: Column) -> Column:
+def region_probability(region: Column, text: Column) -> Column:
+    """The tiers on the answer region, then on the whole text where that differs."""
     # A text without any digit has nothing to find, and most prose has none: test that first.
-    region = answer_region(text)
     found = F.coalesce(scan_probability(region), F.when(region != text, scan_probability(text)))
     return F.when(text.rlike("[0-9]"), found)
 
 
+def extract_probability(text: Column) -> Column:
+    return region_probability(answer_region(text), text)
+
+
 def with_reasoning(text: Column, reasoning: Column) -> Column:
     """The completion with its separately delivered reasoning put back in front."""
     text = F.coalesce(text, F.lit(""))

@@ -40,8 +40,9 @@ def boosted_forecast(
         Imputer(inputCols=inputs, outputCols=filled, strategy="median"),
         VectorAssembler(inputCols=filled, outputCol="_x"),
         GBTClassifier(
-            featuresCol="_x", labelCol="_y", probabilityCol="_prob", rawPredictionCol="_raw",
-            predictionCol="_call", maxIter=iterations, maxDepth=depth, stepSize=rate, seed=seed),
+            featuresCol="_x", labelCol="_y", predictionCol="_call", maxIter=iterations,
+            maxDepth=depth, stepSize=rate, seed=seed,
+        ).setProbabilityCol("_prob").setRawPredictionCol("_raw"),
     ])
     doubles = {f: F.col(f).cast("double") for f in inputs}
     model = stages.fit(train.withColumns(doubles).withColumn("_y", F.col(outcome).cast("double")))

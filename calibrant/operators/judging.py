@@ -147,7 +147,7 @@ def flip_examples(
 
     flips = (
         judged.where(is_a | is_b)
-        .groupBy(row_id).agg(F.max("ground_truth").alias("truth"), side(is_a, "_a"), side(is_b, "_b"))
+        .groupBy(row_id).agg(F.any_value("ground_truth").alias("truth"), side(is_a, "_a"), side(is_b, "_b"))
         .where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
         .select(row_id, "truth", F.col("_a.prob").alias("a_prob"), F.col("_a.why").alias("a_why"),
                 F.col("_b.prob").alias("b_prob"), F.col("_b.why").alias("b_why"))

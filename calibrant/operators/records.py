@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calibrant.functions.labels import difficulty, possession_outcome
 from calibrant.functions.wording import prompt_mode, render_prompt
+from calibrant.operators.staging import computed_once
 from calibrant.schemas import FEATURES
 
 
@@ -20,9 +21,9 @@ def qa_records(plays: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         possession_outcome(F.col("result"), F.col("posteam"), F.col("home_team")),
     ).where(F.col("actual_outcome").isNotNull() & F.col("vegas_wp").isNotNull())
     features = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FEATURES.fields])
-    return labelled.select(
+    return computed_once(labelled, question=render_prompt()).select(
         *keep,
-        render_prompt().alias("question"),
+        "question",
         F.col("vegas_wp").cast("double").alias("target_prob"),
         "actual_outcome",
         "game_id",

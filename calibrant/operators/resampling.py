@@ -44,11 +44,30 @@ def _poisson_one_steps() -> list[int]:
 POISSON_STEPS = _poisson_one_steps()
 
 
-def row_weight(digest: Column, lane: int) -> Column:
-    """Poisson(1) weight from four hex digits of a digest."""
-    uniform = F.conv(F.substring(digest, 1 + 4 * lane, 4), 16, 10).cast("int")
-    total = F.lit(0)
-    for step in POISSON_STEPS:
+def _draw_tasks(df: DataFrame) -> int:
+    """How many tasks draw.
+
+    Draws cost far more than moving their rows, and adaptive execution, which judges by bytes, would
+    put the rows into a few tasks; a repartition by number is left alone.
+    """
+    session = df.sparkSession
+    return max(session.sparkContext.defaultParallelism,
+               int(session.conf.get("spark.sql.shuffle.partitions")))
+
+
+def lane_uniforms(digest: Column) -> list[Column]:
+    """Eight 16-bit uniform numbers: four hex digits of a digest each, read twelve at a time."""
+    pieces = [F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("bigint") for i in range(3)]
+    lanes = [(piece, shift) for piece, shifts in zip(pieces, [(32, 16, 0)] * 2 + [(16, 0)])
+             for shift in shifts]
+    return [F.shiftright(piece, shift).bitwiseAND(F.lit(0xFFFF)).cast("int")
+            for piece, shift in lanes]
+
+
+def row_weight(uniform: Column) -> Column:
+    """Poisson(1) weight of a 16-bit uniform number."""
+    total = (uniform >= POISSON_STEPS[0]).cast("int")
+    for step in POISSON_STEPS[1:]:
         total = total + (uniform >= step).cast("int")
     return total
 
@@ -59,24 +78,23 @@ def replicate_sums_by_row(
 ) -> DataFrame:
     """Weight and weighted sums per group and replicate, one weight per row and replicate.
 
-    A row is repeated once per block of eight replicates and summed before any shuffle.
+    One digest serves eight replicates. Drawn weights are summed before the shuffle, which carries a
+    row per group and replicate from each task.
     """
     blocks = -(-reps // _LANES)
     digest = F.md5(F.concat_ws(
         "|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(row_id).cast("string")))
-    drawn = df.select(
-        *by, *values, row_id, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
-    ).withColumn("_digest", digest).withColumns(
-        {f"_w{i}": row_weight(F.col("_digest"), i) for i in range(_LANES)})
-    sums = [F.sum(f"_w{i}").alias(f"_w{i}") for i in range(_LANES)]
-    sums += [F.sum(F.col(f"_w{i}") * F.col(v)).alias(f"_{v}{i}")
-             for i in range(_LANES) for v in values]
-    blocked = drawn.groupBy(*by, "_block").agg(*sums)
-    lanes = F.array(*[
-        F.struct((F.col("_block") * _LANES + i).alias("rep"), F.col(f"_w{i}").cast("double")
-                 .alias("weight"), *[F.col(f"_{v}{i}").alias(v) for v in values])
-        for i in range(_LANES)])
-    return blocked.select(*by, F.inline(lanes)).where(F.col("rep") < reps)
+    spread = df.select(*by, *values, row_id).repartition(_draw_tasks(df), row_id)
+    drawn = spread.withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_digest", digest)
+    lanes = F.array(*lane_uniforms(F.col("_digest")))
+    weighted = drawn.select(*by, *values, "_block", F.posexplode(lanes).alias("_lane", "_u")).select(
+        *by, *values, (F.col("_block") * _LANES + F.col("_lane")).alias("rep"),
+        row_weight(F.col("_u")).alias("_w"),
+    ).where((F.col("_w") > 0) & (F.col("rep") < reps))
+    return weighted.groupBy(*by, "rep").agg(
+        F.sum("_w").cast("double").alias("weight"),
+        *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
 
 
 def replicate_sums_by_cell(
@@ -127,7 +145,7 @@ def replicate_sums_by_cell(
                     table[:, 1:] += np.outer(weight, unit)
         yield from emit()
 
-    partial = keyed.mapInPandas(draw, schema)
+    partial = keyed.repartition(_draw_tasks(cells), "_key").mapInPandas(draw, schema)
     return partial.groupBy(*by, "rep").agg(
         F.sum("weight").alias("weight"), *[F.sum(v).alias(v) for v in values])
 
@@ -165,25 +183,35 @@ def bootstrap_ci(
     return replicates.groupBy(*by).agg(*_interval("brier", "brier"), *_interval("ece", "ece"))
 
 
+def _value_cells(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    known = df.where(F.col(value).isNotNull()).withColumn("x", F.col(value).cast("double"))
+    return known.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mean_with_interval(cells: DataFrame, sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    bounds = sums.withColumn("m", F.try_divide("x", "weight")).groupBy(*by).agg(*_interval("m", "m"))
+    means = cells.groupBy(*by).agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"))
+    excludes = (F.col("m_lo") > 0) | (F.col("m_hi") < 0)
+    return means.join(bounds, list(by)).select(
+        *by, "n", "mean", F.col("m_lo").alias("lo"), F.col("m_hi").alias("hi"),
+        excludes.alias("significant"))
+
+
 def mean_ci(
     df: DataFrame, by: Sequence[str], value: str, reps: int = 2000, seed: int = 0,
     method: str = "cells", row_id: str = "row_id",
 ) -> DataFrame:
     """Mean of ``value`` per group, its 95 % interval, n, and whether the interval excludes 0."""
-    by = list(by)
-    known = df.where(F.col(value).isNotNull()).withColumn("x", F.col(value).cast("double"))
-    cells = known.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"))
+    cells = _value_cells(df, by, value)
     if method == "cells":
         sums = replicate_sums_by_cell(cells, by, "n", ["x"], reps, seed)
-    else:
+    elif method == "rows":
+        known = df.where(F.col(value).isNotNull()).withColumn("x", F.col(value).cast("double"))
         sums = replicate_sums_by_row(known, by, ["x"], row_id, reps, seed)
-    bounds = sums.withColumn("m", F.try_divide("x", "weight")).groupBy(*by).agg(*_interval("m", "m"))
-    means = cells.groupBy(*by).agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"))
-    excludes = (F.col("m_lo") > 0) | (F.col("m_hi") < 0)
-    return means.join(bounds, by).select(
-        *by, "n", "mean", F.col("m_lo").alias("lo"), F.col("m_hi").alias("hi"),
-        excludes.alias("significant"))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return _mean_with_interval(cells, sums, by)
 
 
 def proportion_ci(
@@ -205,8 +233,8 @@ def proportion_ci(
 
 def paired_differences(
     paired: DataFrame, a: str = "a", b: str = "b", market: str = "market", outcome: str = "outcome",
-) -> DataFrame:
-    """``(metric, pair, diff, row_id)``: per-row differences of squared error and of hits.
+) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+    """Per-row differences of squared error and of hits, and what each column compares.
 
     ``paired`` has one row per item with both probabilities and the market's.
     """
@@ -218,12 +246,13 @@ def paired_differences(
     def hit(name: str) -> Column:
         return ((F.col(name) > 0.5) == (y == 1)).cast("double")
 
-    pairs = [(a, b), (a, market), (b, market)]
-    lines = [
-        F.struct(F.lit(metric).alias("metric"), F.lit(f"{x} - {z}").alias("pair"),
-                 (of(x) - of(z)).alias("diff"))
-        for metric, of in (("brier", error), ("accuracy", hit)) for x, z in pairs]
-    return paired.select("row_id", F.inline(F.array(*lines)))
+    columns, meaning = [], {}
+    for metric, of in (("brier", error), ("accuracy", hit)):
+        for x, z in [(a, b), (a, market), (b, market)]:
+            name = f"d{len(columns)}"
+            meaning[name] = (metric, f"{x} - {z}")
+            columns.append((of(x) - of(z)).alias(name))
+    return paired.select("row_id", *columns), meaning
 
 
 def paired_bootstrap(
@@ -235,5 +264,18 @@ def paired_bootstrap(
     The difference of a row is resampled, so the pairing is kept. A negative Brier difference, or a
     positive accuracy difference, favours the first of the pair.
     """
-    lines = paired_differences(paired, a, b, market, outcome)
-    return mean_ci(lines, ["metric", "pair"], "diff", reps, seed, method)
+    wide, meaning = paired_differences(paired, a, b, market, outcome)
+
+    def stacked(df: DataFrame, *keep: str) -> DataFrame:
+        lines = [F.struct(F.lit(metric).alias("metric"), F.lit(pair).alias("pair"),
+                          F.col(name).alias("x")) for name, (metric, pair) in meaning.items()]
+        return df.select(*keep, F.inline(F.array(*lines)))
+
+    by = ["metric", "pair"]
+    long = stacked(wide)
+    if method == "cells":
+        return mean_ci(long, by, "x", reps, seed)
+    # One digest per row and block serves all the differences of the row.
+    sums = stacked(replicate_sums_by_row(wide, [], list(meaning), "row_id", reps, seed),
+                   "rep", "weight")
+    return _mean_with_interval(_value_cells(long, by, "x"), sums, by)

@@ -74,7 +74,7 @@ def clean_plays(t: Tables):
 @query("kept_ratio", with_views(
     """SELECT count(*) FILTER (WHERE vegas_wp IS NOT NULL AND down IS NOT NULL) AS kept,
        count(*) AS total,
-       round(count(*) FILTER (WHERE vegas_wp IS NOT NULL AND down IS NOT NULL) / count(*), 9)
+       round(count(*) FILTER (WHERE vegas_wp IS NOT NULL AND down IS NOT NULL) / count(*) + 1e-12, 9)
        AS share FROM plays""", "plays"))
 def kept_ratio(t: Tables):
     return rounded(cleaning.kept_ratio(t.plays))
@@ -90,7 +90,7 @@ def outcome(t: Tables):
 
 
 @query("difficulty", with_views(
-    "SELECT row_id, round(1 - abs(2 * vegas_wp - 1), 9) AS difficulty FROM plays", "plays"))
+    "SELECT row_id, round(1 - abs(2 * vegas_wp - 1) + 1e-12, 9) AS difficulty FROM plays", "plays"))
 def difficulties(t: Tables):
     return rounded(t.plays.select("row_id", difficulty(F.col("vegas_wp")).alias("difficulty")))
 
@@ -117,7 +117,7 @@ QA_FLAT = """row_id, question, target_prob, actual_outcome, game_id, season, wee
   score_differential, epa, spread_line"""
 QA_CHECK = with_views(f"SELECT {QA_FLAT} FROM qa", "labelled", qa=f"""
   SELECT row_id, {S.PROMPT} AS question, vegas_wp AS target_prob, outcome AS actual_outcome, game_id,
-  season, week, round(1 - abs(2 * vegas_wp - 1), 9) AS difficulty, posteam, qtr, time,
+  season, week, round(1 - abs(2 * vegas_wp - 1) + 1e-12, 9) AS difficulty, posteam, qtr, time,
   game_seconds_remaining, down, ydstogo, yardline_100, score_differential, epa, spread_line
   FROM labelled""")
 
@@ -155,7 +155,7 @@ def write_split_jsonl(t: Tables):
 
 @query("training_projection", with_views(
     f"""SELECT row_id, {S.PROMPT} AS prompt, outcome AS actual_outcome, vegas_wp, game_id, season,
-        round(1 - abs(2 * vegas_wp - 1), 9) AS difficulty, qtr, score_differential,
+        round(1 - abs(2 * vegas_wp - 1) + 1e-12, 9) AS difficulty, qtr, score_differential,
         game_seconds_remaining, week FROM labelled""", "labelled"))
 def training_projection(t: Tables):
     slim = records.training_projection(_qa(t), ("row_id",))
@@ -270,7 +270,7 @@ def _level_rows(names: list[str]) -> str:
     for depth in range(len(names) + 1):
         keys = ", ".join(k if i < depth else f"CAST(NULL AS INT) AS {k}"
                          for i, k in enumerate(names))
-        parts.append(f"SELECT {depth} AS level, {keys}, wins, n, round(phat, 9) AS phat"
+        parts.append(f"SELECT {depth} AS level, {keys}, wins, n, round(phat + 1e-12, 9) AS phat"
                      f" FROM f{depth}")
     return " UNION ALL ".join(parts)
 

@@ -44,8 +44,8 @@ def murphy(t: Tables):
 
 
 @query("reliability_curve", with_views(
-    """SELECT v.variant, CAST(b.bin AS INT) AS bin, round(s.sp / s.n, 9) AS confidence,
-       round(s.sy / s.n, 9) AS accuracy, coalesce(s.n, 0) AS n
+    """SELECT v.variant, CAST(b.bin AS INT) AS bin, round(s.sp / s.n + 1e-12, 9) AS confidence,
+       round(s.sy / s.n + 1e-12, 9) AS accuracy, coalesce(s.n, 0) AS n
        FROM (SELECT DISTINCT variant FROM stats) v CROSS JOIN generate_series(0, 24) b(bin)
        LEFT JOIN stats s ON s.variant = v.variant AND s.bin = b.bin""", "preds",
     stats=S.stats("preds", bin_sql=S.grid_bin("prob", 25))))
@@ -83,11 +83,11 @@ def metrics_block(t: Tables):
 
 
 COVERAGE = """SELECT variant, count(*) AS n_total,
-  round(avg(CAST(prob IS NOT NULL AND NOT truncated AS INT)), 9) AS coverage,
-  round(avg(CAST(prob IS NOT NULL AS INT)), 9) AS parse_rate,
-  round(avg(CAST(truncated AS INT)), 9) AS truncation,
-  round(avg(CAST(prob IS NOT NULL AND prob BETWEEN 0 AND 1 AS INT)), 9) AS in_range,
-  round(avg(chars), 9) AS mean_completion_chars FROM preds GROUP BY variant"""
+  round(avg(CAST(prob IS NOT NULL AND NOT truncated AS INT)) + 1e-12, 9) AS coverage,
+  round(avg(CAST(prob IS NOT NULL AS INT)) + 1e-12, 9) AS parse_rate,
+  round(avg(CAST(truncated AS INT)) + 1e-12, 9) AS truncation,
+  round(avg(CAST(prob IS NOT NULL AND prob BETWEEN 0 AND 1 AS INT)) + 1e-12, 9) AS in_range,
+  round(avg(chars) + 1e-12, 9) AS mean_completion_chars FROM preds GROUP BY variant"""
 
 
 @query("coverage_report", with_views(COVERAGE, "preds"))

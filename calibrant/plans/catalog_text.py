@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions import audit, extract, parsing, wording
-from calibrant.functions.scoring import score_reward
+from calibrant.functions.scoring import score_reward, score_reward_fn
+from calibrant.operators.staging import computed_once, with_probability
 from calibrant.operators.telemetry import variance_groups
 from calibrant.plans import sqltext as S
 from calibrant.plans.fixtures import Tables, with_views
@@ -122,9 +123,8 @@ RESPONSES = f"""SELECT a.row_id, a.outcome, a.market, a.group_id, a.text, a.reas
 
 
 def responses(t: Tables) -> DataFrame:
-    return t.completions.withColumns({
-        "prob": extract.response_probability(F.col("text"), F.col("reasoning")),
-        "truncated": extract.is_truncated(F.col("finish_reason"))})
+    parsed = with_probability(t.completions, reasoning="reasoning")
+    return parsed.withColumn("truncated", extract.is_truncated(F.col("finish_reason")))
 
 
 @query("response_probability", with_views(
@@ -156,7 +156,7 @@ def completion_text_chat(t: Tables):
         CASE WHEN prefix_tokens IS NULL OR prefix_tokens >= total_tokens THEN total_tokens
           ELSE total_tokens - prefix_tokens END AS answer_tokens,
         round(CASE WHEN prefix_tokens IS NULL OR prefix_tokens >= total_tokens THEN 1
-          ELSE (total_tokens - prefix_tokens) / total_tokens END, 9) AS answer_share
+          ELSE (total_tokens - prefix_tokens) / total_tokens END + 1e-12, 9) AS answer_share
         FROM (SELECT row_id, len(regexp_extract_all(text, '\S+')) AS total_tokens,
           CASE WHEN contains(text, 'Probability:') THEN len(regexp_extract_all(
             regexp_extract(text, '(?s)^(.*)Probability:', 1), '\S+')) END AS prefix_tokens
@@ -178,31 +178,29 @@ REWARDED = f"""SELECT row_id, group_id, outcome, text, prob IS NOT NULL AS forma
 
 def rewarded(t: Tables) -> DataFrame:
     target = F.when(F.col("row_id") % 4 != 0, F.col("market"))
-    prob = extract.extract_probability(F.col("text"))
-    return t.completions.withColumn("p", prob).withColumn("r", score_reward(
+    return with_probability(t.completions, name="p").withColumn("r", score_reward(
         F.col("p"), F.col("outcome"), target, blend=0.5, format_penalty=-0.25))
 
 
 @query("score_reward", with_views(
-    """SELECT row_id, format_ok, round(prob, 9) AS prob, round(brier, 9) AS brier,
-       round(reward, 9) AS reward, round(abs(prob - 0.5), 9) AS sharpness,
-       round(1 - brier, 9) AS brier_reward FROM rewarded""", "completions", rewarded=REWARDED))
+    """SELECT row_id, format_ok, round(prob + 1e-12, 9) AS prob, round(brier + 1e-12, 9) AS brier,
+       round(reward + 1e-12, 9) AS reward, round(abs(prob - 0.5) + 1e-12, 9) AS sharpness,
+       round(1 - brier + 1e-12, 9) AS brier_reward FROM rewarded""", "completions", rewarded=REWARDED))
 def score_rewards(t: Tables):
     return rounded(rewarded(t).select("row_id", "r.*"))
 
 
 @query("score_reward_sharpness", with_views(
     f"""SELECT row_id, round(CASE WHEN prob IS NULL THEN 0
-        ELSE (1 - ({_P} - outcome) ** 2) * (1 + 0.3 * abs({_P} - 0.5)) END, 9) AS reward
+        ELSE (1 - ({_P} - outcome) ** 2) * (1 + 0.3 * abs({_P} - 0.5)) END + 1e-12, 9) AS reward
         FROM ({S.extracted('completions', 'text', '*')}) e""", "completions"))
 def score_reward_sharpness(t: Tables):
-    reward = score_reward(extract.extract_probability(F.col("text")), F.col("outcome"),
-                          sharpness_weight=0.3)
+    reward = score_reward_fn(sharpness_weight=0.3)(F.col("text"), F.col("outcome"))
     return rounded(t.completions.select("row_id", reward["reward"].alias("reward")))
 
 
 @query("variance_groups", with_views(
-    """SELECT row_id, group_id, round(reward, 9) AS reward FROM rewarded WHERE group_id IN (
+    """SELECT row_id, group_id, round(reward + 1e-12, 9) AS reward FROM rewarded WHERE group_id IN (
        SELECT group_id FROM rewarded GROUP BY group_id
        HAVING count(*) > 1 AND stddev_pop(reward) >= 0.3)""", "completions", rewarded=REWARDED))
 def variance_group_rows(t: Tables):
@@ -255,7 +253,8 @@ TRUTH = f"""SELECT row_id, game_id, season, week, posteam, defteam, {PERIOD} AS
 
 
 def truths(t: Tables) -> DataFrame:
-    return qa_records(t.plays, ("row_id",)).select("row_id", audit.ground_truth().alias("truth"))
+    rows = qa_records(t.plays, ("row_id",))
+    return computed_once(rows, truth=audit.ground_truth()).select("row_id", "truth")
 
 
 @query("ground_truth", with_views("SELECT * FROM truth", "labelled", truth=TRUTH))

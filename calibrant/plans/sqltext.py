@@ -9,6 +9,7 @@ import numpy as np
 from calibrant.functions.parsing import (
     FIELD_EDGES, SCORE_EDGES, SPREAD_EDGES, TIME_EDGES,
 )
+from calibrant.operators.resampling import POISSON_STEPS
 
 
 def bins(x: str, edges: Sequence[float]) -> str:
@@ -31,18 +32,18 @@ def stats(source: str, by: str = "variant", p: str = "prob", y: str = "outcome",
 
 METRICS = {
     "n": "CAST(sum(n) AS BIGINT)",
-    "brier": "round(sum(sq) / sum(n), 9)",
-    "log_loss": "round(-sum(sl) / sum(n), 9)",
-    "accuracy": "round(sum(hits) / sum(n), 9)",
-    "ece": "round(sum(n * abs(sp / n - sy / n)) / sum(n), 9)",
-    "mce": "round(max(abs(sp / n - sy / n)), 9)",
-    "reliability": "round(sum(n * (sp / n - sy / n) ** 2) / sum(n), 9)",
-    "resolution": "round(sum(n * (sy / n - base) ** 2) / sum(n), 9)",
-    "uncertainty": "round(max(base) * (1 - max(base)), 9)",
+    "brier": "round(sum(sq) / sum(n) + 1e-12, 9)",
+    "log_loss": "round(-sum(sl) / sum(n) + 1e-12, 9)",
+    "accuracy": "round(sum(hits) / sum(n) + 1e-12, 9)",
+    "ece": "round(sum(n * abs(sp / n - sy / n)) / sum(n) + 1e-12, 9)",
+    "mce": "round(max(abs(sp / n - sy / n)) + 1e-12, 9)",
+    "reliability": "round(sum(n * (sp / n - sy / n) ** 2) / sum(n) + 1e-12, 9)",
+    "resolution": "round(sum(n * (sy / n - base) ** 2) / sum(n) + 1e-12, 9)",
+    "uncertainty": "round(max(base) * (1 - max(base)) + 1e-12, 9)",
     "brier_check": "round(sum(n * (sp / n - sy / n) ** 2) / sum(n)"
-                   " - sum(n * (sy / n - base) ** 2) / sum(n) + max(base) * (1 - max(base)), 9)",
-    "mean_prob": "round(sum(sp) / sum(n), 9)",
-    "base_rate": "round(max(base), 9)",
+                   " - sum(n * (sy / n - base) ** 2) / sum(n) + max(base) * (1 - max(base)) + 1e-12, 9)",
+    "mean_prob": "round(sum(sp) / sum(n) + 1e-12, 9)",
+    "base_rate": "round(max(base) + 1e-12, 9)",
 }
 
 
@@ -190,3 +191,25 @@ def json_cut(reply: str) -> str:
     fenced = f"CASE WHEN starts_with(trim({reply}), '```') THEN split_part(trim({reply}), '```', 2)" \
              f" ELSE {reply} END"
     return rf"nullif(regexp_extract({fenced}, '(?s)\{{.*\}}', 0), '')"
+
+
+def _weight(digest: str, lane: str) -> str:
+    uniform = f"CAST(concat('0x', substr({digest}, 1 + 4 * {lane}, 4)) AS INT)"
+    return "(" + " + ".join(f"CAST({uniform} >= {s} AS INT)" for s in POISSON_STEPS) + ")"
+
+
+def replicate_sums(source: str, by: str, values: Sequence[str], reps: int, seed: str = "0") -> str:
+    """Weighted sums per group and replicate of ``source``, which has a ``row_id``."""
+    blocks = -(-reps // 8)
+    sums = ", ".join(f"sum(w * {v}) AS {v}" for v in values)
+    return f"""SELECT {by}rep, CAST(sum(w) AS DOUBLE) AS weight, {sums} FROM (
+      SELECT *, block * 8 + lane AS rep, {_weight('digest', 'lane')} AS w FROM (
+        SELECT s.*, block, md5(concat('{seed}|', block, '|', row_id)) AS digest
+        FROM {source} s CROSS JOIN generate_series(0, {blocks - 1}) b(block)) d
+      CROSS JOIN generate_series(0, 7) l(lane)) x
+      WHERE rep < {reps} GROUP BY ALL"""
+
+
+def interval(column: str, name: str) -> str:
+    return (f"round(quantile_cont({column}, 0.025) + 1e-12, 9) AS {name}lo,"
+            f" round(quantile_cont({column}, 0.975) + 1e-12, 9) AS {name}hi")

@@ -4,8 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+          "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def struct_of(columns: str, **nested: T.DataType) -> T.StructType:
+    """``"a int, b string"`` as a struct, without a session; ``nested`` gives other named types."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(n, nested[t] if t in nested else _TYPES[t]) for n, t in pairs])
+
+
 # The column names and types of a raw play-by-play table.
-PLAYS = T.StructType.fromDDL("""
+PLAYS = struct_of("""
     game_id string, season int, week int, season_type string,
     home_team string, away_team string, posteam string, defteam string,
     qtr int, time string, game_seconds_remaining int, half_seconds_remaining int,
@@ -23,37 +33,35 @@ PLAY_REQUIRED = [
     "posteam", "defteam", "vegas_wp", "result", "down", "game_seconds_remaining",
 ]
 
-FEATURES = T.StructType.fromDDL("""
+FEATURES = struct_of("""
     posteam string, defteam string, qtr int, time string, game_seconds_remaining int,
     down int, ydstogo int, yardline_100 int, score_differential int,
     vegas_wp double, wp double, epa double, spread_line double
 """)
 
-QA_RECORD = T.StructType.fromDDL(f"""
+QA_RECORD = struct_of("""
     question string, target_prob double, actual_outcome int, game_id string, season int,
-    week int, difficulty double, features {FEATURES.simpleString()}
-""")
+    week int, difficulty double, features features
+""", features=FEATURES)
 
-TRAINING_RECORD = T.StructType.fromDDL("""
+TRAINING_RECORD = struct_of("""
     prompt string, actual_outcome int, vegas_wp double, game_id string, season int,
-    difficulty double,
-    meta struct<qtr:int,score_differential:int,game_seconds_remaining:int,week:int>,
-    target double, target_fine double
-""")
+    difficulty double, meta meta, target double, target_fine double
+""", meta=struct_of("qtr int, score_differential int, game_seconds_remaining int, week int"))
 
 # One prediction inside a prediction map. ``row_id`` is ours: it makes the position durable.
-PREDICTION = T.StructType.fromDDL("""
+PREDICTION = struct_of("""
     row_id bigint, game_id string, prob double, outcome int, vegas double,
     parsed boolean, truncated boolean
 """)
 PREDICTION_MAP = T.MapType(T.StringType(), T.ArrayType(PREDICTION))
 
-GROUND_TRUTH = T.StructType.fromDDL("""
+GROUND_TRUTH = struct_of("""
     game_id string, season int, week int, posteam string, defteam string, period string,
     clock string, score string, score_differential int, down int, ydstogo int,
-    field_position string, spread struct<side:string,team:string,points:double>,
+    field_position string, spread spread,
     vegas_wp double, target_prob double, actual_outcome int
-""")
+""", spread=struct_of("side string, team string, points double"))
 
 # The categories of one audit verdict.
 BOOLEAN_CATEGORIES = [
@@ -62,8 +70,8 @@ BOOLEAN_CATEGORIES = [
 FAITHFULNESS_LABELS = ["consistent", "inconsistent", "unclear"]
 
 VERDICT = T.StructType(
-    [T.StructField(c, T.StructType.fromDDL("v boolean, q string")) for c in BOOLEAN_CATEGORIES]
-    + [T.StructField("faithfulness", T.StructType.fromDDL("v string, q string"))]
+    [T.StructField(c, struct_of("v boolean, q string")) for c in BOOLEAN_CATEGORIES]
+    + [T.StructField("faithfulness", struct_of("v string, q string"))]
 )
 
 JUDGED_ROW = T.StructType([

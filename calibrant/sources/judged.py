@@ -12,11 +12,9 @@ from calibrant.sources.records import read_jsonl, write_jsonl
 def _verdict_state(verdict: Column) -> Column:
     """The verdict struct with ``parse_ok`` and ``usable``, as ``parse_verdict`` gives it."""
     names = [*BOOLEAN_CATEGORIES, "faithfulness"]
-    any_part = F.coalesce(*[verdict[n].isNotNull() for n in names], F.lit(False))
-    for name in names:
-        any_part = any_part | F.coalesce(verdict[name].isNotNull(), F.lit(False))
+    known = F.coalesce(*[verdict[n][field].cast("string") for n in names for field in ("v", "q")])
     return F.struct(
-        verdict.isNotNull().alias("parse_ok"), any_part.alias("usable"),
+        verdict.isNotNull().alias("parse_ok"), known.isNotNull().alias("usable"),
         *[verdict[n].alias(n) for n in names])
 
 
@@ -36,6 +34,6 @@ def write_judged(judged: DataFrame, path: str) -> None:
         *[v[n].alias(n) for n in [*BOOLEAN_CATEGORIES, "faithfulness"]]))
     entry = F.struct("mode", "text", "parsed_prob", stored.alias("verdict"))
     rows = judged.groupBy("row_id").agg(
-        F.max("ground_truth").alias("ground_truth"),
+        F.any_value("ground_truth").alias("ground_truth"),
         F.map_from_entries(F.collect_list(F.struct("label", entry))).alias("models"))
     write_jsonl(rows, path)

@@ -39,14 +39,14 @@ def rows_of(columns, rows):
     return sorted(repr([plain(row[i]) for i in order]) for row in rows)
 
 
-def compare(df, con, sql):
+def compare(df, con, sql, got=None):
     """What differs between a DataFrame and a SQL result, or None."""
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     expected = result.fetchall()
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
-    got = df.collect()
+    got = df.collect() if got is None else got
     if len(got) != len(expected):
         return f"{len(got)} rows != {len(expected)}"
     for mine, other in zip(rows_of(df.columns, got), rows_of(names, expected)):
