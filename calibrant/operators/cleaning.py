@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions.numbers import fixed_text, nan_to_null
+from calibrant.operators.staging import computed_once
 from calibrant.schemas import PLAY_REQUIRED
 
 
@@ -80,7 +81,7 @@ def leak_violations(
     forbidden: Sequence[str] = ("vegas",),
 ) -> DataFrame:
     reason = leak_reason(F.col(prompt), F.col(hidden), forbidden)
-    return df.withColumn("leak", reason).where(F.col("leak").isNotNull())
+    return computed_once(df, leak=reason).where(F.col("leak").isNotNull())
 
 
 def leak_guard(

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrant.functions.numbers import round_half_even
@@ -69,14 +69,18 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return reduce(and_, [left[n].eqNullSafe(right[n]) for n in names])
 
 
+def _finest_cells(df: DataFrame, keys: Sequence[RateKey], outcome: str) -> DataFrame:
+    return df.groupBy(*[key.column.alias(key.name) for key in keys]).agg(
+        F.sum(F.col(outcome).cast("bigint")).alias("wins"), F.count(F.lit(1)).alias("n"))
+
+
 def rate_counts(df: DataFrame, keys: Sequence[RateKey], outcome: str = "outcome") -> DataFrame:
     """Wins and rows at every key prefix.
 
     The rows are reduced to the finest cells first; only the cells are rolled up.
     """
     names = [key.name for key in keys]
-    cells = df.groupBy(*[key.column.alias(key.name) for key in keys]).agg(
-        F.sum(F.col(outcome).cast("bigint")).alias("wins"), F.count(F.lit(1)).alias("n"))
+    cells = _finest_cells(df, keys, outcome)
     # grouping_id sets one bit per key that a prefix leaves out.
     left_out = F.length(F.regexp_replace(F.bin(F.grouping_id()), "0", ""))
     return cells.rollup(*names).agg(
@@ -87,7 +91,52 @@ def rate_counts(df: DataFrame, keys: Sequence[RateKey], outcome: str = "outcome"
 def rate_table(
     df: DataFrame, keys: Sequence[RateKey], outcome: str = "outcome", m: float = PSEUDO_COUNT
 ) -> DataFrame:
-    """``(level, keys..., wins, n, phat)``; fit it on training rows and freeze it before lookups."""
+    """``(level, keys..., wins, n, phat)``; fit it on training rows and freeze it before lookups.
+
+    The rows are reduced to the finest cells first. When the keys bound the number of cells, the
+    cells are brought together by the first key and sorted once, and every prefix is a window over
+    that order. Keys without a bound are rolled up and joined level by level instead.
+    """
+    most = bounded_rows(keys)
+    if most is not None and most <= BROADCAST_ROWS:
+        return _rates_by_window(df, keys, outcome, m)
+    return _rates_by_join(df, keys, outcome, m)
+
+
+def _rates_by_window(df: DataFrame, keys: Sequence[RateKey], outcome: str, m: float) -> DataFrame:
+    names = [key.name for key in keys]
+    cells = _finest_cells(df, keys, outcome)
+    overall = cells.agg((F.sum("wins") / F.sum("n")).alias("phat"),
+                        F.sum("wins").alias("wins"), F.sum("n").alias("n"))
+    rows = cells.repartition(names[0]).withColumn(
+        "_p0", overall.select("phat").scalar())
+    for depth in range(1, len(names) + 1):
+        prefix = Window.partitionBy(*names[:depth])
+        wins, n = F.sum("wins").over(prefix), F.sum("n").over(prefix)
+        # The first cell of a prefix stands for it in the table.
+        first = Window.partitionBy(*names[:depth]).orderBy(*names[depth:]) if names[depth:] else None
+        rows = rows.withColumns({
+            f"_w{depth}": wins, f"_n{depth}": n,
+            f"_first{depth}": F.row_number().over(first) == 1 if first else F.lit(True)})
+    for depth in range(1, len(names) + 1):
+        shrunk = (F.col(f"_w{depth}") + m * F.col(f"_p{depth - 1}")) / (F.col(f"_n{depth}") + m)
+        rows = rows.withColumn(f"_p{depth}", shrunk)
+    lines = [
+        F.struct(
+            F.lit(depth).alias("level"),
+            *[(F.col(k) if i < depth else F.lit(None).cast("int")).alias(k)
+              for i, k in enumerate(names)],
+            F.col(f"_w{depth}").alias("wins"), F.col(f"_n{depth}").alias("n"),
+            F.col(f"_p{depth}").alias("phat"), F.col(f"_first{depth}").alias("_first"))
+        for depth in range(1, len(names) + 1)]
+    prefixes = rows.select(F.inline(F.array(*lines))).where("_first").drop("_first")
+    top = overall.select(
+        F.lit(0).alias("level"), *[F.lit(None).cast("int").alias(k) for k in names],
+        "wins", "n", "phat")
+    return top.unionByName(prefixes)
+
+
+def _rates_by_join(df: DataFrame, keys: Sequence[RateKey], outcome: str, m: float) -> DataFrame:
     names = [key.name for key in keys]
     counts = rate_counts(df, keys, outcome)
     level = counts.where(F.col("level") == 0).withColumn("phat", F.col("wins") / F.col("n"))
@@ -105,6 +154,12 @@ def rate_table(
     return reduce(DataFrame.unionByName, levels).select("level", *names, "wins", "n", "phat")
 
 
+def coarser(table: DataFrame, keys: Sequence[RateKey]) -> DataFrame:
+    """The table over a prefix of the keys: its rates depend on no deeper level."""
+    names = [key.name for key in keys]
+    return table.where(F.col("level") <= len(names)).select("level", *names, "wins", "n", "phat")
+
+
 def backoff_lookup(
     df: DataFrame, table: DataFrame, keys: Sequence[RateKey], name: str = "phat",
     decimals: int | None = None, salt_by: str | None = None,

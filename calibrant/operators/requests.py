@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibrant.operators.staging import computed_once
+
 
 def request_key(model: Column, prompt: Column, **params: Column) -> Column:
     """Key of a request: a digest over model, prompt and every parameter, in name order."""
@@ -15,6 +17,13 @@ def request_key(model: Column, prompt: Column, **params: Column) -> Column:
     return F.sha1(F.to_json(F.struct(*fields)))
 
 
+def with_request_key(
+    df: DataFrame, model: Column, prompt: Column, name: str = "key", **params: Column
+) -> DataFrame:
+    """Add the request key, computed once per row."""
+    return computed_once(df, **{name: request_key(model, prompt, **params)})
+
+
 def distinct_requests(requests: DataFrame, key: str = "key") -> DataFrame:
     """One row per key; equal keys mean equal requests."""
     return requests.dropDuplicates([key])

@@ -55,13 +55,21 @@ def _draw_tasks(df: DataFrame) -> int:
                int(session.conf.get("spark.sql.shuffle.partitions")))
 
 
-def lane_uniforms(digest: Column) -> list[Column]:
-    """Eight 16-bit uniform numbers: four hex digits of a digest each, read twelve at a time."""
-    pieces = [F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("bigint") for i in range(3)]
-    lanes = [(piece, shift) for piece, shifts in zip(pieces, [(32, 16, 0)] * 2 + [(16, 0)])
-             for shift in shifts]
+# Eight 16-bit lanes of a 32-digit digest: it is read as three numbers, each cut by shifts.
+_PIECES = {"_piece0": (1, 12), "_piece1": (13, 12), "_piece2": (25, 8)}
+_CUTS = [(piece, shift) for piece, (_, digits) in _PIECES.items()
+         for shift in range(4 * digits - 16, -1, -16)]
+
+
+def _with_pieces(df: DataFrame, digest: str) -> DataFrame:
+    return df.withColumns({
+        piece: F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
+        for piece, (start, digits) in _PIECES.items()})
+
+
+def _lane_uniforms() -> list[Column]:
     return [F.shiftright(piece, shift).bitwiseAND(F.lit(0xFFFF)).cast("int")
-            for piece, shift in lanes]
+            for piece, shift in _CUTS]
 
 
 def row_weight(uniform: Column) -> Column:
@@ -87,8 +95,8 @@ def replicate_sums_by_row(
     spread = df.select(*by, *values, row_id).repartition(_draw_tasks(df), row_id)
     drawn = spread.withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_digest", digest)
-    lanes = F.array(*lane_uniforms(F.col("_digest")))
-    weighted = drawn.select(*by, *values, "_block", F.posexplode(lanes).alias("_lane", "_u")).select(
+    lanes = F.array(*_lane_uniforms())
+    weighted = _with_pieces(drawn, "_digest").select(*by, *values, "_block", F.posexplode(lanes).alias("_lane", "_u")).select(
         *by, *values, (F.col("_block") * _LANES + F.col("_lane")).alias("rep"),
         row_weight(F.col("_u")).alias("_w"),
     ).where((F.col("_w") > 0) & (F.col("rep") < reps))

@@ -11,9 +11,12 @@ from calibrant.functions.labels import difficulty, possession_outcome, season_sp
 from calibrant.functions.numbers import fixed_text
 from calibrant.functions.wording import possession_line, prompt_mode, render_prompt
 from calibrant.operators import cleaning, records, sampling
-from calibrant.operators.rates import RateKey, backoff_lookup, rate_counts, rate_table, state_keys
+from calibrant.operators.rates import (
+    RateKey, backoff_lookup, coarser, rate_counts, rate_table, state_keys,
+)
 from calibrant.operators.calibration import score
 from calibrant.operators.pairing import long_forecasts
+from calibrant.operators.staging import computed_once
 from calibrant.plans import sqltext as S
 from calibrant.plans.fixtures import EVAL_SEASONS, TEST_SEASONS, Tables, with_views
 from calibrant.plans.registry import query, rounded
@@ -174,7 +177,7 @@ def leak_guard(t: Tables):
     spoiled = F.when(F.col("row_id") % 29 == 0, " VEGAS agrees").when(
         F.col("row_id") % 31 == 0, F.concat(F.lit(" near "), fixed_text(F.col("vegas_wp"), 2))
     ).otherwise("")
-    prompts = t.labelled.withColumn("prompt", F.concat(render_prompt(), spoiled))
+    prompts = computed_once(t.labelled, prompt=F.concat(render_prompt(), spoiled))
     return cleaning.leak_violations(prompts).select("row_id", "leak")
 
 
@@ -311,8 +314,9 @@ def lookups(t: Tables):
 
 
 def _with_targets(t: Tables) -> list[tuple[str, DataFrame, list[RateKey]]]:
-    return [("target", fitted(t, coarse_keys()), coarse_keys()),
-            ("target_fine", fitted(t, fine_keys()), fine_keys())]
+    fine, coarse = fine_keys(), coarse_keys()
+    table = fitted(t, fine)
+    return [("target", coarser(table, coarse), coarse), ("target_fine", table, fine)]
 
 
 TARGETS_CHECK = {

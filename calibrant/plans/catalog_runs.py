@@ -9,6 +9,7 @@ from calibrant.functions.wording import possession_line, render_prompt
 from calibrant.operators import ceiling, requests, telemetry, trajectory
 from calibrant.operators.calibration import score
 from calibrant.operators.rates import backoff_lookup
+from calibrant.operators.staging import computed_once
 from calibrant.plans import sqltext as S
 from calibrant.plans.catalog_data import coarse_keys, fitted
 from calibrant.plans.catalog_text import RESPONSES, REWARDED, responses, rewarded
@@ -25,9 +26,10 @@ REQUESTS = f"""SELECT row_id, sha1(to_json({{'m': model, 'p': prompt, 'max_token
 
 def _requests(t: Tables) -> DataFrame:
     model = F.when(F.col("row_id") % 2 == 0, "base").otherwise("tuned")
-    key = requests.request_key(
-        model, render_prompt(), max_tokens=F.lit(900), temperature=F.lit(0.7))
-    return t.plays.select("row_id", key.alias("key"))
+    prompts = computed_once(t.plays, prompt=render_prompt())
+    return requests.with_request_key(
+        prompts, model, F.col("prompt"), max_tokens=F.lit(900), temperature=F.lit(0.7)
+    ).select("row_id", "key")
 
 
 def _answers(rows: DataFrame) -> DataFrame:

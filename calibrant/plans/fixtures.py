@@ -186,7 +186,14 @@ class Tables:
         return f"{self.sf_dir}/{name}.parquet"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """A table, spread over the cores when its file has fewer splits than there are cores.
+
+        A file with a single row group is one task however many cores wait. Tables of more splits,
+        which is every large one, are left as they are.
+        """
+        df = self.spark.read.parquet(self.path(name))
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     @cached_property
     def plays(self) -> DataFrame:
