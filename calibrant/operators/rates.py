@@ -65,10 +65,6 @@ def bounded_rows(keys: Sequence[RateKey]) -> int | None:
     return rows
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(and_, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def _finest_cells(df: DataFrame, keys: Sequence[RateKey], outcome: str) -> DataFrame:
     return df.groupBy(*[key.column.alias(key.name) for key in keys]).agg(
         F.sum(F.col(outcome).cast("bigint")).alias("wins"), F.count(F.lit(1)).alias("n"))
@@ -175,29 +171,33 @@ def backoff_lookup(
         raise ValueError("keys without a bound need salt_by, a column that varies inside a state")
     small = most is not None and most <= BROADCAST_ROWS
     rate = round_half_even(F.col("phat"), decimals) if decimals is not None else F.col("phat")
-    rows = df.withColumns({key.name: key.column for key in keys})
+    # States get names of their own, so the rows keep a column that is called like a key.
+    states = [f"_state{i}" for i in range(len(keys))]
+    rows = df.withColumns({s: key.column for s, key in zip(states, keys)})
     found, depths = [], []
-    for depth in range(len(names), 0, -1):
-        hit = f"_p{depth}"
-        level = table.where(F.col("level") == depth).select(*names[:depth], rate.alias(hit))
+    for depth in range(len(keys), 0, -1):
+        hit, own, theirs = f"_p{depth}", states[:depth], names[:depth]
+        level = table.where(F.col("level") == depth).select(
+            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(theirs)], rate.alias(hit))
         if small:
-            matched = rows.join(
-                F.broadcast(level), _same(rows, level, names[:depth]), "left")
-            rows = matched.select(rows["*"], hit)
+            same = [rows[s].eqNullSafe(level[f"_key{i}"]) for i, s in enumerate(own)]
+            rows = rows.join(F.broadcast(level), reduce(and_, same), "left").select(rows["*"], hit)
         else:
             # A salted join compares with plain equality: NULL keys are coded as text first.
-            coded = [f"_k{i}" for i in range(depth)]
-            code = {c: F.coalesce(F.col(n).cast("string"), F.lit("\u0000"))
-                    for c, n in zip(coded, names)}
-            rows = salted_join(
-                rows.withColumns(code), level.withColumns(code).select(*coded, hit), coded, "left",
-                salt_by,
-            ).drop(*coded)
+            coded = [f"_code{i}" for i in range(depth)]
+
+            def code(columns: list[str]) -> dict[str, Column]:
+                return {c: F.coalesce(F.col(n).cast("string"), F.lit("\u0000"))
+                        for c, n in zip(coded, columns)}
+
+            lookup = level.withColumns(code([f"_key{i}" for i in range(depth)]))
+            rows = salted_join(rows.withColumns(code(own)), lookup.select(*coded, hit), coded,
+                               "left", salt_by).drop(*coded)
         found.append(F.col(hit))
         depths.append(F.when(F.col(hit).isNotNull(), depth))
     overall = table.where(F.col("level") == 0).select(rate).scalar()
     return (
         rows.withColumn(name, F.coalesce(*found, overall))
         .withColumn(f"{name}_level", F.coalesce(*depths, F.lit(0)))
-        .drop(*[f"_p{d}" for d in range(1, len(names) + 1)], *names)
+        .drop(*[f"_p{d}" for d in range(1, len(keys) + 1)], *states)
     )
