@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibrant.functions.numbers import clipped
 from calibrant.functions.scoring import LOG_EPSILON, calibration_bin
 
 STATS = ["n", "sum_p", "sum_y", "sum_sq", "sum_log", "n_correct"]
@@ -24,18 +25,27 @@ def bin_stats(
     n_bins: int = 10,
     rule: str = "edges",
     threshold: float = 0.5,
+    beside: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Per group and bin: n, sums of p, y, (p-y)^2 and log score, and the correct calls."""
+    """Per group and bin: n, sums of p, y, (p-y)^2 and log score, and the correct calls.
+
+    ``beside`` adds aggregates of your own. Rows without a probability then stay, in a bin NULL with
+    n 0, so that shares of all rows come out of the same pass.
+    """
     p, y = F.col(prob), F.col(outcome).cast("double")
-    q = F.greatest(F.least(p, F.lit(1 - LOG_EPSILON)), F.lit(LOG_EPSILON))
-    scored = df.where(p.isNotNull() & F.col(outcome).isNotNull())
+    known = p.isNotNull() & F.col(outcome).isNotNull()
+    if beside:
+        p, y = F.when(known, p), F.when(known, y)
+    q = clipped(p, LOG_EPSILON, 1 - LOG_EPSILON)
+    scored = df if beside else df.where(known)
     return scored.groupBy(*by, calibration_bin(p, n_bins, rule).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(p).alias("n"),
         F.sum(p).alias("sum_p"),
         F.sum(y).alias("sum_y"),
         F.sum((p - y) * (p - y)).alias("sum_sq"),
         F.sum(y * F.ln(q) + (1 - y) * F.ln(1 - q)).alias("sum_log"),
         F.count_if((p > threshold) == (y == 1)).alias("n_correct"),
+        *[column.alias(name) for name, column in (beside or {}).items()],
     )
 
 
@@ -46,14 +56,15 @@ def merge_stats(stats: DataFrame, by: Sequence[str] = ("variant",)) -> DataFrame
 
 def metric_columns() -> dict[str, Column]:
     """Every metric as an aggregate over the bins of one group."""
-    n, total = F.col("n"), F.sum("n")
+    # A group or bin without scored rows has NULL metrics.
+    n, total = F.nullif(F.col("n"), F.lit(0)), F.nullif(F.sum("n"), F.lit(0))
     gap = F.abs(F.col("sum_p") - F.col("sum_y"))
     base = F.sum("sum_y") / total
     reliability = F.sum(gap * gap / n) / total
     resolution = F.sum(F.col("sum_y") * F.col("sum_y") / n) / total - base * base
     uncertainty = base * (1 - base)
     return {
-        "n": total,
+        "n": F.sum("n"),
         "brier": F.sum("sum_sq") / total,
         "log_loss": -F.sum("sum_log") / total,
         "accuracy": F.sum("n_correct") / total,

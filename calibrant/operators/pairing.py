@@ -52,12 +52,14 @@ def align_models(preds: DataFrame, variants: Sequence[str], row_id: str = "row_i
         v: F.max(F.when(F.col("variant") == v, clipped(F.col("prob"))))
         for v in variants}
     present = preds.where(F.col("variant").isin(*variants))
+    once = F.lit(True)
+    for variant in variants:
+        once = once & (F.count_if(F.col("variant") == variant) == 1)
     return present.groupBy(row_id).agg(
         F.min("outcome").alias("outcome"),
         *[column.alias(v) for v, column in wide.items()],
-        ((F.min("outcome") == F.max("outcome")) & (F.count("outcome") == len(variants))
-         & (F.count(F.lit(1)) == len(variants))
-         & (F.count_distinct("variant") == len(variants))).alias("aligned"),
+        (once & (F.min("outcome") == F.max("outcome")) & (F.count("outcome") == len(variants)))
+        .alias("aligned"),
     )
 
 

@@ -89,9 +89,9 @@ def rate_table(
 ) -> DataFrame:
     """``(level, keys..., wins, n, phat)``; fit it on training rows and freeze it before lookups.
 
-    The rows are reduced to the finest cells first. When the keys bound the number of cells, the
-    cells are brought together by the first key and sorted once, and every prefix is a window over
-    that order. Keys without a bound are rolled up and joined level by level instead.
+    The rows are reduced to the finest cells first. When the keys bound the number of cells, however
+    many rows there are, the cells are sorted once in one task and every prefix is a window over that
+    order. Keys without a bound are rolled up and joined level by level instead.
     """
     most = bounded_rows(keys)
     if most is not None and most <= BROADCAST_ROWS:
@@ -101,35 +101,31 @@ def rate_table(
 
 def _rates_by_window(df: DataFrame, keys: Sequence[RateKey], outcome: str, m: float) -> DataFrame:
     names = [key.name for key in keys]
-    cells = _finest_cells(df, keys, outcome)
-    overall = cells.agg((F.sum("wins") / F.sum("n")).alias("phat"),
-                        F.sum("wins").alias("wins"), F.sum("n").alias("n"))
-    rows = cells.repartition(names[0]).withColumn(
-        "_p0", overall.select("phat").scalar())
-    for depth in range(1, len(names) + 1):
-        prefix = Window.partitionBy(*names[:depth])
-        wins, n = F.sum("wins").over(prefix), F.sum("n").over(prefix)
-        # The first cell of a prefix stands for it in the table.
-        first = Window.partitionBy(*names[:depth]).orderBy(*names[depth:]) if names[depth:] else None
-        rows = rows.withColumns({
-            f"_w{depth}": wins, f"_n{depth}": n,
-            f"_first{depth}": F.row_number().over(first) == 1 if first else F.lit(True)})
-    for depth in range(1, len(names) + 1):
-        shrunk = (F.col(f"_w{depth}") + m * F.col(f"_p{depth - 1}")) / (F.col(f"_n{depth}") + m)
-        rows = rows.withColumn(f"_p{depth}", shrunk)
+    cells = _finest_cells(df, keys, outcome).repartition(1)
+    windows = {}
+    for depth in range(len(names)):
+        # One sort by all the keys serves every depth; the first cell of a prefix stands for it.
+        order = Window.partitionBy(*names[:depth]).orderBy(*names[depth:])
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        windows |= {
+            f"_w{depth}": F.sum("wins").over(whole), f"_n{depth}": F.sum("n").over(whole),
+            f"_first{depth}": F.row_number().over(order) == 1}
+    last = len(names)
+    rows = cells.withColumns(
+        windows | {f"_w{last}": F.col("wins"), f"_n{last}": F.col("n"), f"_first{last}": F.lit(True)})
+    rates = [F.col("_w0") / F.col("_n0")]
+    for depth in range(1, last + 1):
+        rates.append((F.col(f"_w{depth}") + m * rates[-1]) / (F.col(f"_n{depth}") + m))
+    types = {field.name: field.dataType for field in cells.schema}
     lines = [
         F.struct(
             F.lit(depth).alias("level"),
-            *[(F.col(k) if i < depth else F.lit(None).cast("int")).alias(k)
+            *[(F.col(k) if i < depth else F.lit(None).cast(types[k])).alias(k)
               for i, k in enumerate(names)],
             F.col(f"_w{depth}").alias("wins"), F.col(f"_n{depth}").alias("n"),
-            F.col(f"_p{depth}").alias("phat"), F.col(f"_first{depth}").alias("_first"))
-        for depth in range(1, len(names) + 1)]
-    prefixes = rows.select(F.inline(F.array(*lines))).where("_first").drop("_first")
-    top = overall.select(
-        F.lit(0).alias("level"), *[F.lit(None).cast("int").alias(k) for k in names],
-        "wins", "n", "phat")
-    return top.unionByName(prefixes)
+            rates[depth].alias("phat"), F.col(f"_first{depth}").alias("_first"))
+        for depth in range(len(names) + 1)]
+    return rows.select(F.inline(F.array(*lines))).where("_first").drop("_first")
 
 
 def _rates_by_join(df: DataFrame, keys: Sequence[RateKey], outcome: str, m: float) -> DataFrame:

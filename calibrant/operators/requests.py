@@ -30,11 +30,14 @@ def distinct_requests(requests: DataFrame, key: str = "key") -> DataFrame:
 
 
 def merge_store(store: DataFrame, fresh: DataFrame, order: str, key: str = "key") -> DataFrame:
-    """Stored answers plus fresh ones; the earliest answer of a key stays."""
-    both = store.unionByName(fresh)
-    rest = [c for c in both.columns if c != key]
-    return both.groupBy(key).agg(
+    """The store plus fresh answers to keys it does not have, the earliest answer of each.
+
+    Only the keys of the store are shuffled, not its texts.
+    """
+    rest = [c for c in store.columns if c != key]
+    first = fresh.groupBy(key).agg(
         F.min_by(F.struct(*rest), F.col(order)).alias("_kept")).select(key, "_kept.*")
+    return store.unionByName(first.join(store.select(key), key, "left_anti"))
 
 
 def pending_requests(requests: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:

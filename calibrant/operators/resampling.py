@@ -9,7 +9,8 @@ cells; with continuous forecasts a cell is a row and the work is still one pass.
 ``method="rows"`` draws a weight per row with built-in expressions only. Its weights are a function
 of md5 text, so any SQL engine can repeat them.
 
-Every replicate is divided by its own total weight.
+Every replicate is divided by its own total weight. Replicate -1 is the data itself, so an estimate
+and its interval come out of the same pass.
 """
 
 from __future__ import annotations
@@ -94,11 +95,15 @@ def replicate_sums_by_row(
         "|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(row_id).cast("string")))
     spread = df.select(*by, *values, row_id).repartition(_draw_tasks(df), row_id)
     drawn = spread.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_digest", digest)
-    lanes = F.array(*_lane_uniforms())
-    weighted = _with_pieces(drawn, "_digest").select(*by, *values, "_block", F.posexplode(lanes).alias("_lane", "_u")).select(
-        *by, *values, (F.col("_block") * _LANES + F.col("_lane")).alias("rep"),
-        row_weight(F.col("_u")).alias("_w"),
+        "_block", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1)))).withColumn("_digest", digest)
+    weighted = _with_pieces(drawn, "_digest").select(
+        *by, *values, "_block", F.posexplode(F.array(*_lane_uniforms())).alias("_lane", "_u")
+    ).select(
+        *by, *values,
+        F.when(F.col("_block") < 0, -1).otherwise(F.col("_block") * _LANES + F.col("_lane"))
+        .alias("rep"),
+        F.when(F.col("_block") < 0, (F.col("_lane") == 0).cast("int"))
+        .otherwise(row_weight(F.col("_u"))).alias("_w"),
     ).where((F.col("_w") > 0) & (F.col("rep") < reps))
     return weighted.groupBy(*by, "rep").agg(
         F.sum("_w").cast("double").alias("weight"),
@@ -122,7 +127,7 @@ def replicate_sums_by_cell(
         [f"`{b}` {fields[b]}" for b in by] + ["rep int", "weight double"]
         + [f"`{v}` double" for v in values])
     width = len(values) + 1
-    most_groups = max(1, _BUFFER_BYTES // (reps * width * 8))
+    most_groups = max(1, _BUFFER_BYTES // ((reps + 1) * width * 8))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
@@ -130,7 +135,7 @@ def replicate_sums_by_cell(
         def emit() -> Iterator[pd.DataFrame]:
             for group, table in sums.items():
                 out = pd.DataFrame(table, columns=["weight", *values])
-                out.insert(0, "rep", np.arange(reps, dtype=np.int32))
+                out.insert(0, "rep", np.arange(-1, reps, dtype=np.int32))
                 for position, name in enumerate(by):
                     out.insert(position, name, group[position])
                 yield out
@@ -143,12 +148,13 @@ def replicate_sums_by_cell(
                 if group not in sums:
                     if len(sums) >= most_groups:
                         yield from emit()
-                    sums[group] = np.zeros((reps, width))
+                    sums[group] = np.zeros((reps + 1, width))
                 table = sums[group]
                 per_unit = part[values].to_numpy(dtype=np.float64)
                 for key, n, unit in zip(part["_key"], part["_n"], per_unit):
                     generator = np.random.Generator(np.random.Philox(key=int(key) % (1 << 64)))
-                    weight = generator.poisson(n, size=reps).astype(np.float64)
+                    weight = np.empty(reps + 1)
+                    weight[0], weight[1:] = n, generator.poisson(n, size=reps)
                     table[:, 0] += weight
                     table[:, 1:] += np.outer(weight, unit)
         yield from emit()
@@ -158,9 +164,12 @@ def replicate_sums_by_cell(
         F.sum("weight").alias("weight"), *[F.sum(v).alias(v) for v in values])
 
 
-def _interval(column: str, name: str) -> list[Column]:
-    bounds = F.percentile(column, F.array(*[F.lit(q) for q in LEVEL]))
-    return [bounds[0].alias(f"{name}_lo"), bounds[1].alias(f"{name}_hi")]
+def _estimate(value: Column, name: str) -> list[Column]:
+    """The value of the data and the 95 % bounds of its replicates, as aggregates."""
+    replicate = F.col("rep") >= 0
+    bounds = F.percentile(F.when(replicate, value), F.array(*[F.lit(q) for q in LEVEL]))
+    return [F.max(F.when(~replicate, value)).alias(name),
+            bounds[0].alias(f"{name}_lo"), bounds[1].alias(f"{name}_hi")]
 
 
 def bootstrap_ci(
@@ -168,7 +177,7 @@ def bootstrap_ci(
     reps: int = 2000, seed: int = 0, n_bins: int = 10, method: str = "cells",
     row_id: str = "row_id",
 ) -> DataFrame:
-    """95 % percentile intervals of Brier score and ECE per group."""
+    """Brier score and ECE per group with 95 % percentile intervals."""
     by = list(by)
     p, y = F.col(prob).cast("double"), F.col(outcome).cast("double")
     scored = df.where(F.col(prob).isNotNull()).select(
@@ -186,24 +195,16 @@ def bootstrap_ci(
     else:
         raise ValueError(f"unknown method {method!r}")
     replicates = sums.groupBy(*by, "rep").agg(
-        F.try_divide(F.sum("sq"), F.sum("weight")).alias("brier"),
-        F.try_divide(F.sum(F.abs(F.col("p") - F.col("y"))), F.sum("weight")).alias("ece"))
-    return replicates.groupBy(*by).agg(*_interval("brier", "brier"), *_interval("ece", "ece"))
+        F.try_divide(F.sum("sq"), F.sum("weight")).alias("_brier"),
+        F.try_divide(F.sum(F.abs(F.col("p") - F.col("y"))), F.sum("weight")).alias("_ece"))
+    return replicates.groupBy(*by).agg(
+        *_estimate(F.col("_brier"), "brier"), *_estimate(F.col("_ece"), "ece"))
 
 
-def _value_cells(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    known = df.where(F.col(value).isNotNull()).withColumn("x", F.col(value).cast("double"))
-    return known.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _mean_with_interval(cells: DataFrame, sums: DataFrame, by: Sequence[str]) -> DataFrame:
-    bounds = sums.withColumn("m", F.try_divide("x", "weight")).groupBy(*by).agg(*_interval("m", "m"))
-    means = cells.groupBy(*by).agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"))
-    excludes = (F.col("m_lo") > 0) | (F.col("m_hi") < 0)
-    return means.join(bounds, list(by)).select(
-        *by, "n", "mean", F.col("m_lo").alias("lo"), F.col("m_hi").alias("hi"),
-        excludes.alias("significant"))
+def _mean_with_interval(sums: DataFrame, by: Sequence[str], mean: str = "mean") -> DataFrame:
+    n = F.max(F.when(F.col("rep") < 0, F.col("weight").cast("bigint"))).alias("n")
+    return sums.groupBy(*by).agg(n, *_estimate(F.try_divide("x", "weight"), mean)).select(
+        *by, "n", mean, F.col(f"{mean}_lo").alias("lo"), F.col(f"{mean}_hi").alias("hi"))
 
 
 def mean_ci(
@@ -211,15 +212,19 @@ def mean_ci(
     method: str = "cells", row_id: str = "row_id",
 ) -> DataFrame:
     """Mean of ``value`` per group, its 95 % interval, n, and whether the interval excludes 0."""
-    cells = _value_cells(df, by, value)
+    known = df.where(F.col(value).isNotNull()).withColumn("x", F.col(value).cast("double"))
     if method == "cells":
+        cells = known.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"))
         sums = replicate_sums_by_cell(cells, by, "n", ["x"], reps, seed)
     elif method == "rows":
-        known = df.where(F.col(value).isNotNull()).withColumn("x", F.col(value).cast("double"))
         sums = replicate_sums_by_row(known, by, ["x"], row_id, reps, seed)
     else:
         raise ValueError(f"unknown method {method!r}")
-    return _mean_with_interval(cells, sums, by)
+    return _with_significance(_mean_with_interval(sums, by))
+
+
+def _with_significance(intervals: DataFrame) -> DataFrame:
+    return intervals.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
 def proportion_ci(
@@ -227,16 +232,11 @@ def proportion_ci(
     seed: int = 0,
 ) -> DataFrame:
     """Rate and 95 % interval of a 0/1 flag from its counts; NULL rate and bounds when n is 0."""
-    by = list(by)
     cells = counts.select(*by, F.inline(F.array(
         F.struct(F.lit(1.0).alias("x"), F.col(hits).alias("_c")),
-        F.struct(F.lit(0.0).alias("x"), (F.col(n) - F.col(hits)).alias("_c")),
-    ))).where(F.col("_c") > 0)
+        F.struct(F.lit(0.0).alias("x"), (F.col(n) - F.col(hits)).alias("_c")))))
     sums = replicate_sums_by_cell(cells, by, "_c", ["x"], reps, seed)
-    bounds = sums.withColumn("m", F.try_divide("x", "weight")).groupBy(*by).agg(*_interval("m", "m"))
-    rates = counts.select(*by, F.col(n).alias("n"), F.try_divide(hits, n).alias("rate"))
-    return rates.join(bounds, by, "left").select(
-        *by, "n", "rate", F.col("m_lo").alias("lo"), F.col("m_hi").alias("hi"))
+    return _mean_with_interval(sums, by, "rate")
 
 
 def paired_differences(
@@ -280,10 +280,10 @@ def paired_bootstrap(
         return df.select(*keep, F.inline(F.array(*lines)))
 
     by = ["metric", "pair"]
-    long = stacked(wide)
     if method == "cells":
-        return mean_ci(long, by, "x", reps, seed)
+        return mean_ci(stacked(wide), by, "x", reps, seed)
+    if method != "rows":
+        raise ValueError(f"unknown method {method!r}")
     # One digest per row and block serves all the differences of the row.
-    sums = stacked(replicate_sums_by_row(wide, [], list(meaning), "row_id", reps, seed),
-                   "rep", "weight")
-    return _mean_with_interval(_value_cells(long, by, "x"), sums, by)
+    sums = replicate_sums_by_row(wide, [], list(meaning), "row_id", reps, seed)
+    return _with_significance(_mean_with_interval(stacked(sums, "rep", "weight"), by))

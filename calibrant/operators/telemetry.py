@@ -51,18 +51,18 @@ def checkpoint_eval(
 ) -> DataFrame:
     """Held-out scores per step; steps with fewer parsed answers than ``min_parsed`` are skipped."""
     by = list(by)
-    scored = preds.where(F.col("prob").isNotNull())
-    stats = bin_stats(scored, by)
     columns = metric_columns()
-    names = ["n", "brier", "ece", "reliability", "resolution", "uncertainty", "brier_check"]
-    model = stats.groupBy(*by).agg(
-        *[columns[m].alias(m) for m in names], columns["mean_prob"].alias("mean_predicted_prob"))
     parsed = F.col("prob").isNotNull()
-    market = F.when(parsed, F.col("market") - F.col("outcome"))
-    counts = preds.groupBy(*by).agg(
-        F.avg(parsed.cast("double")).alias("format_success"),
-        F.avg(market * market).alias("market_brier"))
-    return model.where(F.col("n") >= min_parsed).join(counts, by)
+    error = F.when(parsed, F.col("market") - F.col("outcome"))
+    stats = bin_stats(preds, by, beside={
+        "n_all": F.count(F.lit(1)), "sum_market": F.sum(error * error)})
+    names = ["n", "brier", "ece", "reliability", "resolution", "uncertainty", "brier_check"]
+    return stats.groupBy(*by).agg(
+        *[columns[m].alias(m) for m in names],
+        columns["mean_prob"].alias("mean_predicted_prob"),
+        (F.sum("n") / F.sum("n_all")).alias("format_success"),
+        F.try_divide(F.sum("sum_market"), F.sum("n")).alias("market_brier"),
+    ).where(F.col("n") >= min_parsed)
 
 
 def format_probe(

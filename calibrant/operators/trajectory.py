@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,12 +26,15 @@ def trajectory_series(
     if not anchor:
         return points.orderBy("run", "metric", "step")
     values = F.create_map(*[F.lit(x) for item in anchor.items() for x in item])
-    starts = points.groupBy("run", "metric").agg(F.min("step").alias("_first")).where(
-        (F.col("_first") != 0) & F.col("metric").isin(*anchor))
+    # A run has as many points as it had evaluations, so a window per run and metric is small.
+    first = F.min("step").over(Window.partitionBy("run", "metric"))
+    lacks = (F.col("step") == F.col("_first")) & (F.col("_first") != 0) & F.col("metric").isin(*anchor)
     if anchored_runs is not None:
-        starts = starts.where(F.col("run").isin(*anchored_runs))
-    front = starts.select(
-        "run", F.lit(0).cast(points.schema["step"].dataType).alias("step"), "metric",
-        F.try_element_at(values, F.col("metric")).cast("double").alias("value"))
-    return points.select("run", "step", "metric", "value").unionByName(front).orderBy(
-        "run", "metric", "step")
+        lacks = lacks & F.col("run").isin(*anchored_runs)
+    own = F.struct("step", F.col("value").cast("double").alias("value"))
+    front = F.struct(F.lit(0).cast(points.schema["step"].dataType).alias("step"),
+                     F.try_element_at(values, F.col("metric")).cast("double").alias("value"))
+    lines = F.when(lacks, F.array(front, own)).otherwise(F.array(own))
+    return points.withColumn("_first", first).select(
+        "run", "metric", F.inline(lines)).select(
+        "run", "step", "metric", "value").orderBy("run", "metric", "step")

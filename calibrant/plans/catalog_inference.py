@@ -27,14 +27,17 @@ def replicate_cross(t: Tables):
     p, y = F.col("prob"), F.col("outcome")
     scored = t.preds.where(p.isNotNull()).select(
         "variant", "row_id", p.alias("p"), ((p - y) * (p - y)).alias("sq"))
-    return rounded(R.replicate_sums_by_row(scored, ["variant"], ["p", "sq"], "row_id", 40, 0), 6)
+    sums = R.replicate_sums_by_row(scored, ["variant"], ["p", "sq"], "row_id", 40, 0)
+    return rounded(sums.where(F.col("rep") >= 0), 6)
 
 
 @query("bootstrap_ci", with_views(
-    f"""SELECT variant, {S.interval('brier', 'brier_')}, {S.interval('ece', 'ece_')} FROM (
+    f"""SELECT * FROM (
+        SELECT variant, {S.interval('brier', 'brier_')}, {S.interval('ece', 'ece_')} FROM (
         SELECT variant, rep, sum(sq) / sum(weight) AS brier, sum(abs(p - y)) / sum(weight) AS ece
-        FROM sums GROUP BY variant, rep) r GROUP BY variant""", "preds",
-    scored=SCORED, sums=S.replicate_sums("scored", "variant, bin, ", ["p", "y", "sq"], REPS)))
+        FROM sums GROUP BY variant, rep) r GROUP BY variant) i
+        JOIN ({S.metrics(['brier', 'ece'])}) m USING (variant)""", "preds",
+    stats=S.stats("preds"), scored=SCORED, sums=S.replicate_sums("scored", "variant, bin, ", ["p", "y", "sq"], REPS)))
 def bootstrap_ci(t: Tables):
     return rounded(R.bootstrap_ci(t.preds, reps=REPS, method="rows"))
 
