@@ -131,9 +131,8 @@ def judge_request(truth: Column, text: Column, parsed_prob: Column, repair: bool
 
 def verdict_json(reply: Column) -> Column:
     """The JSON object inside a reply: without a code fence, first brace to last; NULL if none."""
-    trimmed = F.regexp_replace(reply, r"(?U)^\s+", "")
-    fenced = F.startswith(trimmed, F.lit("```"))
-    inside = F.try_element_at(F.split(trimmed, "```", -1), F.lit(2))
+    fenced = reply.rlike(r"(?U)^\s*```")
+    inside = F.try_element_at(F.split(reply, "```", -1), F.lit(2))
     cut = F.regexp_extract(F.when(fenced, inside).otherwise(reply), r"(?s)\{.*\}", 0)
     return F.when(cut != "", cut)
 
@@ -157,17 +156,21 @@ _RAW_VERDICT = "array<struct<{}, faithfulness: struct<v: string, q: string>>>".f
     ", ".join(f"{c}: struct<v: variant, q: string>" for c in BOOLEAN_CATEGORIES))
 
 
-def verdict_node(cut: Column) -> Column:
-    """The object in ``cut`` as a raw verdict struct, NULL when it is not valid JSON.
+def verdict_array(cut: Column) -> Column:
+    """The object in ``cut`` as an array of one raw verdict struct, NULL or empty if malformed."""
+    return F.from_json(_text("[", cut, "]"), _RAW_VERDICT, _STRICT_JSON)
 
-    The parser stops after the first complete value, so text after it would pass. Inside an array
-    and inside an object that text would have to start with a closing bracket and a closing brace
-    at once; a second element is what a comma leaves.
+
+def verdict_node(cut: Column, in_array: Column) -> Column:
+    """The raw verdict struct, NULL unless ``cut`` is valid JSON as a whole.
+
+    The parser stops after the first complete value, so text after it would pass. Inside an array it
+    passes only if it starts with a closing bracket, and then not inside an object; a second element
+    is what a comma leaves.
     """
-    in_array = F.from_json(_text("[", cut, "]"), _RAW_VERDICT, _STRICT_JSON)
     in_object = F.from_json(_text('{"x":', cut, "}"), "x string", _STRICT_JSON)
-    return F.when(
-        in_object["x"].isNotNull() & (F.size(in_array) == 1), F.get(in_array, F.lit(0)))
+    whole = F.when(F.contains(cut, F.lit("]")), in_object["x"].isNotNull()).otherwise(True)
+    return F.when(whole & (F.size(in_array) == 1), F.get(in_array, F.lit(0)))
 
 
 def verdict_fields(cut: Column, node: Column, strict: bool = True) -> Column:
@@ -194,4 +197,4 @@ def verdict_fields(cut: Column, node: Column, strict: bool = True) -> Column:
 def parse_verdict(reply: Column, strict: bool = True) -> Column:
     """Verdict struct of a reply; ``with_verdict`` parses each reply once where filters follow."""
     cut = verdict_json(reply)
-    return verdict_fields(cut, verdict_node(cut), strict)
+    return verdict_fields(cut, verdict_node(cut, verdict_array(cut)), strict)
