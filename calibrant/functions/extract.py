@@ -12,6 +12,8 @@ tier's answer is the last piece whose own first number is valid.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,13 +112,16 @@ def token_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"(?U)\s+")))
 
 
-def answer_span(text: Column, marker: str = ANSWER_MARKER) -> Column:
+def answer_span(
+    text: Column, marker: str = ANSWER_MARKER, count: Callable[[Column], Column] = token_count
+) -> Column:
     """Where the answer starts, in tokens, and which share of the tokens belongs to it.
 
-    Without a marker, or when nothing follows the prefix, the whole text counts as answer.
+    Without a marker, or when nothing follows the prefix, the whole text counts as answer. ``count``
+    may be a vectorized function of a tokenizer.
     """
-    prefix = token_count(answer_prefix(text, marker))
-    total = token_count(text)
+    prefix = count(answer_prefix(text, marker))
+    total = count(text)
     whole = prefix.isNull() | (prefix >= total)
     kept = F.when(whole, total).otherwise(total - prefix)
     return F.struct(

@@ -154,7 +154,10 @@ def metrics_block(
     block = grouped.select(
         *by, "n", "brier", "log_loss", "accuracy", "ece", "mce",
         murphy.alias("murphy"), curve.alias("reliability_curve"))
-    return block if intervals is None else block.join(intervals, by, "left")
+    if intervals is None:
+        return block
+    bounds = intervals.drop(*[c for c in block.columns if c not in by])
+    return block.join(bounds, by, "left")
 
 
 def coverage_report(df: DataFrame, by: Sequence[str] = ("variant",)) -> DataFrame:

@@ -16,7 +16,7 @@ and its interval come out of the same pass.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -172,33 +172,49 @@ def _estimate(value: Column, name: str) -> list[Column]:
             bounds[0].alias(f"{name}_lo"), bounds[1].alias(f"{name}_hi")]
 
 
-def bootstrap_ci(
-    df: DataFrame, by: Sequence[str] = ("variant",), prob: str = "prob", outcome: str = "outcome",
-    reps: int = 2000, seed: int = 0, n_bins: int = 10, method: str = "cells",
-    row_id: str = "row_id",
+def bootstrap_statistics(
+    df: DataFrame, by: Sequence[str], values: Mapping[str, Column],
+    estimates: Mapping[str, Column], within: Mapping[str, Column] | None = None,
+    reps: int = 2000, seed: int = 0, method: str = "cells", row_id: str = "row_id",
 ) -> DataFrame:
-    """Brier score and ECE per group with 95 % percentile intervals."""
-    by = list(by)
-    p, y = F.col(prob).cast("double"), F.col(outcome).cast("double")
-    scored = df.where(F.col(prob).isNotNull()).select(
-        *by, calibration_bin(p, n_bins).alias("bin"), p.alias("p"), y.alias("y"),
+    """95 % intervals of any statistic that is a function of weighted sums.
+
+    ``values`` are numbers of a row; their weighted sums and ``weight`` exist per group, per ``within``
+    (a calibration bin, say) and per replicate. ``estimates`` are aggregates of those sums over
+    ``within``, such as ``F.sum("sq") / F.sum("weight")``.
+    """
+    by, within = list(by), dict(within or {})
+    rows = df.select(
+        *by, *[c.alias(n) for n, c in within.items()],
+        *[c.cast("double").alias(n) for n, c in values.items()],
         *([row_id] if method == "rows" else []))
-    squared = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
-    values = ["p", "y", "sq"]
+    groups, names = [*by, *within], list(values)
     if method == "cells":
-        cells = scored.groupBy(*by, "bin", "p", "y").agg(F.count(F.lit(1)).alias("n"))
-        sums = replicate_sums_by_cell(
-            cells.withColumn("sq", squared), [*by, "bin"], "n", values, reps, seed)
+        cells = rows.groupBy(*groups, *names).agg(F.count(F.lit(1)).alias("_count"))
+        sums = replicate_sums_by_cell(cells, groups, "_count", names, reps, seed)
     elif method == "rows":
-        sums = replicate_sums_by_row(
-            scored.withColumn("sq", squared), [*by, "bin"], values, row_id, reps, seed)
+        sums = replicate_sums_by_row(rows, groups, names, row_id, reps, seed)
     else:
         raise ValueError(f"unknown method {method!r}")
-    replicates = sums.groupBy(*by, "rep").agg(
-        F.try_divide(F.sum("sq"), F.sum("weight")).alias("_brier"),
-        F.try_divide(F.sum(F.abs(F.col("p") - F.col("y"))), F.sum("weight")).alias("_ece"))
+    replicates = sums.groupBy(*by, "rep").agg(*[c.alias(f"_{n}") for n, c in estimates.items()])
     return replicates.groupBy(*by).agg(
-        *_estimate(F.col("_brier"), "brier"), *_estimate(F.col("_ece"), "ece"))
+        *[column for n in estimates for column in _estimate(F.col(f"_{n}"), n)])
+
+
+def bootstrap_ci(
+    df: DataFrame, by: Sequence[str] = ("variant",), prob: str = "prob", outcome: str = "outcome",
+    reps: int = 2000, seed: int = 0, n_bins: int = 10, method: str = "cells",
+    row_id: str = "row_id",
+) -> DataFrame:
+    """Brier score and ECE per group with 95 % percentile intervals."""
+    p, y = F.col(prob).cast("double"), F.col(outcome).cast("double")
+    weight = F.sum("weight")
+    return bootstrap_statistics(
+        df.where(F.col(prob).isNotNull()), by,
+        {"_p": p, "_y": y, "_sq": (p - y) * (p - y)},
+        {"brier": F.try_divide(F.sum("_sq"), weight),
+         "ece": F.try_divide(F.sum(F.abs(F.col("_p") - F.col("_y"))), weight)},
+        {"_bin": calibration_bin(p, n_bins)}, reps, seed, method, row_id)
 
 
 def _mean_with_interval(sums: DataFrame, by: Sequence[str], mean: str = "mean") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from calibrant.operators import pairing
+from calibrant.operators import calibration, pairing
 from calibrant.operators import resampling as R
 from calibrant.plans import sqltext as S
 from calibrant.plans.catalog_scores import PAIRED
@@ -20,6 +20,11 @@ SCORED = f"""SELECT variant, {S.grid_bin('prob')} AS bin, prob AS p, outcome AS
   (prob - outcome) ** 2 AS sq, row_id FROM preds WHERE prob IS NOT NULL"""
 
 
+_INTERVALS = f"""SELECT variant, {S.interval('brier', 'brier_')}, {S.interval('ece', 'ece_')} FROM (
+  SELECT variant, rep, sum(sq) / sum(weight) AS brier, sum(abs(p - y)) / sum(weight) AS ece
+  FROM sums GROUP BY variant, rep) r GROUP BY variant"""
+
+
 @query("replicate_cross", with_views(
     "SELECT variant, rep, weight, round(p, 6) AS p, round(sq, 6) AS sq FROM sums", "preds",
     scored=SCORED, sums=S.replicate_sums("scored", "variant, ", ["p", "sq"], 40)))
@@ -32,16 +37,27 @@ def replicate_cross(t: Tables):
 
 
 @query("bootstrap_ci", with_views(
-    f"""SELECT * FROM (
-        SELECT variant, {S.interval('brier', 'brier_')}, {S.interval('ece', 'ece_')} FROM (
-        SELECT variant, rep, sum(sq) / sum(weight) AS brier, sum(abs(p - y)) / sum(weight) AS ece
-        FROM sums GROUP BY variant, rep) r GROUP BY variant) i
+    f"""SELECT * FROM ({_INTERVALS}) i
         JOIN ({S.metrics(['brier', 'ece'])}) m USING (variant)""", "preds",
     stats=S.stats("preds"), scored=SCORED, sums=S.replicate_sums("scored", "variant, bin, ", ["p", "y", "sq"], REPS)))
 def bootstrap_ci(t: Tables):
     return rounded(R.bootstrap_ci(t.preds, reps=REPS, method="rows"))
 
 
+@query("metrics_block_ci", with_views(
+    f"""SELECT * FROM ({S.metrics(['n', 'brier', 'log_loss', 'accuracy', 'ece', 'mce',
+                                   'reliability', 'resolution'])}) m
+        JOIN ({_INTERVALS}) i USING (variant)""", "preds",
+    stats=S.stats("preds"), scored=SCORED,
+    sums=S.replicate_sums("scored", "variant, bin, ", ["p", "y", "sq"], REPS)))
+def metrics_block_ci(t: Tables):
+    intervals = R.bootstrap_ci(t.preds, reps=REPS, method="rows")
+    block = calibration.metrics_block(t.preds, intervals=intervals)
+    return rounded(block.select(
+        "variant", "n", "brier", "log_loss", "accuracy", "ece", "mce", "murphy.reliability",
+        "murphy.resolution", "brier_lo", "brier_hi", "ece_lo", "ece_hi"))
+
+
 @query("bootstrap_ci_cells")
 def bootstrap_ci_cells(t: Tables):
     return R.bootstrap_ci(t.preds)

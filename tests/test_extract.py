@@ -77,6 +77,9 @@ def test_answer_span(spark):
     assert [r["prefix_tokens"] for r in df] == [3, None, 5, 0, None]
     assert [r["answer_tokens"] for r in df] == [2, 2, 2, 2, 0]
     assert df[0]["answer_share"] == pytest.approx(0.4)
+    letters = spark.createDataFrame([("ab Probability: 1",)], "t string").select(
+        extract.answer_span(F.col("t"), count=F.length).alias("s")).first()["s"]
+    assert (letters["prefix_tokens"], letters["total_tokens"]) == (3, 17)
 
 
 @settings(max_examples=20, deadline=None)

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from calibrant.operators import resampling as R
 
@@ -135,6 +136,31 @@ def test_proportions(spark):
     assert (got["c"]["n"], got["c"]["rate"], got["c"]["lo"]) == (0, None, None)
 
 
+@pytest.mark.parametrize("method", ["cells", "rows"])
+def test_any_statistic_of_weighted_sums(spark, method):
+    p, y = whole_percents(300, 4)
+    q = np.clip(p, 0.01, 0.99)
+    losses = -(y * np.log(q) + (1 - y) * np.log(1 - q))
+    picks = np.random.default_rng(0).integers(0, 300, (4000, 300))
+    lo, hi = np.percentile(losses[picks].mean(axis=1), [2.5, 97.5])
+    clip = F.greatest(F.least("prob", F.lit(0.99)), F.lit(0.01))
+    loss = -F.when(F.col("outcome") == 1, F.ln(clip)).otherwise(F.ln(1 - clip))
+    row = R.bootstrap_statistics(
+        frame(spark, p, y), ["variant"], {"loss": loss},
+        {"log_loss": F.sum("loss") / F.sum("weight")}, reps=2000, method=method).first()
+    assert row["log_loss"] == pytest.approx(losses.mean())
+    assert row["log_loss_lo"] == pytest.approx(lo, abs=0.1 * (hi - lo))
+    assert row["log_loss_hi"] == pytest.approx(hi, abs=0.1 * (hi - lo))
+
+
+def test_estimates_are_of_the_data(spark):
+    p, y = whole_percents(200, 5)
+    for method in ("cells", "rows"):
+        row = R.bootstrap_ci(frame(spark, p, y), reps=20, method=method).first()
+        assert row["brier"] == pytest.approx(((p - y) ** 2).mean())
+        assert row["ece"] == pytest.approx(ece(p, y))
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError, match="method"):
         R.bootstrap_ci(frame(spark, [0.5], [1]), method="x")

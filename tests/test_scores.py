@@ -66,10 +66,11 @@ def test_curve_has_every_bin(spark):
 
 def test_block_with_intervals(spark):
     df = forecasts(spark, [0.05, 1.0, 0.96], [0, 1, 1])
-    extra = spark.createDataFrame([("m", 0.1)], "variant string, brier_lo double")
+    extra = spark.createDataFrame(
+        [("m", 9.9, 0.1)], "variant string, brier double, brier_lo double")
     row = C.metrics_block(df, intervals=extra).first()
     assert row["reliability_curve"]["bin_count"] == [1] + [0] * 8 + [2]
-    assert row["brier_lo"] == 0.1 and row["murphy"]["uncertainty"] == pytest.approx(2 / 9)
+    assert row["brier"] < 1 and row["brier_lo"] == 0.1 and row["murphy"]["uncertainty"] == pytest.approx(2 / 9)
 
 
 def test_statistics_add_up(spark):
