@@ -28,6 +28,8 @@ from calibrant.functions.scoring import calibration_bin
 LEVEL = (0.025, 0.975)
 _LANES = 8
 _BUFFER_BYTES = 32 << 20
+# Cells with at most this many rows draw through a guide table, larger ones through numpy.
+_GUIDED_MEAN = 32
 
 
 def _poisson_one_steps() -> list[int]:
@@ -129,6 +131,37 @@ def replicate_sums_by_cell(
     width = len(values) + 1
     most_groups = max(1, _BUFFER_BYTES // ((reps + 1) * width * 8))
 
+    # The helpers are nested so that they travel with the task: workers need no copy of this package.
+    laws: dict[int, tuple] = {}
+
+    def law(n: int) -> tuple:
+        """Steps of the Poisson(n) distribution on 32-bit numbers, and a guide by the upper 16 bits.
+
+        The guide gives the value at once except where a step falls inside its range.
+        """
+        if n not in laws:
+            masses = [math.exp(-n)]
+            while len(masses) <= n or masses[-1] > 1e-12:
+                masses.append(masses[-1] * n / len(masses))
+            steps = np.floor(np.cumsum(masses) * 2.0**32)
+            steps = steps[steps < 2.0**32].astype(np.uint32)
+            starts = (np.arange(1 << 16, dtype=np.uint32) << 16)
+            guide = np.searchsorted(steps, starts, side="right").astype(np.uint8)
+            last = np.searchsorted(steps, starts | 0xFFFF, side="right").astype(np.uint8)
+            laws[n] = steps, guide, guide != last
+        return laws[n]
+
+    def counts(generator: np.random.Generator, n: int) -> np.ndarray:
+        if n > _GUIDED_MEAN:
+            return generator.poisson(n, size=reps)
+        steps, guide, unsure = law(n)
+        uniform = generator.integers(0, 1 << 32, size=reps, dtype=np.uint32)
+        upper = uniform >> 16
+        drawn = guide[upper]
+        open_ = np.flatnonzero(unsure[upper])
+        drawn[open_] = np.searchsorted(steps, uniform[open_], side="right")
+        return drawn
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
 
@@ -154,7 +187,7 @@ def replicate_sums_by_cell(
                 for key, n, unit in zip(part["_key"], part["_n"], per_unit):
                     generator = np.random.Generator(np.random.Philox(key=int(key) % (1 << 64)))
                     weight = np.empty(reps + 1)
-                    weight[0], weight[1:] = n, generator.poisson(n, size=reps)
+                    weight[0], weight[1:] = n, counts(generator, int(n))
                     table[:, 0] += weight
                     table[:, 1:] += np.outer(weight, unit)
         yield from emit()

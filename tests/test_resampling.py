@@ -164,3 +164,15 @@ def test_estimates_are_of_the_data(spark):
 def test_unknown_method(spark):
     with pytest.raises(ValueError, match="method"):
         R.bootstrap_ci(frame(spark, [0.5], [1]), method="x")
+
+
+@pytest.mark.parametrize("n", [1, 7, 32, 33, 5000])
+def test_cell_weights_follow_the_poisson_law(spark, n):
+    cells = spark.range(200).select(F.col("id").cast("string").alias("g"), F.lit(n).alias("n"),
+                                    F.lit(1.0).alias("x"))
+    drawn = R.replicate_sums_by_cell(cells, ["g"], "n", ["x"], 500, 0).where("rep >= 0").agg(
+        F.avg("weight").alias("mean"), F.var_pop("weight").alias("var"), F.min("weight"),
+        F.sum((F.col("weight") != F.col("x")).cast("int"))).first()
+    assert drawn["mean"] == pytest.approx(n, abs=5 * (n / 100_000) ** 0.5)
+    assert drawn["var"] == pytest.approx(n, rel=0.03)
+    assert drawn[2] >= 0 and drawn[3] == 0
