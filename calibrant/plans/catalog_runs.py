@@ -196,7 +196,9 @@ def stream_calibration(t: Tables):
     stream = t.spark.readStream.schema(schema).option(
         "pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     scored = stream.select(
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("variant"),
+        # Event times are stored without a zone; as UTC instants their days are the stored days.
+        F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp").alias("ts"),
+        F.col("event_type").alias("variant"),
         ((F.floor("value") % 101).cast("double") / 100).alias("prob"),
         (F.get_json_object("props", "$.k").cast("int") % 2).alias("outcome"))
     folder = run_folder(t.spark, "monitor")
@@ -206,6 +208,7 @@ def stream_calibration(t: Tables):
     emitted = t.spark.read.parquet(f"{folder}/table")
     scores = monitor.monitor_metrics(
         emitted, metrics=["n", "brier", "log_loss", "accuracy", "ece", "mce"])
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86400).cast("int"))
     return rounded(scores.select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "variant", "n", "brier",
+        day.cast("string").alias("day"), "variant", "n", "brier",
         "log_loss", "accuracy", "ece", "mce"))
