@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import byte_bpe, mixing, token_files
+from calibrant.llm import byte_bpe, mixing, quality, token_files, warc
 from calibrant.llm.tables import load
 
 QUERIES = {}
@@ -24,12 +24,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_table(load(spark, sf_dir, "pages"))
+
+
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(
         load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(load(spark, sf_dir, "documents"))
