@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import byte_bpe, mixing, quality, token_files, warc
+from calibrant.llm import byte_bpe, mixing, ngram_lm, quality, token_files, warc
 from calibrant.llm.tables import load
 
 QUERIES = {}
@@ -29,6 +29,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_table(load(spark, sf_dir, "pages"))
 
 
+@query
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(load(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(
