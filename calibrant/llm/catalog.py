@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import byte_bpe, mixing, ngram_lm, pii, quality, token_files, warc
+from calibrant.llm import bagminhash, byte_bpe, mixing, ngram_lm, pii, quality, token_files, warc
 from calibrant.llm.tables import load
 
 QUERIES = {}
@@ -40,6 +40,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.class_table(load(spark, sf_dir, "documents"))
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_table(load(spark, sf_dir, "documents"))
