@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import bagminhash, byte_bpe, mixing, ngram_lm, pii, quality, token_files, warc
+from calibrant.llm import bagminhash, byte_bpe, mixing, ngram_lm, pii, quality, token_files, vector_search, warc
 from calibrant.llm.tables import load
 
 QUERIES = {}
@@ -50,6 +50,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_table(load(spark, sf_dir, "documents"))
 
 
+@query
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search_table(load(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
