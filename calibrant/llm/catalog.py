@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import bagminhash, byte_bpe, mixing, ngram_lm, pii, quality, token_files, vector_search, warc
+from calibrant.llm import bagminhash, byte_bpe, itq, mixing, ngram_lm, pii, quality, token_files, vector_search, warc
 from calibrant.llm.tables import load
 
 QUERIES = {}
@@ -45,6 +45,11 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.class_table(load(spark, sf_dir, "documents"))
 
 
+@query
+def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.link_vectors(load(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_table(load(spark, sf_dir, "documents"))
