@@ -440,11 +440,12 @@ def span_table(docs: DataFrame, training: Training = Training()) -> DataFrame:
         return F.array_join(F.transform(of, lambda s: F.concat_ws(
             ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def of_kind(kind: str) -> Column:
+        return F.filter(base, lambda s: s["kind"] == kind)
+
     base = F.filter("found", lambda s: s["base"])
     return found.select(
-        "doc_id",
-        *[F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(
-            f"n_{kind}") for kind in KINDS],
+        "doc_id", *[F.size(of_kind(kind)).cast("bigint").alias(f"n_{kind}") for kind in KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
         (F.size("found") - F.size(base)).cast("bigint").alias("n_added"))
 
