@@ -146,7 +146,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [ngrams(part.column(0), 1)[0][0] for part in slices(batch, "text", 16 << 20)]
+            found = [ngrams(part.column(0), 1)[0][0] for part in slices(batch, "text", 8 << 20)]
             for grams in found:
                 word, n = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -167,7 +167,7 @@ def count_ngrams(texts: DataFrame, order: int, segments: int) -> DataFrame:
                 found, _ = ngrams(part.column(0), order)
                 held += found
                 size += sum(map(len, found))
-                if size > 6_000_000:
+                if size > 3_000_000:
                     yield from _packed(held, segments)
                     held, size = [], 0
         if held:
@@ -304,7 +304,7 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = frequent.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 found, documents = ngrams(part.column(2), order)
                 size = part.num_rows
                 place = np.minimum(np.searchsorted(words, found[0].view(np.int64)), len(words) - 1)
