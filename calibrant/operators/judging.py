@@ -25,34 +25,30 @@ def judge_failures(judged: DataFrame, by: Sequence[str] = ("label",)) -> DataFra
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("verdict.parse_ok")).alias("failed"))
 
 
-def verdict_counts(judged: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
-    """``(by..., category, hits, n)`` over usable verdicts: all categories in one aggregation."""
+def verdict_flags() -> dict[str, Column]:
+    """What a usable verdict can find, by name."""
     v = F.col("verdict")
     flags = {c: F.coalesce(v[c]["v"], F.lit(False)) for c in BOOLEAN_CATEGORIES}
     flags["faithfulness(inconsistent)"] = F.coalesce(
         v["faithfulness"]["v"] == "inconsistent", F.lit(False))
-    summed = judged.where(v["usable"]).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(flag).alias(f"_{i}") for i, flag in enumerate(flags.values())])
-    lines = [F.struct(F.lit(c).alias("category"), F.col(f"_{i}").alias("hits"))
-             for i, c in enumerate(flags)]
-    return summed.select(*by, "n", F.inline(F.array(*lines)))
+    return flags
 
 
-def verdict_rates(judged: DataFrame, reps: int = 2000, seed: int = 0) -> DataFrame:
+def verdict_rates(
+    judged: DataFrame, reps: int = 2000, seed: int = 0, row_id: str = "row_id",
+) -> DataFrame:
     """Error rate with interval per category and label, over all usable verdicts."""
-    return proportion_ci(verdict_counts(judged), ["label", "category"], reps=reps, seed=seed)
+    return proportion_ci(judged.where(F.col("verdict.usable")), ["label"], verdict_flags(),
+                         reps, seed, row_id)
 
 
-def faithfulness_counts(judged: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
+def faithfulness_rates(
+    judged: DataFrame, reps: int = 2000, seed: int = 0, row_id: str = "row_id",
+) -> DataFrame:
     """Inconsistent verdicts among those whose faithfulness label is one of the three legal ones."""
-    label = F.col("verdict.faithfulness.v")
-    return judged.where(label.isin(*FAITHFULNESS_LABELS)).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(label == "inconsistent").alias("hits"))
-
-
-def faithfulness_rates(judged: DataFrame, reps: int = 2000, seed: int = 0) -> DataFrame:
-    return proportion_ci(faithfulness_counts(judged), ["label"], reps=reps, seed=seed)
+    kind = F.col("verdict.faithfulness.v")
+    return proportion_ci(judged.where(kind.isin(*FAITHFULNESS_LABELS)), ["label"],
+                         {"inconsistent": kind == "inconsistent"}, reps, seed, row_id).drop("category")
 
 
 def latest_labels(labels: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Bootstrap intervals that never hold rows times replicates.
 
-The default resamples cells: equal rows are counted first, and a replicate draws how often each
-cell is taken from a Poisson law with the cell's count as its mean, which is the law of that many
-independent rows. Forecasts are mostly whole percents, so a table of any length has a few hundred
-cells; with continuous forecasts a cell is a row and the work is still one pass. Draws are keyed by
-(seed, cell), so they do not depend on partitioning or on retried tasks.
+Rows are dealt to ``BUCKETS`` random buckets by a digest of their id and summed per group and bucket,
+so a group of any size has at most that many rows when replicates are drawn. A replicate takes every
+bucket a Poisson(1) number of times. As the buckets are random parts of the data, a replicate's sum
+has the spread of a resample of rows; below ``BUCKETS`` rows nearly every row has a bucket of its own.
+The same rule holds at every size.
 
-``method="rows"`` draws a weight per row with built-in expressions only. Its weights are a function
-of md5 text, so any SQL engine can repeat them.
+Weights are a function of (seed, replicate, bucket) in 32-bit integer arithmetic: they do not depend
+on partitioning, are the same on a second run, and any SQL engine can repeat them. They are shared by
+all groups, so groups are compared on the same replicates.
 
 Every replicate is divided by its own total weight. Replicate -1 is the data itself, so an estimate
 and its interval come out of the same pass.
@@ -15,186 +16,85 @@ and its interval come out of the same pass.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Mapping, Sequence
+import functools
+import hashlib
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions.scoring import calibration_bin
 
 LEVEL = (0.025, 0.975)
-_LANES = 8
-_BUFFER_BYTES = 32 << 20
-# Cells with at most this many rows draw through a guide table, larger ones through numpy.
-_GUIDED_MEAN = 32
+BUCKETS = 1024
+#: 2^32 times the distribution function of Poisson(1) at 0, 1, 2, ...
+POISSON_STEPS = (
+    1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777,
+    4294923276, 4294962463, 4294966817, 4294967252, 4294967292, 4294967295)
 
 
-def _poisson_one_steps() -> list[int]:
-    """Where a 16-bit uniform number steps to the next Poisson(1) value."""
-    steps, total, k = [], 0.0, 0
-    while True:
-        total += math.exp(-1) / math.factorial(k)
-        step = math.floor(65536 * total)
-        if steps and step == steps[-1]:
-            return steps
-        steps.append(step)
-        k += 1
+def scramble(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers held in 64 bits."""
+    low = np.uint64(0xFFFFFFFF)
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(0x7FEB352D)) & low
+    x = x ^ (x >> np.uint64(15))
+    x = (x * np.uint64(0x846CA68B)) & low
+    return x ^ (x >> np.uint64(16))
 
 
-POISSON_STEPS = _poisson_one_steps()
+def seed_start(seed: int | str) -> int:
+    """Where the count of draws begins for a seed."""
+    return int(hashlib.md5(str(seed).encode()).hexdigest()[:8], 16)
 
 
-def _draw_tasks(df: DataFrame) -> int:
-    """How many tasks draw.
+@functools.lru_cache(maxsize=4)
+def bucket_weights(reps: int, seed: int | str) -> np.ndarray:
+    """Row 0 is the data itself, all ones; then a row per replicate and a column per bucket."""
+    number = np.arange(reps * BUCKETS, dtype=np.uint64) + np.uint64(seed_start(seed))
+    uniform = scramble(number & np.uint64(0xFFFFFFFF))
+    drawn = np.searchsorted(np.array(POISSON_STEPS, dtype=np.uint64), uniform, side="right")
+    out = np.ones((reps + 1, BUCKETS))
+    out[1:] = drawn.reshape(reps, BUCKETS)
+    return out
 
-    Draws cost far more than moving their rows, and adaptive execution, which judges by bytes, would
-    put the rows into a few tasks; a repartition by number is left alone.
-    """
-    session = df.sparkSession
-    return max(session.sparkContext.defaultParallelism,
-               int(session.conf.get("spark.sql.shuffle.partitions")))
-
-
-# Eight 16-bit lanes of a 32-digit digest: it is read as three numbers, each cut by shifts.
-_PIECES = {"_piece0": (1, 12), "_piece1": (13, 12), "_piece2": (25, 8)}
-_CUTS = [(piece, shift) for piece, (_, digits) in _PIECES.items()
-         for shift in range(4 * digits - 16, -1, -16)]
-
-
-def _with_pieces(df: DataFrame, digest: str) -> DataFrame:
-    return df.withColumns({
-        piece: F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
-        for piece, (start, digits) in _PIECES.items()})
-
-
-def _lane_uniforms() -> list[Column]:
-    return [F.shiftright(piece, shift).bitwiseAND(F.lit(0xFFFF)).cast("int")
-            for piece, shift in _CUTS]
-
-
-def row_weight(uniform: Column) -> Column:
-    """Poisson(1) weight of a 16-bit uniform number."""
-    total = (uniform >= POISSON_STEPS[0]).cast("int")
-    for step in POISSON_STEPS[1:]:
-        total = total + (uniform >= step).cast("int")
-    return total
 
+def bucket_of(row_id: str, seed: int | str) -> Column:
+    """The bucket of a row; rows with a NULL id share one."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % BUCKETS).cast("int")
 
-def replicate_sums_by_row(
-    df: DataFrame, by: Sequence[str], values: Sequence[str], row_id: str, reps: int,
-    seed: int | str,
-) -> DataFrame:
-    """Weight and weighted sums per group and replicate, one weight per row and replicate.
 
-    One digest serves eight replicates. Drawn weights are summed before the shuffle, which carries a
-    row per group and replicate from each task.
-    """
-    blocks = -(-reps // _LANES)
-    digest = F.md5(F.concat_ws(
-        "|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(row_id).cast("string")))
-    spread = df.select(*by, *values, row_id).repartition(_draw_tasks(df), row_id)
-    drawn = spread.withColumn(
-        "_block", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1)))).withColumn("_digest", digest)
-    weighted = _with_pieces(drawn, "_digest").select(
-        *by, *values, "_block", F.posexplode(F.array(*_lane_uniforms())).alias("_lane", "_u")
-    ).select(
-        *by, *values,
-        F.when(F.col("_block") < 0, -1).otherwise(F.col("_block") * _LANES + F.col("_lane"))
-        .alias("rep"),
-        F.when(F.col("_block") < 0, (F.col("_lane") == 0).cast("int"))
-        .otherwise(row_weight(F.col("_u"))).alias("_w"),
-    ).where((F.col("_w") > 0) & (F.col("rep") < reps))
-    return weighted.groupBy(*by, "rep").agg(
-        F.sum("_w").cast("double").alias("weight"),
-        *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
-
-
-def replicate_sums_by_cell(
-    cells: DataFrame, by: Sequence[str], count: str, values: Sequence[str], reps: int, seed: int,
+def replicate_sums(
+    df: DataFrame, by: Sequence[str], values: Sequence[str], row_id: str = "row_id",
+    reps: int = 2000, seed: int | str = 0,
 ) -> DataFrame:
-    """Weight and weighted sums per group and replicate, one Poisson draw per cell and replicate.
+    """``(by..., rep, weight, values...)``: weight and weighted sums per group and replicate.
 
-    Each task adds its cells up per group and emits one row per replicate; the shuffle carries
-    these, not the cells.
+    ``values`` must not be NULL. Rows are summed per bucket before the shuffle; what is drawn for
+    one group at a time is at most ``BUCKETS`` rows.
     """
     by, values = list(by), list(values)
-    keyed = cells.select(
-        *by, F.col(count).cast("bigint").alias("_n"), *values,
-        F.xxhash64(F.lit(seed), *by, *values).alias("_key"))
-    fields = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
-    schema = ", ".join(
-        [f"`{b}` {fields[b]}" for b in by] + ["rep int", "weight double"]
-        + [f"`{v}` double" for v in values])
-    width = len(values) + 1
-    most_groups = max(1, _BUFFER_BYTES // ((reps + 1) * width * 8))
-
-    # The helpers are nested so that they travel with the task: workers need no copy of this package.
-    laws: dict[int, tuple] = {}
-
-    def law(n: int) -> tuple:
-        """Steps of the Poisson(n) distribution on 32-bit numbers, and a guide by the upper 16 bits.
-
-        The guide gives the value at once except where a step falls inside its range.
-        """
-        if n not in laws:
-            masses = [math.exp(-n)]
-            while len(masses) <= n or masses[-1] > 1e-12:
-                masses.append(masses[-1] * n / len(masses))
-            steps = np.floor(np.cumsum(masses) * 2.0**32)
-            steps = steps[steps < 2.0**32].astype(np.uint32)
-            starts = (np.arange(1 << 16, dtype=np.uint32) << 16)
-            guide = np.searchsorted(steps, starts, side="right").astype(np.uint8)
-            last = np.searchsorted(steps, starts | 0xFFFF, side="right").astype(np.uint8)
-            laws[n] = steps, guide, guide != last
-        return laws[n]
-
-    def counts(generator: np.random.Generator, n: int) -> np.ndarray:
-        if n > _GUIDED_MEAN:
-            return generator.poisson(n, size=reps)
-        steps, guide, unsure = law(n)
-        uniform = generator.integers(0, 1 << 32, size=reps, dtype=np.uint32)
-        upper = uniform >> 16
-        drawn = guide[upper]
-        open_ = np.flatnonzero(unsure[upper])
-        drawn[open_] = np.searchsorted(steps, uniform[open_], side="right")
-        return drawn
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-
-        def emit() -> Iterator[pd.DataFrame]:
-            for group, table in sums.items():
-                out = pd.DataFrame(table, columns=["weight", *values])
-                out.insert(0, "rep", np.arange(-1, reps, dtype=np.int32))
-                for position, name in enumerate(by):
-                    out.insert(position, name, group[position])
-                yield out
-            sums.clear()
-
-        for batch in batches:
-            groups = batch.groupby(by, dropna=False, sort=False) if by else [((), batch)]
-            for group, part in groups:
-                group = group if isinstance(group, tuple) else (group,)
-                if group not in sums:
-                    if len(sums) >= most_groups:
-                        yield from emit()
-                    sums[group] = np.zeros((reps + 1, width))
-                table = sums[group]
-                per_unit = part[values].to_numpy(dtype=np.float64)
-                for key, n, unit in zip(part["_key"], part["_n"], per_unit):
-                    generator = np.random.Generator(np.random.Philox(key=int(key) % (1 << 64)))
-                    weight = np.empty(reps + 1)
-                    weight[0], weight[1:] = n, counts(generator, int(n))
-                    table[:, 0] += weight
-                    table[:, 1:] += np.outer(weight, unit)
-        yield from emit()
-
-    partial = keyed.repartition(_draw_tasks(cells), "_key").mapInPandas(draw, schema)
-    return partial.groupBy(*by, "rep").agg(
-        F.sum("weight").alias("weight"), *[F.sum(v).alias(v) for v in values])
+    sums = df.groupBy(*by, bucket_of(row_id, seed).alias("_bucket")).agg(
+        F.count(F.lit(1)).cast("double").alias("_rows"),
+        *[F.sum(F.col(v).cast("double")).alias(v) for v in values])
+    kinds = dict(sums.dtypes)
+    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["rep int", "weight double"]
+                       + [f"`{v}` double" for v in values])
+
+    def draw(group: pa.Table) -> pa.Table:
+        bucket = group.column("_bucket").to_numpy()
+        columns = [group.column(c).to_numpy() for c in ["_rows", *values]]
+        drawn = bucket_weights(reps, seed)[:, bucket] @ np.stack(columns, axis=1)
+        first = pa.array(np.zeros(reps + 1, dtype=np.int64))
+        return pa.table(
+            [group.column(b).take(first) for b in by]
+            + [pa.array(np.arange(-1, reps, dtype=np.int32))]
+            + [pa.array(column) for column in drawn.T], names=[*by, "rep", "weight", *values])
+
+    return sums.groupBy(*by).applyInArrow(draw, schema)
 
 
 def _estimate(value: Column, name: str) -> list[Column]:
@@ -208,27 +108,21 @@ def _estimate(value: Column, name: str) -> list[Column]:
 def bootstrap_statistics(
     df: DataFrame, by: Sequence[str], values: Mapping[str, Column],
     estimates: Mapping[str, Column], within: Mapping[str, Column] | None = None,
-    reps: int = 2000, seed: int = 0, method: str = "cells", row_id: str = "row_id",
+    reps: int = 2000, seed: int | str = 0, row_id: str = "row_id",
 ) -> DataFrame:
-    """95 % intervals of any statistic that is a function of weighted sums.
+    """95 % intervals of any aggregate.
 
     ``values`` are numbers of a row; their weighted sums and ``weight`` exist per group, per ``within``
-    (a calibration bin, say) and per replicate. ``estimates`` are aggregates of those sums over
-    ``within``, such as ``F.sum("sq") / F.sum("weight")``.
+    and per replicate, and ``estimates`` are aggregates of those over ``within``. With a calibration
+    bin as ``within``, ``F.sum(F.abs(F.col("p") - F.col("y"))) / F.sum("weight")`` is the ECE. With
+    the value itself as ``within``, every aggregate that takes a frequency can be resampled: the median
+    is ``F.percentile("x", F.lit(0.5), F.col("weight").cast("bigint"))``.
     """
     by, within = list(by), dict(within or {})
     rows = df.select(
-        *by, *[c.alias(n) for n, c in within.items()],
-        *[c.cast("double").alias(n) for n, c in values.items()],
-        *([row_id] if method == "rows" else []))
-    groups, names = [*by, *within], list(values)
-    if method == "cells":
-        cells = rows.groupBy(*groups, *names).agg(F.count(F.lit(1)).alias("_count"))
-        sums = replicate_sums_by_cell(cells, groups, "_count", names, reps, seed)
-    elif method == "rows":
-        sums = replicate_sums_by_row(rows, groups, names, row_id, reps, seed)
-    else:
-        raise ValueError(f"unknown method {method!r}")
+        *by, row_id, *[c.alias(n) for n, c in within.items()],
+        *[c.cast("double").alias(n) for n, c in values.items()])
+    sums = replicate_sums(rows, [*by, *within], list(values), row_id, reps, seed)
     replicates = sums.groupBy(*by, "rep").agg(*[c.alias(f"_{n}") for n, c in estimates.items()])
     return replicates.groupBy(*by).agg(
         *[column for n in estimates for column in _estimate(F.col(f"_{n}"), n)])
@@ -236,40 +130,37 @@ def bootstrap_statistics(
 
 def bootstrap_ci(
     df: DataFrame, by: Sequence[str] = ("variant",), prob: str = "prob", outcome: str = "outcome",
-    reps: int = 2000, seed: int = 0, n_bins: int = 10, method: str = "cells",
-    row_id: str = "row_id",
+    reps: int = 2000, seed: int | str = 0, n_bins: int = 10, row_id: str = "row_id",
 ) -> DataFrame:
-    """Brier score and ECE per group with 95 % percentile intervals."""
+    """Brier score and ECE per group with 95 % percentile intervals.
+
+    As in ``score``, rows without a probability or without an outcome do not count.
+    """
     p, y = F.col(prob).cast("double"), F.col(outcome).cast("double")
     weight = F.sum("weight")
     return bootstrap_statistics(
-        df.where(F.col(prob).isNotNull()), by,
+        df.where(F.col(prob).isNotNull() & F.col(outcome).isNotNull()), by,
         {"_p": p, "_y": y, "_sq": (p - y) * (p - y)},
         {"brier": F.try_divide(F.sum("_sq"), weight),
          "ece": F.try_divide(F.sum(F.abs(F.col("_p") - F.col("_y"))), weight)},
-        {"_bin": calibration_bin(p, n_bins)}, reps, seed, method, row_id)
+        {"_bin": calibration_bin(p, n_bins)}, reps, seed, row_id)
 
 
-def _mean_with_interval(sums: DataFrame, by: Sequence[str], mean: str = "mean") -> DataFrame:
+def mean_intervals(sums: DataFrame, by: Sequence[str], mean: str = "mean") -> DataFrame:
+    """``(by..., n, mean, lo, hi)`` from replicate sums with columns ``weight`` and ``x``."""
     n = F.max(F.when(F.col("rep") < 0, F.col("weight").cast("bigint"))).alias("n")
     return sums.groupBy(*by).agg(n, *_estimate(F.try_divide("x", "weight"), mean)).select(
         *by, "n", mean, F.col(f"{mean}_lo").alias("lo"), F.col(f"{mean}_hi").alias("hi"))
 
 
 def mean_ci(
-    df: DataFrame, by: Sequence[str], value: str, reps: int = 2000, seed: int = 0,
-    method: str = "cells", row_id: str = "row_id",
+    df: DataFrame, by: Sequence[str], value: str, reps: int = 2000, seed: int | str = 0,
+    row_id: str = "row_id",
 ) -> DataFrame:
     """Mean of ``value`` per group, its 95 % interval, n, and whether the interval excludes 0."""
-    known = df.where(F.col(value).isNotNull()).withColumn("x", F.col(value).cast("double"))
-    if method == "cells":
-        cells = known.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"))
-        sums = replicate_sums_by_cell(cells, by, "n", ["x"], reps, seed)
-    elif method == "rows":
-        sums = replicate_sums_by_row(known, by, ["x"], row_id, reps, seed)
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    return _with_significance(_mean_with_interval(sums, by))
+    known = df.where(F.col(value).isNotNull()).select(
+        *by, row_id, F.col(value).cast("double").alias("x"))
+    return _with_significance(mean_intervals(replicate_sums(known, by, ["x"], row_id, reps, seed), by))
 
 
 def _with_significance(intervals: DataFrame) -> DataFrame:
@@ -277,15 +168,21 @@ def _with_significance(intervals: DataFrame) -> DataFrame:
 
 
 def proportion_ci(
-    counts: DataFrame, by: Sequence[str], hits: str = "hits", n: str = "n", reps: int = 2000,
-    seed: int = 0,
+    df: DataFrame, by: Sequence[str], flags: Mapping[str, Column], reps: int = 2000,
+    seed: int | str = 0, row_id: str = "row_id", name: str = "category",
 ) -> DataFrame:
-    """Rate and 95 % interval of a 0/1 flag from its counts; NULL rate and bounds when n is 0."""
-    cells = counts.select(*by, F.inline(F.array(
-        F.struct(F.lit(1.0).alias("x"), F.col(hits).alias("_c")),
-        F.struct(F.lit(0.0).alias("x"), (F.col(n) - F.col(hits)).alias("_c")))))
-    sums = replicate_sums_by_cell(cells, by, "_c", ["x"], reps, seed)
-    return _mean_with_interval(sums, by, "rate")
+    """``(by..., name, n, rate, lo, hi)``: the rate of every flag per group with its 95 % interval.
+
+    All flags share one pass; a NULL flag counts as false.
+    """
+    columns = {f"_flag{i}": F.coalesce(flag, F.lit(False)).cast("double").alias(f"_flag{i}")
+               for i, flag in enumerate(flags.values())}
+    rows = df.select(*by, row_id, *columns.values())
+    sums = replicate_sums(rows, by, list(columns), row_id, reps, seed)
+    lines = [F.struct(F.lit(flag).alias(name), F.col(column).alias("x"))
+             for flag, column in zip(flags, columns)]
+    long = sums.select(*by, "rep", "weight", F.inline(F.array(*lines)))
+    return mean_intervals(long, [*by, name], "rate")
 
 
 def paired_differences(
@@ -309,30 +206,25 @@ def paired_differences(
             name = f"d{len(columns)}"
             meaning[name] = (metric, f"{x} - {z}")
             columns.append((of(x) - of(z)).alias(name))
-    return paired.select("row_id", *columns), meaning
+    known = paired.where(
+        F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(market).isNotNull()
+        & F.col(outcome).isNotNull())
+    return known.select("row_id", *columns), meaning
 
 
 def paired_bootstrap(
     paired: DataFrame, a: str = "a", b: str = "b", market: str = "market",
-    outcome: str = "outcome", reps: int = 10_000, seed: int = 0, method: str = "cells",
+    outcome: str = "outcome", reps: int = 10_000, seed: int | str = 0,
 ) -> DataFrame:
     """Mean paired difference, interval and significance for A-B, A-market and B-market.
 
-    The difference of a row is resampled, so the pairing is kept. A negative Brier difference, or a
-    positive accuracy difference, favours the first of the pair.
+    The differences of a row are resampled together, so the pairing is kept. A negative Brier
+    difference, or a positive accuracy difference, favours the first of the pair. Items that lack a
+    probability, the market's or the outcome do not count.
     """
     wide, meaning = paired_differences(paired, a, b, market, outcome)
-
-    def stacked(df: DataFrame, *keep: str) -> DataFrame:
-        lines = [F.struct(F.lit(metric).alias("metric"), F.lit(pair).alias("pair"),
-                          F.col(name).alias("x")) for name, (metric, pair) in meaning.items()]
-        return df.select(*keep, F.inline(F.array(*lines)))
-
-    by = ["metric", "pair"]
-    if method == "cells":
-        return mean_ci(stacked(wide), by, "x", reps, seed)
-    if method != "rows":
-        raise ValueError(f"unknown method {method!r}")
-    # One digest per row and block serves all the differences of the row.
-    sums = replicate_sums_by_row(wide, [], list(meaning), "row_id", reps, seed)
-    return _with_significance(_mean_with_interval(stacked(sums, "rep", "weight"), by))
+    sums = replicate_sums(wide, [], list(meaning), "row_id", reps, seed)
+    lines = [F.struct(F.lit(metric).alias("metric"), F.lit(pair).alias("pair"),
+                      F.col(name).alias("x")) for name, (metric, pair) in meaning.items()]
+    long = sums.select("rep", "weight", F.inline(F.array(*lines)))
+    return _with_significance(mean_intervals(long, ["metric", "pair"]))

@@ -51,38 +51,51 @@ def judge_failures(t: Tables):
     return judging.judge_failures(judged(t))
 
 
-@query("verdict_rates", with_views(
-    " UNION ALL ".join(
-        f"""SELECT label, '{c}' AS category, count(*) AS n, count(*) FILTER (WHERE {c}) AS hits,
-        round(count(*) FILTER (WHERE {c}) / count(*) + 1e-12, 9) AS rate FROM judged WHERE usable
-        GROUP BY label""" for c in BOOLEAN_CATEGORIES)
-    + """ UNION ALL SELECT label, 'faithfulness(inconsistent)', count(*),
-        count(*) FILTER (WHERE faithfulness = 'inconsistent'),
-        round(count(*) FILTER (WHERE faithfulness = 'inconsistent') / count(*) + 1e-12, 9)
-        FROM judged WHERE usable GROUP BY label""", "audits", judged=JUDGED))
+_FOUND = [*[(c, c) for c in BOOLEAN_CATEGORIES],
+          ("faithfulness(inconsistent)", "coalesce(faithfulness = 'inconsistent', FALSE)")]
+_FLAGS = [f"f{i}" for i in range(len(_FOUND))]
+
+
+def _rates_sql(source: str, flags: list[str], names: list[str | None]) -> dict[str, str]:
+    """Rate and interval of every flag of ``source`` per label."""
+    lines = " UNION ALL ".join(
+        f"""SELECT m.label, {"" if name is None else f"'{name}' AS category, "}m.n,
+        round(m.rate + 1e-12, 9) AS rate, s.lo, s.hi
+        FROM (SELECT label, {S.interval(f'{flag} / weight', '')} FROM sums GROUP BY label) s
+        JOIN (SELECT label, count(*) AS n, avg({flag}) AS rate FROM flags GROUP BY label) m
+        ON s.label = m.label""" for flag, name in zip(flags, names))
+    return with_views(lines, "audits", judged=JUDGED, flags=source,
+                      sums=S.replicate_sums("flags", "label, ", flags, 2000))
+
+
+VERDICT_RATES = _rates_sql(
+    "SELECT label, row_id, " + ", ".join(
+        f"CAST(CAST(coalesce({sql}, FALSE) AS INT) AS DOUBLE) AS {flag}"
+        for flag, (_, sql) in zip(_FLAGS, _FOUND)) + " FROM judged WHERE usable",
+    _FLAGS, [name for name, _ in _FOUND])
+FAITHFULNESS_RATES = _rates_sql(
+    """SELECT label, row_id, CAST(CAST(faithfulness = 'inconsistent' AS INT) AS DOUBLE) AS f0
+       FROM judged WHERE faithfulness IN ('consistent', 'inconsistent', 'unclear')""", ["f0"], [None])
+
+
+@query("verdict_rates", VERDICT_RATES)
 def verdict_rates(t: Tables):
-    counts = judging.verdict_counts(judged(t))
-    return rounded(counts.withColumn("rate", F.col("hits") / F.col("n")))
+    return rounded(judging.verdict_rates(judged(t)))
 
 
-@query("verdict_rates_ci")
+@query("verdict_rates_ci", VERDICT_RATES)
 def verdict_rates_ci(t: Tables):
-    return judging.verdict_rates(judged(t))
+    return rounded(judging.verdict_rates(judged(t)))
 
 
-@query("faithfulness_rates", with_views(
-    """SELECT label, count(*) AS n, count(*) FILTER (WHERE faithfulness = 'inconsistent') AS hits,
-       round(count(*) FILTER (WHERE faithfulness = 'inconsistent') / count(*) + 1e-12, 9) AS rate
-       FROM judged WHERE faithfulness IN ('consistent', 'inconsistent', 'unclear')
-       GROUP BY label""", "audits", judged=JUDGED))
+@query("faithfulness_rates", FAITHFULNESS_RATES)
 def faithfulness_rates(t: Tables):
-    counts = judging.faithfulness_counts(judged(t))
-    return rounded(counts.withColumn("rate", F.col("hits") / F.col("n")))
+    return rounded(judging.faithfulness_rates(judged(t)))
 
 
-@query("faithfulness_rates_ci")
+@query("faithfulness_rates_ci", FAITHFULNESS_RATES)
 def faithfulness_rates_ci(t: Tables):
-    return judging.faithfulness_rates(judged(t))
+    return rounded(judging.faithfulness_rates(judged(t)))
 
 
 HAND = "SELECT game_id, label, " + ", ".join(

@@ -1,8 +1,4 @@
-"""Resampling intervals.
-
-The queries whose weights are md5 text have checking SQL. The default intervals draw Poisson cell
-weights inside the tasks, which SQL cannot repeat; they are compared with brute force in the tests.
-"""
+"""Resampling intervals, at the number of replicates that they have by default."""
 
 from __future__ import annotations
 
@@ -15,9 +11,10 @@ from calibrant.plans.catalog_scores import PAIRED
 from calibrant.plans.fixtures import Tables, with_views
 from calibrant.plans.registry import query, rounded
 
-REPS = 200
+REPS = 2000
+PAIRED_REPS = 10_000
 SCORED = f"""SELECT variant, {S.grid_bin('prob')} AS bin, prob AS p, outcome AS y,
-  (prob - outcome) ** 2 AS sq, row_id FROM preds WHERE prob IS NOT NULL"""
+  (prob - outcome) ** 2 AS sq, row_id FROM preds WHERE prob IS NOT NULL AND outcome IS NOT NULL"""
 
 
 _INTERVALS = f"""SELECT variant, {S.interval('brier', 'brier_')}, {S.interval('ece', 'ece_')} FROM (
@@ -27,21 +24,54 @@ _INTERVALS = f"""SELECT variant, {S.interval('brier', 'brier_')}, {S.interval('e
 
 @query("replicate_cross", with_views(
     "SELECT variant, rep, weight, round(p, 6) AS p, round(sq, 6) AS sq FROM sums", "preds",
-    scored=SCORED, sums=S.replicate_sums("scored", "variant, ", ["p", "sq"], 40)))
+    scored=SCORED, sums=S.replicate_sums("scored", "variant, ", ["p", "sq"], REPS)))
 def replicate_cross(t: Tables):
     p, y = F.col("prob"), F.col("outcome")
     scored = t.preds.where(p.isNotNull()).select(
         "variant", "row_id", p.alias("p"), ((p - y) * (p - y)).alias("sq"))
-    sums = R.replicate_sums_by_row(scored, ["variant"], ["p", "sq"], "row_id", 40, 0)
+    sums = R.replicate_sums(scored, ["variant"], ["p", "sq"])
     return rounded(sums.where(F.col("rep") >= 0), 6)
 
 
-@query("bootstrap_ci", with_views(
-    f"""SELECT * FROM ({_INTERVALS}) i
-        JOIN ({S.metrics(['brier', 'ece'])}) m USING (variant)""", "preds",
-    stats=S.stats("preds"), scored=SCORED, sums=S.replicate_sums("scored", "variant, bin, ", ["p", "y", "sq"], REPS)))
+def _intervals_sql(bins: int) -> str:
+    scored = SCORED.replace(S.grid_bin("prob"), S.grid_bin("prob", bins))
+    return with_views(
+        f"""SELECT * FROM ({_INTERVALS}) i
+            JOIN ({S.metrics(['brier', 'ece'])}) m USING (variant)""", "preds",
+        stats=S.stats("preds", bin_sql=S.grid_bin("prob", bins)), scored=scored,
+        sums=S.replicate_sums("scored", "variant, bin, ", ["p", "y", "sq"], REPS))
+
+
+@query("bootstrap_ci", _intervals_sql(10))
 def bootstrap_ci(t: Tables):
-    return rounded(R.bootstrap_ci(t.preds, reps=REPS, method="rows"))
+    return rounded(R.bootstrap_ci(t.preds))
+
+
+@query("bootstrap_ci_cells", _intervals_sql(4))
+def bootstrap_ci_cells(t: Tables):
+    """With bins of another width."""
+    return rounded(R.bootstrap_ci(t.preds, n_bins=4))
+
+
+@query("bootstrap_median", with_views(
+    f"""SELECT variant, round(max(CASE WHEN rep < 0 THEN median END) + 1e-12, 9) AS median,
+        {S.interval('CASE WHEN rep >= 0 THEN median END', 'median_')} FROM (
+          SELECT variant, rep, avg(x) AS median FROM (
+            SELECT *, sum(weight) OVER (PARTITION BY variant, rep ORDER BY x) AS upto,
+              sum(weight) OVER (PARTITION BY variant, rep) AS whole FROM both_ WHERE weight > 0) w
+          WHERE upto >= floor((whole + 1) / 2) AND upto - weight < floor(whole / 2) + 1
+          GROUP BY variant, rep) r GROUP BY variant""", "preds",
+    lengths="SELECT variant, chars AS x, row_id FROM preds WHERE variant <> 'zeroshot'",
+    sums=S.replicate_sums("lengths", "variant, x, ", ["x"], REPS).replace(
+        "sum(CAST(x AS DOUBLE)) AS x", "max(x) AS _x").replace("sum(w * x) AS x", "max(_x) AS _x"),
+    both_="""SELECT variant, x, rep, weight FROM sums UNION ALL
+      SELECT variant, x, -1, count(*) FROM lengths GROUP BY variant, x"""))
+def bootstrap_median(t: Tables):
+    """A statistic that is no function of sums."""
+    median = F.percentile("x", F.lit(0.5), F.col("weight").cast("bigint"))
+    return rounded(R.bootstrap_statistics(
+        t.preds.where("variant != 'zeroshot'"), ["variant"], {}, {"median": median},
+        {"x": F.col("chars")}))
 
 
 @query("metrics_block_ci", with_views(
@@ -51,35 +81,32 @@ def bootstrap_ci(t: Tables):
     stats=S.stats("preds"), scored=SCORED,
     sums=S.replicate_sums("scored", "variant, bin, ", ["p", "y", "sq"], REPS)))
 def metrics_block_ci(t: Tables):
-    intervals = R.bootstrap_ci(t.preds, reps=REPS, method="rows")
+    intervals = R.bootstrap_ci(t.preds)
     block = calibration.metrics_block(t.preds, intervals=intervals)
     return rounded(block.select(
         "variant", "n", "brier", "log_loss", "accuracy", "ece", "mce", "murphy.reliability",
         "murphy.resolution", "brier_lo", "brier_hi", "ece_lo", "ece_hi"))
 
 
-@query("bootstrap_ci_cells")
-def bootstrap_ci_cells(t: Tables):
-    return R.bootstrap_ci(t.preds)
+def _share_sql(by: str) -> str:
+    return with_views(
+        f"""SELECT m.*, s.lo, s.hi FROM (
+            SELECT {by}, {S.interval('x / weight', '')} FROM sums GROUP BY {by}) s
+            JOIN (SELECT {by}, 'truncated' AS category, count(*) AS n,
+              round(avg(x) + 1e-12, 9) AS rate FROM flags GROUP BY {by}) m USING ({by})""", "preds",
+        flags=f"SELECT {by}, row_id, CAST(CAST(truncated AS INT) AS DOUBLE) AS x FROM preds",
+        sums=S.replicate_sums("flags", f"{by}, ", ["x"], REPS))
 
 
-@query("proportion_ci", with_views(
-    f"""SELECT s.variant, m.n, round(m.mean + 1e-12, 9) AS mean, s.lo, s.hi, s.lo > 0 OR s.hi < 0
-        AS significant FROM (SELECT variant, {S.interval('x / weight', '')} FROM sums
-        GROUP BY variant) s JOIN (SELECT variant, count(*) AS n, avg(x) AS mean FROM flags
-        GROUP BY variant) m ON s.variant = m.variant""", "preds",
-    flags="SELECT variant, row_id, CAST(CAST(truncated AS INT) AS DOUBLE) AS x FROM preds",
-    sums=S.replicate_sums("flags", "variant, ", ["x"], REPS)))
+@query("proportion_ci", _share_sql("variant"))
 def proportion_ci(t: Tables):
-    flags = t.preds.withColumn("flag", F.col("truncated").cast("int"))
-    return rounded(R.mean_ci(flags, ["variant"], "flag", REPS, method="rows"))
+    return rounded(R.proportion_ci(t.preds, ["variant"], {"truncated": F.col("truncated")}))
 
 
-@query("proportion_ci_cells")
+@query("proportion_ci_cells", _share_sql("season"))
 def proportion_ci_cells(t: Tables):
-    counts = t.preds.groupBy("variant").agg(
-        F.count_if("truncated").alias("hits"), F.count(F.lit(1)).alias("n"))
-    return R.proportion_ci(counts, ["variant"])
+    """Groups in which an id comes several times."""
+    return rounded(R.proportion_ci(t.preds, ["season"], {"truncated": F.col("truncated")}))
 
 
 _DIFFS = ["(a - outcome) ** 2 - (b - outcome) ** 2",
@@ -92,21 +119,28 @@ _NAMES = [(m, p) for m in ("brier", "accuracy") for p in ("a - b", "a - market",
 _COLS = [f"d{i}" for i in range(6)]
 
 
-@query("paired_bootstrap", with_views(
-    " UNION ALL ".join(
-        f"""SELECT '{metric}' AS metric, '{pair}' AS pair, m.n, round(m.mean + 1e-12, 9) AS mean, s.lo, s.hi,
-        s.lo > 0 OR s.hi < 0 AS significant FROM (SELECT {S.interval(f'{d} / weight', '')}
-        FROM sums) s CROSS JOIN (SELECT count(*) AS n, avg({d}) AS mean FROM diffs) m"""
-        for d, (metric, pair) in zip(_COLS, _NAMES)),
-    "preds", paired=PAIRED,
-    diffs="SELECT row_id, " + ", ".join(
-        f"CAST({sql} AS DOUBLE) AS {d}" for d, sql in zip(_COLS, _DIFFS)) + " FROM paired",
-    sums=S.replicate_sums("diffs", "", _COLS, REPS)))
+def _paired_sql(paired: str) -> str:
+    return with_views(
+        " UNION ALL ".join(
+            f"""SELECT '{metric}' AS metric, '{pair}' AS pair, m.n, round(m.mean + 1e-12, 9) AS mean,
+            s.lo, s.hi, s.lo > 0 OR s.hi < 0 AS significant
+            FROM (SELECT {S.interval(f'{d} / weight', '')} FROM sums) s
+            CROSS JOIN (SELECT count(*) AS n, avg({d}) AS mean FROM diffs) m"""
+            for d, (metric, pair) in zip(_COLS, _NAMES)),
+        "preds", paired=paired,
+        diffs="SELECT row_id, " + ", ".join(
+            f"CAST({sql} AS DOUBLE) AS {d}" for d, sql in zip(_COLS, _DIFFS)) + " FROM paired",
+        sums=S.replicate_sums("diffs", "", _COLS, PAIRED_REPS))
+
+
+@query("paired_bootstrap", _paired_sql(PAIRED))
 def paired_bootstrap(t: Tables):
     paired = pairing.paired_join(t.preds, "direct", "masked")
-    return rounded(R.paired_bootstrap(paired, reps=REPS, method="rows"))
+    return rounded(R.paired_bootstrap(paired))
 
 
-@query("paired_bootstrap_cells")
+@query("paired_bootstrap_cells", _paired_sql(
+    PAIRED.replace("'direct'", "'zeroshot'").replace("'masked'", "'direct'")))
 def paired_bootstrap_cells(t: Tables):
-    return R.paired_bootstrap(pairing.paired_join(t.preds, "direct", "masked"))
+    """Another pair of forecasters."""
+    return rounded(R.paired_bootstrap(pairing.paired_join(t.preds, "zeroshot", "direct")))

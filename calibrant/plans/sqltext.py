@@ -6,11 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from calibrant.functions.parsing import (
-    FIELD_EDGES, SCORE_EDGES, SPREAD_EDGES, TIME_EDGES,
-)
-from calibrant.operators.resampling import POISSON_STEPS
-
+# Fixed values, written out here again so that a wrong one in the operators shows.
+SCORE_EDGES = (-21, -14, -10, -7, -4, -1, 0, 1, 4, 7, 10, 14, 21)
+TIME_EDGES = (120, 300, 600, 900, 1800, 2700)
+SPREAD_EDGES = (-10, -7, -3, -0.5, 0.5, 3, 7, 10)
+FIELD_EDGES = (10, 20, 40, 60, 80)
+POISSON_STEPS = (
+    1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777,
+    4294923276, 4294962463, 4294966817, 4294967252, 4294967292, 4294967295)
+SEED_0 = 3486326916  # the first eight digits of md5('0'), as a number
 
 def bins(x: str, edges: Sequence[float]) -> str:
     return "(" + " + ".join(f"CAST({x} >= {float(e)!r}e0 AS INT)" for e in edges) + ")"
@@ -106,7 +110,7 @@ def looked_up(prefix: str, names: Sequence[str], rows: str, keep: str, out: str,
       FROM {rows} r CROSS JOIN {prefix}0 {' '.join(joins)}"""
 
 
-# Text clauses of a rendered question.
+# Text clauses of a rendered question. The wording is fixed.
 ORDINAL = """CASE {n} WHEN 1 THEN '1st' WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' WHEN 4 THEN '4th'
   ELSE concat(CAST({n} AS STRING), 'th') END"""
 FIELD_TEXT = """CASE WHEN yardline_100 IS NULL THEN 'field position unknown'
@@ -193,21 +197,22 @@ def json_cut(reply: str) -> str:
     return rf"nullif(regexp_extract({fenced}, '(?s)\{{.*\}}', 0), '')"
 
 
-def _weight(digest: str, lane: str) -> str:
-    uniform = f"CAST(concat('0x', substr({digest}, 1 + 4 * {lane}, 4)) AS INT)"
-    return "(" + " + ".join(f"CAST({uniform} >= {s} AS INT)" for s in POISSON_STEPS) + ")"
-
-
-def replicate_sums(source: str, by: str, values: Sequence[str], reps: int, seed: str = "0") -> str:
-    """Weighted sums per group and replicate of ``source``, which has a ``row_id``."""
-    blocks = -(-reps // 8)
-    sums = ", ".join(f"sum(w * {v}) AS {v}" for v in values)
-    return f"""SELECT {by}rep, CAST(sum(w) AS DOUBLE) AS weight, {sums} FROM (
-      SELECT *, block * 8 + lane AS rep, {_weight('digest', 'lane')} AS w FROM (
-        SELECT s.*, block, md5(concat('{seed}|', block, '|', row_id)) AS digest
-        FROM {source} s CROSS JOIN generate_series(0, {blocks - 1}) b(block)) d
-      CROSS JOIN generate_series(0, 7) l(lane)) x
-      WHERE rep < {reps} GROUP BY ALL"""
+def replicate_sums(source: str, by: str, values: Sequence[str], reps: int) -> str:
+    """Weighted sums per group and replicate of ``source``, which has a ``row_id``; seed 0."""
+    bucket = "CAST(concat('0x', substr(md5(concat('0|', row_id)), 1, 8)) AS BIGINT) % 1024"
+    weight = " + ".join(f"CAST(u >= {step} AS INT)" for step in POISSON_STEPS)
+    mask = 4294967295
+    sums = ", ".join(f"sum(CAST({v} AS DOUBLE)) AS {v}" for v in values)
+    weighted = ", ".join(f"sum(w * {v}) AS {v}" for v in values)
+    return f"""SELECT {by}rep, CAST(sum(w * rows) AS DOUBLE) AS weight, {weighted}
+      FROM (SELECT {by}{bucket} AS bucket, count(*) AS rows, {sums} FROM {source} GROUP BY ALL) s
+      JOIN (SELECT rep, bucket, {weight} AS w FROM (
+        SELECT rep, bucket, xor(x, x >> 16) AS u FROM (
+          SELECT rep, bucket, (xor(x, x >> 15) * 2221713035) & {mask} AS x FROM (
+            SELECT rep, bucket, (xor(x, x >> 16) * 2146121005) & {mask} AS x FROM (
+              SELECT rep, bucket, CAST(({SEED_0} + rep * 1024 + bucket) & {mask} AS UBIGINT) AS x
+              FROM generate_series(0, {reps - 1}) r(rep), generate_series(0, 1023) b(bucket))))) x
+      ) d USING (bucket) GROUP BY ALL"""
 
 
 def interval(column: str, name: str) -> str:
