@@ -14,8 +14,11 @@ index. Other columns of the input are not carried.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrant.llm import files
+from calibrant.llm.columns import slices
 from calibrant.llm.tables import shuffle_width, written
 from calibrant.session import run_folder
 
@@ -36,7 +40,8 @@ HAS_CHECKSUMS = 0x80
 
 INDEX = "doc_id bigint, path string, part int, at bigint, n_tokens bigint"
 TOKENS = "doc_id bigint, part int, at bigint, n_tokens bigint, ids binary"
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 800_000
+_MARKS = b".,;:!?"
 
 
 class WordTokenizer:
@@ -53,21 +58,45 @@ class WordTokenizer:
         self._library = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self._known.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self._known.__getitem__, words))
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self._known) + len(words) > _KNOWN_WORDS:
-            self._known.clear()
-        new = [word for word in words if word not in self._known]
-        texts = [word.decode("utf-8") for word in new]
-        for word, found in zip(new, self._library.encode_batch(texts, add_special_tokens=False)):
-            self._known[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        split = [text.split() for text in texts]
+        new = set(itertools.chain.from_iterable(split)).difference(self._known)
+        if len(self._known) + len(new) > _KNOWN_WORDS:
+            # Frequent words were met early, so the newer half goes.
+            used = set(itertools.chain.from_iterable(split))
+            for old in list(itertools.islice(reversed(self._known), len(self._known) // 2)):
+                if old not in used:
+                    del self._known[old]
+        self._learn(new)
+        known = self._known.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Encode words; what ends a word after its last letter or digit is a token run of its own,
+        so a word with marks behind it is put together from both."""
+        known, apart = self._known, []
+        single = set()
+        for word in new:
+            core = word.rstrip(_MARKS)
+            if core != word and core and (core[-1:].isalnum() or _ends_in_letter(core)):
+                marks = word[len(core):]
+                apart.append((word, core, marks))
+                single.update((core, marks))
+            else:
+                single.add(word)
+        todo = [word for word in single if word not in known]
+        found = self._library.encode_batch_fast(
+            [word.decode("utf-8") for word in todo], add_special_tokens=False)
+        for word, encoding in zip(todo, found):
+            known[word] = array("I", encoding.ids).tobytes()
+        for word, core, marks in apart:
+            known[word] = known[core] + known[marks]
+
+
+def _ends_in_letter(word: bytes) -> bool:
+    # Normalising may turn a letter into one with a mark behind it, which is no letter.
+    return unicodedata.normalize("NFC", word.decode("utf-8")[-1]).lower().isalpha()
 
 
 @functools.lru_cache(maxsize=4)
@@ -168,7 +197,7 @@ def write_tokens(
     folder = folder or run_folder(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path).encode
+        encode_all = tokenizer(tokenizer_path).encode_all
         end = struct.pack("<I", end_id)
         writer = path = None
         part = TaskContext.get().partitionId()
@@ -176,17 +205,18 @@ def write_tokens(
             if writer is None and batch.num_rows:
                 path = files.new_file(folder, part, ".zst")
                 writer = Writer(files.open_output(path), frame_tokens)
-            places, sizes = [], []
-            for text in batch.column(1):
-                ids = encode(text.as_py() or b"") + end
-                places.append(writer.append(ids))
-                sizes.append(len(ids) // 4)
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([path] * n, pa.string()),
-                 pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()),
-                 pa.array(sizes, pa.int64())],
-                names=["doc_id", "path", "part", "at", "n_tokens"])
+            for rows in slices(batch, "text"):
+                places, sizes = [], []
+                texts = [text or b"" for text in rows.column(1).to_pylist()]
+                for ids in encode_all(texts):
+                    places.append(writer.append(ids + end))
+                    sizes.append(len(ids) // 4 + 1)
+                n = len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array([path] * n, pa.string()),
+                     pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()),
+                     pa.array(sizes, pa.int64())],
+                    names=["doc_id", "path", "part", "at", "n_tokens"])
         if writer is not None:
             writer.close()
 
