@@ -193,13 +193,28 @@ def with_revisits(pages: DataFrame, archive: Archive) -> DataFrame:
 
 
 def build_dictionary(pages: DataFrame, archive: Archive) -> bytes:
-    """Trained on the records with the smallest hash of their id and payload."""
-    html = F.col("html").cast("string").cast("binary")
+    """Trained on the records with the smallest hash of their id."""
+    order = F.coalesce(F.xxhash64("page_id"), F.lit(0))
+    # Hashes first: a task sends numbers to the driver, and records only those that are chosen.
+    lowest = pages.select(order.alias("order")).orderBy("order").limit(
+        archive.training_records).agg(F.max("order").alias("last")).head().last
+    if lowest is None:
+        return b""
+    part = F.substring(F.col("html").cast("string").cast("binary"), 1, archive.training_bytes)
     sample = (
-        pages.select(F.substring(html, 1, archive.training_bytes).alias("part"),
-                     F.xxhash64("page_id", html).alias("order"))
-        .filter(F.length("part") > 0).orderBy("order", "part").limit(archive.training_records))
-    return train_dictionary([bytes(row.part) for row in sample.collect()], archive.dictionary_bytes)
+        pages.filter(order <= lowest)
+        .select(F.col("page_id").cast("bigint").alias("page_id"),
+                F.col("url").cast("string").alias("url"),
+                F.coalesce(part, F.lit(b"")).alias("payload"), order.alias("order"))
+        .orderBy("order", "payload").limit(archive.training_records))
+    records = []
+    for row in sample.collect():
+        payload = bytes(row.payload)
+        records.append(format_record({
+            "page_id": row.page_id, "url": row.url, "payload": payload, "refers_to": None,
+            "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(),
+        }, archive.date))
+    return train_dictionary(records, archive.dictionary_bytes)
 
 
 def write_archives(pages: DataFrame, archive: Archive = Archive(), folder: str | None = None) -> DataFrame:
@@ -258,8 +273,9 @@ def read_archives(index: DataFrame) -> DataFrame:
                         found, size = [], 0
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    paths = index.select("path").distinct()
-    return paths.repartition(shuffle_width(index.sparkSession), "path").mapInArrow(read, RECORDS)
+    # Dealt out in turn: by key, the few short rows would be put together in one task.
+    paths = index.select("path").distinct().repartition(shuffle_width(index.sparkSession))
+    return paths.mapInArrow(read, RECORDS)
 
 
 def page_table(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:
