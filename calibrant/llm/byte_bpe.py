@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from calibrant.llm.columns import slices
 
 _KNOWN_CHUNKS = 500_000
+_KNOWN_PIECES = 300_000
+_LONGEST_KNOWN = 200
 _KNOWN_PAIRS = 1_000_000
 IDS = "ids array<int>"
 
@@ -54,8 +56,9 @@ class Vocabulary:
             end: tuple(sorted({1} | found | ends.get(end[-2:], set()), reverse=True))
             for end, found in ends.items() if len(end) > 1}
         self.longest = max(map(len, ranks), default=1)
+        self.sizes = list(map(len, self.tokens))
         self._edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
-        self._stable: dict[tuple[int, int], bool] = {}
+        self.known: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
 
     @classmethod
@@ -104,11 +107,11 @@ class Vocabulary:
         They do if, while both are being built, no merge across the border comes before the next
         merge at either edge. Of equal ranks the leftmost merge is made first.
         """
-        known = self._stable.get((left, right))
+        known = self.known.get((left, right))
         if known is not None:
             return known
-        if len(self._stable) > _KNOWN_PAIRS:
-            self._stable.clear()
+        if len(self.known) > _KNOWN_PAIRS:
+            self.known.clear()
         known = self.reachable(left) and self.reachable(right)
         one, two = self._edge(left, 1), self._edge(right, 0)
         ranks, end = self.ranks, len(self.tokens)
@@ -124,7 +127,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        self._stable[left, right] = known
+        self.known[left, right] = known
         return known
 
 
@@ -168,38 +171,44 @@ class PrefixTable:
 
     def tokens(self) -> list[int]:
         """The encoding, read backwards through the table."""
-        out, stop = [], len(self.data)
-        while stop:
-            out.append(self.last[stop])
-            stop -= len(self._vocabulary.tokens[self.last[stop]])
-        return out[::-1]
+        return read_back(self._vocabulary, self.last)
 
     def _fill(self, begin: int, end: int) -> None:
-        vocabulary, last, data = self._vocabulary, self.last, bytes(self.data)
-        rank_of, known = vocabulary.ranks.get, vocabulary._stable.get
-        lengths_of = vocabulary.lengths.get
-        for stop in range(begin, end):
-            sizes = lengths_of(data[stop - 3:stop]) if stop > 2 else None
-            if sizes is None:
-                sizes = lengths_of(data[stop - 2:stop], _ONE) if stop > 1 else _ONE
-            for length in sizes:
-                start = stop - length
-                if start < 0:
-                    continue
-                token = rank_of(data[start:stop])
-                if token is None:
-                    continue
-                if start == 0:
-                    fits = vocabulary.reachable(token)
-                else:
-                    fits = known((last[start], token))
-                    if fits is None:
-                        fits = vocabulary.stable(last[start], token)
-                if fits:
-                    last.append(token)
-                    break
+        fill(self._vocabulary, bytes(self.data), self.last, begin, end)
+
+
+def fill(vocabulary: Vocabulary, data: bytes, last: list[int], begin: int, end: int) -> None:
+    """Appends to ``last`` the last tokens of the prefixes of ``data`` of length begin to end - 1."""
+    rank_of, known, lengths_of = vocabulary.ranks.get, vocabulary.known, vocabulary.lengths.get
+    for stop in range(begin, end):
+        tail = data[stop - 3:stop] if stop > 2 else data[:stop]
+        for length in lengths_of(tail) or lengths_of(tail[-2:], _ONE):
+            token = rank_of(data[stop - length:stop]) if length <= stop else None
+            if token is None:
+                continue
+            if length == stop:
+                fits = vocabulary.reachable(token)
             else:
-                raise ValueError(f"the vocabulary cannot encode byte {data[stop - 1]}")
+                pair = last[stop - length], token
+                fits = known.get(pair)
+                if fits is None:
+                    fits = vocabulary.stable(*pair)
+            if fits:
+                last.append(token)
+                break
+        else:
+            raise ValueError(f"the vocabulary cannot encode byte {data[stop - 1]}")
+
+
+def read_back(vocabulary: Vocabulary, last: list[int]) -> list[int]:
+    """The encoding that a table of last tokens stands for."""
+    sizes, out, stop = vocabulary.sizes, [], len(last) - 1
+    while stop:
+        token = last[stop]
+        out.append(token)
+        stop -= sizes[token]
+    out.reverse()
+    return out
 
 
 class Encoder:
@@ -209,16 +218,27 @@ class Encoder:
         self.vocabulary = vocabulary
         self._pieces = regex.compile(pattern)
         self._known: dict[str, bytes] = {}
+        self._known_pieces: dict[str, list[int]] = {}
 
-    def piece(self, data: bytes) -> list[int]:
-        whole = self.vocabulary.ranks.get(data)
-        return [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()
+    def piece(self, text: str) -> list[int]:
+        known = self._known_pieces.get(text)
+        if known is None:
+            data = text.encode("utf-8")
+            whole = self.vocabulary.ranks.get(data)
+            if whole is None:
+                last = [-1]
+                fill(self.vocabulary, data, last, 1, len(data) + 1)
+                known = read_back(self.vocabulary, last)
+            else:
+                known = [whole]
+            _remember(self._known_pieces, text, known, _KNOWN_PIECES)
+        return known
 
     def plain(self, text: str) -> bytes:
         """Ids as 32-bit integers, one piece after another."""
         ids = array("i")
         for match in self._pieces.findall(text):
-            ids.extend(self.piece(match.encode("utf-8")))
+            ids.extend(self.piece(match))
         return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -243,14 +263,20 @@ class Encoder:
     def _after_blank(self, chunk: str) -> bytes:
         known = self._known.get(chunk)
         if known is None:
-            if len(self._known) >= _KNOWN_CHUNKS:
-                # Frequent chunks were met early, so the newer half goes.
-                for old in list(itertools.islice(reversed(self._known), _KNOWN_CHUNKS // 2)):
-                    del self._known[old]
-            known = self._known[chunk] = self.plain(" " + chunk)
+            known = self.plain(" " + chunk)
+            _remember(self._known, chunk, known, _KNOWN_CHUNKS)
         return known
 
 
+def _remember(known: dict, key: str, value: object, most: int) -> None:
+    """Frequent keys are met early, so the newer half goes when there are too many."""
+    if len(known) >= most:
+        for old in list(itertools.islice(reversed(known), most // 2)):
+            del known[old]
+    if len(key) <= _LONGEST_KNOWN:
+        known[key] = value
+
+
 #: A single blank that stands between two characters that are not white space.
 _EVEN = re.compile(r"(?<=\S)(?= \S)")
 _ONE = (1,)
