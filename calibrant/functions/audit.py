@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from calibrant.functions.numbers import double_text, nearest_int
+from calibrant.functions.numbers import double_text, fixed_text, nearest_int
 from calibrant.functions.parsing import LINE_PATTERN, PICKEM_PATTERN
 from calibrant.schemas import BOOLEAN_CATEGORIES
 
-# The instruction at the end of every audit request, and the one for a second try.
+# The system message of an audit request, the instruction at its end, and the one for a
+# second try.
+SYSTEM_MESSAGE = (
+    "You are an expert NFL analyst auditing a win-probability forecaster's written reasoning "
+    "for FACTUAL errors against the TRUE game state you are given. Be strict and literal. "
+    "Flag an error ONLY when the reasoning explicitly states something that contradicts the "
+    "true state — never for a mere omission. Output ONLY a single JSON object, no prose.")
 VERDICT_INSTRUCTION = """Return JSON exactly:
 {
  "possession_misread": {"v": true|false, "q": "<verbatim quote or empty>"},
@@ -103,6 +109,21 @@ def stratum(truth: Column) -> Column:
         phase.alias("phase"), leverage.alias("leverage"), truth["spread"]["side"].alias("side"))
 
 
+def shown_number(x: Column) -> Column:
+    return _shown(double_text(x))
+
+
+def state_line(truth: Column) -> Column:
+    """A ground truth on one line."""
+    t, line = truth, truth["spread"]
+    return _text(
+        _shown(t["game_id"]), " | ", _shown(t["period"]), " ", _shown(t["clock"]), " | ",
+        _shown(t["posteam"]), " ", t["score"], " | down ", _shown(t["down"]), "&",
+        _shown(t["ydstogo"]), " | ", t["field_position"], " | spread ", _shown(line["team"]), " ",
+        shown_number(line["points"]), " | phat=", _shown(fixed_text(t["target_prob"], 2)),
+        " outcome=", _shown(t["actual_outcome"]))
+
+
 def judge_request(truth: Column, text: Column, parsed_prob: Column, repair: bool = False) -> Column:
     """The blinded request: true state, reasoning, stated probability. No model label goes in."""
     line, t = truth["spread"], truth
@@ -129,6 +150,16 @@ def judge_request(truth: Column, text: Column, parsed_prob: Column, repair: bool
     )
 
 
+def judge_messages(
+    truth: Column, text: Column, parsed_prob: Column, repair: bool = False
+) -> Column:
+    """The request as chat messages: the system message, then the request itself."""
+    return F.array(
+        F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_MESSAGE).alias("content")),
+        F.struct(F.lit("user").alias("role"),
+                 judge_request(truth, text, parsed_prob, repair).alias("content")))
+
+
 def verdict_json(reply: Column) -> Column:
     """The JSON object inside a reply: without a code fence, first brace to last; NULL if none."""
     fenced = reply.rlike(r"(?U)^\s*```")

@@ -83,11 +83,13 @@ def with_reasoning(text: Column, reasoning: Column) -> Column:
     ).otherwise(text)
 
 
+def reasoned_probability(text: Column, reasoning: Column) -> Column:
+    """What the text with its reasoning in front gives; NULL without reasoning."""
+    return F.when(reasoning != "", extract_probability(with_reasoning(text, reasoning)))
+
+
 def response_probability(text: Column, reasoning: Column) -> Column:
-    return F.coalesce(
-        extract_probability(text),
-        F.when(reasoning != "", extract_probability(with_reasoning(text, reasoning))),
-    )
+    return F.coalesce(extract_probability(text), reasoned_probability(text, reasoning))
 
 
 def is_truncated(finish_reason: Column) -> Column:

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.functions.numbers import clipped
+from calibrant.functions.numbers import clipped, nan_to_null
 from calibrant.functions.scoring import LOG_EPSILON, calibration_bin
+from calibrant.operators.cleaning import demanded
 
 STATS = ["n", "sum_p", "sum_y", "sum_sq", "sum_log", "n_correct"]
 
@@ -30,10 +31,13 @@ def bin_stats(
     """Per group and bin: n, sums of p, y, (p-y)^2 and log score, and the correct calls.
 
     ``beside`` adds aggregates of your own. Rows without a probability then stay, in a bin NULL with
-    n 0, so that shares of all rows come out of the same pass.
+    n 0, so that shares of all rows come out of the same pass. NaN is no probability; one outside
+    [0, 1], or an outcome that is not 0 or 1, is an error.
     """
-    p, y = F.col(prob), F.col(outcome).cast("double")
-    known = p.isNotNull() & F.col(outcome).isNotNull()
+    p, y = nan_to_null(F.col(prob).cast("double")), F.col(outcome).cast("double")
+    legal = F.coalesce(p.between(0, 1), F.lit(True)) & F.coalesce(y.isin(0.0, 1.0), F.lit(True))
+    df = demanded(df, legal, "probabilities must lie in [0, 1] and outcomes must be 0 or 1")
+    known = p.isNotNull() & y.isNotNull()
     if beside:
         p, y = F.when(known, p), F.when(known, y)
     q = clipped(p, LOG_EPSILON, 1 - LOG_EPSILON)
@@ -163,15 +167,16 @@ def metrics_block(
 def coverage_report(df: DataFrame, by: Sequence[str] = ("variant",)) -> DataFrame:
     """Shares of clean, parsed, truncated and in-range predictions, and the mean answer length."""
     parsed = F.col("prob").isNotNull()
+    cut_off = F.coalesce("truncated", F.lit(False))
 
     def share(flag: Column) -> Column:
         return F.avg(flag.cast("double"))
 
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_total"),
-        share(parsed & ~F.col("truncated")).alias("coverage"),
+        share(parsed & ~cut_off).alias("coverage"),
         share(parsed).alias("parse_rate"),
-        share(F.col("truncated")).alias("truncation"),
+        share(cut_off).alias("truncation"),
         share(F.coalesce(F.col("prob").between(0, 1), F.lit(False))).alias("in_range"),
         F.avg(F.col("chars").cast("double")).alias("mean_completion_chars"),
     )
@@ -189,8 +194,9 @@ def leaderboard(
 
 
 def best_checkpoint(results: DataFrame, metric: str = "brier") -> DataFrame:
-    """The variant with the lowest score."""
-    return results.agg(
+    """The variant with the lowest score; one without a score cannot be it."""
+    scored = results.where(nan_to_null(F.col(metric).cast("double")).isNotNull())
+    return scored.agg(
         F.min_by("variant", F.struct(metric, "variant")).alias("variant"),
         F.min(metric).alias(metric),
     )

@@ -62,8 +62,19 @@ def validate_scores(
 
 
 def clean_predictions(df: DataFrame) -> DataFrame:
-    """Predictions that were parsed and not cut off."""
-    return df.where(F.col("prob").isNotNull() & ~F.col("truncated"))
+    """Predictions that were parsed and not cut off; unknown whether cut off counts as not."""
+    return df.where(F.col("prob").isNotNull() & ~F.coalesce("truncated", F.lit(False)))
+
+
+def demanded(df: DataFrame, holds: Column, message: Column | str) -> DataFrame:
+    """``df`` unchanged; reading a row for which ``holds`` is not true raises ``message``.
+
+    The check is a filter, so no later projection or count drops it. The partition's number, which
+    changes nothing, keeps the optimizer from moving it below earlier filters, to rows they take out.
+    """
+    message = F.lit(message) if isinstance(message, str) else message
+    holds = holds & (F.spark_partition_id() >= 0)
+    return df.where(F.when(holds, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def leak_reason(prompt: Column, hidden: Column, forbidden: Sequence[str] = ("vegas",)) -> Column:
@@ -90,10 +101,7 @@ def leak_guard(
 ) -> DataFrame:
     """``df`` unchanged; reading a row whose prompt leaks raises an error."""
     reason = leak_reason(F.col(prompt), F.col(hidden), forbidden)
-    message = F.concat(F.lit("leak in prompt: "), reason)
-    safe = F.when(reason.isNull(), F.col(prompt)).otherwise(
-        F.raise_error(message).cast("string"))
-    return df.withColumn(prompt, safe)
+    return demanded(df, reason.isNull(), F.concat(F.lit("leak in prompt: "), reason))
 
 
 def split_overlaps(df: DataFrame, group: str = "group_id", split: str = "split") -> DataFrame:

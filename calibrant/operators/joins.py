@@ -1,11 +1,10 @@
-"""Joins that hold when one key has a large share of the rows, or when a side may be broadcast."""
+"""Joins that hold when one key has a large share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
@@ -24,7 +23,3 @@ def salted_join(
         "_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows. An action: call it on a frozen frame."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibrant.functions.audit import shown_number, state_line
 from calibrant.operators.joins import salted_join
 from calibrant.operators.resampling import proportion_ci
 from calibrant.schemas import BOOLEAN_CATEGORIES, FAITHFULNESS_LABELS
@@ -124,13 +125,10 @@ def count_pairs(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFr
         F.count(F.lit(1)).alias("pairs"))
 
 
-def flip_examples(
-    judged: DataFrame, a: str, b: str, n: int | None = None, row_id: str = "row_id"
-) -> DataFrame:
+def flip_examples(judged: DataFrame, a: str, b: str, row_id: str = "row_id") -> DataFrame:
     """Items where variant ``a`` reasons inconsistently and ``b`` consistently, with both reasons.
 
-    Only the two verdict kinds that can make a flip reach the shuffle. With ``n`` the first ``n``
-    items are returned, else all.
+    Only the two verdict kinds that can make a flip reach the shuffle.
     """
     kind = F.col("verdict.faithfulness.v")
     is_a = (F.col("label") == a) & (kind == "inconsistent")
@@ -141,24 +139,39 @@ def flip_examples(
             F.col("parsed_prob").alias("prob"), F.col("verdict.faithfulness.q").alias("why")))
         ).alias(name)
 
-    flips = (
+    return (
         judged.where(is_a | is_b)
         .groupBy(row_id).agg(F.any_value("ground_truth").alias("truth"), side(is_a, "_a"), side(is_b, "_b"))
         .where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
         .select(row_id, "truth", F.col("_a.prob").alias("a_prob"), F.col("_a.why").alias("a_why"),
                 F.col("_b.prob").alias("b_prob"), F.col("_b.why").alias("b_why"))
     )
-    return flips if n is None else flips.orderBy(row_id).limit(n)
+
+
+def flip_report(flips: DataFrame, n: int = 12, row_id: str = "row_id") -> DataFrame:
+    """The first ``n`` flips as text lines, each with the number of all flips."""
+    total = flips.agg(F.count(F.lit(1)).alias("flips")).scalar()
+    return flips.orderBy(row_id).limit(n).select(
+        row_id, total.alias("flips"), state_line(F.col("truth")).alias("state"),
+        F.concat(F.lit("p="), shown_number(F.col("a_prob")), F.lit(": "),
+                 F.coalesce("a_why", F.lit("None"))).alias("first"),
+        F.concat(F.lit("p="), shown_number(F.col("b_prob")), F.lit(": "),
+                 F.coalesce("b_why", F.lit("None"))).alias("second"))
 
 
 def side_by_side(
-    completions: DataFrame, region: Column, tail: int = 220, row_id: str = "row_id"
+    completions: DataFrame, region: Column, variants: Sequence[str], tail: int = 220,
+    row_id: str = "row_id",
 ) -> DataFrame:
-    """Per item and variant: parsed probability, end of the answer on one line, and the facts."""
+    """One row per item: the facts, and per variant the parsed probability and the end of the answer
+    on one line. A variant without an answer to an item has NULL."""
     last = F.when(F.length(region) > tail, F.right(region, F.lit(tail))).otherwise(region)
-    return completions.select(
-        row_id, "variant", "prob", F.replace(last, F.lit("\n"), F.lit(" ")).alias("answer_tail"),
-        "outcome", "target", "market")
+    answers = completions.select(
+        row_id, "variant", "outcome", "target", "market",
+        F.struct("prob", F.replace(last, F.lit("\n"), F.lit(" ")).alias("answer_tail")).alias("_a"))
+    return answers.groupBy(row_id).agg(
+        *[F.max(c).alias(c) for c in ("outcome", "target", "market")],
+        *[F.max(F.when(F.col("variant") == v, F.col("_a"))).alias(v) for v in variants])
 
 
 def tail_head_views(df: DataFrame, text: Column, n: int = 200) -> DataFrame:

@@ -9,7 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions.numbers import clipped
-from calibrant.operators.cleaning import clean_predictions
+from calibrant.operators.cleaning import clean_predictions, demanded
+
+
+def _sides(preds: DataFrame, a: str, b: str, row_id: str) -> DataFrame:
+    """One row per item of either variant, with what is wrong about its pairing in ``fault``."""
+    is_a, is_b = F.col("variant") == a, F.col("variant") == b
+    n_a, n_b = F.count_if(is_a), F.count_if(is_b)
+
+    def differs(name: str) -> Column:
+        return ~F.min(F.when(is_a, F.col(name))).eqNullSafe(F.min(F.when(is_b, F.col(name))))
+
+    fault = (
+        F.when(F.any_value(F.col(row_id)).isNull(), "no id")
+        .when((n_a > 1) | (n_b > 1), "repeated")
+        .when(n_a == 0, "not in the first").when(n_b == 0, "not in the second")
+        .when(differs("outcome"), "outcomes differ").when(differs("market"), "markets differ"))
+    return preds.where(is_a | is_b).groupBy(row_id).agg(
+        F.max(F.when(is_a, F.col("prob"))).alias("a"),
+        F.max(F.when(is_b, F.col("prob"))).alias("b"),
+        F.max("market").alias("market"), F.max("outcome").alias("outcome"), fault.alias("fault"))
 
 
 def paired_join(
@@ -17,30 +36,19 @@ def paired_join(
 ) -> DataFrame:
     """Two variants of a long prediction table side by side: ``row_id, a, b, market, outcome``.
 
-    Both variants go through one shuffle on the row id. Only items that both parsed are kept,
-    unless ``both_parsed`` is off.
+    Both variants go through one shuffle on the row id. Reading an item that only one variant has, has
+    twice, or with another outcome or market price raises an error. Only items that both parsed are
+    kept, unless ``both_parsed`` is off.
     """
-    is_a, is_b = F.col("variant") == a, F.col("variant") == b
-    sides = preds.where(is_a | is_b).groupBy(row_id).agg(
-        F.max(F.when(is_a, F.col("prob"))).alias("a"),
-        F.max(F.when(is_b, F.col("prob"))).alias("b"),
-        F.max(F.when(is_a, F.col("market"))).alias("market"),
-        F.max(F.when(is_a, F.col("outcome"))).alias("outcome"),
-        F.count_if(is_a).alias("_in_a"), F.count_if(is_b).alias("_in_b"),
-    ).where((F.col("_in_a") > 0) & (F.col("_in_b") > 0)).drop("_in_a", "_in_b")
+    sides = _sides(preds, a, b, row_id)
+    message = F.concat(F.lit("misaligned item: "), F.col("fault"))
+    sides = demanded(sides, F.col("fault").isNull(), message).drop("fault")
     return sides.where(F.col("a").isNotNull() & F.col("b").isNotNull()) if both_parsed else sides
 
 
-def check_same_items(preds: DataFrame, a: str, b: str) -> DataFrame:
-    """``preds`` when both variants have the same number of rows, else an error; an action."""
-    counts = preds.agg(
-        F.count_if(F.col("variant") == a).alias("a"),
-        F.count_if(F.col("variant") == b).alias("b")).first()
-    if counts["a"] != counts["b"]:
-        raise ValueError(f"{a} has {counts['a']} rows and {b} has {counts['b']}")
-    if counts["a"] == 0:
-        raise ValueError(f"no rows of {a} and {b}")
-    return preds
+def pairing_violations(preds: DataFrame, a: str, b: str, row_id: str = "row_id") -> DataFrame:
+    """``(row_id, fault)`` of every item that ``paired_join`` refuses."""
+    return _sides(preds, a, b, row_id).where(F.col("fault").isNotNull()).select(row_id, "fault")
 
 
 def align_models(preds: DataFrame, variants: Sequence[str], row_id: str = "row_id") -> DataFrame:
@@ -67,12 +75,33 @@ def alignment_violations(preds: DataFrame, variants: Sequence[str]) -> DataFrame
     return align_models(preds, variants).where(~F.coalesce("aligned", F.lit(False)))
 
 
+def aligned_models(preds: DataFrame, variants: Sequence[str], row_id: str = "row_id") -> DataFrame:
+    """``align_models`` for input that must be aligned: reading any other item raises an error."""
+    wide = align_models(preds, variants, row_id)
+    return demanded(wide, F.coalesce("aligned", F.lit(False)),
+                    F.concat(F.lit("misaligned item: "), F.col(row_id).cast("string"))).drop("aligned")
+
+
 def features_join(scored: DataFrame, features: DataFrame, row_id: str = "row_id",
-                  outcome: str = "actual_outcome") -> DataFrame:
-    """Scored rows with their features; ``outcome_agrees`` tells whether both sides agree."""
-    right = features.withColumnRenamed(outcome, "_outcome")
-    return scored.join(right, row_id).withColumn(
-        "outcome_agrees", F.col(outcome).eqNullSafe(F.col("_outcome"))).drop("_outcome")
+                  outcome: str = "actual_outcome", strict: bool = True) -> DataFrame:
+    """Every scored row with its features; ``outcome_agrees`` tells whether both sides agree.
+
+    A row without features, or whose outcome differs, raises an error when it is read; with
+    ``strict`` off it stays, with NULL features. Repeated features are an error either way.
+    """
+    right = features.withColumnRenamed(outcome, "_outcome").withColumn("_there", F.lit(True))
+    names = [c for c in right.columns if c != row_id]
+    once = right.groupBy(row_id).agg(
+        F.any_value(F.struct(*names)).alias("_f"), F.count(F.lit(1)).alias("_n"))
+    once = demanded(once, (F.col("_n") == 1) | F.col(row_id).isNull(),
+                    "features come twice for one row").drop("_n")
+    joined = scored.join(once, row_id, "left").select(
+        *scored.columns, *[F.col(f"_f.{n}").alias(n) for n in names]).withColumn(
+        "outcome_agrees", F.col("_there").isNotNull() & F.col(outcome).eqNullSafe(F.col("_outcome")))
+    if strict:
+        joined = demanded(joined, F.col("outcome_agrees"),
+                          "a scored row has no features, or another outcome")
+    return joined.drop("_outcome", "_there")
 
 
 def long_forecasts(df: DataFrame, forecasts: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:

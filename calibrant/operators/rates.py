@@ -12,35 +12,36 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions.numbers import round_half_even
 from calibrant.functions.parsing import (
     FIELD_EDGES, SCORE_EDGES, SPREAD_EDGES, TIME_EDGES, edge_bin,
 )
-from calibrant.operators.joins import BROADCAST_ROWS, salted_join
+from calibrant.session import stored
 
 PSEUDO_COUNT = 25.0
 
 
 @dataclass(frozen=True)
 class RateKey:
-    """One key of the state, most important first; ``values`` bounds how many it can take."""
+    """One key of the state, most important first."""
 
     name: str
     column: Column
-    values: int | None = None
 
 
 def binned_key(name: str, column: Column, edges: Sequence[float]) -> RateKey:
-    # One more bin than edges, and one for NULL.
-    return RateKey(name, edge_bin(column, edges), len(edges) + 2)
+    return RateKey(name, edge_bin(column, edges))
 
 
 def state_keys(score: Column, seconds: Column, spread: Column,
                yards_to_goal: Column | None = None, down: Column | None = None) -> list[RateKey]:
-    """Score, time and spread; with field position and down for the fine table."""
+    """Score, time and spread; with field position and down for the fine table.
+
+    A down that is not one digit is unknown.
+    """
     keys = [
         binned_key("score_bin", score, SCORE_EDGES),
         binned_key("time_bin", seconds, TIME_EDGES),
@@ -49,24 +50,13 @@ def state_keys(score: Column, seconds: Column, spread: Column,
     if yards_to_goal is not None:
         keys.append(binned_key("field_bin", yards_to_goal, FIELD_EDGES))
     if down is not None:
-        one_digit = F.when(down.between(0, 9), down).otherwise(0)
-        keys.append(RateKey("down_bin", one_digit.cast("int"), 10))
+        keys.append(RateKey("down_bin", F.when(down.between(0, 9), down).cast("int")))
     return keys
 
 
-def bounded_rows(keys: Sequence[RateKey]) -> int | None:
-    """The most rows a table over these keys can have; NULL-free only if every key is bounded."""
-    if any(key.values is None for key in keys):
-        return None
-    rows, widest = 1, 1
-    for key in keys:
-        widest *= key.values
-        rows += widest
-    return rows
-
-
 def _finest_cells(df: DataFrame, keys: Sequence[RateKey], outcome: str) -> DataFrame:
-    return df.groupBy(*[key.column.alias(key.name) for key in keys]).agg(
+    known = df.where(F.col(outcome).isNotNull())
+    return known.groupBy(*[key.column.alias(key.name) for key in keys]).agg(
         F.sum(F.col(outcome).cast("bigint")).alias("wins"), F.count(F.lit(1)).alias("n"))
 
 
@@ -87,50 +77,13 @@ def rate_counts(df: DataFrame, keys: Sequence[RateKey], outcome: str = "outcome"
 def rate_table(
     df: DataFrame, keys: Sequence[RateKey], outcome: str = "outcome", m: float = PSEUDO_COUNT
 ) -> DataFrame:
-    """``(level, keys..., wins, n, phat)``; fit it on training rows and freeze it before lookups.
+    """``(level, keys..., wins, n, phat)``; fit it on training rows. An action.
 
-    The rows are reduced to the finest cells first. When the keys bound the number of cells, however
-    many rows there are, the cells are sorted once in one task and every prefix is a window over that
-    order. Keys without a bound are rolled up and joined level by level instead.
+    The rows are read once: their counts at every prefix are stored, and each level takes its
+    parent's rates by a join on the prefix. Adaptive execution broadcasts a level where it is small.
     """
-    most = bounded_rows(keys)
-    if most is not None and most <= BROADCAST_ROWS:
-        return _rates_by_window(df, keys, outcome, m)
-    return _rates_by_join(df, keys, outcome, m)
-
-
-def _rates_by_window(df: DataFrame, keys: Sequence[RateKey], outcome: str, m: float) -> DataFrame:
-    names = [key.name for key in keys]
-    cells = _finest_cells(df, keys, outcome).repartition(1)
-    windows = {}
-    for depth in range(len(names)):
-        # One sort by all the keys serves every depth; the first cell of a prefix stands for it.
-        order = Window.partitionBy(*names[:depth]).orderBy(*names[depth:])
-        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        windows |= {
-            f"_w{depth}": F.sum("wins").over(whole), f"_n{depth}": F.sum("n").over(whole),
-            f"_first{depth}": F.row_number().over(order) == 1}
-    last = len(names)
-    rows = cells.withColumns(
-        windows | {f"_w{last}": F.col("wins"), f"_n{last}": F.col("n"), f"_first{last}": F.lit(True)})
-    rates = [F.col("_w0") / F.col("_n0")]
-    for depth in range(1, last + 1):
-        rates.append((F.col(f"_w{depth}") + m * rates[-1]) / (F.col(f"_n{depth}") + m))
-    types = {field.name: field.dataType for field in cells.schema}
-    lines = [
-        F.struct(
-            F.lit(depth).alias("level"),
-            *[(F.col(k) if i < depth else F.lit(None).cast(types[k])).alias(k)
-              for i, k in enumerate(names)],
-            F.col(f"_w{depth}").alias("wins"), F.col(f"_n{depth}").alias("n"),
-            rates[depth].alias("phat"), F.col(f"_first{depth}").alias("_first"))
-        for depth in range(len(names) + 1)]
-    return rows.select(F.inline(F.array(*lines))).where("_first").drop("_first")
-
-
-def _rates_by_join(df: DataFrame, keys: Sequence[RateKey], outcome: str, m: float) -> DataFrame:
     names = [key.name for key in keys]
-    counts = rate_counts(df, keys, outcome)
+    counts = stored(rate_counts(df, keys, outcome), "rate-counts")
     level = counts.where(F.col("level") == 0).withColumn("phat", F.col("wins") / F.col("n"))
     levels = [level]
     for depth in range(1, len(names) + 1):
@@ -143,7 +96,8 @@ def _rates_by_join(df: DataFrame, keys: Sequence[RateKey], outcome: str, m: floa
         shrunk = (F.col("wins") + m * F.col("_parent")) / (F.col("n") + m)
         level = matched.withColumn("phat", shrunk).drop("_parent")
         levels.append(level)
-    return reduce(DataFrame.unionByName, levels).select("level", *names, "wins", "n", "phat")
+    table = reduce(DataFrame.unionByName, levels).select("level", *names, "wins", "n", "phat")
+    return stored(table, "rates")
 
 
 def coarser(table: DataFrame, keys: Sequence[RateKey]) -> DataFrame:
@@ -154,46 +108,36 @@ def coarser(table: DataFrame, keys: Sequence[RateKey]) -> DataFrame:
 
 def backoff_lookup(
     df: DataFrame, table: DataFrame, keys: Sequence[RateKey], name: str = "phat",
-    decimals: int | None = None, salt_by: str | None = None,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Add the rate of the deepest prefix in ``table`` and that prefix's level.
 
-    With bounded keys the table is provably small and each level is one broadcast join. Otherwise
-    ``salt_by`` names the row id that spreads a hot state over several tasks.
+    The back-off is resolved once for every distinct state; the rows then take their state's answer
+    in one join on typed keys, in which NULL meets NULL and 0.0 meets -0.0. Adaptive execution
+    broadcasts the states where they are few and splits the rows of a hot one where they are many.
     """
-    names = [key.name for key in keys]
-    most = bounded_rows(keys)
-    if most is None and salt_by is None:
-        raise ValueError("keys without a bound need salt_by, a column that varies inside a state")
-    small = most is not None and most <= BROADCAST_ROWS
     rate = round_half_even(F.col("phat"), decimals) if decimals is not None else F.col("phat")
     # States get names of their own, so the rows keep a column that is called like a key.
     states = [f"_state{i}" for i in range(len(keys))]
     rows = df.withColumns({s: key.column for s, key in zip(states, keys)})
+    overall = table.where(F.col("level") == 0).select(rate).scalar()
+    if not keys:
+        return rows.withColumns({name: overall, f"{name}_level": F.lit(0)})
+    answers = rows.select(*states).distinct()
     found, depths = [], []
     for depth in range(len(keys), 0, -1):
-        hit, own, theirs = f"_p{depth}", states[:depth], names[:depth]
+        theirs = [f"_key{depth}_{i}" for i in range(depth)]
         level = table.where(F.col("level") == depth).select(
-            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(theirs)], rate.alias(hit))
-        if small:
-            same = [rows[s].eqNullSafe(level[f"_key{i}"]) for i, s in enumerate(own)]
-            rows = rows.join(F.broadcast(level), reduce(and_, same), "left").select(rows["*"], hit)
-        else:
-            # A salted join compares with plain equality: NULL keys are coded as text first.
-            coded = [f"_code{i}" for i in range(depth)]
-
-            def code(columns: list[str]) -> dict[str, Column]:
-                return {c: F.coalesce(F.col(n).cast("string"), F.lit("\u0000"))
-                        for c, n in zip(coded, columns)}
-
-            lookup = level.withColumns(code([f"_key{i}" for i in range(depth)]))
-            rows = salted_join(rows.withColumns(code(own)), lookup.select(*coded, hit), coded,
-                               "left", salt_by).drop(*coded)
-        found.append(F.col(hit))
-        depths.append(F.when(F.col(hit).isNotNull(), depth))
-    overall = table.where(F.col("level") == 0).select(rate).scalar()
-    return (
-        rows.withColumn(name, F.coalesce(*found, overall))
-        .withColumn(f"{name}_level", F.coalesce(*depths, F.lit(0)))
-        .drop(*[f"_p{d}" for d in range(1, len(keys) + 1)], *states)
-    )
+            *[F.col(keys[i].name).alias(k) for i, k in enumerate(theirs)], rate.alias(f"_p{depth}"))
+        same = [F.col(s).eqNullSafe(F.col(k)) for s, k in zip(states, theirs)]
+        answers = answers.join(level, reduce(and_, same), "left").drop(*theirs)
+        found.append(F.col(f"_p{depth}"))
+        depths.append(F.when(F.col(f"_p{depth}").isNotNull(), depth))
+    answers = answers.select(
+        *[F.col(s).alias(f"_at{i}") for i, s in enumerate(states)],
+        F.coalesce(*found, overall).alias("_rate"), F.coalesce(*depths, F.lit(0)).alias("_depth"))
+    same = [F.col(s).eqNullSafe(F.col(f"_at{i}")) for i, s in enumerate(states)]
+    matched = rows.join(answers, reduce(and_, same), "left")
+    return matched.withColumns(
+        {name: F.col("_rate"), f"{name}_level": F.col("_depth")}
+    ).drop(*states, *[f"_at{i}" for i in range(len(keys))], "_rate", "_depth")

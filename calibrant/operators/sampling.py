@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from calibrant.session import freeze
+from calibrant.session import freeze, stored
 
-# Up to this many rows a sorted limit is one small merge; above it the cut is found by counting.
-TOP_N_ROWS = 100_000
+_PREFIX_DIGITS = 4
 _LOCAL_BITS = 33
 
 
 def sample_order(row_id: str | Column, seed: int | str) -> Column:
-    """A fixed pseudo-random order of the rows: the same on every run and partitioning."""
+    """A fixed pseudo-random order of the rows: the same on every run and partitioning.
+
+    A NULL id counts as the empty text.
+    """
     column = F.col(row_id) if isinstance(row_id, str) else row_id
-    return F.md5(F.concat(F.lit(f"{seed}|"), column.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(column.cast("string"), F.lit(""))))
 
 
 def with_row_index(
@@ -51,6 +56,18 @@ def with_row_index(
     )
 
 
+def _picked(df: DataFrame, order_by: Sequence[str], keep: Column) -> DataFrame:
+    """Rows whose position ``_row`` in the order meets ``keep``.
+
+    Only the columns of the order are sorted and stored; the rows are met by a semi-join on them, so
+    the order has to end with a unique column.
+    """
+    keys = with_row_index(df.select(*order_by), order_by, name="_row").where(keep).drop("_row")
+    keys = keys.withColumnsRenamed({c: f"_key{i}" for i, c in enumerate(order_by)})
+    same = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(order_by)]
+    return df.join(keys, reduce(and_, same), "left_semi")
+
+
 def stride_sample(
     df: DataFrame, stride: int, order_by: Sequence[str], index: str | None = None
 ) -> DataFrame:
@@ -60,63 +77,95 @@ def stride_sample(
     """
     if index:
         return df.where(F.col(index) % stride == 0)
-    if stride <= 1:
-        return df
-    return with_row_index(df, order_by, name="_row").where(F.col("_row") % stride == 0).drop("_row")
+    return df if stride <= 1 else _picked(df, order_by, F.col("_row") % stride == 0)
 
 
 def take_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows of the order; all rows when ``n`` is not positive."""
-    return df.orderBy(*order_by).limit(n) if n > 0 else df
+    """The first ``n`` rows of the order, in no order; all rows when ``n`` is not positive."""
+    return _picked(df, order_by, F.col("_row") < n) if n > 0 else df
 
 
-def seeded_sample_n(
-    df: DataFrame, n: int, row_id: str, seed: int | str, top_n_rows: int = TOP_N_ROWS
-) -> DataFrame:
+def seeded_sample_n(df: DataFrame, n: int, row_id: str, seed: int | str) -> DataFrame:
     """Exactly ``n`` rows without replacement, the same ones for the same seed.
 
-    A small sample is a sorted limit. For a large one the cut is found by counting: rows per
-    four-digit prefix of the random order, then a sorted limit only inside the prefix that holds
-    the n-th row; every earlier prefix is taken whole.
+    The cut in the random order is found by counting: rows per prefix of the order, then, inside the
+    prefix that holds the n-th row, per longer prefix, until the cut falls between two prefixes or
+    inside rows of one id. Prefixes before the cut are taken whole, so however large ``n`` is, no
+    task gathers more than the rows of one id.
     """
     if n <= 0:
         return df
     ordered = df.withColumn("_order", sample_order(row_id, seed))
-    if n <= top_n_rows:
-        return ordered.orderBy("_order", row_id).limit(n).drop("_order")
-    prefix = F.substring("_order", 1, 4)
-    sizes = ordered.groupBy(prefix.alias("p")).count().orderBy("p").collect()  # at most 16^4 rows
-    taken = 0
-    for size in sizes:
-        if taken + size["count"] >= n:
-            inside = ordered.where(prefix == size["p"]).orderBy("_order", row_id).limit(n - taken)
-            return ordered.where(prefix < size["p"]).unionByName(inside).drop("_order")
-        taken += size["count"]
-    return df
+    before, left, digits = "", n, 0
+    while digits < 32:
+        digits += _PREFIX_DIGITS
+        prefix = F.substring("_order", 1, digits)
+        inside = ordered.where(F.startswith("_order", F.lit(before)))
+        # At most 16^4 rows: the next four digits of one prefix.
+        sizes = inside.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for size in sorted(sizes, key=lambda row: row.p):
+            if size.n >= left:
+                before = size.p
+                break
+            left -= size.n
+        else:
+            return df
+        if size.n == left:
+            return ordered.where(prefix <= before).drop("_order")
+    whole = ordered.where(F.col("_order") < before)
+    tied = ordered.where(F.col("_order") == before).limit(left)
+    return whole.unionByName(tied).drop("_order")
+
+
+def _quotas(sizes: Sequence[int], n: int) -> list[int]:
+    """How many rows each stratum gives when all take turns, the earlier ones first."""
+    quotas, left = [0] * len(sizes), min(n, sum(sizes))
+    while left:
+        open_ = [i for i, size in enumerate(sizes) if quotas[i] < size]
+        turns = min(left // len(open_), min(sizes[i] - quotas[i] for i in open_))
+        for i in open_ if turns else open_[:left]:
+            quotas[i] += max(turns, 1)
+            left -= max(turns, 1)
+    return quotas
 
 
 def stratified_sample(
-    df: DataFrame, n: int, strata: Sequence[str], row_id: str, seed: int | str, salts: int = 64
+    df: DataFrame, n: int, strata: Sequence[str], row_id: str, seed: int | str
 ) -> DataFrame:
     """Round-robin over the strata, largest stratum first, until ``n`` rows are drawn.
 
-    No stratum can contribute more than ``n`` rows, so each is first cut to its leading ``n`` rows
-    per salt; only the survivors of one stratum meet in one task.
+    The sizes of the strata fix how many rows each gives (one row per stratum comes to the driver).
+    Which rows follows from counts per stratum and prefix of the random order: earlier prefixes are
+    taken whole, and only the rows of the prefix that holds the cut are put in order. The input is
+    stored once; pass only the columns needed.
     """
     strata = list(strata)
-    ordered = df.withColumn("_order", sample_order(row_id, seed)).withColumn(
-        "_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)))
-    salted = Window.partitionBy(*strata, "_salt").orderBy("_order", row_id)
-    whole = Window.partitionBy(*strata).orderBy("_order", row_id)
-    leading = (
-        ordered.withColumn("_turn", F.row_number().over(salted)).where(F.col("_turn") <= n)
-        .withColumn("_turn", F.row_number().over(whole)).where(F.col("_turn") <= n)
-    )
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size"))
-    same = [leading[s].eqNullSafe(sizes[s]) for s in strata]
-    matched = leading.join(sizes, same).select(leading["*"], sizes["_size"])
-    return (
-        matched.orderBy("_turn", F.desc("_size"), *strata)
-        .limit(n)
-        .drop("_order", "_salt", "_turn", "_size")
-    )
+    held = stored(df.withColumn("_order", sample_order(row_id, seed)), "strata")
+    prefix = F.substring("_order", 1, _PREFIX_DIGITS)
+    parts = held.groupBy(*strata, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
+    totals = parts.groupBy(*strata).agg(F.sum("_rows").alias("_size"))
+    largest = totals.orderBy(F.desc("_size"), *strata).collect()
+    quotas = _quotas([row["_size"] for row in largest], n)
+    names = [f"_stratum{i}" for i in range(len(strata))]
+    fields = [T.StructField(name, held.schema[s].dataType) for name, s in zip(names, strata)]
+    given = df.sparkSession.createDataFrame(
+        [(*[row[s] for s in strata], quota) for row, quota in zip(largest, quotas)],
+        T.StructType([*fields, T.StructField("_quota", T.LongType())]))
+
+    def same(columns: Sequence[str]) -> Column:
+        return reduce(and_, [F.col(s).eqNullSafe(F.col(c)) for s, c in zip(strata, columns)])
+
+    # At most 16^4 prefixes of a stratum meet in this window.
+    order = Window.partitionBy(*strata).orderBy("_prefix")
+    upto = F.sum("_rows").over(order)
+    cuts = (
+        parts.join(F.broadcast(given), same(names)).withColumn("_upto", upto)
+        .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_rows") < F.col("_quota")))
+        .select(*names, F.col("_prefix").alias("_cut"),
+                (F.col("_quota") - F.col("_upto") + F.col("_rows")).alias("_last")))
+    rows = held.join(F.broadcast(cuts), same(names)).where(prefix <= F.col("_cut"))
+    inner = Window.partitionBy(*strata).orderBy("_order", row_id)
+    at_cut = rows.where(prefix == F.col("_cut")).withColumn("_turn", F.row_number().over(inner)).where(
+        F.col("_turn") <= F.col("_last"))
+    return rows.where(prefix < F.col("_cut")).select(*df.columns).unionByName(
+        at_cut.select(*df.columns))

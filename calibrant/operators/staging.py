@@ -25,7 +25,7 @@ def with_probability(df: DataFrame, text: str = "text", name: str = "prob",
     region = computed_once(df, _region=extract.answer_region(F.col(text)))
     found = extract.region_probability(F.col("_region"), F.col(text))
     if reasoning:
-        found = F.coalesce(found, extract.response_probability(F.col(text), F.col(reasoning)))
+        found = F.coalesce(found, extract.reasoned_probability(F.col(text), F.col(reasoning)))
     return computed_once(region, **{name: found}).drop("_region")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from calibrant.functions.scoring import calibration_bin
 from calibrant.operators.calibration import bin_stats, metric_columns
 from calibrant.operators.joins import salted_join
+from calibrant.session import stored
 
 STD_TOLERANCE = 1e-12
 
@@ -83,14 +84,17 @@ def format_probe(
         F.count_if(p.isNotNull()).alias("_parsed"),
         F.count_if(F.col("truncated")).alias("_truncated"),
         F.count_if(thinks).alias("_thinks"),
-        F.sum(p).alias("_p"),
-        F.sum(p * p).alias("_pp"),
+        F.sum(p).alias("_p"), F.count(p).cast("double").alias("_k"), F.var_pop(p).alias("_v"),
         F.min(p).alias("_min"), F.max(p).alias("_max"),
         F.sum(F.abs(p - 0.5)).alias("_confidence"),
         F.sum(outside).alias("_extreme"))
     n, parsed = F.sum("_n"), F.sum("_parsed")
     mean = F.try_divide(F.sum("_p"), parsed)
-    variance = F.greatest(F.try_divide(F.sum("_pp"), parsed) - mean * mean, F.lit(0.0))
+    # Spread inside the lengths plus spread of their means about one half: nothing large cancels.
+    part = F.try_divide(F.col("_p"), F.col("_k")) - 0.5
+    middle = F.try_divide(F.sum(F.col("_k") * part), parsed)
+    variance = F.greatest(F.lit(0.0), F.try_divide(
+        F.sum(F.col("_k") * (F.col("_v") + part * part)), parsed) - middle * middle)
     return lengths.groupBy(*by).agg(
         n.alias("samples"),
         (parsed / n).alias("format_success"),
@@ -122,6 +126,10 @@ def variance_groups(
     rewards: DataFrame, group: str = "group_id", reward: str = "reward", min_std: float = 0.05,
     row_id: str = "row_id",
 ) -> DataFrame:
-    """Rows of the groups whose rewards vary enough."""
-    kept = group_spread(rewards, group, reward, min_std).where("varied").select(group)
-    return salted_join(rewards, kept, [group], "left_semi", row_id)
+    """Rows of the groups whose rewards vary enough.
+
+    The rows are stored once, so what made the rewards is computed once; pass only columns needed.
+    """
+    held = stored(rewards, "rewards")
+    kept = group_spread(held, group, reward, min_std).where("varied").select(group)
+    return salted_join(held, kept, [group], "left_semi", row_id)

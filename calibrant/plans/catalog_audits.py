@@ -181,6 +181,19 @@ def judge_request(t: Tables):
         F.col("truth"), F.col("text"), F.col("prob")).alias("request"))
 
 
+@query("judge_messages", with_views(
+    """SELECT row_id, 'system' AS role, CAST(343 AS INT) AS chars, TRUE AS asks FROM labelled WHERE row_id % 9 = 0
+       UNION ALL SELECT row_id, 'user', NULL, FALSE FROM labelled WHERE row_id % 9 = 0""", "labelled"))
+def judge_messages(t: Tables):
+    """Which messages a request has; their text is checked by ``judge_request`` and the tests."""
+    rows = truths(t).where(F.col("row_id") % 9 == 0)
+    messages = rows.select("row_id", F.inline(audit.judge_messages(
+        F.col("truth"), F.lit("reasons"), F.lit(0.5))))
+    system = F.col("role") == "system"
+    return messages.select("row_id", "role", F.when(system, F.length("content")).alias("chars"),
+                           F.startswith("content", F.lit("You are an expert")).alias("asks"))
+
+
 @query("flip_examples", with_views(
     """SELECT a.row_id, t.period, t.score, a.parsed_prob AS a_prob, a.why AS a_why,
        b.parsed_prob AS b_prob, b.why AS b_why FROM judged a JOIN judged b ON a.row_id = b.row_id
@@ -188,18 +201,46 @@ def judge_request(t: Tables):
        AND a.faithfulness = 'inconsistent' AND b.faithfulness = 'consistent'""",
     "audits", judged=JUDGED, truth=TRUTH))
 def flip_examples(t: Tables):
+    return _flips(t).select(
+        "row_id", "truth.period", "truth.score", "a_prob", "a_why", "b_prob", "b_why")
+
+
+def _flips(t: Tables):
     rows = judged(t).join(truths(t).withColumnRenamed("truth", "ground_truth"), "row_id")
-    flips = judging.flip_examples(rows, "base", "masked")
-    return flips.select("row_id", "truth.period", "truth.score", "a_prob", "a_why", "b_prob", "b_why")
+    return judging.flip_examples(rows, "base", "masked")
+
+
+def _text_of(column: str) -> str:
+    return f"coalesce(CAST({column} AS VARCHAR), 'None')"
+
+
+@query("flip_report", with_views(
+    f"""SELECT a.row_id, count(*) OVER () AS flips, concat(t.game_id, ' | ', period, ' ',
+        {_text_of('clock')}, ' | ', posteam, ' ', score, ' | down ', {_text_of('down')}, '&', ydstogo,
+        ' | ', field_position, ' | spread ', posteam, ' ', {_text_of('points')}, ' | phat=', printf('%.2f', target_prob),
+        ' outcome=', actual_outcome) AS state,
+        concat('p=', {_text_of('a.parsed_prob')}, ': ', coalesce(a.why, 'None')) AS first,
+        concat('p=', {_text_of('b.parsed_prob')}, ': ', coalesce(b.why, 'None')) AS second
+        FROM judged a JOIN judged b ON a.row_id = b.row_id JOIN truth t ON a.row_id = t.row_id
+        WHERE a.label = 'base' AND b.label = 'masked'
+        AND a.faithfulness = 'inconsistent' AND b.faithfulness = 'consistent'
+        ORDER BY a.row_id LIMIT 12""",
+    "audits", judged=JUDGED, truth=TRUTH))
+def flip_report(t: Tables):
+    return judging.flip_report(_flips(t))
 
 
 @query("side_by_side", with_views(
-    f"""SELECT row_id, 'base' AS variant, prob, replace(right(region, 220), chr(10), ' ')
-        AS answer_tail, outcome, 0.5 * market + 0.25 AS target, market FROM (
-        SELECT *, {S.region('text')} AS region FROM
-        ({S.extracted('completions', 'text', '*')}) e) r
-        UNION ALL SELECT row_id, 'direct', prob, concat('It is ', CAST(prob AS VARCHAR)), outcome,
-        0.5 * market + 0.25, market FROM preds WHERE variant = 'direct' AND prob IS NOT NULL""",
+    f"""SELECT row_id, outcome, 0.5 * market + 0.25 AS target, market, base.prob AS base_prob,
+        base.answer_tail AS base_tail, direct.prob AS direct_prob,
+        direct.answer_tail AS direct_tail FROM
+        (SELECT row_id, outcome, market, {{'prob': prob,
+           'answer_tail': replace(right(region, 220), chr(10), ' ')}} AS base FROM (
+           SELECT *, {S.region('text')} AS region FROM
+           ({S.extracted('completions', 'text', '*')}) e) r) b
+        LEFT JOIN (SELECT row_id, {{'prob': prob,
+           'answer_tail': concat('It is ', CAST(prob AS VARCHAR))}} AS direct
+           FROM preds WHERE variant = 'direct' AND prob IS NOT NULL) d USING (row_id)""",
     "completions", "preds"))
 def side_by_side(t: Tables):
     target = (0.5 * F.col("market") + 0.25).alias("target")
@@ -208,7 +249,12 @@ def side_by_side(t: Tables):
     direct = t.preds.where((F.col("variant") == "direct") & F.col("prob").isNotNull()).select(
         "row_id", "variant", F.concat(F.lit("It is "), F.col("prob").cast("string")).alias("text"),
         "prob", "outcome", target, "market")
-    return judging.side_by_side(base.unionByName(direct), answer_region(F.col("text")))
+    wide = judging.side_by_side(
+        base.unionByName(direct), answer_region(F.col("text")), ["base", "direct"])
+    return wide.select(
+        "row_id", "outcome", "target", "market", F.col("base.prob").alias("base_prob"),
+        F.col("base.answer_tail").alias("base_tail"), F.col("direct.prob").alias("direct_prob"),
+        F.col("direct.answer_tail").alias("direct_tail"))
 
 
 @query("tail_head_views", """SELECT doc_id, left(text, 200) AS head, right(text, 200) AS tail,

@@ -20,8 +20,8 @@ from calibrant.operators.staging import computed_once
 from calibrant.plans import sqltext as S
 from calibrant.plans.fixtures import EVAL_SEASONS, TEST_SEASONS, Tables, with_views
 from calibrant.plans.registry import query, rounded
-from calibrant.schemas import QA_RECORD
-from calibrant.session import freeze, run_folder
+from calibrant.schemas import PLAY_COLUMNS, QA_RECORD
+from calibrant.session import run_folder
 from calibrant.sources import plays as play_source
 from calibrant.sources import records as record_source
 
@@ -42,7 +42,7 @@ def coarse_keys() -> list[RateKey]:
 
 def fitted(t: Tables, keys: list[RateKey]) -> DataFrame:
     """The rate table of the training rows, written once."""
-    return freeze(rate_table(t.labelled.where(F.col("split") == "train"), keys))
+    return rate_table(t.labelled.where(F.col("split") == "train"), keys)
 
 
 @query("scan_required_columns", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -57,13 +57,18 @@ def season_filter(t: Tables):
     return play_source.season_filter(t.plays, "1996-1997,2000").select("row_id", "season")
 
 
+_NAN_EPA = "CASE WHEN row_id % 37 = 0 THEN NULL ELSE epa END"
+
+
 @query("write_plays_parquet", with_views(
-    "SELECT row_id, season, posteam, vegas_wp FROM plays WHERE season IN (1999, 2000)", "plays"))
+    f"SELECT {', '.join(['row_id', *(c for c in PLAY_COLUMNS if c != 'epa')])}, {_NAN_EPA} AS epa"
+    " FROM plays", "plays"))
 def write_plays_parquet(t: Tables):
+    """All seasons and columns, with a column that comes as NaN here and there."""
     path = run_folder(t.spark, "plays")
-    play_source.write_plays(t.plays, path)
-    return play_source.scan_plays(
-        t.spark, path, "1999-2000", ["row_id", "season", "posteam", "vegas_wp"])
+    epa = F.when(F.col("row_id") % 37 == 0, F.lit(float("nan"))).otherwise(F.col("epa"))
+    play_source.write_plays(t.plays.withColumn("epa", epa), path)
+    return play_source.scan_plays(t.spark, path, required=["row_id", *PLAY_COLUMNS])
 
 
 @query("clean_plays", with_views(
@@ -148,12 +153,24 @@ def read_jsonl(t: Tables):
 
 
 @query("write_split_jsonl", with_views(
-    "SELECT split, count(*) AS records FROM labelled GROUP BY split", "labelled"))
+    f"""SELECT row_id, split, {S.PROMPT} AS prompt, outcome AS actual_outcome, vegas_wp, game_id,
+        season, round(1 - abs(2 * vegas_wp - 1) + 1e-12, 9) AS difficulty, week
+        FROM labelled WHERE NOT contains({S.PROMPT}, printf('%.2f', vegas_wp))""", "labelled"))
 def write_split_jsonl(t: Tables):
+    """Every training record as it comes back; the guard lets none through that leaks."""
+    slim = records.training_projection(_qa(t), ("row_id", "split"))
+    clean = slim.where(~F.contains("prompt", fixed_text(F.col("vegas_wp"), 2)))
     path = run_folder(t.spark, "splits")
-    record_source.write_split_jsonl(_qa(t), path)
-    schema = "question string, split string"
-    return record_source.split_counts(t.spark.read.schema(schema).json(path))
+    record_source.write_split_jsonl(clean, path)
+    back = t.spark.read.schema(slim.schema).json(path)
+    return rounded(back.select("row_id", "split", "prompt", "actual_outcome", "vegas_wp", "game_id",
+                               "season", "difficulty", "meta.week"))
+
+
+@query("split_counts", with_views(
+    "SELECT split, count(*) AS records FROM labelled GROUP BY split", "labelled"))
+def split_counts(t: Tables):
+    return record_source.split_counts(_qa(t))
 
 
 @query("training_projection", with_views(
@@ -167,18 +184,22 @@ def training_projection(t: Tables):
 
 
 @query("leak_guard", with_views(
-    """SELECT row_id, CASE WHEN contains(lower(prompt), 'vegas') THEN 'term' ELSE 'value' END AS leak
-       FROM prompts WHERE contains(lower(prompt), 'vegas')
-       OR contains(prompt, printf('%.2f', vegas_wp))""", "labelled", prompts=f"""
+    """SELECT row_id, CASE WHEN contains(lower(prompt), 'vegas') THEN 'term'
+         WHEN contains(prompt, printf('%.2f', vegas_wp)) THEN 'value' END AS leak
+       FROM prompts""", "labelled", prompts=f"""
        SELECT row_id, vegas_wp, concat({S.PROMPT}, CASE WHEN row_id % 29 = 0 THEN ' VEGAS agrees'
          WHEN row_id % 31 = 0 THEN concat(' near ', printf('%.2f', vegas_wp)) ELSE '' END) AS prompt
        FROM labelled"""))
 def leak_guard(t: Tables):
+    """The violations, and through the guard every row that has none."""
     spoiled = F.when(F.col("row_id") % 29 == 0, " VEGAS agrees").when(
         F.col("row_id") % 31 == 0, F.concat(F.lit(" near "), fixed_text(F.col("vegas_wp"), 2))
     ).otherwise("")
     prompts = computed_once(t.labelled, prompt=F.concat(render_prompt(), spoiled))
-    return cleaning.leak_violations(prompts).select("row_id", "leak")
+    checked = computed_once(prompts, leak=cleaning.leak_reason(F.col("prompt"), F.col("vegas_wp")))
+    guarded = cleaning.leak_guard(checked.where(F.col("leak").isNull()))
+    return cleaning.leak_violations(prompts).select("row_id", "leak").unionByName(
+        guarded.select("row_id", "leak"))
 
 
 @query("leak_guard_documents", """SELECT doc_id, 'term' AS leak FROM documents
@@ -366,10 +387,17 @@ FLAGSHIP = with_views(
 
 @query("calibration_report", FLAGSHIP)
 def calibration_report(t: Tables):
-    """Rates fitted on the training seasons against the market on the test season."""
+    """Rates fitted on the training seasons against the market on the test season.
+
+    From the raw plays: labels, splits, rates, look-ups and scores are all the library's.
+    """
     keys = coarse_keys()
-    test = t.labelled.where(F.col("split") == "test")
-    rows = backoff_lookup(test, fitted(t, keys), keys, "target")
+    plays = t.plays.withColumns({
+        "outcome": possession_outcome(F.col("result"), F.col("posteam"), F.col("home_team")),
+        "split": season_split(F.col("season"), EVAL_SEASONS, TEST_SEASONS),
+    }).dropna(subset=["outcome", "vegas_wp"])
+    table = rate_table(plays.where(F.col("split") == "train"), keys)
+    rows = backoff_lookup(plays.where(F.col("split") == "test"), table, keys, "target")
     forecasts = long_forecasts(
         rows, {"rate": F.col("target"), "market": F.col("vegas_wp")}, ["outcome"])
     return rounded(score(forecasts))

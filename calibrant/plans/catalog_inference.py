@@ -94,7 +94,7 @@ def _share_sql(by: str) -> str:
             SELECT {by}, {S.interval('x / weight', '')} FROM sums GROUP BY {by}) s
             JOIN (SELECT {by}, 'truncated' AS category, count(*) AS n,
               round(avg(x) + 1e-12, 9) AS rate FROM flags GROUP BY {by}) m USING ({by})""", "preds",
-        flags=f"SELECT {by}, row_id, CAST(CAST(truncated AS INT) AS DOUBLE) AS x FROM preds",
+        flags=f"SELECT {by}, row_id, CAST(CAST(coalesce(truncated, FALSE) AS INT) AS DOUBLE) AS x FROM preds",
         sums=S.replicate_sums("flags", f"{by}, ", ["x"], REPS))
 
 

@@ -20,7 +20,7 @@ from calibrant.sources import logs
 from calibrant.streaming import monitor
 
 REQUESTS = f"""SELECT row_id, sha1(to_json({{'m': model, 'p': prompt, 'max_tokens': 900,
-    'temperature': 0.7::DOUBLE}})) AS key FROM (SELECT row_id, {S.PROMPT} AS prompt,
+    'sys': 'be brief', 'temperature': 0.7::DOUBLE, 'top_p': 0.95::DOUBLE}})) AS key FROM (SELECT row_id, {S.PROMPT} AS prompt,
     CASE WHEN row_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS model FROM plays) x"""
 
 
@@ -28,7 +28,8 @@ def _requests(t: Tables) -> DataFrame:
     model = F.when(F.col("row_id") % 2 == 0, "base").otherwise("tuned")
     prompts = computed_once(t.plays, prompt=render_prompt())
     return requests.with_request_key(
-        prompts, model, F.col("prompt"), max_tokens=F.lit(900), temperature=F.lit(0.7)
+        prompts, model, F.col("prompt"), max_tokens=F.lit(900), temperature=F.lit(0.7),
+        top_p=F.lit(0.95), sys=F.lit("be brief")
     ).select("row_id", "key")
 
 
@@ -77,21 +78,22 @@ def reward_telemetry(t: Tables):
     return rounded(telemetry.reward_telemetry(scored))
 
 
-_STEPPED = "(SELECT *, CAST(row_id // 16 AS BIGINT) AS step FROM preds WHERE variant = 'direct')"
+_STEPPED = "(SELECT *, CAST(row_id // 16 AS BIGINT) AS step FROM preds)"
 
 
 @query("checkpoint_eval", with_views(
     f"""SELECT m.*, c.format_success, c.market_brier FROM
         ({S.metrics(['n', 'brier', 'ece', 'reliability', 'resolution', 'uncertainty', 'brier_check'],
-                    by='step')}) m
-        JOIN (SELECT step, round(avg(CAST(prob IS NOT NULL AS INT)) + 1e-12, 9) AS format_success,
+                    by='variant, step')}) m
+        JOIN (SELECT variant, step, round(avg(CAST(prob IS NOT NULL AS INT)) + 1e-12, 9) AS format_success,
           round(avg((market - outcome) ** 2) FILTER (WHERE prob IS NOT NULL) + 1e-12, 9) AS market_brier,
-          FROM {_STEPPED} x GROUP BY step) c ON m.step = c.step WHERE m.n >= 10""",
-    "preds", stats=S.stats(_STEPPED, "step")))
+          FROM {_STEPPED} x GROUP BY variant, step) c
+        ON m.step = c.step AND m.variant = c.variant WHERE m.n >= 10""",
+    "preds", stats=S.stats(_STEPPED, "variant, step")))
 def checkpoint_eval(t: Tables):
-    stepped = t.preds.where(F.col("variant") == "direct").withColumn(
-        "step", F.floor(F.col("row_id") / 16))
-    return rounded(telemetry.checkpoint_eval(stepped).drop("mean_predicted_prob"))
+    stepped = t.preds.withColumn("step", F.floor(F.col("row_id") / 16))
+    return rounded(telemetry.checkpoint_eval(stepped, ["variant", "step"]).drop(
+        "mean_predicted_prob"))
 
 
 @query("format_probe", with_views(
@@ -130,7 +132,8 @@ def trajectory_series(t: Tables):
     """SELECT variant AS run, season AS step, 'brier' AS metric,
        round(avg((prob - outcome) ** 2), 4) AS value FROM preds GROUP BY variant, season
        UNION ALL SELECT variant, season, 'mean_predicted_prob', round(avg(prob), 4)
-       FROM preds GROUP BY variant, season""", "preds"))
+       FROM preds GROUP BY variant, season
+       UNION ALL SELECT DISTINCT variant, season, 'note', CAST(NULL AS DOUBLE) FROM preds""", "preds"))
 def log_scan(t: Tables):
     """Logs written from the predictions, one folder per run, then scanned."""
     figures = t.preds.groupBy("variant", "season").agg(
@@ -138,7 +141,7 @@ def log_scan(t: Tables):
         F.round(F.avg("prob"), 4).alias("mean"))
     line = F.format_string(
         "INFO [eval @ %s] {'eval/brier': 9.0} retry [eval @ %s]  {'eval/brier': %s, "
-        "'eval/mean_predicted_prob': %s} [eval @ %s] {broken}",
+        "'eval/mean_predicted_prob': %s, 'eval/note': 'as before', } [eval @ %s] {broken}",
         F.col("season"), F.col("season"), F.col("brier").cast("string"),
         F.col("mean").cast("string"), F.col("season"))
     path = run_folder(t.spark, "logs")
@@ -187,8 +190,7 @@ _EVENTS = """SELECT ts, event_type AS variant,
 @query("stream_calibration", with_views(
     f"""SELECT strftime(day, '%Y-%m-%d') AS day, * EXCLUDE (day) FROM (
         {S.metrics(['n', 'brier', 'log_loss', 'accuracy', 'ece', 'mce'], by='day, variant')}) m
-        WHERE day + INTERVAL 1 DAY <=
-          (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+        """,
     events_scored=_EVENTS, stats=S.stats("events_scored", "day, variant")))
 def stream_calibration(t: Tables):
     """The event stream through the daily monitor, then its table finished to scores."""
@@ -205,7 +207,7 @@ def stream_calibration(t: Tables):
     running = monitor.start_monitor(
         monitor.stream_stats(scored), f"{folder}/table", f"{folder}/checkpoint")
     running.awaitTermination()
-    emitted = t.spark.read.parquet(f"{folder}/table")
+    emitted = monitor.latest_stats(t.spark, f"{folder}/table")
     scores = monitor.monitor_metrics(
         emitted, metrics=["n", "brier", "log_loss", "accuracy", "ece", "mce"])
     day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86400).cast("int"))

@@ -83,9 +83,9 @@ def metrics_block(t: Tables):
 
 
 COVERAGE = """SELECT variant, count(*) AS n_total,
-  round(avg(CAST(prob IS NOT NULL AND NOT truncated AS INT)) + 1e-12, 9) AS coverage,
+  round(avg(CAST(prob IS NOT NULL AND NOT coalesce(truncated, FALSE) AS INT)) + 1e-12, 9) AS coverage,
   round(avg(CAST(prob IS NOT NULL AS INT)) + 1e-12, 9) AS parse_rate,
-  round(avg(CAST(truncated AS INT)) + 1e-12, 9) AS truncation,
+  round(avg(CAST(coalesce(truncated, FALSE) AS INT)) + 1e-12, 9) AS truncation,
   round(avg(CAST(prob IS NOT NULL AND prob BETWEEN 0 AND 1 AS INT)) + 1e-12, 9) AS in_range,
   round(avg(chars) + 1e-12, 9) AS mean_completion_chars FROM preds GROUP BY variant"""
 
@@ -101,20 +101,21 @@ def coverage_report(t: Tables):
        count(*) FILTER (WHERE outcome IS NULL OR outcome NOT IN (0, 1)) AS outcome_not_binary
        FROM preds""", "preds"))
 def validate_scores(t: Tables):
-    return cleaning.score_violations(t.preds)
+    return cleaning.score_violations(cleaning.validate_scores(t.preds, lenient=True))
 
 
 @query("clean_predictions", with_views(
-    "SELECT variant, row_id, prob FROM preds WHERE prob IS NOT NULL AND NOT truncated", "preds"))
+    "SELECT variant, row_id, prob FROM preds WHERE prob IS NOT NULL AND NOT coalesce(truncated, FALSE)",
+    "preds"))
 def clean_predictions(t: Tables):
     return cleaning.clean_predictions(t.preds).select("variant", "row_id", "prob")
 
 
 @query("market_on_same_items", with_views(
     S.metrics(["n", "brier", "ece", "accuracy"]), "preds",
-    same="""SELECT variant, prob, outcome FROM preds WHERE prob IS NOT NULL AND NOT truncated
-      UNION ALL SELECT concat(variant, ':market'), market, outcome FROM preds
-      WHERE prob IS NOT NULL AND NOT truncated""", stats=S.stats("same")))
+    clean="SELECT * FROM preds WHERE prob IS NOT NULL AND NOT coalesce(truncated, FALSE)",
+    same="""SELECT variant, prob, outcome FROM clean
+      UNION ALL SELECT concat(variant, ':market'), market, outcome FROM clean""", stats=S.stats("same")))
 def market_on_same_items(t: Tables):
     return rounded(C.score(
         pairing.market_on_same_items(t.preds), ["n", "brier", "ece", "accuracy"]))
@@ -148,7 +149,11 @@ def leaderboard(t: Tables):
     f"""SELECT arg_min(variant, brier) AS variant, min(brier) AS brier
         FROM ({S.metrics(['brier'])}) m""", "preds", stats=S.stats("preds")))
 def best_checkpoint(t: Tables):
-    return rounded(C.best_checkpoint(C.score(t.preds, ["brier"])))
+    """Among the variants are one without a score and one whose score is NaN."""
+    scores = C.score(t.preds, ["brier"])
+    blank = t.spark.sql("""SELECT 'a blank' AS variant, CAST(NULL AS DOUBLE) AS brier
+                           UNION ALL SELECT 'a NaN', CAST('NaN' AS DOUBLE)""")
+    return rounded(C.best_checkpoint(scores.unionByName(blank)))
 
 
 _SIDES = """SELECT a.row_id, a.prob AS a, b.prob AS b, a.market, a.outcome
@@ -178,16 +183,72 @@ def align_models(t: Tables):
     return pairing.align_models(t.preds.where(~missing), VARIANTS)
 
 
+_FAULTY = """SELECT variant, row_id, prob, market,
+    CASE WHEN row_id % 23 = 1 AND variant = 'masked' THEN 1 - outcome ELSE outcome END AS outcome
+  FROM preds WHERE NOT (variant = 'direct' AND row_id % 17 = 2)
+    AND NOT (variant = 'masked' AND row_id % 19 = 3)
+  UNION ALL SELECT variant, row_id, prob, market, outcome FROM preds
+  WHERE variant = 'direct' AND row_id % 29 = 4"""
+
+
+def _faulty(t: Tables):
+    """Predictions with every fault of alignment: items missing, repeated, of another outcome."""
+    variant, row = F.col("variant"), F.col("row_id")
+    missing = ((variant == "direct") & (row % 17 == 2)) | ((variant == "masked") & (row % 19 == 3))
+    other = (row % 23 == 1) & (variant == "masked")
+    rows = t.preds.select("variant", "row_id", "prob", "market", "outcome")
+    changed = rows.where(~missing).withColumn(
+        "outcome", F.when(other, 1 - F.col("outcome")).otherwise(F.col("outcome")))
+    return changed.unionByName(rows.where((variant == "direct") & (row % 29 == 4)))
+
+
+@query("pairing_violations", with_views(
+    """SELECT row_id, CASE WHEN n_a > 1 OR n_b > 1 THEN 'repeated'
+         WHEN n_a = 0 THEN 'not in the first' WHEN n_b = 0 THEN 'not in the second'
+         ELSE 'outcomes differ' END AS fault FROM (
+       SELECT row_id, count(*) FILTER (WHERE variant = 'direct') AS n_a,
+         count(*) FILTER (WHERE variant = 'masked') AS n_b,
+         min(outcome) <> max(outcome) AS differs FROM faulty
+       WHERE variant IN ('direct', 'masked') GROUP BY row_id) s
+       WHERE n_a <> 1 OR n_b <> 1 OR differs""", "preds", faulty=_FAULTY))
+def pairing_violations(t: Tables):
+    return pairing.pairing_violations(_faulty(t), "direct", "masked")
+
+
+@query("aligned_models", with_views(
+    """SELECT row_id, max(outcome) AS outcome, max(prob) FILTER (WHERE variant = 'direct') AS direct,
+       max(prob) FILTER (WHERE variant = 'masked') AS masked,
+       max(prob) FILTER (WHERE variant = 'zeroshot') AS zeroshot
+       FROM preds GROUP BY row_id""", "preds"))
+def aligned_models(t: Tables):
+    return pairing.aligned_models(t.preds, VARIANTS)
+
+
 @query("features_join", with_views(
-    """SELECT p.row_id, p.prob, p.outcome, f.yardline_100, f.score_differential,
-       p.outcome = f.outcome AS outcome_agrees FROM preds p JOIN labelled f ON p.row_id = f.row_id
-       WHERE p.variant = 'direct'""", "preds"))
+    """SELECT p.variant, p.row_id, p.prob, p.outcome, f.yardline_100, f.score_differential,
+       p.outcome = f.outcome AS outcome_agrees FROM preds p LEFT JOIN labelled f
+       ON p.row_id = f.row_id""", "preds"))
 def features_join(t: Tables):
-    scored = t.preds.where(F.col("variant") == "direct").select("row_id", "prob", "outcome")
+    scored = t.preds.select("variant", "row_id", "prob", "outcome")
     features = t.labelled.select("row_id", "outcome", "yardline_100", "score_differential")
     return pairing.features_join(scored, features, outcome="outcome")
 
 
+@query("features_join_gaps", with_views(
+    """SELECT p.row_id, p.prob, p.outcome, f.yardline_100, coalesce(p.outcome = f.outcome, FALSE)
+       AS outcome_agrees FROM preds p LEFT JOIN
+       (SELECT row_id, CASE WHEN row_id % 7 = 1 THEN 1 - outcome ELSE outcome END AS outcome,
+          yardline_100 FROM labelled WHERE row_id % 5 <> 0) f ON p.row_id = f.row_id
+       WHERE p.variant = 'direct'""", "preds"))
+def features_join_gaps(t: Tables):
+    """Rows without features, or with another outcome, stay when asked for."""
+    scored = t.preds.where(F.col("variant") == "direct").select("row_id", "prob", "outcome")
+    outcome = F.when(F.col("row_id") % 7 == 1, 1 - F.col("outcome")).otherwise(F.col("outcome"))
+    features = t.labelled.where(F.col("row_id") % 5 != 0).select(
+        "row_id", outcome.alias("outcome"), "yardline_100")
+    return pairing.features_join(scored, features, outcome="outcome", strict=False)
+
+
 _PREDS = "SELECT variant, row_id, game_id, prob, outcome, market, truncated FROM preds"
 
 
@@ -198,22 +259,20 @@ def read_prediction_maps(t: Tables):
         "variant", "row_id", "game_id", "prob", "outcome", "market", "truncated")
 
 
-@query("write_prediction_maps", with_views(
-    f"{_PREDS} WHERE variant = 'masked'", "preds"))
+@query("write_prediction_maps", with_views(_PREDS, "preds"))
 def write_prediction_maps(t: Tables):
     path = run_folder(t.spark, "maps")
     prediction_source.write_prediction_maps(t.preds, path)
-    return prediction_source.read_prediction_maps(t.spark, path, "masked").select(
+    return prediction_source.read_prediction_maps(t.spark, path).select(
         "variant", "row_id", "game_id", "prob", "outcome", "market", "truncated")
 
 
-@query("write_predictions", with_views(
-    "SELECT variant, row_id, prob, outcome FROM preds WHERE variant = 'direct'", "preds"))
+@query("write_predictions", with_views(f"{_PREDS}", "preds"))
 def write_predictions(t: Tables):
     path = run_folder(t.spark, "predictions")
     prediction_source.write_predictions(t.preds, path)
-    return t.spark.read.parquet(path).where(F.col("variant") == "direct").select(
-        "variant", "row_id", "prob", "outcome")
+    return t.spark.read.parquet(path).select(
+        "variant", "row_id", "game_id", "prob", "outcome", "market", "truncated")
 
 
 @query("metrics_sink", scored_sql(["n", "brier", "ece"]))

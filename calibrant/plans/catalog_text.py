@@ -136,9 +136,11 @@ def response_probability(t: Tables):
 @query("completion_text", """SELECT conv_id, arg_max(text, turn) AS completion, max(turn) AS turn
   FROM conversations GROUP BY conv_id""")
 def completion_text(t: Tables):
-    """Last message per conversation: the largest turn wins in a partial aggregation."""
-    return t.read("conversations").groupBy("conv_id").agg(
-        F.max_by("text", "turn").alias("completion"), F.max("turn").alias("turn"))
+    """Conversations gathered into chat messages, in order of their turns, and read by the operator."""
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    chats = t.read("conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(message)).alias("messages"), F.max("turn").alias("turn"))
+    return chats.select("conv_id", extract.completion_text(F.col("messages")).alias("completion"), "turn")
 
 
 @query("completion_text_chat", """SELECT conv_id, turn, text AS completion FROM conversations""")

@@ -85,7 +85,7 @@ SELECT * FROM (SELECT *, {OUTCOME} AS outcome FROM {{plays}}) x
 WHERE outcome IS NOT NULL AND vegas_wp IS NOT NULL
 """
 
-# variant, multiplier, every n-th unparsed, every n-th truncated
+# variant, multiplier, every n-th unparsed, every n-th truncated; unknown for every 43rd
 FORECASTERS = [("direct", 37, 11, 20), ("masked", 53, 13, 25), ("zeroshot", 71, 7, 10)]
 
 
@@ -93,7 +93,7 @@ def _forecast(multiplier: int, unparsed: int, truncated: int) -> dict[str, str]:
     return {
         "prob": f"CASE WHEN row_id % {unparsed} = 0 THEN NULL"
                 f" ELSE CAST(row_id * {multiplier} % 101 AS DOUBLE) / 100e0 END",
-        "truncated": f"(row_id % {truncated} = 0)",
+        "truncated": f"CASE WHEN row_id % 43 = 0 THEN NULL ELSE row_id % {truncated} = 0 END",
         "chars": f"CAST(row_id % {multiplier * 10} + 20 AS INT)",
     }
 
@@ -115,7 +115,7 @@ _BODY = "concat('{\"possession_misread\": {\"v\": ', " + _FLAG.format("row_id *
     ", '}, \"clock_misread\": {\"v\": ', " + _FLAG.format("row_id % 19 = k") + \
     ", ', \"q\": \"\"}, \"pregame_anchor\": {\"v\": ', " + _FLAG.format("row_id % 23 < 2 * k") + \
     ", ', \"q\": \"line\"}, \"faithfulness\": {\"v\": \"', " + \
-    "CASE CAST((row_id + 2 * k) % 5 AS INT) WHEN 0 THEN 'inconsistent' WHEN 1 THEN 'unclear'" + \
+    "CASE CAST((row_id + 3 * k) % 5 AS INT) WHEN 0 THEN 'inconsistent' WHEN 1 THEN 'unclear'" + \
     " WHEN 2 THEN 'partly' ELSE 'consistent' END, '\", \"q\": \"row ', CAST(row_id AS STRING)," + \
     " '\"}}')"
 REPLY = f"""CASE CAST((row_id + k) % 7 AS INT)
@@ -186,14 +186,7 @@ class Tables:
         return f"{self.sf_dir}/{name}.parquet"
 
     def read(self, name: str) -> DataFrame:
-        """A table, spread over the cores when its file has fewer splits than there are cores.
-
-        A file with a single row group is one task however many cores wait. Tables of more splits,
-        which is every large one, are left as they are.
-        """
-        df = self.spark.read.parquet(self.path(name))
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        return self.spark.read.parquet(self.path(name))
 
     @cached_property
     def plays(self) -> DataFrame:

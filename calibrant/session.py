@@ -39,3 +39,10 @@ def freeze(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder once and go on from the written copy."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder; its rows are computed once."""
+    path = run_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibrant.operators.cleaning import demanded, nan_as_null
 from calibrant.schemas import PREDICTION, PREDICTION_MAP
 
 RANGE_ROWS = 5_000
@@ -20,7 +21,8 @@ def parse_prediction_maps(lines: DataFrame, text: str = "value") -> DataFrame:
     """Long predictions ``(variant, row_id, ...)`` from map objects or bare arrays.
 
     A bare array becomes the variant ``_``. Without a stored row id the position inside the array
-    is the row id, so such a file must be one object.
+    is the row id; a second object of a variant without ids is an error, as its positions would
+    repeat those of the first. NaN probabilities and prices are NULL.
     """
     raw = F.trim(F.col(text))
     wrapped = F.when(
@@ -29,12 +31,19 @@ def parse_prediction_maps(lines: DataFrame, text: str = "value") -> DataFrame:
     maps = lines.where(raw != "").select(
         F.from_json(wrapped, PREDICTION_MAP, {"mode": "FAILFAST"}).alias("m"))
     arrays = maps.select(F.explode("m").alias("variant", "rows"))
+    bare = F.exists("rows", lambda r: r["row_id"].isNull())
+    # One row per variant: how many of its arrays go by position.
+    by_position = arrays.where(bare).groupBy("variant").agg(F.count(F.lit(1)).alias("_arrays"))
+    by_position = demanded(by_position, F.col("_arrays") == 1,
+                           "several objects without row ids hold one variant")
+    arrays = arrays.join(F.broadcast(by_position), "variant", "left")
+    arrays = arrays.where(F.col("_arrays").isNull() | (F.col("_arrays") == 1))
     rows = arrays.select("variant", F.posexplode("rows").alias("pos", "r"))
     fields = [F.col(f"r.{name}").alias(name) for name in PREDICTION.fieldNames()
               if name not in ("row_id", "vegas")]
-    return rows.select(
+    return nan_as_null(rows.select(
         "variant", F.coalesce("r.row_id", F.col("pos").cast("bigint")).alias("row_id"),
-        *fields, F.col("r.vegas").alias("market"))
+        *fields, F.col("r.vegas").alias("market")))
 
 
 def read_prediction_maps(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from calibrant.operators.cleaning import leak_guard
 from calibrant.operators.rates import RateKey, backoff_lookup
 
 
@@ -17,12 +18,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def write_split_jsonl(df: DataFrame, path: str, split: str = "split") -> None:
-    """Records routed to one folder per split."""
-    df.write.option("ignoreNullFields", "false").partitionBy(split).json(path)
+    """Records routed to one folder per split; a training record whose prompt leaks is an error."""
+    _guarded(df).write.option("ignoreNullFields", "false").partitionBy(split).json(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.option("ignoreNullFields", "false").json(path)
+    _guarded(df).write.option("ignoreNullFields", "false").json(path)
+
+
+def _guarded(df: DataFrame) -> DataFrame:
+    """Every record with a prompt and a hidden market price is checked as it is written."""
+    return leak_guard(df) if {"prompt", "vegas_wp"} <= set(df.columns) else df
 
 
 def split_counts(df: DataFrame, split: str = "split") -> DataFrame:

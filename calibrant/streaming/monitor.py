@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from calibrant.operators.calibration import BLOCK, bin_stats, metrics_from_stats
 
+BATCH = "batch"
+
 
 def stream_stats(
     stream: DataFrame, window: str = "1 day", lateness: str = "1 hour", ts: str = "ts",
@@ -29,12 +31,29 @@ def stream_stats(
 def start_monitor(
     stats: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Append the statistics of every closed window to a parquet table."""
-    writer = stats.writeStream.outputMode("append").format("parquet").option(
-        "path", path).option("checkpointLocation", checkpoint)
+    """Write the statistics of every window that changed, also of windows still open.
+
+    Each batch is a folder of the table; a batch that runs again replaces its own folder.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+
+    writer = stats.writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def latest_stats(
+    spark: SparkSession, path: str, by: Sequence[str] = ("variant",)
+) -> DataFrame:
+    """The newest statistics of every window, group and bin of the monitor's table."""
+    table = spark.read.parquet(path)
+    keys = ["window_start", "window_end", *by, "bin"]
+    rest = [c for c in table.columns if c not in (*keys, BATCH)]
+    newest = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("_newest"))
+    return newest.select(*keys, "_newest.*")
+
+
 def monitor_metrics(
     stats: DataFrame, by: Sequence[str] = ("variant",), metrics: Sequence[str] = BLOCK
 ) -> DataFrame:

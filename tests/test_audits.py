@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from calibrant.functions.extract import answer_region
 from calibrant.operators import judging, pairing, requests, trajectory
-from calibrant.operators.joins import is_small, salted_join
+from calibrant.operators.joins import salted_join
 from calibrant.operators.staging import with_verdict
 
 
@@ -79,19 +79,26 @@ def test_flips(spark):
         (1, "g", "b", 0.2, reply(False, "consistent")),
         (2, "g", "a", None, reply(False, "inconsistent", "a2")),
         (2, "g", "b", 0.4, reply(False, "consistent", "b2")),
-    ]).withColumn("ground_truth", F.struct(F.lit("tied").alias("score")))
+    ]).withColumn("ground_truth", F.expr("""named_struct('game_id', 'g', 'period', 'Q2',
+        'clock', cast(null as string), 'posteam', 'OAK', 'score', 'tied', 'down', 3, 'ydstogo', 9,
+        'field_position', 'own 7', 'spread', named_struct('team', 'ELM', 'points', 2.5D),
+        'target_prob', 0.375D, 'actual_outcome', 0)"""))
     got = judging.flip_examples(frame, "a", "b").orderBy("row_id").collect()
     assert [(r["row_id"], r["a_why"], r["b_why"], r["a_prob"]) for r in got] == [
         (0, "a0", "b0", 0.1), (2, "a2", "b2", None)]
-    assert judging.flip_examples(frame, "a", "b", n=1).count() == 1
+    report = judging.flip_report(judging.flip_examples(frame, "a", "b"), 1).collect()
+    assert [tuple(r) for r in report] == [(
+        0, 2, "g | Q2 None | OAK tied | down 3&9 | own 7 | spread ELM 2.5 | phat=0.38 outcome=0",
+        "p=0.1: a0", "p=0.2: b0")]
 
 
 def test_views(spark):
     df = spark.createDataFrame([(0, "m", 0.5, "x" * 300 + "\nend", 1, 0.5, 0.5)],
                                "row_id long, variant string, prob double, text string, outcome int,"
                                " target double, market double")
-    row = judging.side_by_side(df, answer_region(F.col("text"))).first()
-    assert len(row["answer_tail"]) == 220 and row["answer_tail"].endswith("x end")
+    row = judging.side_by_side(df, answer_region(F.col("text")), ["m", "other"]).first()
+    assert len(row["m"]["answer_tail"]) == 220 and row["m"]["answer_tail"].endswith("x end")
+    assert row["m"]["prob"] == 0.5 and row["other"] is None
     ends = judging.tail_head_views(df, F.col("text"), 4).first()
     assert (ends["head"], ends["tail"], ends["chars"]) == ("xxxx", "\nend", 304)
 
@@ -110,15 +117,49 @@ def long_preds(spark):
 
 
 def test_pairing(spark):
-    preds = long_preds(spark)
+    preds = long_preds(spark).withColumn("outcome", F.when(F.col("row_id") == 1, 0).otherwise(1))
     assert [tuple(r) for r in pairing.paired_join(preds, "a", "b").orderBy("row_id").collect()] == [
         (0, 0.1, 0.2, 0.5, 1), (2, 0.7, 1.4, 0.5, 1)]
     assert pairing.paired_join(preds, "a", "b", both_parsed=False).count() == 3
-    assert pairing.check_same_items(preds, "a", "b") is preds
-    with pytest.raises(ValueError, match="rows"):
-        pairing.check_same_items(preds.where("not (variant = 'b' and row_id = 1)"), "a", "b")
-    with pytest.raises(ValueError, match="no rows"):
-        pairing.check_same_items(preds, "x", "y")
+
+
+def test_misaligned_items_are_refused(spark):
+    good = long_preds(spark)
+    extra = good.where("variant = 'a' and row_id = 0")
+    spoiled = {
+        "not in the second": good.where("not (variant = 'b' and row_id = 1)"),
+        "not in the first": good.where("not (variant = 'a' and row_id = 1)"),
+        "repeated": good.unionByName(extra.withColumn("prob", F.lit(0.9))),
+        "markets differ": good.withColumn("market", F.when(
+            (F.col("variant") == "a") | (F.col("row_id") != 1), F.col("market")).otherwise(0.1)),
+    }
+    kept = good.where("row_id < 2")
+    assert pairing.pairing_violations(kept, "a", "b").count() == 0
+    assert pairing.pairing_violations(good, "a", "b").collect()[0]["fault"] == "outcomes differ"
+    for fault, preds in spoiled.items():
+        preds = preds.where("row_id < 2")
+        found = pairing.pairing_violations(preds, "a", "b").collect()
+        assert [r["fault"] for r in found] == [fault]
+        # Also when the columns that show it are not asked for.
+        for asked in (lambda df: df.count(), lambda df: df.select("row_id").collect()):
+            with pytest.raises(Exception, match=fault):
+                asked(pairing.paired_join(preds, "a", "b", both_parsed=False))
+    assert pairing.aligned_models(kept, ["a", "b"]).count() == 2
+    with pytest.raises(Exception, match="misaligned"):
+        pairing.aligned_models(good, ["a", "b"]).count()
+
+
+def test_features_of_every_row(spark):
+    scored = spark.createDataFrame([(1, 0.5, 1), (2, 0.5, 0)], "row_id long, prob double, y int")
+    features = spark.createDataFrame([(1, 1, 7), (2, 0, 8), (3, 0, 9)], "row_id long, y int, down int")
+    got = pairing.features_join(scored, features, outcome="y").orderBy("row_id").collect()
+    assert [(r["down"], r["outcome_agrees"]) for r in got] == [(7, True), (8, True)]
+    for bad in (features.where("row_id != 2"), features.withColumn("y", 1 - F.col("y"))):
+        with pytest.raises(Exception, match="no features"):
+            pairing.features_join(scored, bad, outcome="y").count()
+        assert pairing.features_join(scored, bad, outcome="y", strict=False).count() == 2
+    with pytest.raises(Exception, match="twice"):
+        pairing.features_join(scored, features.unionByName(features), outcome="y").count()
 
 
 def test_alignment(spark):
@@ -162,6 +203,3 @@ def test_salted_join_changes_no_rows(spark, how, expected):
     lookup = spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string")
     assert salted_join(rows, lookup, ["k"], how, "id").count() == expected
 
-
-def test_size_check(spark):
-    assert is_small(spark.range(5), 5) and not is_small(spark.range(6), 5)

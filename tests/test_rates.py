@@ -4,9 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibrant.operators import rates
-from calibrant.operators.rates import RateKey, backoff_lookup, coarser, rate_table
-from calibrant.session import freeze
+from calibrant.operators.rates import RateKey, backoff_lookup, coarser, rate_table, state_keys
 
 NAMES = ["a", "b", "c"]
 
@@ -39,12 +37,11 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "row_id long, a int, b int, c int, outcome int")
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_table_and_backoff(spark, bounded):
-    keys = [RateKey(n, F.col(n), 40 if bounded else None) for n in NAMES]
+def test_table_and_backoff(spark):
+    keys = [RateKey(n, F.col(n)) for n in NAMES]
     train, held_out = rows_of(1, 600, (4, 5, 6)), rows_of(2, 300, (5, 7, 12))
     counts, rate = brute(train)
-    table = freeze(rate_table(frame(spark, train), keys))
+    table = rate_table(frame(spark, train), keys)
     got = {(r["level"], tuple(r[n] for n in NAMES[:r["level"]])): r for r in table.collect()}
     assert len(got) == sum(len(c) for c in counts)
     for depth in range(4):
@@ -52,7 +49,7 @@ def test_table_and_backoff(spark, bounded):
             row = got[depth, key]
             assert row["phat"] == pytest.approx(value, abs=1e-12)
             assert [row["wins"], row["n"]] == counts[depth][key]
-    looked = backoff_lookup(frame(spark, held_out), table, keys, salt_by="row_id").collect()
+    looked = backoff_lookup(frame(spark, held_out), table, keys).collect()
     assert len(looked) == len(held_out)
     by_id = {r["row_id"]: r for r in looked}
     depths = set()
@@ -64,14 +61,12 @@ def test_table_and_backoff(spark, bounded):
     assert depths == {0, 1, 2, 3}
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_null_keys_are_states(spark, bounded):
-    keys = [RateKey("a", F.col("a"), 4 if bounded else None)]
+def test_null_keys_are_states(spark):
+    keys = [RateKey("a", F.col("a"))]
     train = frame(spark, [(0, None, 0, 0, 1), (1, None, 0, 0, 1), (2, 1, 0, 0, 0)])
-    table = freeze(rate_table(train, keys, m=1.0))
+    table = rate_table(train, keys, m=1.0)
     looked = {r["a"]: r for r in backoff_lookup(
-        frame(spark, [(5, None, 0, 0, 0), (6, 1, 0, 0, 0), (7, 9, 0, 0, 0)]), table, keys,
-        salt_by="row_id").collect()}
+        frame(spark, [(5, None, 0, 0, 0), (6, 1, 0, 0, 0), (7, 9, 0, 0, 0)]), table, keys).collect()}
     overall = 2 / 3
     assert looked[None]["phat"] == pytest.approx((2 + overall) / 3)
     assert looked[1]["phat"] == pytest.approx(overall / 2)
@@ -79,7 +74,7 @@ def test_null_keys_are_states(spark, bounded):
 
 
 def test_coarser_is_the_table_of_fewer_keys(spark):
-    keys = [RateKey(n, F.col(n), 40) for n in NAMES]
+    keys = [RateKey(n, F.col(n)) for n in NAMES]
     df = frame(spark, rows_of(4, 200, (3, 3, 3)))
     fine = coarser(rate_table(df, keys), keys[:2])
     own = rate_table(df, keys[:2])
@@ -88,17 +83,47 @@ def test_coarser_is_the_table_of_fewer_keys(spark):
 
 
 def test_rounding_is_half_even_on_the_stored_value(spark):
-    keys = [RateKey("a", F.col("a"), 5)]
+    keys = [RateKey("a", F.col("a"))]
     df = frame(spark, rows_of(6, 97, (3, 1, 1)))
-    table = freeze(rate_table(df, keys))
+    table = rate_table(df, keys)
     exact = {r["row_id"]: r["phat"] for r in backoff_lookup(df, table, keys).collect()}
     for r in backoff_lookup(df, table, keys, decimals=5).collect():
         assert r["phat"] == round(exact[r["row_id"]], 5)
 
 
-def test_bound_counts_every_level(spark):
-    bounded = [RateKey("a", F.lit(1), 3), RateKey("b", F.lit(1), 4)]
-    assert rates.bounded_rows(bounded) == 1 + 3 + 12
-    assert rates.bounded_rows([*bounded, RateKey("c", F.lit(1))]) is None
-    with pytest.raises(ValueError, match="salt_by"):
-        backoff_lookup(spark.range(1), spark.range(1), [RateKey("c", F.lit(1))])
+def test_keys_are_compared_by_value(spark):
+    """-0.0 is 0.0, NaN is NaN, and no text is taken for NULL."""
+    schema = "row_id long, x double, t string, outcome int"
+    train = spark.createDataFrame(
+        [(0, 0.0, "\u0000", 1), (1, 0.0, "\u0000", 1), (2, 1.0, None, 0), (3, float("nan"), "", 0)],
+        schema)
+    for key, rows in (("x", [(0, -0.0), (1, 1.0), (2, float("nan")), (3, 2.0)]),
+                      ("t", [(0, "\u0000"), (1, None), (2, ""), (3, "new")])):
+        keys = [RateKey(key, F.col(key))]
+        asked = spark.createDataFrame(rows, f"row_id long, {key} {dict(train.dtypes)[key]}")
+        got = {r["row_id"]: r["phat_level"]
+               for r in backoff_lookup(asked, rate_table(train, keys), keys).collect()}
+        assert got == {0: 1, 1: 1, 2: 1, 3: 0}
+
+
+def test_as_many_states_as_rows(spark):
+    df = spark.range(20_000).select(
+        F.col("id").alias("row_id"), F.concat(F.lit("k"), "id").alias("a"),
+        (F.col("id") % 2).cast("int").alias("outcome"))
+    keys = [RateKey("a", F.col("a"))]
+    got = backoff_lookup(df, rate_table(df, keys), keys)
+    assert got.count() == 20_000
+    assert got.where("phat_level != 1 OR abs(phat - (outcome + 12.5D) / 26D) > 1e-12").count() == 0
+
+
+def test_rows_without_outcome_teach_nothing(spark):
+    keys = [RateKey("a", F.col("a"))]
+    df = frame(spark, [(0, 1, 0, 0, 1), (1, 1, 0, 0, None), (2, 2, 0, 0, None)])
+    assert [(r["level"], r["n"]) for r in rate_table(df, keys).orderBy("level").collect()] == [
+        (0, 1), (1, 1)]
+
+
+def test_unknown_downs_are_null(spark):
+    key = state_keys(F.lit(0), F.lit(0), F.lit(0.0), F.lit(50), F.col("id"))[-1]
+    got = spark.range(8, 12).select(key.column).collect()
+    assert [r[0] for r in got] == [8, 9, None, None]

@@ -27,19 +27,43 @@ def test_stride_keeps_every_nth(spark):
     assert S.stride_sample(indexed, 20, [], index="pos").count() == 3
 
 
-@pytest.mark.parametrize("top_n_rows", [100_000, 5])
 @pytest.mark.parametrize("n", [1, 37, 200, 999])
-def test_seeded_sample_is_exact_and_stable(spark, n, top_n_rows):
+def test_seeded_sample_is_exact_and_stable(spark, n):
     expected = sorted(range(200), key=lambda i: digest(7, i))[:n]
     for partitions in (1, 6):
         df = spark.range(200).withColumnRenamed("id", "row_id").repartition(partitions)
-        got = S.seeded_sample_n(df, n, "row_id", 7, top_n_rows).collect()
+        got = S.seeded_sample_n(df, n, "row_id", 7).collect()
         assert sorted(r["row_id"] for r in got) == sorted(expected)
 
 
+@pytest.mark.parametrize("n", [1, 10, 22, 23, 30])
+def test_seeded_sample_with_unknown_ids(spark, n):
+    """NULL ids are drawn like the id that is the empty text; repeated ids like any other."""
+    rows = [(i if i > 2 else None, i) for i in range(20)] + [(5, 99)] * 3
+    df = spark.createDataFrame(rows, "row_id long, v int")
+    got = sorted(r["v"] for r in S.seeded_sample_n(df, n, "row_id", 3).collect())
+    assert len(got) == min(n, 23)
+    order = sorted(rows, key=lambda r: digest(3, "" if r[0] is None else r[0]))
+    last = digest(3, "" if order[min(n, 23) - 1][0] is None else order[min(n, 23) - 1][0])
+    sure = [v for i, v in rows if digest(3, "" if i is None else i) < last]
+    for v in set(sure):
+        assert got.count(v) == sure.count(v)
+
+
+def test_large_samples(spark):
+    df = spark.range(1_200_000).withColumnRenamed("id", "row_id")
+    got = S.seeded_sample_n(df, 1_000_000, "row_id", 5)
+    assert got.count() == got.distinct().count() == 1_000_000
+    first = S.take_first_n(df, 1_000_000, ["row_id"]).agg(F.count("*"), F.max("row_id")).first()
+    assert tuple(first) == (1_000_000, 999_999)
+    strata = df.withColumn("s", F.when(F.col("row_id") % 3 > 0, "hot").otherwise("cold"))
+    sizes = S.stratified_sample(strata, 1_000_000, ["s"], "row_id", 0).groupBy("s").count().collect()
+    assert {r["s"]: r["count"] for r in sizes} == {"hot": 600_000, "cold": 400_000}
+
+
 def test_first_n(spark):
     df = spark.range(20).repartition(4)
-    assert [r["id"] for r in S.take_first_n(df, 3, ["id"]).collect()] == [0, 1, 2]
+    assert sorted(r["id"] for r in S.take_first_n(df, 3, ["id"]).collect()) == [0, 1, 2]
     assert S.take_first_n(df, 0, ["id"]).count() == 20
 
 
@@ -60,5 +84,5 @@ def test_stratified_round_robin(spark, n):
                 expected.append(groups[s][turn])
         turn += 1
     df = spark.createDataFrame(rows, "row_id long, s string").repartition(5)
-    got = S.stratified_sample(df, n, ["s"], "row_id", 0, salts=4).collect()
+    got = S.stratified_sample(df, n, ["s"], "row_id", 0).collect()
     assert sorted(r["row_id"] for r in got) == sorted(expected)

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from calibrant.functions.scoring import calibration_bin, score_reward, score_reward_fn
 from calibrant.operators import calibration as C
 from calibrant.operators import cleaning, telemetry
+from calibrant.sources.records import write_split_jsonl
 
 
 def forecasts(spark, p, y, variant="m"):
     return spark.createDataFrame(
-        [(variant, float(a), int(b)) for a, b in zip(p, y)],
+        [(variant, None if a is None else float(a), int(b)) for a, b in zip(p, y)],
         "variant string, prob double, outcome int")
 
 
@@ -155,8 +156,32 @@ def test_leak_guard(spark):
     found = cleaning.leak_violations(df).collect()
     assert sorted(r["leak"] for r in found) == ["term", "value"]
     assert cleaning.leak_guard(df.where("vegas_wp = 0.5 and prompt like 'clean%'")).count() == 1
+    for asked in (lambda g: g.collect(), lambda g: g.count(), lambda g: g.select("vegas_wp").collect()):
+        with pytest.raises(Exception, match="leak in prompt"):
+            asked(cleaning.leak_guard(df))
+
+
+def test_training_records_are_guarded_as_they_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("train", "price 0.12 here", 0.125)],
+                               "split string, prompt string, vegas_wp double")
     with pytest.raises(Exception, match="leak in prompt"):
-        cleaning.leak_guard(df).collect()
+        write_split_jsonl(df, str(tmp_path / "records"))
+
+
+def test_scores_refuse_what_is_no_probability(spark):
+    for p, y in ((1.2, 1), (-0.1, 0), (0.5, 2)):
+        with pytest.raises(Exception, match="probabilities must lie"):
+            C.score(forecasts(spark, [0.3, p], [1, y])).collect()
+    row = C.score(forecasts(spark, [0.5, float("nan"), None], [1, 1, 1]), ["n", "brier"]).first()
+    assert (row["n"], row["brier"]) == (1, 0.25)
+
+
+def test_unknown_truncation_is_none(spark):
+    df = forecasts(spark, [0.5, None, 0.7], [1, 0, 1]).withColumns({
+        "truncated": F.lit(None).cast("boolean"), "chars": F.lit(3)})
+    assert cleaning.clean_predictions(df).count() == 2
+    row = C.coverage_report(df).first()
+    assert (row["coverage"], row["truncation"]) == (pytest.approx(2 / 3), 0)
 
 
 def test_leaderboard_orders(spark):
@@ -164,6 +189,8 @@ def test_leaderboard_orders(spark):
     assert [r["variant"] for r in C.leaderboard(df).collect()] == ["b", "a", "c"]
     assert [r["variant"] for r in C.leaderboard(df, ladder=["c", "b"]).collect()] == ["c", "b", "a"]
     assert C.best_checkpoint(df).first()["variant"] == "c"
+    blank = spark.createDataFrame([("b0", None), ("b1", float("nan"))], df.schema)
+    assert tuple(C.best_checkpoint(df.unionByName(blank)).first()) == ("c", 0.1)
 
 
 def test_telemetry_gates_ece(spark):

@@ -80,17 +80,33 @@ def test_prediction_lines_are_bounded(spark):
         predictions.read_prediction_maps(spark, path, "x")
 
 
+def test_positions_are_row_ids_of_one_object(spark):
+    def read(*lines):
+        df = spark.createDataFrame([(line,) for line in lines], "value string")
+        return sorted((r["variant"], r["row_id"]) for r in
+                      predictions.parse_prediction_maps(df).select("variant", "row_id").collect())
+
+    bare, held = '[{"prob": 0.1}, {"prob": 0.2}]', '[{"row_id": 7, "prob": 0.1}]'
+    assert read(bare) == [("_", 0), ("_", 1)]
+    assert read(held, held.replace("7", "9")) == [("_", 7), ("_", 9)]
+    assert read(bare, f'{{"x": {bare}}}') == [("_", 0), ("_", 1), ("x", 0), ("x", 1)]
+    with pytest.raises(Exception, match="without row ids"):
+        read(bare, bare)
+
+
 def test_log_lines(spark, tmp_path):
     for run, lines in {
         "one": ["noise", "[eval @ 50]  {'eval/brier': 0.3, 'eval/ece': None}",
                 "x [eval @ 0] {'eval/brier': 0.5}", "[eval @ 50] {'eval/brier': 0.25}",
-                "[eval @ 100] {'eval/brier': oops}", "[eval @ 7] generating 3 prompts"],
+                "[eval @ 100] {'eval/brier': oops}", "[eval @ 7] generating 3 prompts",
+                "[eval @ 150] {'eval/brier': 0.2, 'eval/note': 'warm', }"],
         "two": ["[eval @ 50] {'eval/brier': 0.1, 'eval/resolution': 0.04}"],
     }.items():
         (tmp_path / f"{run}.log").write_text("\n".join(lines))
     rows = logs.log_scan(spark, str(tmp_path)).orderBy("run", "step", "metric").collect()
     assert [tuple(r) for r in rows] == [
         ("one.log", 0, "brier", 0.5), ("one.log", 50, "brier", 0.25),
+        ("one.log", 150, "brier", 0.2), ("one.log", 150, "note", None),
         ("two.log", 50, "brier", 0.1), ("two.log", 50, "resolution", 0.04)]
 
 

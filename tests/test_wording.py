@@ -49,24 +49,24 @@ def test_default_season_split(spark):
 
 
 def test_audit_field_position(spark):
-    got = column(spark, [64, 75, 12, 20, 43, 50, None], "int", audit.audit_field_position)
-    assert got == ["own 36", "own 25", "opponent 12 (red zone)", "opponent 20 (red zone)",
-                   "opponent 43", "midfield (50)", "unknown"]
+    got = column(spark, [50, None, 1, 51, 49, 20, 21, 99], "int", audit.audit_field_position)
+    assert got == ["midfield (50)", "unknown", "opponent 1 (red zone)", "own 49", "opponent 49",
+                   "opponent 20 (red zone)", "opponent 21", "own 1"]
 
 
 def test_audit_score_state(spark):
-    got = column(spark, [0.0, 4.0, -7.0, -0.0], "double",
-                 lambda x: audit.audit_score_state(F.lit("ARI"), x))
-    assert got == ["tied", "ARI leading by 4", "ARI trailing by 7", "tied"]
+    got = column(spark, [-17.0, -0.0, 1.0, 0.0, 24.0, None], "double",
+                 lambda x: audit.audit_score_state(F.lit("OAK"), x))
+    assert got == ["OAK trailing by 17", "tied", "OAK leading by 1", "tied", "OAK leading by 24", "tied"]
 
 
 def test_spread_struct(spark):
-    texts = ["- Pregame line: WAS favored by 7.0\nQ", "- Pregame line: ARI underdogs by 7.0\nQ",
-             "- Pregame line: pick'em\nQ", "no line here"]
-    got = column(spark, texts, "string", lambda x: audit.spread_struct(x, F.lit("WAS")))
+    texts = ["odds unknown", "- Pregame line: pick'em\nAsk", "- Pregame line: ELM underdogs by 2.5\nAsk",
+             "- Pregame line: OAK favored by 10.5\nAsk"]
+    got = column(spark, texts, "string", lambda x: audit.spread_struct(x, F.lit("OAK")))
     assert [tuple(r) for r in got] == [
-        ("favored", "WAS", 7.0), ("underdog", "ARI", 7.0), ("pickem", "WAS", 0.0),
-        ("unknown", "WAS", None)]
+        ("unknown", "OAK", None), ("pickem", "OAK", 0.0), ("underdog", "ELM", 2.5),
+        ("favored", "OAK", 10.5)]
 
 
 def test_edge_bins_are_half_open(spark):
@@ -76,10 +76,10 @@ def test_edge_bins_are_half_open(spark):
 
 
 PLAY = dict(
-    game_id="g1", season=2023, week=1, season_type="REG", home_team="WAS", away_team="ARI",
-    posteam="WAS", defteam="ARI", qtr=1, time="13:16", game_seconds_remaining=3496, down=1,
-    ydstogo=10, yardline_100=64, score_differential=0, vegas_wp=0.74, wp=0.7, result=4,
-    spread_line=7.0, passer_player_name="S.Howell", passing_yards=12.9)
+    game_id="m7", season=2019, week=5, season_type="REG", home_team="OAK", away_team="ELM",
+    posteam="OAK", defteam="ELM", qtr=2, time="2:41", game_seconds_remaining=1961, down=3,
+    ydstogo=6, yardline_100=71, score_differential=0, vegas_wp=0.61, wp=0.6, result=9,
+    spread_line=2.5, passer_player_name="P.Tester", passing_yards=88.4)
 
 
 def plays(spark, *changes):
@@ -89,23 +89,23 @@ def plays(spark, *changes):
 
 def test_rendered_question_and_truth(spark):
     qa = qa_records(plays(
-        spark, {}, {"qtr": 5, "score_differential": -14, "posteam": "ARI", "defteam": "WAS",
+        spark, {}, {"qtr": 5, "score_differential": -14, "posteam": "ELM", "defteam": "OAK",
                     "time": None, "down": None, "yardline_100": 50, "passer_player_name": None},
         {"result": 0}, {"vegas_wp": None}))
     rows = qa.withColumn("t", audit.ground_truth()).withColumn(
         "s", audit.stratum(F.col("t"))).collect()
     assert len(rows) == 2
     assert rows[0]["question"] == (
-        "NFL game: WAS (possession) vs ARI.\n- 1st quarter, 13:16 left in the quarter\n"
-        "- WAS tied\n- 1st and 10, ball at their own 36 yard line\n"
-        "- Pregame line: WAS favored by 7.0\n"
-        "- Personnel on the play: S.Howell at QB (12 pass yds so far)\n\n"
-        "Question: What is the probability that WAS win this game? "
+        "NFL game: OAK (possession) vs ELM.\n- 2nd quarter, 2:41 left in the quarter\n"
+        "- OAK tied\n- 3rd and 6, ball at their own 29 yard line\n"
+        "- Pregame line: OAK favored by 2.5\n"
+        "- Personnel on the play: P.Tester at QB (88 pass yds so far)\n\n"
+        "Question: What is the probability that OAK win this game? "
         "Reason step by step, then give a final probability as a percentage.")
     truth = rows[0]["t"]
     assert (truth["period"], truth["clock"], truth["score"], truth["field_position"]) == (
-        "Q1", "13:16", "tied", "own 36")
-    assert tuple(truth["spread"]) == ("favored", "WAS", 7.0)
+        "Q2", "2:41", "tied", "own 29")
+    assert tuple(truth["spread"]) == ("favored", "OAK", 2.5)
     assert tuple(rows[0]["s"]) == ("early", "close", "favored")
     assert (rows[0]["actual_outcome"], rows[1]["actual_outcome"]) == (1, 0)
     assert "Overtime, ??:?? left in overtime" in rows[1]["question"]
@@ -115,12 +115,12 @@ def test_rendered_question_and_truth(spark):
 
 
 def test_prompt_features_read_back(spark):
-    qa = qa_records(plays(spark, {}, {"posteam": "ARI", "defteam": "WAS", "yardline_100": 12,
-                                      "down": 3}, {"spread_line": 0.0, "yardline_100": None}))
+    qa = qa_records(plays(spark, {}, {"posteam": "ELM", "defteam": "OAK", "yardline_100": 12,
+                                      "down": 4}, {"spread_line": 0.0, "yardline_100": None}))
     rows = qa.select(parsing.posteam_spread(F.col("question")),
                      parsing.parse_yardline(F.col("question")),
                      parsing.parse_down(F.col("question"))).collect()
-    assert [tuple(r) for r in rows] == [(7.0, 64, 1), (-7.0, 12, 3), (0.0, 50, 1)]
+    assert [tuple(r) for r in rows] == [(2.5, 71, 3), (-2.5, 12, 4), (0.0, 50, 3)]
 
 
 def test_trainer_rows_carry_no_market_price(spark):
@@ -176,10 +176,18 @@ def test_request_is_blind_and_complete(spark):
     qa = qa_records(plays(spark, {})).withColumn("t", audit.ground_truth())
     text = qa.select(audit.judge_request(
         F.col("t"), F.lit("  I say 5%.\n"), F.lit(0.05))).first()[0]
-    assert "- Pregame line: WAS favored by 7.0\n" in text
+    assert "- Pregame line: OAK favored by 2.5\n" in text
     assert '"""\nI say 5%.\n"""' in text
-    assert "final stated probability that WAS wins: 0.05\n" in text
+    assert "final stated probability that OAK wins: 0.05\n" in text
     missing = qa.select(audit.judge_request(
         F.col("t"), F.lit("x"), F.lit(None).cast("double"), True)).first()[0]
     assert "wins: None\n" in missing
     assert missing.endswith("Return ONLY the JSON object.")
+
+
+def test_request_messages(spark):
+    qa = qa_records(plays(spark, {})).withColumn("t", audit.ground_truth())
+    messages = qa.select(audit.judge_messages(F.col("t"), F.lit("why"), F.lit(0.5)).alias("m"),
+                         audit.judge_request(F.col("t"), F.lit("why"), F.lit(0.5)).alias("r")).first()
+    assert [(m["role"], m["content"]) for m in messages["m"]] == [
+        ("system", audit.SYSTEM_MESSAGE), ("user", messages["r"])]
