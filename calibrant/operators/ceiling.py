@@ -52,8 +52,10 @@ def boosted_forecast(
 
 
 def ceiling_table(
-    rows: DataFrame, forecasts: dict[str, Column], outcome: str = "outcome", rule: str = "edges"
+    rows: DataFrame, forecasts: dict[str, Column], outcome: str = "outcome", rule: str = "edges",
+    split: str = "split",
 ) -> DataFrame:
-    """Brier score and ECE of forecast columns on the same rows, clipped to [0, 1]."""
-    stacked = long_forecasts(rows, {name: clipped(c) for name, c in forecasts.items()}, [outcome])
-    return score(stacked, ["n", "brier", "ece"], outcome=outcome, rule=rule)
+    """Brier score and ECE of forecast columns on the same rows per split, clipped to [0, 1]."""
+    stacked = long_forecasts(
+        rows, {name: clipped(c) for name, c in forecasts.items()}, [split, outcome])
+    return score(stacked, ["n", "brier", "ece"], [split, "variant"], outcome=outcome, rule=rule)

@@ -6,6 +6,7 @@ in ``spark.checkpoint.dir``. A folder of our own is used only in local mode when
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -46,3 +47,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = run_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reach_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster whose executors do not see that folder, give the package by ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
