@@ -12,9 +12,53 @@ QUERIES = {}
 CHECKS: dict[str, str] = {}
 
 
-def query(function):
-    QUERIES[function.__name__] = function
-    return function
+def query(function=None, *, sql: str | None = None):
+    """Register a query under the name of its function; ``sql`` gives the same rows."""
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            CHECKS[function.__name__] = sql
+        return function
+
+    return register if function is None else register(function)
+
+
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+  d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+  r AS (SELECT payload_digest, max(page_id) AS response FROM d WHERE payload_bytes >= 1000
+        GROUP BY payload_digest)
+  SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN response IS DISTINCT FROM page_id AND response IS NOT NULL THEN 'revisit'
+      ELSE 'response' END AS record_type,
+    CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to
+  FROM d LEFT JOIN r USING (payload_digest)"""
+
+#: All pairs with a shingle in common, by the definition of weighted Jaccard similarity.
+NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ 	-]+') AS words FROM documents),
+  s AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 5
+      THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+      WHEN len(words) > 0 THEN [concat(len(words), ' ', array_to_string(words, ' '))] ELSE [] END)
+    AS shingle FROM w),
+  c AS (SELECT doc_id, shingle, count(*) AS n FROM s GROUP BY doc_id, shingle),
+  t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id),
+  o AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS both_
+    FROM c a JOIN c b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+  l AS (SELECT a, b FROM o JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b
+    WHERE 5 * both_ >= 4 * (x.total + y.total - both_)),
+  reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
+  SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM reach GROUP BY a"""
+
+LINKED = """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b
+    ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+  reach AS (SELECT vec_id AS a, vec_id AS b FROM e
+    UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
+  SELECT r.a AS vec_id, coalesce(any_value(n), 0) AS n_links, min(r.b) AS component_id,
+    r.a = min(r.b) AS kept FROM reach r
+  LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = r.a GROUP BY r.a"""
 
 
 @query
@@ -24,7 +68,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@query
+@query(sql=WARC)
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_table(load(spark, sf_dir, "pages"))
 
@@ -40,12 +84,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query
+@query(sql=NEAR)
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.class_table(load(spark, sf_dir, "documents"))
 
 
-@query
+@query(sql=LINKED)
 def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.link_vectors(load(spark, sf_dir, "embeddings"))
 

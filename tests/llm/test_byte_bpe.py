@@ -84,7 +84,7 @@ def test_an_edit_recomputes_its_neighbourhood(encoder):
 
 def test_long_pieces_take_linear_work(encoder, library):
     text = "ab" * 100_000
-    assert len(encoder.piece(text)) == len(library.encode_ordinary(text))
+    assert len(ids(encoder, text)) == len(library.encode_ordinary(text))
 
 
 def check(rows, texts, library):
