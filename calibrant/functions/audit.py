@@ -183,13 +183,20 @@ def _truthy(node: Column) -> Column:
 
 
 _STRICT_JSON = {"allowSingleQuotes": "false"}
-_RAW_VERDICT = "array<struct<{}, faithfulness: struct<v: string, q: string>>>".format(
-    ", ".join(f"{c}: struct<v: variant, q: string>" for c in BOOLEAN_CATEGORIES))
 
 
-def verdict_array(cut: Column) -> Column:
-    """The object in ``cut`` as an array of one raw verdict struct, NULL or empty if malformed."""
-    return F.from_json(_text("[", cut, "]"), _RAW_VERDICT, _STRICT_JSON)
+def _raw_verdict(flag: str) -> str:
+    flags = ", ".join(f"{c}: struct<v: {flag}, q: string>" for c in BOOLEAN_CATEGORIES)
+    return f"array<struct<{flags}, faithfulness: struct<v: string, q: string>>>"
+
+
+def verdict_array(cut: Column, strict: bool = True) -> Column:
+    """The object in ``cut`` as an array of one raw verdict struct, NULL or empty if malformed.
+
+    A strict flag is a boolean field: the parser leaves it NULL for any other value and goes on.
+    """
+    kind = _raw_verdict("boolean" if strict else "variant")
+    return F.from_json(_text("[", cut, "]"), kind, _STRICT_JSON)
 
 
 def verdict_node(cut: Column, in_array: Column) -> Column:
@@ -211,10 +218,7 @@ def verdict_fields(cut: Column, node: Column, strict: bool = True) -> Column:
     flags. Otherwise any value is read by whether it is empty, so the text ``"false"`` counts as yes.
     """
     def flag(value: Column) -> Column:
-        if not strict:
-            return _truthy(value)
-        return F.when(F.schema_of_variant(value) == "BOOLEAN",
-                      F.try_variant_get(value, "$", "boolean"))
+        return value if strict else _truthy(value)
 
     fields = [node.isNotNull().alias("parse_ok"),
               (node.isNotNull() & ~cut.rlike(r"^\{\s*\}$")).alias("usable")]
@@ -228,4 +232,4 @@ def verdict_fields(cut: Column, node: Column, strict: bool = True) -> Column:
 def parse_verdict(reply: Column, strict: bool = True) -> Column:
     """Verdict struct of a reply; ``with_verdict`` parses each reply once where filters follow."""
     cut = verdict_json(reply)
-    return verdict_fields(cut, verdict_node(cut, verdict_array(cut)), strict)
+    return verdict_fields(cut, verdict_node(cut, verdict_array(cut, strict)), strict)

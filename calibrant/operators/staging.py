@@ -32,7 +32,7 @@ def with_probability(df: DataFrame, text: str = "text", name: str = "prob",
 def with_verdict(df: DataFrame, reply: str = "reply", strict: bool = True) -> DataFrame:
     """Add the parsed verdict of a reply."""
     cut = computed_once(df, _cut=audit.verdict_json(F.col(reply)))
-    parsed = computed_once(cut, _array=audit.verdict_array(F.col("_cut")))
+    parsed = computed_once(cut, _array=audit.verdict_array(F.col("_cut"), strict))
     node = audit.verdict_node(F.col("_cut"), F.col("_array"))
     fields = audit.verdict_fields(F.col("_cut"), node, strict)
     return parsed.withColumn("verdict", fields).drop("_cut", "_array")
