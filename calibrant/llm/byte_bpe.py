@@ -22,7 +22,7 @@ import itertools
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from calibrant.llm.columns import slices
 
-_KNOWN_CHUNKS = 500_000
-_KNOWN_PIECES = 300_000
+#: What a worker remembers, together about 150 MB.
+_KNOWN_CHUNKS = 300_000
+_KNOWN_PIECES = 200_000
 _LONGEST_KNOWN = 200
-_KNOWN_PAIRS = 1_000_000
+_KNOWN_PAIRS = 400_000
 IDS = "ids array<int>"
 
 
@@ -58,7 +59,8 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         self.sizes = list(map(len, self.tokens))
         self._edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
-        self.known: dict[tuple[int, int], bool] = {}
+        #: By (left << 32 | right); whole numbers take less memory than pairs.
+        self.known: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
     @classmethod
@@ -107,7 +109,8 @@ class Vocabulary:
         They do if, while both are being built, no merge across the border comes before the next
         merge at either edge. Of equal ranks the leftmost merge is made first.
         """
-        known = self.known.get((left, right))
+        pair = left << 32 | right
+        known = self.known.get(pair)
         if known is not None:
             return known
         if len(self.known) > _KNOWN_PAIRS:
@@ -127,7 +130,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        self.known[left, right] = known
+        self.known[pair] = known
         return known
 
 
@@ -179,7 +182,7 @@ class PrefixTable:
 
 def fill(vocabulary: Vocabulary, data: bytes, last: list[int], begin: int, end: int) -> None:
     """Appends to ``last`` the last tokens of the prefixes of ``data`` of length begin to end - 1."""
-    rank_of, known, lengths_of = vocabulary.ranks.get, vocabulary.known, vocabulary.lengths.get
+    rank_of, known, lengths_of = vocabulary.ranks.get, vocabulary.known.get, vocabulary.lengths.get
     for stop in range(begin, end):
         tail = data[stop - 3:stop] if stop > 2 else data[:stop]
         for length in lengths_of(tail) or lengths_of(tail[-2:], _ONE):
@@ -189,10 +192,9 @@ def fill(vocabulary: Vocabulary, data: bytes, last: list[int], begin: int, end:
             if length == stop:
                 fits = vocabulary.reachable(token)
             else:
-                pair = last[stop - length], token
-                fits = known.get(pair)
+                fits = known(last[stop - length] << 32 | token)
                 if fits is None:
-                    fits = vocabulary.stable(*pair)
+                    fits = vocabulary.stable(last[stop - length], token)
             if fits:
                 last.append(token)
                 break
@@ -212,69 +214,85 @@ def read_back(vocabulary: Vocabulary, last: list[int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts; what stands between single blanks is encoded once and remembered."""
+    """Encodes texts; what stands between single blanks is encoded once and remembered.
+
+    No piece of the split pattern reaches over a single blank between words, and a blank before a word
+    belongs to the word, so texts may be cut in front of such blanks. The chunks that a batch of texts
+    brings anew are put in order, and each takes over the table of the prefix it shares with the one
+    before it.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
-        self._pieces = regex.compile(pattern)
+        self._split = regex.compile(pattern).findall
+        #: Ids of a blank and the chunk behind it; ids of pieces.
         self._known: dict[str, bytes] = {}
-        self._known_pieces: dict[str, list[int]] = {}
+        self._known_pieces: dict[str, bytes] = {}
 
-    def piece(self, text: str) -> list[int]:
-        known = self._known_pieces.get(text)
-        if known is None:
-            data = text.encode("utf-8")
-            whole = self.vocabulary.ranks.get(data)
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        chunks = [text.split(" ") for text in texts]
+        new = set(itertools.chain.from_iterable(chunks)).difference(self._known)
+        ragged = {chunk for chunk in new if _ragged(chunk)}
+        if ragged:
+            for i, found in enumerate(chunks):
+                if not ragged.isdisjoint(found):
+                    first, *rest = _EVEN.split(texts[i])
+                    chunks[i] = [first, *(chunk[1:] for chunk in rest)]
+            new = set(itertools.chain.from_iterable(chunks)).difference(self._known)
+        _make_room(self._known, _KNOWN_CHUNKS, chunks)
+        firsts = {found[0] for found in chunks}
+        split = {chunk: self._split(" " + chunk) for chunk in new}
+        split_first = {chunk: self._split(chunk) for chunk in firsts}
+        self._learn(itertools.chain(split.values(), split_first.values()))
+        piece = self._known_pieces.__getitem__
+        learnt = {chunk: b"".join(map(piece, pieces)) for chunk, pieces in split.items()}
+        # A chunk that ends in white space is whole only at the end of its own text.
+        self._known.update((chunk, ids) for chunk, ids in learnt.items()
+                           if len(chunk) <= _LONGEST_KNOWN and not _ragged(chunk))
+        known, beginning = self._known, {
+            chunk: b"".join(map(piece, pieces)) for chunk, pieces in split_first.items()}
+        out = []
+        for first, *rest in chunks:
+            try:
+                body = b"".join(map(known.__getitem__, rest))
+            except KeyError:
+                body = b"".join(known[c] if c in known else learnt[c] for c in rest)
+            out.append(beginning[first] + body)
+        return out
+
+    def _learn(self, split: Iterable[list[str]]) -> None:
+        """Encode the pieces that are not known."""
+        split = list(split)
+        new = set(itertools.chain.from_iterable(split)).difference(self._known_pieces)
+        _make_room(self._known_pieces, _KNOWN_PIECES, split)
+        ranks, before, last = self.vocabulary.ranks, b"", [-1]
+        for piece in sorted(new):
+            data = piece.encode("utf-8")
+            whole = ranks.get(data)
             if whole is None:
-                last = [-1]
-                fill(self.vocabulary, data, last, 1, len(data) + 1)
-                known = read_back(self.vocabulary, last)
+                shared, most = 0, min(len(data), len(before))
+                while shared < most and data[shared] == before[shared]:
+                    shared += 1
+                del last[shared + 1:]
+                fill(self.vocabulary, data, last, shared + 1, len(data) + 1)
+                before = data
+                ids = array("i", read_back(self.vocabulary, last)).tobytes()
             else:
-                known = [whole]
-            _remember(self._known_pieces, text, known, _KNOWN_PIECES)
-        return known
-
-    def plain(self, text: str) -> bytes:
-        """Ids as 32-bit integers, one piece after another."""
-        ids = array("i")
-        for match in self._pieces.findall(text):
-            ids.extend(self.piece(match))
-        return ids.tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """As ``plain``. No piece of the split pattern reaches over a single blank between words,
-        and a blank before a word belongs to the word, so such chunks can be encoded apart."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        try:
-            return self._first(first) + b"".join(map(self._known.__getitem__, rest))
-        except KeyError:
-            if any(map(_ragged, rest)) or _ragged(first):
-                first, *rest = _EVEN.split(text)
-                return self.plain(first) + b"".join(self.plain(chunk) for chunk in rest)
-            return self._first(first) + b"".join(map(self._after_blank, rest))
-
-    def _first(self, chunk: str) -> bytes:
-        if _ragged(chunk):
-            raise KeyError(chunk)
-        return self.plain(chunk)
-
-    def _after_blank(self, chunk: str) -> bytes:
-        known = self._known.get(chunk)
-        if known is None:
-            known = self.plain(" " + chunk)
-            _remember(self._known, chunk, known, _KNOWN_CHUNKS)
-        return known
+                ids = array("i", (whole,)).tobytes()
+            self._known_pieces[piece] = ids
 
 
-def _remember(known: dict, key: str, value: object, most: int) -> None:
-    """Frequent keys are met early, so the newer half goes when there are too many."""
+def _make_room(known: dict, most: int, used: list[list[str]]) -> None:
+    """Frequent keys are met early, so the newer half goes, but for what is used now."""
     if len(known) >= most:
-        for old in list(itertools.islice(reversed(known), most // 2)):
-            del known[old]
-    if len(key) <= _LONGEST_KNOWN:
-        known[key] = value
+        now = set(itertools.chain.from_iterable(used))
+        for old in list(itertools.islice(reversed(known), len(known) // 2)):
+            if old not in now:
+                del known[old]
 
 
 #: A single blank that stands between two characters that are not white space.
@@ -297,10 +315,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id")
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(path, pattern).encode
+        to_ids = encoder(path, pattern).encode_all
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = [to_ids(text or "") for text in part.column(1).to_pylist()]
+            for part in slices(batch, "text", 2 << 20):
+                found = to_ids([text or "" for text in part.column(1).to_pylist()])
                 offsets = np.cumsum([0, *(len(ids) // 4 for ids in found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(
                     pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))

@@ -188,7 +188,7 @@ class Model:
         if self.network is None:
             return np.full(len(texts), self.constant)
         found = []
-        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):
             features, first = passage_features(part.column(0), self.passage_words)
             found.append(self.network.forward(features, first)["score"])
         return np.concatenate(found) if found else np.empty(0)
