@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibrant.session import run_folder
+from calibrant.session import stored
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -14,10 +14,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     The rows are computed once. A lost executor costs the running tasks and nothing of what is
     already written, because only the files of committed tasks belong to the table.
     """
-    spark = df.sparkSession
-    path = run_folder(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, purpose)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
