@@ -3,17 +3,18 @@
 Counts of word n-grams are quantised on a log scale: a count c has level 1 + floor(log c / log b).
 The filter holds, for an n-gram of level q, the q keys (n-gram, 1) ... (n-gram, q); its count is
 read back by probing levels 1, 2, ... until one is absent, so a reading can be too high (a false
-positive) and never too low. The filter is broadcast. The probability of a word w after h is
+positive) and never too low. The probability of a word w after h is
 
     p(w | h) = (c(hw) + mu * p(w | h')) / (c(h) + mu),      p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 with h' one word shorter and c(hw) at most c(h). All counts of the model are readings.
 
-Size: every n-gram of every training document is in the filter. It takes ``bits_per_key`` bits a
-key and at most ``most_bytes`` in all, which is the bound of the broadcast; a corpus with more keys
-than fit so gets more false positives (never fewer n-grams), and ``bits_per_key`` of the result
-tells how far. It is built in segments, each holding the n-grams whose hash falls into it, by as
-many tasks as there are segments.
+Size: every n-gram of every training document is in the filter, which takes ``bits_per_key`` bits a
+key at any size, so its false positives do not depend on the size of the corpus. It is built in
+segments, each holding the n-grams whose hash falls into it, by as many tasks as there are segments.
+Up to ``most_bytes`` it is broadcast. A larger one stays in its segments: the documents are packed
+into chunks of some megabytes, the distinct n-grams of a chunk are dealt to their segments and come
+back as levels. Readings are the same either way.
 
 The base score needs exact counts. Words are known by a 64-bit hash. Those with a share of at least
 ``1 / frequent`` of all tokens, at most ``frequent`` of them, are broadcast; a document's other
@@ -117,6 +118,9 @@ class Filter:
 
     def read(self, grams: np.ndarray) -> np.ndarray:
         """The count that the levels present in the filter stand for."""
+        return level_values(self.base)[self.read_levels(grams)]
+
+    def read_levels(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grams), dtype=np.int64)
         base = self.segment_of(grams, self.segments) * np.uint64(self.width)
         alive = np.arange(len(grams))
@@ -133,7 +137,18 @@ class Filter:
                 on = on.astype(bool)
                 alive, start, step = alive[on], start[on] + step[on], step[on]
             out[alive] = level
-        return level_values(self.base)[out]
+        return out
+
+
+class Answers:
+    """Levels that came back for the n-grams of a chunk."""
+
+    def __init__(self, grams: np.ndarray, found: np.ndarray, base: float):
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.values = grams[order], level_values(base)[found[order]]
+
+    def read(self, grams: np.ndarray) -> np.ndarray:
+        return self.values[np.searchsorted(self.grams, grams)]
 
 
 def is_training(column: str = "doc_id"):
@@ -190,8 +205,29 @@ def _packed(held: list[np.ndarray], segments: int) -> Iterator[pa.RecordBatch]:
         names=["segment", "grams", "counts"])
 
 
-def build_filter(texts: DataFrame, tokens: int, settings: Settings) -> Filter:
-    """The filter over the n-grams of the column ``text``, which has ``tokens`` tokens."""
+@dataclass(frozen=True)
+class Layout:
+    """Segments of a filter, bits of each and hash functions."""
+
+    segments: int
+    width: int
+    hashes: int
+
+    @classmethod
+    def of(cls, segments: int, keys: int, bits: int) -> Layout:
+        width = -(-bits // segments // 8) * 8
+        return cls(segments, width, max(1, min(8, round(np.log(2) * width * segments / max(1, keys)))))
+
+
+def wanted_bits(segments: int, keys: int, settings: Settings) -> int:
+    return max(64 * segments, int(keys * settings.bits_per_key))
+
+
+def distinct_ngrams(
+    texts: DataFrame, tokens: int, settings: Settings
+) -> tuple[DataFrame, int, int]:
+    """segment, grams, levels of the column ``text``, which has ``tokens`` tokens; the number of
+    segments, and of the keys in all."""
     spark = texts.sparkSession
     segments = max(1, -(-tokens * settings.order // settings.segment_keys))
     base = settings.base
@@ -211,32 +247,150 @@ def build_filter(texts: DataFrame, tokens: int, settings: Settings) -> Filter:
     merged = written(
         dealt.mapInArrow(merge, "segment int, keys bigint, grams binary, levels binary"), "ngrams")
     keys = merged.agg(F.sum("keys").alias("keys")).head().keys or 0
-    bits = min(8 * settings.most_bytes, max(64 * segments, int(keys * settings.bits_per_key)))
-    width = -(-bits // segments // 8) * 8
-    hashes = max(1, min(8, round(np.log(2) * width * segments / max(1, keys))))
+    return merged, segments, keys
+
+
+def filled(merged: DataFrame, layout: Layout) -> DataFrame:
+    """segment, bits: the segments of the filter over ``distinct_ngrams``."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 grams = np.frombuffer(batch.column(1)[i].as_py(), dtype=np.uint64)
                 most = np.frombuffer(batch.column(2)[i].as_py(), dtype=np.uint8)
-                on = np.zeros(width, dtype=bool)
+                on = np.zeros(layout.width, dtype=bool)
                 for level in range(1, int(most.max(initial=0)) + 1):
                     here = grams[most >= level]
-                    for bit in Filter.places(here, np.full(len(here), level), hashes, width):
+                    for bit in Filter.places(
+                            here, np.full(len(here), level), layout.hashes, layout.width):
                         on[bit] = True
                 packed = np.packbits(on, bitorder="little").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, 1), pa.array([packed], pa.binary())],
                     names=["segment", "bits"])
 
-    bits = np.zeros(segments * width // 8, dtype=np.uint8)
-    # Together at most ``most_bytes`` and one byte a segment.
-    for row in merged.select("segment", "grams", "levels").mapInArrow(
-            fill, "segment int, bits binary").toLocalIterator(prefetchPartitions=True):
-        begin = row.segment * width // 8
-        bits[begin:begin + width // 8] = np.frombuffer(row.bits, dtype=np.uint8)
-    return Filter(bits, segments, hashes, base)
+    return merged.select("segment", "grams", "levels").mapInArrow(fill, "segment int, bits binary")
+
+
+def gathered(merged: DataFrame, layout: Layout, base: float) -> Filter:
+    """The whole filter in this process."""
+    bits = np.zeros(layout.segments * layout.width // 8, dtype=np.uint8)
+    for row in filled(merged, layout).toLocalIterator(prefetchPartitions=True):
+        begin = row.segment * layout.width // 8
+        bits[begin:begin + layout.width // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+    return Filter(bits, layout.segments, layout.hashes, base)
+
+
+def build_filter(texts: DataFrame, tokens: int, settings: Settings) -> Filter:
+    """A filter of at most ``most_bytes`` (and one byte a segment), whatever its false positives."""
+    merged, segments, keys = distinct_ngrams(texts, tokens, settings)
+    bits = min(8 * settings.most_bytes, wanted_bits(segments, keys, settings))
+    return gathered(merged, Layout.of(segments, keys, bits), settings.base)
+
+
+def _asked(part: pa.RecordBatch, order: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a chunk by segment, and where each segment's begin."""
+    found, _ = ngrams(part.column(2), order)
+    grams = np.unique(np.concatenate(found))
+    place = Filter.segment_of(grams, segments).astype(np.int64)
+    by = np.argsort(place, kind="stable")
+    return grams[by], np.searchsorted(place[by], np.arange(segments + 1))
+
+
+def _chunk(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def answered(
+    rows: DataFrame, merged: DataFrame, layout: Layout, settings: Settings
+) -> DataFrame:
+    """chunk, segment, data: a chunk of ``rows`` (doc_id, key, text) under segment -1, and the levels
+    of its n-grams under their segments, read where the segments are."""
+    width = shuffle_width(rows.sparkSession)
+    order, segments, base = settings.order, layout.segments, settings.base
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                sink = pa.BufferOutputStream()
+                options = pa.ipc.IpcWriteOptions(compression="zstd")
+                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                    writer.write_batch(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk]), pa.array([-1], pa.int32()),
+                     pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                    names=["chunk", "segment", "data"])
+                chunk += 1
+
+    kinds = "chunk bigint, segment int, data binary"
+    # Written, so that every reader meets the same chunks under the same numbers.
+    chunks = written(rows.mapInArrow(pack, kinds), "chunks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grams, cuts = _asked(_chunk(batch.column(2)[i].as_py()), order, segments)
+                some = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), batch.column(0)[i].as_py())),
+                     pa.array(some.astype(np.int32)),
+                     pa.array([grams[cuts[k]:cuts[k + 1]].tobytes() for k in some], pa.binary())],
+                    names=["chunk", "segment", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.zeros(layout.width // 8, dtype=np.uint8)
+        now, filter_ = None, None
+        for batch in batches:
+            chunk, segment, out = [], [], []
+            for i in range(batch.num_rows):
+                place, data = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                asker = batch.column(0)[i].as_py()
+                if place != now:
+                    now, filter_ = place, Filter(empty, 1, layout.hashes, base)
+                if asker < 0:
+                    filter_ = Filter(np.frombuffer(data, np.uint8), 1, layout.hashes, base)
+                    continue
+                found = filter_.read_levels(np.frombuffer(data, dtype=np.uint64))
+                chunk.append(asker)
+                segment.append(place)
+                out.append(found.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chunk, pa.int64()), pa.array(segment, pa.int32()),
+                 pa.array(out, pa.binary())], names=["chunk", "segment", "data"])
+
+    # The segment itself sorts before those who ask it.
+    bits = filled(merged, layout).select(
+        F.lit(-1).cast("bigint").alias("chunk"), "segment", F.col("bits").alias("data"))
+    met = bits.unionByName(chunks.mapInArrow(ask, kinds)).repartition(
+        width, "segment").sortWithinPartitions("segment", "chunk")
+    return chunks.unionByName(met.mapInArrow(answer, kinds)).repartition(
+        width, "chunk").sortWithinPartitions("chunk", "segment")
+
+
+def chunks_with_answers(
+    batches: Iterator[pa.RecordBatch], settings: Settings, segments: int
+) -> Iterator[tuple[pa.RecordBatch, Answers]]:
+    """The chunks of a sorted partition of ``answered``."""
+    def told(data: bytes, found: list[bytes]) -> tuple[pa.RecordBatch, Answers]:
+        part = _chunk(data)
+        grams, _ = _asked(part, settings.order, segments)
+        return part, Answers(grams, np.frombuffer(b"".join(found), np.uint8), settings.base)
+
+    data, found = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            value = batch.column(2)[i].as_py()
+            if batch.column(1)[i].as_py() >= 0:
+                found.append(value)
+                continue
+            if data is not None:
+                yield told(data, found)
+            data, found = value, []
+    if data is not None:
+        yield told(data, found)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -264,7 +418,7 @@ def _summed(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def log_probabilities(
-    found: list[np.ndarray], documents: np.ndarray, filter_: Filter, tokens: int, distinct: int,
+    found: list[np.ndarray], documents: np.ndarray, filter_: Filter | Answers, tokens: int, distinct: int,
     mu: float,
 ) -> np.ndarray:
     """log10 p of every token given the words before it, from readings of the filter."""
@@ -294,47 +448,56 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     counts = written(count_words(training), "word-counts")
     total = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).head()
     tokens, distinct = int(total.tokens or 0), int(total.distinct)
-    filter_ = spark.sparkContext.broadcast(build_filter(training, tokens, settings))
+    merged, segments, keys = distinct_ngrams(training, tokens, settings)
+    bits = wanted_bits(segments, keys, settings)
+    layout, small = Layout.of(segments, keys, bits), bits <= 8 * settings.most_bytes
+    filter_ = spark.sparkContext.broadcast(gathered(merged, layout, settings.base)) if small else None
     # A share of 1 / frequent: no more than ``frequent`` words can have it.
     least = max(1, -(-tokens // settings.frequent))
     table = counts.filter(F.col("n") >= least).toPandas().sort_values("word")
     frequent = spark.sparkContext.broadcast((table["word"].to_numpy(), table["n"].to_numpy()))
     order, mu, whole = settings.order, settings.mu, tokens + 0.1 * (distinct + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = frequent.value
+    def with_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Filter]]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                found, documents = ngrams(part.column(2), order)
-                size = part.num_rows
-                place = np.minimum(np.searchsorted(words, found[0].view(np.int64)), len(words) - 1)
-                usual = words[place] == found[0].view(np.int64) if len(words) else np.zeros(
-                    len(documents), dtype=bool)
-                usual_n = np.where(usual, n[place], 0) if len(words) else np.zeros(len(documents))
-                base = np.where(usual, np.log10((usual_n + 0.1) / whole if whole else 1.0), 0.0)
-                p = log_probabilities(found, documents, filter_.value, tokens, distinct, mu) if (
-                    tokens) else np.zeros(len(documents))
+                yield part, filter_.value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = frequent.value
+        parts = with_filter(batches) if small else chunks_with_answers(batches, settings, segments)
+        for part, counted in parts:
+            found, documents = ngrams(part.column(2), order)
+            size = part.num_rows
+            place = np.minimum(np.searchsorted(words, found[0].view(np.int64)), len(words) - 1)
+            usual = words[place] == found[0].view(np.int64) if len(words) else np.zeros(
+                len(documents), dtype=bool)
+            usual_n = np.where(usual, n[place], 0) if len(words) else np.zeros(len(documents))
+            base = np.where(usual, np.log10((usual_n + 0.1) / whole if whole else 1.0), 0.0)
+            p = log_probabilities(found, documents, counted, tokens, distinct, mu) if (
+                tokens) else np.zeros(len(documents))
+            yield _rows(part, {
+                "word": None,
+                "n_tokens": np.bincount(documents, minlength=size),
+                "n_known": np.bincount(documents[usual], minlength=size),
+                "base": np.bincount(documents, weights=base, minlength=size),
+                "score": np.bincount(documents, weights=p, minlength=size)}, np.arange(size))
+            rare, at = found[0][~usual], documents[~usual]
+            if len(rare):
+                order_ = np.lexsort((rare, at))
+                rare, at = rare[order_], at[order_]
+                begin = np.flatnonzero(np.concatenate(
+                    [[True], (rare[1:] != rare[:-1]) | (at[1:] != at[:-1])]))
                 yield _rows(part, {
-                    "word": None,
-                    "n_tokens": np.bincount(documents, minlength=size),
-                    "n_known": np.bincount(documents[usual], minlength=size),
-                    "base": np.bincount(documents, weights=base, minlength=size),
-                    "score": np.bincount(documents, weights=p, minlength=size)}, np.arange(size))
-                rare, at = found[0][~usual], documents[~usual]
-                if len(rare):
-                    order_ = np.lexsort((rare, at))
-                    rare, at = rare[order_], at[order_]
-                    begin = np.flatnonzero(np.concatenate(
-                        [[True], (rare[1:] != rare[:-1]) | (at[1:] != at[:-1])]))
-                    yield _rows(part, {
-                        "word": rare[begin].view(np.int64),
-                        "n_tokens": np.diff(np.append(begin, len(rare))),
-                        "n_known": None, "base": None, "score": None}, at[begin])
+                    "word": rare[begin].view(np.int64),
+                    "n_tokens": np.diff(np.append(begin, len(rare))),
+                    "n_known": None, "base": None, "score": None}, at[begin])
 
     # Rows of a document with its sums, and one per word that is not frequent. The former carry
     # their own key in ``word`` and a kind that no count has, so none is dealt to one task.
     marked = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    seen = marked.mapInArrow(
+    source = marked if small else answered(marked, merged, layout, settings)
+    seen = source.mapInArrow(
         run, "doc_id bigint, key bigint, word bigint, own boolean, n_tokens bigint, n_known bigint, "
         "base double, score double")
     known = counts.filter(F.col("n") < least).select("word", "n", F.lit(False).alias("own"))

@@ -96,6 +96,19 @@ def test_readings_are_never_too_low(spark):
         assert len(filter_.bits) <= settings.get("most_bytes", 1 << 30) + filter_.segments
 
 
+def test_a_filter_above_the_broadcast_bound_keeps_its_bits(spark):
+    """Segments that stay in tasks give the scores of the whole filter, which 60 bytes would not."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 60)), "en", "a", 1) for i in range(80)]
+    df = cases.docs(spark, [*rows, *cases.ROWS]).repartition(5)
+    for settings in ({}, {"segment_keys": 2000}, {"segment_keys": 2000, "frequent": 3}):
+        whole = cases.table(ngram_lm.score_texts(df, Settings(**settings)))
+        parts = cases.table(ngram_lm.score_texts(df, Settings(most_bytes=60, **settings)))
+        assert [row[:5] for row in parts] == [row[:5] for row in whole]
+        for mine, other in zip(parts, whole):
+            assert mine[5:] == pytest.approx(other[5:], rel=1e-9)
+
+
 def test_levels():
     values = level_values(1.5)
     assert values[levels(np.arange(1, 5), 1.5)].tolist() == [1, 2, 3, 4.5]
