@@ -12,6 +12,12 @@ meet, a part is entered once for each of its bits with that bit left out. A pair
 places and is judged in one: the first table in which it meets, at the bit that differs, or at the
 first bit if none does. So links can be counted where they are found, and no pair leaves a task.
 
+How far the codes of two linked vectors differ depends on the data: vectors with a common direction
+lie close together and their codes split what is left. So the search is fitted on the sample, on
+pairs moved to a cosine of exactly ``least``: as many codes with rotations of their own are taken,
+each with its parts, as meet ``recall`` of these pairs, and ``radius`` grows to the bits in which
+they differ. Where ``most_codes`` do not reach it, every pair of a label is judged.
+
 First only codes are dealt out, and members without a partner within ``radius`` bits go; then those
 left bring their original vectors, and cosines are computed in double precision. Equal vectors are
 one node from the start and are counted by their number. Groups above ``block`` members are dealt
@@ -24,7 +30,7 @@ and rows with a NULL label, link with nothing. Rows of one id are vectors of the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +55,9 @@ class Quantisation:
     rounds: int = 40
     block: int = 4096
     seed: int = 6
+    recall: float = 0.99
+    most_codes: int = 12
+    pairs: int = 2000
 
 
 @dataclass(frozen=True)
@@ -89,11 +98,69 @@ def part_bits(bits: int, tables: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
+@dataclass(frozen=True)
+class Search:
+    """Codes, their parts (bits of the second code are counted from 64 on) and the bits that may
+    differ; ``recall`` is the share of fitted pairs that this meets."""
+
+    coders: list[Coder]
+    parts: list[tuple[int, int]]
+    radius: int
+    recall: float
+
+    def codes(self, vectors: np.ndarray) -> np.ndarray:
+        """One row of codes per coder."""
+        return np.array([coder.codes(vectors) for coder in self.coders])
+
+
+def moved_pairs(points: np.ndarray, settings: Quantisation) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sampled vectors and others at a cosine of ``least``: towards other vectors, and anywhere."""
+    draw = np.random.default_rng(settings.seed)
+    points = unit(points)
+    one = points[draw.integers(0, len(points), settings.pairs)]
+    noise = draw.normal(size=one.shape)
+    out = []
+    for aim in (points[draw.integers(0, len(points), settings.pairs)] + 1e-6 * noise, noise):
+        aim = aim - (aim * one).sum(axis=1, keepdims=True) * one
+        length = np.sqrt((aim * aim).sum(axis=1, keepdims=True))
+        aim = np.divide(aim, length, out=np.zeros_like(aim), where=length > 0)
+        out.append((one, settings.least * one + np.sqrt(1 - settings.least ** 2) * aim))
+    return out
+
+
+def fit(points: np.ndarray, settings: Quantisation) -> Search:
+    """As few codes as meet the recall; else one place in which all pairs meet."""
+    pairs = moved_pairs(points, settings)
+    bits = min(settings.bits, points.shape[1])
+    coders, parts = [], []
+    met = [np.zeros(settings.pairs, dtype=bool) for _ in pairs]
+    differ = [np.zeros(settings.pairs, dtype=np.int64) for _ in pairs]
+    for k in range(settings.most_codes):
+        coders.append(learn(points, replace(settings, seed=settings.seed + k)))
+        own = part_bits(bits, settings.tables)
+        parts += [(64 * k + first, width) for first, width in own]
+        for i, (one, two) in enumerate(pairs):
+            bits_apart = coders[-1].codes(one) ^ coders[-1].codes(two)
+            differ[i] += np.bitwise_count(bits_apart)
+            for first, width in own:
+                met[i] |= np.bitwise_count(_part(bits_apart, first, width)) <= 1
+        recall = float(min(m.mean() for m in met))
+        if recall >= settings.recall:
+            radius = max(settings.radius * (k + 1), *(int(d.max()) for d in differ))
+            return Search(coders, parts, radius, recall)
+    return Search(coders[:1] or [learn(points, settings)], [(0, 0)], 64, 1.0)
+
+
+def _part(codes: np.ndarray, first: int, width: int) -> np.ndarray:
+    """Bits of a part; codes have a row per coder, or are of one coder."""
+    return (np.atleast_2d(codes)[first // 64] >> np.uint64(first % 64)) & np.uint64((1 << width) - 1)
+
+
 def _places(codes: np.ndarray, parts: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
     """(table, bit left out, what is left of the part) for every place of every code."""
     for table, (first, width) in enumerate(parts):
-        part = (codes >> np.uint64(first)) & np.uint64((1 << width) - 1)
-        for bit in range(width):
+        part = _part(codes, first, width)
+        for bit in range(max(width, 1)):
             yield table, bit, part & np.uint64(~(1 << bit) & ((1 << width) - 1))
 
 
@@ -101,9 +168,9 @@ def _judged_here(
     differ: np.ndarray, parts: list[tuple[int, int]], table: int, bit: int
 ) -> np.ndarray:
     """Whether pairs whose codes differ in the bits ``differ`` are judged at this place."""
-    here = np.ones(differ.shape, dtype=bool)
+    here = np.ones(differ.shape[-1], dtype=bool)
     for t, (first, width) in enumerate(parts[:table + 1]):
-        part = (differ >> np.uint64(first)) & np.uint64((1 << width) - 1)
+        part = _part(differ, first, width)
         if t < table:
             here &= np.bitwise_count(part) > 1
         else:
@@ -111,24 +178,33 @@ def _judged_here(
     return here
 
 
-def _members(nodes: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """key, node, code, place for every place of every node (columns node, label, code)."""
+def _names(codes: int) -> list[str]:
+    return [f"code{i}" for i in range(codes)]
+
+
+def _codes(group: pa.Table, codes: int) -> np.ndarray:
+    return np.array([group.column(name).to_numpy().view(np.uint64) for name in _names(codes)])
+
+
+def _members(nodes: DataFrame, parts: list[tuple[int, int]], n: int) -> DataFrame:
+    """key, node, codes, place for every place of every node (columns node, label, codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, code = batch.column(0), batch.column(2)
-            codes = code.to_numpy().view(np.uint64)
+            node, code = batch.column(0), batch.columns[2:]
+            codes = np.array([c.to_numpy().view(np.uint64) for c in code])
             label = batch.column(1).to_numpy().astype(np.uint64)
             for table, bit, rest in _places(codes, parts):
                 place = table * 64 + bit
                 key = mix(mix(mix(label) + rest) + np.uint64(place))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), node, code,
-                     pa.array(np.full(len(codes), place, dtype=np.int32))],
-                    names=["key", "node", "code", "place"])
+                    [pa.array(key.view(np.int64)), node, *code,
+                     pa.array(np.full(len(node), place, dtype=np.int32))],
+                    names=["key", "node", *_names(n), "place"])
 
-    return nodes.select("node", "label", "code").mapInArrow(
-        run, "key bigint, node bigint, code bigint, place int")
+    kinds = "".join(f"{name} bigint, " for name in _names(n))
+    return nodes.select("node", "label", *_names(n)).mapInArrow(
+        run, f"key bigint, node bigint, {kinds}place int")
 
 
 def _dealt(members: DataFrame, block: int) -> DataFrame:
@@ -173,16 +249,19 @@ def _pairs(
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members within ``radius`` bits that are judged at this place, row by row blocks."""
     table, bit = divmod(place, 64)
-    for begin in range(0, len(codes), 512):
-        rows = np.arange(begin, min(begin + 512, len(codes)))
-        differ = codes[rows, None] ^ codes[None, :]
-        near = np.bitwise_count(differ) <= radius
-        near &= rows[:, None] < np.arange(len(codes))[None, :]
+    size = codes.shape[1]
+    for begin in range(0, size, 512):
+        rows = np.arange(begin, min(begin + 512, size))
+        apart = np.bitwise_count(codes[0, rows, None] ^ codes[0, None, :])
+        for more in codes[1:]:
+            apart = apart + np.bitwise_count(more[rows, None] ^ more[None, :]).astype(np.uint16)
+        near = apart <= radius
+        near &= rows[:, None] < np.arange(size)[None, :]
         if cross:
             near &= mine[rows, None] != mine[None, :]
         one, two = np.nonzero(near)
         if len(one):
-            kept = _judged_here(differ[one, two], parts, table, bit)
+            kept = _judged_here(codes[:, rows[one]] ^ codes[:, two], parts, table, bit)
             yield rows[one[kept]], two[kept]
 
 
@@ -206,43 +285,46 @@ def link_vectors(
         return alone.select(
             "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
             F.lit(True).alias("kept"))
-    coder = learn(sample(rows.filter("fit"), "vec_id", "v", size, settings.sample, settings.seed),
-                  settings)
-    parts = part_bits(min(settings.bits, size), settings.tables)
+    search = fit(sample(rows.filter("fit"), "vec_id", "v", size, settings.sample, settings.seed),
+                 settings)
+    parts, n_codes = search.parts, len(search.coders)
+    names = _names(n_codes)
+    code_kinds = ", ".join(f"{name} bigint" for name in names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = column_matrix(batch.column(1), size)
-            codes = coder.codes(vectors) if len(vectors) else np.empty(0, np.uint64)
+            codes = search.codes(vectors) if len(vectors) else np.empty((n_codes, 0), np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([v.tobytes() for v in vectors], pa.binary()),
-                 *(batch.column(i) for i in (2, 3, 4)), pa.array(codes.view(np.int64))],
-                names=["node", "v", "label", "lowest", "copies", "code"])
+                 *(batch.column(i) for i in (2, 3, 4)),
+                 *(pa.array(code.view(np.int64)) for code in codes)],
+                names=["node", "v", "label", "lowest", "copies", *names])
 
     nodes = written(groups.select("node", "v", "label", "lowest", "copies").mapInArrow(
-        encode, "node bigint, v binary, label bigint, lowest bigint, copies bigint, code bigint"),
-        "codes")
+        encode,
+        f"node bigint, v binary, label bigint, lowest bigint, copies bigint, {code_kinds}"), "codes")
 
-    radius, least = settings.radius, settings.least
+    radius, least = search.radius, settings.least
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            code = group.column("code").to_numpy().view(np.uint64)
+            code = _codes(group, n_codes)
             mine, cross = group.column("mine").to_numpy(), group.column("cross")[0].as_py()
             place = group.column("place")[0].as_py()
-            seen = np.zeros(len(code), dtype=bool)
+            seen = np.zeros(group.num_rows, dtype=bool)
             for one, two in _pairs(code, mine, cross, parts, place, radius):
                 seen[one] = seen[two] = True
             if seen.any():
                 yield from group.filter(pa.array(seen)).combine_chunks().to_batches()
 
-    slim = ["node", "code", "place", "mine", "cross"]
-    kinds = "pair bigint, node bigint, code bigint, place int, mine int, cross boolean"
-    close = _gather(_dealt(_members(nodes, parts), settings.block), slim).mapInArrow(partners, kinds)
+    slim = ["node", *names, "place", "mine", "cross"]
+    kinds = f"pair bigint, node bigint, {code_kinds}, place int, mine int, cross boolean"
+    close = _gather(_dealt(_members(nodes, parts, n_codes), settings.block), slim).mapInArrow(partners, kinds)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            code = group.column("code").to_numpy().view(np.uint64)
+            code = _codes(group, n_codes)
             mine, cross = group.column("mine").to_numpy(), group.column("cross")[0].as_py()
             place, node = group.column("place")[0].as_py(), group.column("node").to_numpy()
             copies = group.column("copies").to_numpy()

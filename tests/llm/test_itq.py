@@ -89,6 +89,27 @@ def test_clashing_columns(spark):
     assert cases.table(itq.link_vectors(df)) == expected(rows)
 
 
+@pytest.mark.parametrize("settings", [{}, {"most_codes": 1}])
+@pytest.mark.parametrize("mean_cosine", [0.8, 0.9])
+def test_links_of_vectors_with_a_common_direction(spark, mean_cosine, settings):
+    """Near pairs differ in many bits once the mean is taken off; with one code all pairs meet."""
+    rng = np.random.default_rng(8)
+    n, size = 500, 64
+    common = itq.unit(rng.normal(size=(1, size)))
+    one = itq.unit(np.sqrt(mean_cosine) * common
+                   + np.sqrt(1 - mean_cosine) * itq.unit(rng.normal(size=(n, size))))
+    aim = rng.normal(size=(n, size))
+    aim = itq.unit(aim - (aim * one).sum(axis=1, keepdims=True) * one)
+    two = 0.981 * one + np.sqrt(1 - 0.981 ** 2) * aim
+    points = np.float32(np.concatenate([one, two])).astype(float)
+    units = itq.unit(points)
+    near = (units @ units.T >= 0.98).sum() - len(points)
+    df = spark.createDataFrame(
+        [(i, v.tolist(), 1) for i, v in enumerate(points)], SCHEMA)
+    got = sum(r.n_links for r in itq.link_vectors(df, Quantisation(**settings)).collect())
+    assert near >= 2 * n and 0.97 * near <= got <= near
+
+
 def test_empty_table(spark):
     assert itq.link_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
