@@ -12,7 +12,7 @@ from calibrant.operators.staging import with_probability, with_verdict
 from calibrant.plans import sqltext as S
 from calibrant.plans.catalog_text import TRUTH, truths
 from calibrant.plans.fixtures import AUDITED, Tables, with_views
-from calibrant.plans.registry import query, rounded
+from calibrant.plans.registry import CHECKS, query, rounded
 from calibrant.schemas import BOOLEAN_CATEGORIES
 from calibrant.session import run_folder
 from calibrant.sources import judged as judged_source
@@ -194,6 +194,20 @@ def judge_messages(t: Tables):
                            F.startswith("content", F.lit("You are an expert")).alias("asks"))
 
 
+_SYSTEM = audit.SYSTEM_MESSAGE.replace("'", "''")
+
+
+@query("judge_messages_text", f"""WITH r AS ({CHECKS['judge_request']})
+    SELECT row_id, 'system' AS role, '{_SYSTEM}' AS content FROM r
+    UNION ALL SELECT row_id, 'user', request FROM r""")
+def judge_messages_text(t: Tables):
+    """Both messages of every request, with the completions and their probabilities."""
+    answers = with_probability(t.completions.select("row_id", "text"))
+    rows = truths(t).join(answers, "row_id")
+    return rows.select("row_id", F.inline(audit.judge_messages(
+        F.col("truth"), F.col("text"), F.col("prob"))))
+
+
 @query("flip_examples", with_views(
     """SELECT a.row_id, t.period, t.score, a.parsed_prob AS a_prob, a.why AS a_why,
        b.parsed_prob AS b_prob, b.why AS b_why FROM judged a JOIN judged b ON a.row_id = b.row_id

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
+from calibrant.functions import audit
 from calibrant.functions.extract import answer_region
 from calibrant.operators import judging, pairing, requests, trajectory
 from calibrant.operators.joins import salted_join
@@ -203,3 +205,11 @@ def test_salted_join_changes_no_rows(spark, how, expected):
     lookup = spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string")
     assert salted_join(rows, lookup, ["k"], how, "id").count() == expected
 
+
+def test_messages_of_every_request(spark, sf_dir):
+    queries = contract.queries()
+    rows = queries["judge_messages_text"](spark, sf_dir).collect()
+    requests_ = {r.row_id: r.request for r in queries["judge_request"](spark, sf_dir).collect()}
+    assert {r.row_id: r.content for r in rows if r.role == "user"} == requests_
+    assert {r.row_id for r in rows if r.content == audit.SYSTEM_MESSAGE} == set(requests_)
+    assert len(rows) == 2 * len(requests_) and any(i % 9 for i in requests_)
