@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions.scoring import calibration_bin
+from calibrant.operators.cleaning import demanded
 
 LEVEL = (0.025, 0.975)
 BUCKETS = 1024
@@ -62,7 +63,7 @@ def bucket_weights(reps: int, seed: int | str) -> np.ndarray:
 
 
 def bucket_of(row_id: str, seed: int | str) -> Column:
-    """The bucket of a row; rows with a NULL id share one."""
+    """The bucket of a row; rows with a NULL id would share one."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % BUCKETS).cast("int")
 
@@ -73,11 +74,13 @@ def replicate_sums(
 ) -> DataFrame:
     """``(by..., rep, weight, values...)``: weight and weighted sums per group and replicate.
 
-    ``values`` must not be NULL. Rows are summed per bucket before the shuffle; what is drawn for
+    ``values`` must not be NULL. A NULL id is refused: such rows would move together, and a group of
+    them would have an interval without width. Rows are summed per bucket before the shuffle; what is drawn for
     one group at a time is at most ``BUCKETS`` rows.
     """
     by, values = list(by), list(values)
-    sums = df.groupBy(*by, bucket_of(row_id, seed).alias("_bucket")).agg(
+    rows = demanded(df, F.col(row_id).isNotNull(), f"{row_id} is NULL: rows cannot be resampled")
+    sums = rows.groupBy(*by, bucket_of(row_id, seed).alias("_bucket")).agg(
         F.count(F.lit(1)).cast("double").alias("_rows"),
         *[F.sum(F.col(v).cast("double")).alias(v) for v in values])
     kinds = dict(sums.dtypes)

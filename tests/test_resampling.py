@@ -202,3 +202,10 @@ def test_estimates_are_of_the_data(spark):
     row = R.bootstrap_ci(frame(spark, p, y), reps=20).first()
     assert row["brier"] == pytest.approx(((p - y) ** 2).mean())
     assert row["ece"] == pytest.approx(ece(p, y))
+
+
+def test_rows_without_an_id_are_refused(spark):
+    rows = [("a", None, 0.25, 1), ("a", None, 0.5, 0), ("b", 1, 0.5, 1)]
+    df = spark.createDataFrame(rows, "variant string, row_id long, prob double, outcome int")
+    with pytest.raises(Exception, match="row_id is NULL"):
+        R.bootstrap_ci(df, reps=50).collect()
