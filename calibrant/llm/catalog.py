@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import bagminhash, byte_bpe, itq, mixing, ngram_lm, pii, quality, token_files, vector_search, warc
+from calibrant.llm import bagminhash, byte_bpe, chunk_recipes, itq, mixing, ngram_lm, pii, quality, token_files, vector_search, warc
 from calibrant.llm.tables import load
 
 QUERIES = {}
@@ -36,7 +36,8 @@ WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 #: All pairs with a shingle in common, by the definition of weighted Jaccard similarity.
 NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ 	-]+') AS words FROM documents),
+    '[^ 	-
+]+') AS words FROM documents),
   s AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 5
       THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
       WHEN len(words) > 0 THEN [concat(len(words), ' ', array_to_string(words, ' '))] ELSE [] END)
@@ -61,6 +62,13 @@ LINKED = """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[
   LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = r.a GROUP BY r.a"""
 
 
+COPIES = """WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+  g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body)
+  SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
+  FROM n JOIN g USING (body)"""
+
+
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(
@@ -112,3 +120,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(load(spark, sf_dir, "documents"))
+
+
+@query(sql=COPIES)
+def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_recipes.duplicate_table(load(spark, sf_dir, "documents"))
