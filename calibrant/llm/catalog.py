@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import bagminhash, byte_bpe, chunk_recipes, itq, mixing, ngram_lm, pii, quality, token_files, vector_search, warc
+from calibrant.llm import bagminhash, byte_bpe, chunk_recipes, itq, mixing, ngram_lm, pii, quality, token_alignment, token_files, vector_search, warc
 from calibrant.llm.tables import load
 
 QUERIES = {}
@@ -125,3 +125,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql=COPIES)
 def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.duplicate_table(load(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_table(
+        load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
