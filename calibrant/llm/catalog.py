@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import bagminhash, byte_bpe, chunk_recipes, itq, mixing, ngram_lm, pii, quality, token_alignment, token_files, vector_search, warc
+from calibrant.llm import bagminhash, byte_bpe, chunk_recipes, conversation_trie, itq, mixing, ngram_lm, pii, quality, token_alignment, token_files, vector_search, warc
 from calibrant.llm.tables import load
 
 QUERIES = {}
@@ -68,6 +68,42 @@ COPIES = """WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJK
   SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
   FROM n JOIN g USING (body)"""
 
+#: Nodes by whole prefixes; the ancestors of a node are the prefixes of its smallest member.
+TRIE = """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) AS rk
+    FROM conversations WHERE conv_id IS NOT NULL),
+  o AS (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id),
+  g AS (SELECT conv_id, own, conv_id - conv_id % 100 AS base, xor(CAST(4294967295 AS BIGINT),
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+      string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+      lambda crc, byte: list_reduce(
+        list_prepend(xor(crc, byte), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)))) % 6 AS h
+    FROM o),
+  c AS (SELECT g.conv_id, h, base, least(h, coalesce(b.own, 0)) AS n_head,
+    least(h, coalesce(b.own, 0)) + greatest(g.own - h, 0) AS total FROM g LEFT JOIN o b ON b.conv_id = base),
+  r AS (SELECT c.conv_id, rk AS pos, role, text FROM c JOIN t ON t.conv_id = base AND rk <= h
+    UNION ALL SELECT c.conv_id, rk - h + n_head, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND rk > h),
+  p AS (SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS chars FROM c UNION ALL
+    SELECT conv_id, pos, string_agg(concat(strlen(role), ':', role, strlen(text), ':', text), '')
+      OVER (PARTITION BY conv_id ORDER BY pos), length(text) FROM r),
+  n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(chars) * (count(*) - 1) AS saved FROM p GROUP BY depth, prefix),
+  m AS (SELECT p.conv_id AS member, p.depth, n.conv_id AS node FROM p JOIN n USING (depth, prefix)),
+  u AS (SELECT n.conv_id, n.depth, m.node AS parent_conv_id, n_convs, saved
+    FROM n LEFT JOIN m ON m.member = n.conv_id AND m.depth = n.depth - 1),
+  k AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM u
+    WHERE depth > 0 GROUP BY ALL),
+  w AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (conv_id, depth)),
+  s AS (SELECT m.node AS conv_id, m.depth, count(*) FILTER (n_children = 0) AS n_leaves,
+    CAST(sum(saved) AS BIGINT) AS saved_tokens FROM w JOIN m ON m.member = w.conv_id AND m.depth <= w.depth
+    GROUP BY ALL),
+  e AS (SELECT node AS conv_id, depth, sha256(string_agg(CAST(member AS VARCHAR), ',' ORDER BY member)) AS ends
+    FROM m JOIN c ON c.conv_id = member AND total = depth GROUP BY ALL)
+  SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens,
+    coalesce(ends, sha256('')) AS ends_sha256
+  FROM w JOIN s USING (conv_id, depth) LEFT JOIN e USING (conv_id, depth)"""
+
 
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +163,11 @@ def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.duplicate_table(load(spark, sf_dir, "documents"))
 
 
+@query(sql=TRIE)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie_table(load(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.link_table(
