@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from calibrant.operators.ranks import every, first, select_ranks
 from calibrant.session import freeze, stored
 
 _PREFIX_DIGITS = 4
@@ -56,33 +57,25 @@ def with_row_index(
     )
 
 
-def _picked(df: DataFrame, order_by: Sequence[str], keep: Column) -> DataFrame:
-    """Rows whose position ``_row`` in the order meets ``keep``.
-
-    Only the columns of the order are sorted and stored; the rows are met by a semi-join on them, so
-    the order has to end with a unique column.
-    """
-    keys = with_row_index(df.select(*order_by), order_by, name="_row").where(keep).drop("_row")
-    keys = keys.withColumnsRenamed({c: f"_key{i}" for i, c in enumerate(order_by)})
-    same = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(order_by)]
-    return df.join(keys, reduce(and_, same), "left_semi")
-
-
 def stride_sample(
     df: DataFrame, stride: int, order_by: Sequence[str], index: str | None = None
 ) -> DataFrame:
-    """Every ``stride``-th row of the order, from the first on.
+    """Every ``stride``-th row of the order, from the first on: ceil(rows / stride) of them.
 
-    Give ``index`` when the rows already carry a dense position: then nothing is sorted.
+    Rows that tie in the order come in the order of a hash of the whole row. Give ``index`` when the
+    rows already carry a dense position: then nothing is searched.
     """
     if index:
         return df.where(F.col(index) % stride == 0)
-    return df if stride <= 1 else _picked(df, order_by, F.col("_row") % stride == 0)
+    return df if stride <= 1 else select_ranks(df, order_by, every(stride))
 
 
 def take_first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows of the order, in no order; all rows when ``n`` is not positive."""
-    return _picked(df, order_by, F.col("_row") < n) if n > 0 else df
+    """The first ``n`` rows of the order, in no order; all rows when ``n`` is not positive.
+
+    Never more than ``n``: of rows that tie at the cut, those with the smaller hash are taken.
+    """
+    return select_ranks(df, order_by, first(n)) if n > 0 else df
 
 
 def seeded_sample_n(df: DataFrame, n: int, row_id: str, seed: int | str) -> DataFrame:
