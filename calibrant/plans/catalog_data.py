@@ -247,6 +247,28 @@ def take_first_n(t: Tables):
     return sampling.take_first_n(t.plays, 128, ["row_id"]).select("row_id", "season")
 
 
+TIED = ["season", "qtr"]
+
+
+@query("take_first_n_ties", with_views(
+    """SELECT season, qtr, count(*) AS rows_taken FROM (
+       SELECT season, qtr FROM plays ORDER BY season NULLS FIRST, qtr NULLS FIRST LIMIT 1000) s
+       GROUP BY season, qtr""", "plays"))
+def take_first_n_ties(t: Tables):
+    """An order with many ties: which tied rows come is a matter of a hash, how many is not."""
+    return sampling.take_first_n(t.plays, 1000, TIED).groupBy(*TIED).agg(
+        F.count(F.lit(1)).alias("rows_taken"))
+
+
+@query("stride_sample_ties", with_views(
+    """SELECT season, qtr, count(*) AS rows_taken FROM (SELECT season, qtr,
+       row_number() OVER (ORDER BY season NULLS FIRST, qtr NULLS FIRST) - 1 AS i FROM plays) s
+       WHERE i % 8 = 0 GROUP BY season, qtr""", "plays"))
+def stride_sample_ties(t: Tables):
+    return sampling.stride_sample(t.plays, 8, TIED).groupBy(*TIED).agg(
+        F.count(F.lit(1)).alias("rows_taken"))
+
+
 @query("seeded_sample_n", with_views(
     """SELECT row_id, outcome FROM labelled
        ORDER BY md5(concat('1234|', CAST(row_id AS STRING))), row_id LIMIT 128""", "labelled"))

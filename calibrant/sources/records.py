@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibrant.operators.cleaning import leak_guard
-from calibrant.operators.rates import RateKey, backoff_lookup
+from calibrant.operators.rates import RateKey, Target, longest_prefixes
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -39,10 +39,9 @@ def attach_targets(
     rows: DataFrame, tables: Sequence[tuple[str, DataFrame, Sequence[RateKey]]],
     decimals: int | None = 5,
 ) -> DataFrame:
-    """Rows with one target column per ``(name, rate table, keys)``."""
-    for name, table, keys in tables:
-        rows = backoff_lookup(rows, table, keys, name, decimals).drop(f"{name}_level")
-    return rows
+    """Rows with one target column per ``(name, rate table, keys)``, all looked up together."""
+    targets = [Target(*table) for table in tables]
+    return longest_prefixes(rows, targets, decimals).drop(*[f"{t.name}_level" for t in targets])
 
 
 def rewrite_with_targets(

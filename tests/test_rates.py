@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibrant.operators.rates import RateKey, backoff_lookup, coarser, rate_table, state_keys
+from calibrant.operators.rates import (
+    RateKey, Target, backoff_lookup, coarser, longest_prefixes, rate_table, state_keys,
+)
 
 NAMES = ["a", "b", "c"]
 
@@ -127,3 +129,44 @@ def test_unknown_downs_are_null(spark):
     key = state_keys(F.lit(0), F.lit(0), F.lit(0.0), F.lit(50), F.col("id"))[-1]
     got = spark.range(8, 12).select(key.column).collect()
     assert [r[0] for r in got] == [8, 9, None, None]
+
+
+@pytest.mark.parametrize("most_rows", [1 << 18, 0])
+def test_many_targets_together(spark, most_rows):
+    """Both ways give what one look-up per target gives; within the bound the rows are scanned once."""
+    rows = [(i, i % 5 if i % 7 else None, (-0.0 if i % 2 else 0.0) if i % 3 else 1.5, "x" if i % 4 else "1:y", i % 2)
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, a int, b double, c string, outcome int")
+    fine = [RateKey("ka", F.col("a")), RateKey("kb", F.col("b")), RateKey("kc", F.col("c"))]
+    other = [RateKey("kc", F.col("c")), RateKey("ka", F.col("a") + 1)]
+    train = df.where("row_id < 60")
+    targets = [Target("fine", rate_table(train, fine), fine), Target("other", rate_table(train, other), other),
+               Target("none", rate_table(train, []), [])]
+    asked = df.union(spark.createDataFrame([(900, 77, 2.0, "new", 0), (901, None, None, None, 1)], df.schema))
+    got = {r["row_id"]: r for r in longest_prefixes(asked, targets, most_rows=most_rows).collect()}
+    assert len(got) == 402
+    for target in targets:
+        table = {}
+        for r in target.table.collect():
+            key = tuple(None if r[k.name] is None else r[k.name] + 0.0 if isinstance(r[k.name], float) else r[k.name]
+                        for k in target.keys[:r["level"]])
+            table[key] = r["phat"]
+        for i, a, b, c, _ in rows + [(900, 77, 2.0, "new", 0), (901, None, None, None, 1)]:
+            b = None if b is None else b + 0.0
+            state = {"fine": (a, b, c), "other": (c, None if a is None else a + 1), "none": ()}[target.name]
+            depth = max(d for d in range(len(state) + 1) if state[:d] in table)
+            assert got[i][target.name] == table[state[:depth]] and got[i][f"{target.name}_level"] == depth
+
+
+def test_one_scan_for_any_number_of_targets(spark, tmp_path):
+    spark.range(500).select(
+        "id", (F.col("id") % 3).alias("a"), (F.col("id") % 2).cast("int").alias("outcome")
+    ).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    keys = [RateKey("ka", F.col("a"))]
+    table = rate_table(df, keys)
+    for n in (1, 2, 4):
+        looked = longest_prefixes(df, [Target(f"t{i}", table, keys) for i in range(n)])
+        plan = looked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("tmp_path") + plan.count(str(tmp_path / "rows")) == 1
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
