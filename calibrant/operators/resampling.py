@@ -100,7 +100,7 @@ def replicate_sums(
     return sums.groupBy(*by).applyInArrow(draw, schema)
 
 
-def _estimate(value: Column, name: str) -> list[Column]:
+def replicate_estimate(value: Column, name: str) -> list[Column]:
     """The value of the data and the 95 % bounds of its replicates, as aggregates."""
     replicate = F.col("rep") >= 0
     bounds = F.percentile(F.when(replicate, value), F.array(*[F.lit(q) for q in LEVEL]))
@@ -128,7 +128,7 @@ def bootstrap_statistics(
     sums = replicate_sums(rows, [*by, *within], list(values), row_id, reps, seed)
     replicates = sums.groupBy(*by, "rep").agg(*[c.alias(f"_{n}") for n, c in estimates.items()])
     return replicates.groupBy(*by).agg(
-        *[column for n in estimates for column in _estimate(F.col(f"_{n}"), n)])
+        *[column for n in estimates for column in replicate_estimate(F.col(f"_{n}"), n)])
 
 
 def bootstrap_ci(
@@ -152,7 +152,7 @@ def bootstrap_ci(
 def mean_intervals(sums: DataFrame, by: Sequence[str], mean: str = "mean") -> DataFrame:
     """``(by..., n, mean, lo, hi)`` from replicate sums with columns ``weight`` and ``x``."""
     n = F.max(F.when(F.col("rep") < 0, F.col("weight").cast("bigint"))).alias("n")
-    return sums.groupBy(*by).agg(n, *_estimate(F.try_divide("x", "weight"), mean)).select(
+    return sums.groupBy(*by).agg(n, *replicate_estimate(F.try_divide("x", "weight"), mean)).select(
         *by, "n", mean, F.col(f"{mean}_lo").alias("lo"), F.col(f"{mean}_hi").alias("hi"))
 
 

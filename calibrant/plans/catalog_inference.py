@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from calibrant.operators import calibration, pairing
 from calibrant.operators import resampling as R
+from calibrant.operators import resampling_exact as X
 from calibrant.plans import sqltext as S
 from calibrant.plans.catalog_scores import PAIRED
 from calibrant.plans.fixtures import Tables, with_views
@@ -61,7 +62,7 @@ def bootstrap_ci_cells(t: Tables):
               sum(weight) OVER (PARTITION BY variant, rep) AS whole FROM both_ WHERE weight > 0) w
           WHERE upto >= floor((whole + 1) / 2) AND upto - weight < floor(whole / 2) + 1
           GROUP BY variant, rep) r GROUP BY variant""", "preds",
-    lengths="SELECT variant, chars AS x, row_id FROM preds WHERE variant <> 'zeroshot'",
+    lengths="SELECT variant, chars AS x, row_id FROM preds",
     sums=S.replicate_sums("lengths", "variant, x, ", ["x"], REPS).replace(
         "sum(CAST(x AS DOUBLE)) AS x", "max(x) AS _x").replace("sum(w * x) AS x", "max(_x) AS _x"),
     both_="""SELECT variant, x, rep, weight FROM sums UNION ALL
@@ -70,10 +71,55 @@ def bootstrap_median(t: Tables):
     """A statistic that is no function of sums."""
     median = F.percentile("x", F.lit(0.5), F.col("weight").cast("bigint"))
     return rounded(R.bootstrap_statistics(
-        t.preds.where("variant != 'zeroshot'"), ["variant"], {}, {"median": median},
+        t.preds, ["variant"], {}, {"median": median},
         {"x": F.col("chars")}))
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _quantile_sql(q: float) -> str:
+    """Per replicate the rows at both sides of rank q (W - 1), interpolated."""
+    return f"""SELECT variant, rep, CAST({q} AS DOUBLE) AS quantile, any_value(whole) AS whole,
+      max(x) FILTER (WHERE upto - weight <= floor({q} * (whole - 1))
+        AND upto > floor({q} * (whole - 1))) AS below,
+      max(x) FILTER (WHERE upto - weight <= ceil({q} * (whole - 1))
+        AND upto > ceil({q} * (whole - 1))) AS above,
+      any_value({q} * (whole - 1) - floor({q} * (whole - 1))) AS share
+      FROM ranked GROUP BY variant, rep"""
+
+
+@query("bootstrap_quantiles", with_views(
+    """SELECT variant, quantile, CAST(max(whole) FILTER (rep < 0) AS BIGINT) AS n,
+       round(max(below + (above - below) * share) FILTER (rep < 0) + 1e-12, 6) AS estimate,
+       round(quantile_cont(below + (above - below) * share, 0.025) FILTER (rep >= 0) + 1e-12, 6) AS lo,
+       round(quantile_cont(below + (above - below) * share, 0.975) FILTER (rep >= 0) + 1e-12, 6) AS hi
+       FROM found GROUP BY variant, quantile""", "preds",
+    lengths="SELECT variant, chars AS x, row_id FROM preds WHERE chars IS NOT NULL",
+    sums=S.replicate_sums("lengths", "variant, x, ", ["x"], REPS).replace(
+        "sum(CAST(x AS DOUBLE)) AS x", "max(x) AS _x").replace("sum(w * x) AS x", "max(_x) AS _x"),
+    both_="""SELECT variant, x, rep, weight FROM sums UNION ALL
+      SELECT variant, x, -1, count(*) FROM lengths GROUP BY variant, x""",
+    ranked="""SELECT *, sum(weight) OVER (PARTITION BY variant, rep ORDER BY x) AS upto,
+      sum(weight) OVER (PARTITION BY variant, rep) AS whole FROM both_ WHERE weight > 0""",
+    found=" UNION ALL ".join(_quantile_sql(q) for q in QUARTILES)))
+def bootstrap_quantiles(t: Tables):
+    """Quartiles from sketches of the buckets: no value meets a replicate."""
+    return rounded(X.quantile_intervals(t.preds, ["variant"], "chars", QUARTILES), 6)
+
+
+@query("bootstrap_exact_n", with_views(
+    f"""SELECT variant, rep, CAST(count(*) AS DOUBLE) AS weight FROM scored
+        CROSS JOIN (SELECT unnest(range(-1, {REPS})) AS rep) r GROUP BY variant, rep""", "preds", scored=SCORED))
+def bootstrap_exact_n(t: Tables):
+    """Every replicate draws exactly the number of rows of its variant, in whole rows of each cell."""
+    p, y = F.col("prob"), F.col("outcome")
+    scored = t.preds.where(p.isNotNull() & y.isNotNull()).select("variant", p.alias("p"), y.alias("y"))
+    cells = X.multinomial_sums(scored, ["variant"], ["p"], ["y"], REPS)
+    return cells.where(F.col("weight") == F.floor("weight")).groupBy("variant", "rep").agg(
+        F.sum("weight").alias("weight"))
+
+
 @query("metrics_block_ci", with_views(
     f"""SELECT * FROM ({S.metrics(['n', 'brier', 'log_loss', 'accuracy', 'ece', 'mce',
                                    'reliability', 'resolution'])}) m
