@@ -40,7 +40,11 @@ HAS_CHECKSUMS = 0x80
 
 INDEX = "doc_id bigint, path string, part int, at bigint, n_tokens bigint"
 TOKENS = "doc_id bigint, part int, at bigint, n_tokens bigint, ids binary"
-_KNOWN_WORDS = 800_000
+#: Bytes of remembered words and their ids, with the objects around them; longer words are not kept.
+_KNOWN_BYTES = 160 << 20
+_LONGEST_KNOWN = 200
+#: New words of letters that are encoded as one text.
+_RUN = 2000
 _MARKS = b".,;:!?"
 
 
@@ -56,23 +60,40 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        vocabulary = self._library.get_vocab()
+        suffix = getattr(self._library.model, "end_of_word_suffix", None)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, number in vocabulary.items():
+            self._ends[number] = bool(suffix) and token.endswith(suffix)
         self._known: dict[bytes, bytes] = {}
+        self._size = 0
+
+    @property
+    def remembered_bytes(self) -> int:
+        return sum(map(_cost, self._known.items()))
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [text.split() for text in texts]
         new = set(itertools.chain.from_iterable(split)).difference(self._known)
-        if len(self._known) + len(new) > _KNOWN_WORDS:
+        if self._size > _KNOWN_BYTES:
             # Frequent words were met early, so the newer half goes.
             used = set(itertools.chain.from_iterable(split))
             for old in list(itertools.islice(reversed(self._known), len(self._known) // 2)):
                 if old not in used:
                     del self._known[old]
-        self._learn(new)
+            self._size = self.remembered_bytes
+        added = self._learn(new)
         known = self._known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        out = [b"".join(map(known, words)) for words in split]
+        for word in added:
+            if len(word) > _LONGEST_KNOWN:
+                del self._known[word]
+            else:
+                self._size += _cost((word, self._known[word]))
+        return out
 
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: set[bytes]) -> list[bytes]:
         """Encode words; what ends a word after its last letter or digit is a token run of its own,
         so a word with marks behind it is put together from both."""
         known, apart = self._known, []
@@ -86,12 +107,41 @@ class WordTokenizer:
             else:
                 single.add(word)
         todo = [word for word in single if word not in known]
-        found = self._library.encode_batch_fast(
-            [word.decode("utf-8") for word in todo], add_special_tokens=False)
-        for word, encoding in zip(todo, found):
+        letters, others = [], []
+        for word in todo:
+            text = word.decode("utf-8")
+            (letters if len(word) <= _LONGEST_KNOWN and text.isalpha() else others).append((word, text))
+        for begin in range(0, len(letters), _RUN):
+            if not self._run(letters[begin:begin + _RUN]):
+                others += letters[begin:begin + _RUN]
+        found = self._library.encode_batch_fast([text for _, text in others], add_special_tokens=False)
+        for (word, _), encoding in zip(others, found):
             known[word] = array("I", encoding.ids).tobytes()
         for word, core, marks in apart:
             known[word] = known[core] + known[marks]
+        return [*todo, *(word for word, _, _ in apart)]
+
+    def _run(self, words: list[tuple[bytes, str]]) -> bool:
+        """Words of letters encoded as one text and cut where a token ends a word.
+
+        Every word has a token that ends it; if there are more, as where normalising turns a letter
+        into one with a mark, nothing is learnt.
+        """
+        encoding = self._library.encode_batch_fast(
+            [" ".join([text for _, text in words])], add_special_tokens=False)[0]
+        ids = np.array(encoding.ids, dtype=np.uint32)
+        cuts = np.flatnonzero(self._ends[ids])
+        if len(cuts) != len(words) or cuts[-1] != len(ids) - 1:
+            return False
+        data, begin = ids.tobytes(), 0
+        for (word, _), end in zip(words, ((cuts + 1) * 4).tolist()):
+            self._known[word] = data[begin:end]
+            begin = end
+        return True
+
+
+def _cost(item: tuple[bytes, bytes]) -> int:
+    return 170 + len(item[0]) + len(item[1])
 
 
 def _ends_in_letter(word: bytes) -> bool:

@@ -118,3 +118,24 @@ def test_chosen_documents(spark):
 
 def test_empty_table(spark):
     assert token_files.token_table(cases.docs(spark, []), PATH).collect() == []
+
+
+def test_words_are_remembered_within_bytes(monkeypatch):
+    """Texts without blanks are one word each; none of them stays, and results are the library's."""
+    monkeypatch.setattr(token_files, "_KNOWN_BYTES", 1 << 20)
+    tool, library = token_files.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    for i in range(12):
+        texts = [f"日本語テキスト{j}です" * 300 for j in range(i * 5, i * 5 + 5)]
+        texts.append(" ".join(f"wörd{chr(97 + j % 26)}{'xyz'[j % 3] * (j % 11)}q, Ünï{i}é İ{j % 7} a.b" for j in range(900)))
+        for text, ids in zip(texts, tool.encode_all([text.encode() for text in texts])):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert tool.remembered_bytes <= 3 << 20 and max(map(len, tool._known)) <= 200
+
+
+def test_letters_that_normalising_splits():
+    tool, library = token_files.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    words = "İstanbul ﬁn ǅ ß STRASSE ά ϓ k̀ ａｂｃ 𝒳𝒴 ŉ ꟸ ᵃ".split()
+    for group in (words, words[::-1], *[[word] for word in words]):
+        text = " ".join(group)
+        got = tool.encode_all([text.encode()])[0]
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
