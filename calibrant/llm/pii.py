@@ -8,7 +8,7 @@ stands beside it. A segmentation scores the sum of its segments' weights, tokens
 score nothing, and one dynamic program over the zone chooses boundaries and kinds together.
 
 Weights are fitted by maximum likelihood over all segmentations, on a bounded sample of the zones
-in which the patterns find something (``training_zones``, smallest hash of the document id first),
+in which the patterns find something (``training_zones``, an equal share of each kind, by the hash of the zone),
 and on rewritten copies of them: other separators, spelt-out at signs and dots, as positives, and
 broken checksums, octets and digit counts as negatives. So the field finds personal data written in
 ways that the patterns do not cover. Without such zones it adds nothing.
@@ -18,13 +18,16 @@ Offsets count code points, ends are exclusive. NULL text is empty. Work is linea
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -375,8 +378,9 @@ def find_spans(text: str, field_: Field) -> list[tuple[str, int, int, bool]]:
     taken = sorted((start, end) for _, start, end in base)
     starts = [start for start, _ in taken]
     for begin, end in zones(text):
-        lowest = np.searchsorted(starts, begin)
-        inside = [span for span in taken[max(0, lowest - len(KINDS)):] if span[0] < end]
+        # Spans of one kind do not overlap, so at most one of each kind begins before the zone and reaches it.
+        lowest, highest = bisect.bisect_left(starts, begin), bisect.bisect_left(starts, end)
+        inside = taken[max(0, lowest - len(KINDS)):highest]
         if inside and inside[0][0] <= begin and max(e for _, e in inside) >= end:
             continue  # a pattern covers the zone
         zone = zone_of(text, begin, end)
@@ -389,27 +393,41 @@ def find_spans(text: str, field_: Field) -> list[tuple[str, int, int, bool]]:
 
 
 def learn(docs: DataFrame, training: Training = Training()) -> Field:
-    """Fit the field on zones of ``text`` in which the patterns find something."""
-    text = F.col("text").cast("string")
-    sample = (
-        docs.select(text.alias("text"), F.xxhash64("doc_id", text, F.lit(training.seed)).alias("o"))
-        .filter(F.col("text").isNotNull())
-        .mapInArrow(_zone_rows, "zone string, o bigint")
-        .orderBy("o", "zone").limit(training.training_zones))
-    return fit(training_texts([row.zone for row in sample.collect()], training), training)
-
-
-def _zone_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Short cuts of the text around pattern spans, at most 400 characters each."""
+    """Fit the field on zones of ``text`` in which the patterns find something.
+
+    Every kind gives the same share of ``training_zones``, distinct zones with the smallest hashes.
+    A task passes on that many of a kind at most, so neither a long document nor a frequent kind
+    fills the sample, and the driver gets ``training_zones`` rows whatever the input.
+    """
+    quota = max(1, training.training_zones // len(KINDS))
+    found = (
+        docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+        .mapInArrow(functools.partial(_zone_rows, quota=quota, seed=training.seed),
+                    "kind string, o bigint, zone string").dropDuplicates(["kind", "o"]))
+    turn = F.row_number().over(Window.partitionBy("kind").orderBy("o"))
+    sample = found.withColumn("turn", turn).where(F.col("turn") <= quota).select("kind", "o", "zone")
+    zones_ = [row.zone for row in sorted(sample.collect(), key=lambda row: (row.o, row.kind))]
+    return fit(training_texts(list(dict.fromkeys(zones_)), training), training)
+
+
+def _zone_rows(batches: Iterator[pa.RecordBatch], quota: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Short cuts of the text around pattern spans, at most 400 characters each: per kind the
+    ``quota`` distinct ones with the smallest hashes of a task."""
+    held: dict[str, dict[int, str]] = {kind: {} for kind in KINDS}
     for batch in batches:
-        rows, orders = [], []
-        for text, order in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for _, start, end in pattern_spans(text or ""):
+        for text in batch.column(0).to_pylist():
+            for kind, start, end in pattern_spans(text or ""):
                 if end - start <= 200:
-                    rows.append(text[max(0, start - 100):end + 100])
-                    orders.append(order)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.string()), pa.array(orders, pa.int64())], names=["zone", "o"])
+                    zone = text[max(0, start - 100):end + 100]
+                    order = xxhash.xxh64_intdigest(zone.encode("utf-8", "replace"), seed) - (1 << 63)
+                    held[kind][order] = zone
+                    if len(held[kind]) > 4 * quota:
+                        held[kind] = {o: held[kind][o] for o in sorted(held[kind])[:quota]}
+    rows = [(kind, o, zones_[o]) for kind, zones_ in held.items() for o in sorted(zones_)[:quota]]
+    kinds, orders, texts = zip(*rows) if rows else ((), (), ())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(kinds, pa.string()), pa.array(orders, pa.int64()), pa.array(texts, pa.string())],
+        names=["kind", "o", "zone"])
 
 
 def spans(field_: Field, text: str | Column = "text") -> Column:

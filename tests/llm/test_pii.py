@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -50,6 +51,31 @@ def test_long_texts_take_linear_work(text):
     find_spans(text, Field({"card": 1.0}))
 
 
+def test_many_spans_take_linear_work():
+    """Twice the text costs about twice the time, with a span in every zone."""
+    def seconds(repeats):
+        text, best = "x1y a@b.co word " * repeats, 1e9
+        for _ in range(2):
+            started = time.process_time()
+            assert sum(base for *_, base in find_spans(text, Field({"card": 1.0}))) == repeats
+            best = min(best, time.process_time() - started)
+        return best
+
+    assert seconds(16_000) <= 2.5 * seconds(8_000) + 0.05
+
+
+def test_zones_come_from_every_kind(spark):
+    """One long document cannot fill the sample."""
+    texts = [" ".join(f"a{i}@mail.example.com" for i in range(3000)), "at 10.1.2.3 it is", "call +1 (988) 555-2485 now",
+             "card 4111 1111 1111 1111 here"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = [row for batch in pii._zone_rows(
+        iter(docs.select("text").toArrow().to_batches()), quota=150, seed=1) for row in batch.to_pylist()]
+    counts = {kind: sum(row["kind"] == kind for row in rows) for kind in KINDS}
+    assert counts["email"] == 150 and min(counts.values()) >= 1
+    assert pii.learn(docs).weights == pii.learn(docs.repartition(3)).weights
+
+
 @pytest.fixture(scope="module")
 def field(spark):
     return pii.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
