@@ -262,6 +262,11 @@ class Encoder:
             except KeyError:
                 body = b"".join(known[c] if c in known else learnt[c] for c in rest)
             out.append(beginning[first] + body)
+        # A piece of a text without blanks can be as long as the text: used, not remembered.
+        for pieces in itertools.chain(split.values(), split_first.values()):
+            for long in pieces:
+                if len(long) > _LONGEST_KNOWN:
+                    self._known_pieces.pop(long, None)
         return out
 
     def _learn(self, split: Iterable[list[str]]) -> None:

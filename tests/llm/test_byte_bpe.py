@@ -109,3 +109,9 @@ def test_odd_rows(spark, library, clashing):
 
 def test_empty_table(spark):
     assert byte_bpe.round_trip(cases.docs(spark, []), PATH, PATTERN).collect() == []
+
+
+def test_long_pieces_are_not_remembered(encoder, library):
+    text = "日本語" * 3000 + " " + "x" * 900
+    assert ids(encoder, text) == library.encode_ordinary(text)
+    assert max(map(len, encoder._known_pieces)) <= byte_bpe._LONGEST_KNOWN
