@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from calibrant.operators.calibration import bin_stats, metrics_from_stats
 from calibrant.session import run_folder
 from calibrant.streaming import monitor
+from calibrant.streaming.table import BatchTable
 
 SCHEMA = "ts timestamp, variant string, prob double, outcome int"
 START = dt.datetime(2024, 1, 1)
@@ -57,3 +58,61 @@ def test_late_rows_are_dropped_and_counted(spark):
     first = monitor.latest_stats(spark, f"{folder}/table").groupBy("window_start").agg(
         F.sum("n").alias("n")).orderBy("window_start").collect()
     assert [r["n"] for r in first] == [1, 2, 1]
+
+
+def test_an_illegal_row_is_kept_and_the_stream_goes_on(spark):
+    source, folder = run_folder(spark, "source"), run_folder(spark, "monitor")
+    write(spark, source, [(1, "a", 0.5, 1), (2, "a", 1.7, 1), (3, "a", 0.25, 7)])
+    run(spark, source, folder)
+    write(spark, source, [(4, "a", 0.5, 0), (5, "b", float("nan"), 1), (2, "a", 1.7, 1), (9, "b", -0.1, 0)])
+    query = run(spark, source, folder)
+    assert query.exception() is None
+    write(spark, source, [(6, "a", 0.75, 1)])
+    run(spark, source, folder)
+    stats = monitor.latest_stats(spark, f"{folder}/table")
+    assert {r["variant"]: r["n"] for r in stats.groupBy("variant").agg(F.sum("n").alias("n")).collect()} == {"a": 3}
+    refused = monitor.refused_rows(spark, f"{folder}/table").select(
+        "variant", F.get_json_object("refused", "$.prob").cast("double").alias("p"),
+        F.get_json_object("refused", "$.outcome").cast("int").alias("y"), "rows").collect()
+    assert sorted(map(tuple, refused)) == [("a", 0.25, 7, 1), ("a", 1.7, 1, 2), ("b", -0.1, 0, 1)]
+
+
+def folders(table):
+    return [*table._names("batch-"), *table._names("merged-")]
+
+
+def test_many_batches_leave_few_folders(spark):
+    """Newest rows count, batches that run again change nothing, and folders are merged."""
+    table = BatchTable(spark, run_folder(spark, "merged"), ["k"], merge_every=5)
+    assert table.read() is None
+    for number in range(23):
+        batch = spark.createDataFrame([(number % 3, number), (100 + number, number)], "k int, v int").coalesce(1)
+        table.commit(batch, number)
+        if number in (7, 12):
+            table.commit(batch, number)          # not merged yet: takes the place of its first run
+            table.commit(batch, number - 6)      # merged: left out
+        assert len(folders(table)) <= 12
+    rows = {r["k"]: r["v"] for r in table.read().collect()}
+    assert rows == {0: 21, 1: 22, 2: 20} | {100 + i: i for i in range(23)}
+    assert len(table._names("manifest-")) == 2 and not table._names("_draft")
+
+
+def test_a_failed_merge_leaves_the_table_as_it_was(spark, monkeypatch):
+    table = BatchTable(spark, run_folder(spark, "failed"), ["k"], merge_every=3)
+    for number in range(2):
+        table.commit(spark.createDataFrame([(1, number)], "k int, v int"), number)
+    publish, calls = table._publish, []
+
+    def fails(manifest):
+        calls.append(manifest)
+        if manifest.merged:
+            raise OSError("lost")
+        publish(manifest)
+
+    monkeypatch.setattr(table, "_publish", fails)
+    with pytest.raises(OSError):
+        table.commit(spark.createDataFrame([(1, 2)], "k int, v int"), 2)
+    assert [tuple(r) for r in table.read().select("k", "v").collect()] == [(1, 2)]
+    monkeypatch.undo()
+    table.commit(spark.createDataFrame([(1, 3)], "k int, v int"), 3)
+    assert table.manifest().upto == 3 and [tuple(r) for r in table.read().select("k", "v").collect()] == [(1, 3)]
