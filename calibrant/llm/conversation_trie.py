@@ -189,11 +189,11 @@ def _root(nodes: DataFrame) -> Column:
 
 def subtree_sums(nodes: DataFrame, members: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """SUMS: childless nodes and saved characters in the subtree of every node."""
-    state = nodes.select(
+    state = written(nodes.select(
         *_KEY, F.col("parent_conv_id").alias("parent"), "mass",
         F.when(F.col("n_children") == 0, 1).otherwise(0).cast("bigint").alias("leaf"), "saved",
         _zero().alias("add_leaf"), _zero().alias("add_saved"),
-        _root(nodes).alias("top_conv"), _zero().alias("top_depth"))
+        _root(nodes).alias("top_conv"), _zero().alias("top_depth")), "parts")
     done, small = [], []
     while True:
         sizes = written(state.groupBy(*_TOP).agg(F.max("mass").alias("whole")), "components")
