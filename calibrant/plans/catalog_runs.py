@@ -17,7 +17,8 @@ from calibrant.plans.fixtures import Tables, with_views
 from calibrant.plans.registry import query, rounded
 from calibrant.session import run_folder
 from calibrant.sources import logs
-from calibrant.streaming import monitor
+from calibrant.functions.scoring import score_reward
+from calibrant.streaming import drain, monitor
 
 REQUESTS = f"""SELECT row_id, sha1(to_json({{'m': model, 'p': prompt, 'max_tokens': 900,
     'sys': 'be brief', 'temperature': 0.7::DOUBLE, 'top_p': 0.95::DOUBLE}})) AS key FROM (SELECT row_id, {S.PROMPT} AS prompt,
@@ -224,3 +225,36 @@ def stream_calibration(t: Tables):
     return rounded(scores.select(
         day.cast("string").alias("day"), "variant", "n", "brier",
         "log_loss", "accuracy", "ece", "mce"))
+
+
+_ANSWERED = """SELECT *, CASE WHEN prob IS NOT NULL THEN least(greatest(prob, 0.01e0), 0.99e0) END AS p
+  FROM (SELECT CAST(floor(date_part('epoch', ts)) AS BIGINT) // 86400 AS step, length(props) AS chars,
+    CASE WHEN event_id % 11 <> 0 THEN CAST(CAST(floor(value) AS BIGINT) % 101 AS DOUBLE) / 100 END AS prob,
+    CAST(json_extract_string(props, '$.k') AS INT) % 2 AS outcome FROM events) e"""
+
+
+@query("stream_reward_telemetry", with_views(
+    f"""SELECT step, count(*) AS answers, round(avg(CAST(prob IS NOT NULL AS INT)) + 1e-12, 9) AS format_success_rate,
+        round(avg(chars) + 1e-12, 9) AS mean_completion_chars,
+        round(avg(1 - (p - outcome) ** 2) + 1e-12, 9) AS mean_brier_reward,
+        round(avg(1 - (p - outcome) ** 2) + 1e-12, 9) AS mean_reward,
+        round(avg(p) + 1e-12, 9) AS mean_predicted_prob, round(avg(abs(p - 0.5e0)) + 1e-12, 9) AS mean_confidence,
+        round(stddev_pop(p) + 1e-12, 9) AS pred_prob_std, max(batch_ece) AS batch_ece FROM answered
+        LEFT JOIN (SELECT step, CASE WHEN sum(n) >= 20
+          THEN round(sum(abs(gap)) / sum(n) + 1e-12, 9) END AS batch_ece
+          FROM (SELECT step, {S.grid_bin('p')} AS bin, sum(p - outcome) AS gap, count(p) AS n
+            FROM answered WHERE p IS NOT NULL GROUP BY ALL) b GROUP BY step) e USING (step)
+        GROUP BY step""", answered=_ANSWERED))
+def stream_reward_telemetry(t: Tables):
+    """Events as scored answers, drained step by step from a stream."""
+    schema = t.read("events").schema
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    ts = F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp")
+    prob = F.when(F.col("event_id") % 11 != 0, (F.floor("value") % 101).cast("double") / 100)
+    outcome = F.get_json_object("props", "$.k").cast("int") % 2
+    scored = stream.select(
+        ts.alias("ts"), F.floor(F.unix_seconds(ts) / 86400).alias("step"), score_reward(prob, outcome).alias("reward"),
+        outcome.alias("outcome"), F.length("props").alias("chars"))
+    folder = run_folder(t.spark, "drain")
+    drain.start_drain(drain.drained_telemetry(scored), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return rounded(drain.latest_figures(t.spark, f"{folder}/table").drop("closed"))

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from calibrant.operators.calibration import bin_stats, metrics_from_stats
+from calibrant.functions.scoring import score_reward_fn
+from calibrant.operators.telemetry import reward_telemetry
 from calibrant.session import run_folder
-from calibrant.streaming import monitor
+from calibrant.streaming import drain, monitor
 from calibrant.streaming.table import BatchTable
 
 SCHEMA = "ts timestamp, variant string, prob double, outcome int"
@@ -116,3 +118,40 @@ def test_a_failed_merge_leaves_the_table_as_it_was(spark, monkeypatch):
     monkeypatch.undo()
     table.commit(spark.createDataFrame([(1, 3)], "k int, v int"), 3)
     assert table.manifest().upto == 3 and [tuple(r) for r in table.read().select("k", "v").collect()] == [(1, 3)]
+
+
+SCORED = "ts timestamp, step long, text string, outcome int"
+
+
+def answers(spark, path, rows):
+    spark.createDataFrame(
+        [(START + dt.timedelta(minutes=m), step, text, y) for m, step, text, y in rows], SCORED
+    ).coalesce(1).write.mode("append").parquet(path)
+
+
+def scored(df):
+    reward = score_reward_fn()(F.col("text"), F.col("outcome"))
+    return df.select("ts", "step", reward.alias("reward"), "outcome", F.length("text").alias("chars"))
+
+
+def test_drain_equals_the_batch_and_survives_restarts(spark):
+    source, folder = run_folder(spark, "answers"), run_folder(spark, "drain")
+    rows = [(m, m // 60, "no idea" if m % 7 == 0 else f"Final: {m * 37 % 101}%", m % 2) for m in range(0, 600, 2)]
+    rows += [(601, 10, f"Final: {i}%", 1) for i in range(19)] + [(602, 11, "nothing", 0)]
+    for begin in range(0, len(rows), 110):   # a new query each time goes on from the state of the last
+        answers(spark, source, rows[begin:begin + 110])
+        stream = spark.readStream.schema(SCORED).parquet(source)
+        figures = drain.drained_telemetry(scored(stream), lateness="10 minutes", patience_seconds=1800)
+        query = drain.start_drain(figures, f"{folder}/table", f"{folder}/state", merge_every=3)
+        query.awaitTermination()
+        assert query.exception() is None
+    got = {r["step"]: r for r in drain.latest_figures(spark, f"{folder}/table").collect()}
+    batch = spark.read.parquet(source)
+    want = {r["step"]: r for r in reward_telemetry(scored(batch)).collect()}
+    assert got.keys() == want.keys() and len(got) == 12
+    for step, row in want.items():
+        for name in drain.FIGURES:
+            assert got[step][name] == (None if row[name] is None else pytest.approx(row[name], abs=1e-12)), (step, name)
+    assert got[10]["batch_ece"] is None and got[9]["batch_ece"] is not None
+    closed = [step for step, row in got.items() if row["closed"]]
+    assert closed and max(closed) < 10 and not got[11]["closed"]
