@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.functions import audit, extract
+from calibrant.functions import audit, extract, scoring
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -29,6 +31,23 @@ def with_probability(df: DataFrame, text: str = "text", name: str = "prob",
     return computed_once(region, **{name: found}).drop("_region")
 
 
+def reward_stage(use_soft_target: bool = True, **options) -> Callable[..., DataFrame]:
+    """A reward with its options bound: ``stage(df, text, outcome, target)`` adds the reward struct.
+
+    The answer region is found once per row; ``score_reward_fn`` does the same as a column, which
+    repeats that per tier.
+    """
+
+    def stage(df: DataFrame, text: str = "text", outcome: str = "outcome", target: str | None = None,
+              name: str = "reward") -> DataFrame:
+        goal = F.col(target) if target and use_soft_target else None
+        found = with_probability(df, text, "_reward_prob")
+        return found.withColumn(name, scoring.score_reward(
+            F.col("_reward_prob"), F.col(outcome), goal, **options)).drop("_reward_prob")
+
+    return stage
+
+
 def with_verdict(df: DataFrame, reply: str = "reply", strict: bool = True) -> DataFrame:
     """Add the parsed verdict of a reply."""
     cut = computed_once(df, _cut=audit.verdict_json(F.col(reply)))

@@ -83,21 +83,11 @@ def verdict_rates(t: Tables):
     return rounded(judging.verdict_rates(judged(t)))
 
 
-@query("verdict_rates_ci", VERDICT_RATES)
-def verdict_rates_ci(t: Tables):
-    return rounded(judging.verdict_rates(judged(t)))
-
-
 @query("faithfulness_rates", FAITHFULNESS_RATES)
 def faithfulness_rates(t: Tables):
     return rounded(judging.faithfulness_rates(judged(t)))
 
 
-@query("faithfulness_rates_ci", FAITHFULNESS_RATES)
-def faithfulness_rates_ci(t: Tables):
-    return rounded(judging.faithfulness_rates(judged(t)))
-
-
 HAND = "SELECT game_id, label, " + ", ".join(
     f"arg_max({c}, label_no) AS {c}" for c in BOOLEAN_CATEGORIES) + \
     ", max(label_no) AS label_no FROM hand_labels GROUP BY game_id, label"
@@ -181,19 +171,6 @@ def judge_request(t: Tables):
         F.col("truth"), F.col("text"), F.col("prob")).alias("request"))
 
 
-@query("judge_messages", with_views(
-    """SELECT row_id, 'system' AS role, CAST(343 AS INT) AS chars, TRUE AS asks FROM labelled WHERE row_id % 9 = 0
-       UNION ALL SELECT row_id, 'user', NULL, FALSE FROM labelled WHERE row_id % 9 = 0""", "labelled"))
-def judge_messages(t: Tables):
-    """Which messages a request has; their text is checked by ``judge_request`` and the tests."""
-    rows = truths(t).where(F.col("row_id") % 9 == 0)
-    messages = rows.select("row_id", F.inline(audit.judge_messages(
-        F.col("truth"), F.lit("reasons"), F.lit(0.5))))
-    system = F.col("role") == "system"
-    return messages.select("row_id", "role", F.when(system, F.length("content")).alias("chars"),
-                           F.startswith("content", F.lit("You are an expert")).alias("asks"))
-
-
 _SYSTEM = audit.SYSTEM_MESSAGE.replace("'", "''")
 
 

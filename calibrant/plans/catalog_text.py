@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions import audit, extract, parsing, wording
-from calibrant.functions.scoring import score_reward, score_reward_fn
-from calibrant.operators.staging import computed_once, with_probability
+from calibrant.functions.scoring import score_reward
+from calibrant.operators.staging import computed_once, reward_stage, with_probability
 from calibrant.operators.telemetry import variance_groups
 from calibrant.plans import sqltext as S
 from calibrant.plans.fixtures import Tables, with_views
@@ -197,8 +197,8 @@ def score_rewards(t: Tables):
         ELSE (1 - ({_P} - outcome) ** 2) * (1 + 0.3 * abs({_P} - 0.5)) END + 1e-12, 9) AS reward
         FROM ({S.extracted('completions', 'text', '*')}) e""", "completions"))
 def score_reward_sharpness(t: Tables):
-    reward = score_reward_fn(sharpness_weight=0.3)(F.col("text"), F.col("outcome"))
-    return rounded(t.completions.select("row_id", reward["reward"].alias("reward")))
+    rows = reward_stage(sharpness_weight=0.3)(t.completions.select("row_id", "text", "outcome"))
+    return rounded(rows.select("row_id", F.col("reward.reward").alias("reward")))
 
 
 @query("variance_groups", with_views(

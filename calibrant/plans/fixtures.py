@@ -64,8 +64,8 @@ SELECT row_id, group_id, outcome, market,
     WHEN 0 THEN concat('Final: ', whole, '%')
     WHEN 1 THEN concat('<think>around 90% early</think> Win probability: ', whole, ' %')
     WHEN 2 THEN concat('the final probability is 0.', CAST(10 + row_id * 37 % 90 AS STRING))
-    WHEN 3 THEN concat('<think>clearly ', whole, '%</THINK> The side is in good shape.')
-    WHEN 4 THEN 'Facing 2nd-and-13, no figure. I decline.'
+    WHEN 3 THEN concat('<think>clearly ', whole, '%</THINK> Nothing to add to that.')
+    WHEN 4 THEN 'Line 2 is torn off, -13 makes no sense: nothing to offer.'
     WHEN 5 THEN concat('maybe 55-60% here, so answer: ', whole)
     WHEN 6 THEN concat('Drive so far:', chr(10), 'down 3. Probability: unclear. Probability: ',
                        whole, '% now')

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from calibrant.operators.cleaning import demanded, nan_as_null
 from calibrant.schemas import PREDICTION, PREDICTION_MAP
+from calibrant.sources.large_maps import SINGLE_VARIANT, read_large_maps
 
 RANGE_ROWS = 5_000
-SINGLE_VARIANT = "_"
 
 
 def parse_prediction_maps(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -49,9 +49,12 @@ def parse_prediction_maps(lines: DataFrame, text: str = "value") -> DataFrame:
 def read_prediction_maps(
     spark: SparkSession, path: str, variant: str | None = None, whole_file: bool = False
 ) -> DataFrame:
-    """Predictions from a file or folder of map lines; ``whole_file`` reads pretty-printed files."""
-    lines = spark.read.text(path, wholetext=whole_file)
-    rows = parse_prediction_maps(lines)
+    """Predictions from a file or folder of map lines.
+
+    With ``whole_file`` every file holds one object, on any number of lines; a large one is read by
+    many tasks.
+    """
+    rows = read_large_maps(spark, path) if whole_file else parse_prediction_maps(spark.read.text(path))
     if variant is None:
         return rows
     found = rows.where(F.col("variant") == variant)

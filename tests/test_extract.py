@@ -19,7 +19,7 @@ CASES = [
     ("win probability 4%", 0.04),
     ("range 55-60%", 0.55),
     ("maybe 55-60% here, so answer: 37", 0.37),
-    ("Facing 2nd-and-13, no figure. I decline.", 0.02),
+    ("Line 2 is torn off, -13 makes no sense: nothing to offer.", 0.02),
     ("answer: 1", 1.0),
     ("answer: 1%", 0.01),
     ("108% no wait", None),

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calibrant.functions.scoring import calibration_bin, score_reward, score_reward_fn
+from calibrant.operators.staging import reward_stage
 from calibrant.operators import calibration as C
 from calibrant.operators import cleaning, telemetry
 from calibrant.sources.records import write_split_jsonl
@@ -92,6 +93,17 @@ def reward(spark, text, outcome, **options):
     return df.select(fn(F.col("t"), F.col("y"), F.col("target")).alias("r")).first()["r"]
 
 
+def test_staged_rewards_find_the_region_once(spark):
+    rows = [(f"<think>{i}%</think> so {i * 7 % 120}% it is" if i % 3 else "none", i % 2, i / 100) for i in range(90)]
+    df = spark.createDataFrame(rows, "text string, y int, target double")
+    for options in ({}, {"sharpness_weight": 0.3, "blend": 0.5, "format_penalty": -1.0}, {"use_soft_target": False}):
+        staged = reward_stage(**options)(df, "text", "y", "target")
+        plain = df.withColumn("reward", score_reward_fn(**options)(F.col("text"), F.col("y"), F.col("target")))
+        assert sorted(map(repr, staged.collect())) == sorted(map(repr, plain.collect()))
+        count = [frame._jdf.queryExecution().optimizedPlan().toString().count("think") for frame in (staged, plain)]
+        assert count[0] * 4 <= count[1]
+
+
 @pytest.mark.parametrize("text, outcome, options, expected", [
     ("100%", 1, {}, 1 - 0.01 ** 2), ("0%", 1, {}, 1 - 0.99 ** 2), ("50%", 1, {}, 0.75),
     ("no number", 1, {}, 0.0), ("no number", 1, {"format_penalty": -1.0}, -1.0),
