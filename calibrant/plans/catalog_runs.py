@@ -14,9 +14,10 @@ from calibrant.plans import sqltext as S
 from calibrant.plans.catalog_data import coarse_keys, fitted
 from calibrant.plans.catalog_text import RESPONSES, REWARDED, responses, rewarded
 from calibrant.plans.fixtures import Tables, with_views
-from calibrant.plans.registry import query, rounded
+from calibrant.plans.registry import CHECKS, query, rounded
 from calibrant.session import run_folder
 from calibrant.sources import logs
+from calibrant.sources.answers import AnswerStore
 from calibrant.functions.scoring import score_reward
 from calibrant.streaming import drain, monitor
 
@@ -51,6 +52,28 @@ def response_store(t: Tables):
     return requests.merge_store(stored, fresh, "row_id")
 
 
+def _store(t: Tables) -> AnswerStore:
+    return AnswerStore(t.spark, run_folder(t.spark, "answers"), buckets=64)
+
+
+@query("indexed_store", CHECKS["response_store"])
+def indexed_store(t: Tables):
+    """The store in buckets with filters; the second batch reads the buckets it may be in."""
+    rows, store = _requests(t), _store(t)
+    store.add(_answers(rows.where(F.col("row_id") % 3 == 0)), "row_id")
+    store.add(_answers(rows.where(F.col("row_id") % 3 == 2)), "row_id")
+    return store.read()
+
+
+@query("indexed_pending", with_views(
+    """SELECT DISTINCT key FROM requests WHERE key NOT IN
+       (SELECT key FROM requests WHERE row_id % 3 = 0)""", "plays", requests=REQUESTS))
+def indexed_pending(t: Tables):
+    rows, store = _requests(t), _store(t)
+    store.add(_answers(rows.where(F.col("row_id") % 3 == 0)), "row_id")
+    return store.pending(rows).select("key")
+
+
 @query("pending_requests", with_views(
     """SELECT DISTINCT key FROM requests WHERE key NOT IN
        (SELECT key FROM requests WHERE row_id % 3 = 0)""", "plays", requests=REQUESTS))
