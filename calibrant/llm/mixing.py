@@ -126,9 +126,9 @@ def plan_sources(slim: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     cut = ranked.filter(
         (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
     inner = Window.partitionBy("source").orderBy("key")
-    # Same key, same row: such rows are taken or left together.
+    # Same key, same row: such rows are taken or left together. A block has few documents with words.
     within = (
-        in_blocks.join(
+        in_blocks.filter("size > 0").join(
             F.broadcast(cut.select(
                 F.col("source").alias("cut_source"), F.col("block").alias("cut_block"), "before")),
             F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("block") == F.col("cut_block")))
@@ -211,7 +211,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     order = F.xxhash64("key", "copy", "shard", F.lit(mix.seed))
     width = max(1, len(sources.head().shard_ends)) if sources.head() else 1
     return (
-        taken.repartition(width, "shard")
+        taken.repartitionById(width, F.col("shard"))
         .sortWithinPartitions("shard", order)
         .select("document.*"))
 

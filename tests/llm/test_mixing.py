@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import cases
 from calibrant.llm import mixing
@@ -139,3 +140,10 @@ def test_splitting_tree():
     big = expected > 3
     assert np.allclose(draws.var(axis=(0, 2))[big], variance[big], rtol=0.25)
     assert (split_quotas(units, 8, 3) == split_quotas(units, 8, 3)).all()
+
+
+def test_a_shard_is_a_partition(spark):
+    rows = [(i, f"word{i} and eight more words in this text", "en", "abc"[i % 3], 1) for i in range(900)]
+    mixed = mixing.mix_documents(cases.docs(spark, rows), mixing.Mix(shard_words=500, block_words=40))
+    sizes = [row["n"] for row in mixed.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 2 * min(sizes)
