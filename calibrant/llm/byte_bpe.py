@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import itertools
 import re
 from array import array
@@ -355,6 +356,35 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id
         run, f"`{id_column}` {kind}, {IDS}, decoded binary")
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
+    """``id_column``, ``n_tokens``, ``ids`` and ``decoded_sha256``: every text is decoded again, and
+    one whose bytes do not come back is an error. NULL text counts as empty."""
+    kind = dict(docs.dtypes)[id_column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = encoder(path, pattern)
+        token = tool.vocabulary.tokens.__getitem__
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                found, digests = tool.encode_all(texts), []
+                for text, ids in zip(texts, found):
+                    decoded = b"".join(map(token, np.frombuffer(ids, dtype=np.int32).tolist()))
+                    if decoded != text.encode("utf-8"):
+                        raise ValueError("ids do not decode to the bytes of their text")
+                    digests.append(hashlib.sha256(decoded).hexdigest())
+                sizes = np.array([len(ids) // 4 for ids in found], dtype=np.int64)
+                ids = pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *sizes]).astype(np.int32)),
+                    pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes), ids, pa.array(digests, pa.string())],
+                    names=[id_column, "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select(id_column, F.col("text").cast("string").alias("text")).mapInArrow(
+        run, f"`{id_column}` {kind}, n_tokens bigint, {IDS}, decoded_sha256 string")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return decode(encode(docs, path, pattern), path, pattern).select(

@@ -1,3 +1,5 @@
+import hashlib
+
 import public_tokenizers
 import pytest
 
@@ -16,7 +18,7 @@ def test_stages_in_order():
 def test_registered():
     names = list(contract.queries())
     assert "pipeline" in names
-    assert [sum(name.startswith(f"op{n}_") for name in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(name.startswith(f"op{n}_") for name in names) for n in range(1, 14)] == [1] * 13
 
 
 def written(df, folder):
@@ -78,6 +80,8 @@ def test_corpus_is_encoded(steps):
     got = sorted((row.doc_id, b"".join(tokens[i] for i in row.ids)) for row in after.collect())
     assert got == texts
     assert all(row.n_tokens == len(row.ids) for row in after.collect())
+    digests = sorted((row.doc_id, hashlib.sha256((row.text or "").encode()).hexdigest()) for row in before.collect())
+    assert sorted((row.doc_id, row.decoded_sha256) for row in after.collect()) == digests
 
 
 def test_run(spark, tmp_path):
