@@ -48,10 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token ids and their number, for every document of the mix."""
-    return byte_bpe.encode(
-        docs, public_tokenizers.path(BPE), public_tokenizers.PATTERN
-    ).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    """doc_id, number of tokens, token ids, and the digest of the bytes that the ids decode to, for
+    every document of the mix; ids that do not decode to their text are an error."""
+    return byte_bpe.encode_checked(docs, public_tokenizers.path(BPE), public_tokenizers.PATTERN)
 
 
 STAGES = [
