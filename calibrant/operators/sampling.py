@@ -8,13 +8,15 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from calibrant.operators.ranks import every, first, select_ranks
 from calibrant.session import freeze, stored
 
 _PREFIX_DIGITS = 4
 _LOCAL_BITS = 33
+#: Rows of a stratum that a task passes on; up to 1000 the engine limits groups before the shuffle.
+_MOST_TURNS = 1000
+_SALTS = 16
 
 
 def sample_order(row_id: str | Column, seed: int | str) -> Column:
@@ -110,16 +112,22 @@ def seeded_sample_n(df: DataFrame, n: int, row_id: str, seed: int | str) -> Data
     return whole.unionByName(tied).drop("_order")
 
 
-def _quotas(sizes: Sequence[int], n: int) -> list[int]:
-    """How many rows each stratum gives when all take turns, the earlier ones first."""
-    quotas, left = [0] * len(sizes), min(n, sum(sizes))
-    while left:
-        open_ = [i for i, size in enumerate(sizes) if quotas[i] < size]
-        turns = min(left // len(open_), min(sizes[i] - quotas[i] for i in open_))
-        for i in open_ if turns else open_[:left]:
-            quotas[i] += max(turns, 1)
-            left -= max(turns, 1)
-    return quotas
+def _turns(sizes: DataFrame, n: int) -> tuple[int, int]:
+    """How many whole turns n rows are, and how many rows of the turn after that; -1 turns for all.
+
+    Sizes above n count as n, so at most n numbers come to the driver.
+    """
+    counted = sizes.groupBy(F.least("_size", F.lit(n)).alias("s")).agg(F.count(F.lit(1)).alias("strata")).collect()
+    if sum(row.s * row.strata for row in counted) <= n:
+        return -1, 0
+    turns, taken, strata = 0, 0, sum(row.strata for row in counted)
+    for row in sorted(counted, key=lambda row: row.s):
+        steps = min(row.s - turns, (n - taken) // strata)
+        taken, turns = taken + steps * strata, turns + steps
+        if turns < row.s:
+            break
+        strata -= row.strata
+    return turns, n - taken
 
 
 def stratified_sample(
@@ -127,38 +135,77 @@ def stratified_sample(
 ) -> DataFrame:
     """Round-robin over the strata, largest stratum first, until ``n`` rows are drawn.
 
-    The sizes of the strata fix how many rows each gives (one row per stratum comes to the driver).
-    Which rows follows from counts per stratum and prefix of the random order: earlier prefixes are
-    taken whole, and only the rows of the prefix that holds the cut are put in order. The input is
-    stored once; pass only the columns needed.
+    Sizes of strata are a table of their own; which turn is the last follows from how many strata have
+    which size. In the turn that is not complete the largest strata give their row. A stratum's rows
+    come by a fixed random order: every task keeps the first ones of each stratum, at most as many as
+    there are turns, salted groups of a stratum do the same, and only those meet. With more than
+    ``_MOST_TURNS`` turns the cut of a stratum is found by counting prefixes of the order instead; the
+    input is then stored once, so pass only the columns needed.
     """
     strata = list(strata)
-    held = stored(df.withColumn("_order", sample_order(row_id, seed)), "strata")
-    prefix = F.substring("_order", 1, _PREFIX_DIGITS)
-    parts = held.groupBy(*strata, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
-    totals = parts.groupBy(*strata).agg(F.sum("_rows").alias("_size"))
-    largest = totals.orderBy(F.desc("_size"), *strata).collect()
-    quotas = _quotas([row["_size"] for row in largest], n)
+    if n <= 0:
+        return df.limit(0)
+    sizes = stored(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size")), "strata-sizes")
+    turns, rest = _turns(sizes, n)
+    if turns < 0:
+        return df
+    largest = select_ranks(
+        sizes.where(F.col("_size") > turns).withColumn("_down", -F.col("_size")), ["_down", *strata], first(rest))
     names = [f"_stratum{i}" for i in range(len(strata))]
-    fields = [T.StructField(name, held.schema[s].dataType) for name, s in zip(names, strata)]
-    given = df.sparkSession.createDataFrame(
-        [(*[row[s] for s in strata], quota) for row, quota in zip(largest, quotas)],
-        T.StructType([*fields, T.StructField("_quota", T.LongType())]))
+    also = largest.select(*[F.col(s).alias(name) for s, name in zip(strata, names)])
+    if rest == 0:
+        also = also.limit(0)
+    ordered = df.withColumn("_order", sample_order(row_id, seed))
+    if turns >= _MOST_TURNS:
+        quotas = _with_quotas(sizes, also, strata, names, turns)
+        return _by_prefix(ordered, quotas, strata, names, row_id).select(*df.columns)
+    salt = F.pmod(F.xxhash64(F.col(row_id)), F.lit(_SALTS))
+    rows = ordered.withColumn("_salt", salt)
+    for group in ([*strata, "_salt"], strata):
+        turn = F.row_number().over(Window.partitionBy(*group).orderBy("_order", row_id))
+        rows = rows.withColumn("_turn", turn).where(F.col("_turn") <= turns + (rest > 0))
+    whole = rows.where(F.col("_turn") <= turns).select(*df.columns)
+    if rest == 0:
+        return whole
+    last = rows.where(F.col("_turn") == turns + 1).join(also, _same(strata, names), "left_semi")
+    return whole.unionByName(last.select(*df.columns))
+
+
+def _same(strata: Sequence[str], names: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(s).eqNullSafe(F.col(name)) for s, name in zip(strata, names)])
+
+
+def _with_quotas(
+    sizes: DataFrame, also: DataFrame, strata: Sequence[str], names: Sequence[str], turns: int
+) -> DataFrame:
+    """``names`` and ``_quota`` of every stratum."""
+    more = also.withColumn("_more", F.lit(1))
+    return sizes.join(more, _same(strata, names), "left").select(
+        *[F.col(s).alias(f"{name}q") for s, name in zip(strata, names)],
+        (F.least("_size", F.lit(turns)) + F.coalesce("_more", F.lit(0))).alias("_quota")
+    ).withColumnsRenamed({f"{name}q": name for name in names})
+
 
-    def same(columns: Sequence[str]) -> Column:
-        return reduce(and_, [F.col(s).eqNullSafe(F.col(c)) for s, c in zip(strata, columns)])
+def _by_prefix(
+    ordered: DataFrame, quotas: DataFrame, strata: Sequence[str], names: Sequence[str], row_id: str
+) -> DataFrame:
+    """The first rows of every stratum, as many as its quota.
 
+    Earlier prefixes of the order are taken whole, and only rows of the prefix that holds the cut are
+    put in order.
+    """
+    held = stored(ordered, "strata")
+    prefix = F.substring("_order", 1, _PREFIX_DIGITS)
+    parts = held.groupBy(*strata, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
     # At most 16^4 prefixes of a stratum meet in this window.
-    order = Window.partitionBy(*strata).orderBy("_prefix")
-    upto = F.sum("_rows").over(order)
+    upto = F.sum("_rows").over(Window.partitionBy(*strata).orderBy("_prefix"))
     cuts = (
-        parts.join(F.broadcast(given), same(names)).withColumn("_upto", upto)
+        parts.withColumn("_upto", upto).join(quotas, _same(strata, names))
         .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_rows") < F.col("_quota")))
         .select(*names, F.col("_prefix").alias("_cut"),
                 (F.col("_quota") - F.col("_upto") + F.col("_rows")).alias("_last")))
-    rows = held.join(F.broadcast(cuts), same(names)).where(prefix <= F.col("_cut"))
+    rows = held.join(cuts, _same(strata, names)).where(prefix <= F.col("_cut"))
     inner = Window.partitionBy(*strata).orderBy("_order", row_id)
     at_cut = rows.where(prefix == F.col("_cut")).withColumn("_turn", F.row_number().over(inner)).where(
         F.col("_turn") <= F.col("_last"))
-    return rows.where(prefix < F.col("_cut")).select(*df.columns).unionByName(
-        at_cut.select(*df.columns))
+    return rows.where(prefix < F.col("_cut")).unionByName(at_cut.drop("_turn"))

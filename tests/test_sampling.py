@@ -67,8 +67,27 @@ def test_first_n(spark):
     assert S.take_first_n(df, 0, ["id"]).count() == 20
 
 
-@pytest.mark.parametrize("n", [1, 10, 40, 500])
-def test_stratified_round_robin(spark, n):
+def test_a_million_strata(spark):
+    """None of them comes to the driver; the largest strata, then the smallest keys, give the rest."""
+    df = spark.range(1_000_000).select(F.col("id").alias("row_id"), F.col("id").alias("s")).union(
+        spark.range(40).select(F.col("id") + 2_000_000, F.col("id") % 4))
+    got = S.stratified_sample(df, 1000, ["s"], "row_id", 0)
+    found = sorted(r["s"] for r in got.select("s").collect())
+    assert found == list(range(1000))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "TakeOrdered" not in plan
+
+
+def test_turns(spark):
+    sizes = spark.createDataFrame([(5,), (3,), (1,)], "_size long")
+    assert [S._turns(sizes, n) for n in (1, 3, 4, 5, 7, 8, 9, 10)] == [
+        (0, 1), (1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (-1, 0), (-1, 0)]
+
+
+@pytest.mark.parametrize("most_turns", [1000, 1])
+@pytest.mark.parametrize("n", [1, 10, 40, 89, 500])
+def test_stratified_round_robin(spark, n, most_turns, monkeypatch):
+    monkeypatch.setattr(S, "_MOST_TURNS", most_turns)
     # One stratum holds two thirds of the rows, one is NULL, some are single rows.
     rows = [(i, "hot" if i < 60 else (None if i < 70 else f"s{i % 9}")) for i in range(90)]
     groups = defaultdict(list)
