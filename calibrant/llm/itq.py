@@ -23,12 +23,14 @@ left bring their original vectors, and cosines are computed in double precision.
 one node from the start and are counted by their number. Groups above ``block`` members are dealt
 out as pairs of blocks.
 
-Rows whose vector is NULL, zero, of another length than most, or holds NULL or no finite number,
-and rows with a NULL label, link with nothing. Rows of one id are vectors of their own.
+Vectors of different lengths link with nothing of the other's; every length has a search of its own.
+Labels of any type are compared as they are. Rows whose vector is NULL, zero, or holds NULL or no
+finite number, and rows with a NULL label, link with nothing. Rows of one id are vectors of their own.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from calibrant.llm.columns import mix
 from calibrant.llm.components import connected
 from calibrant.llm.tables import shuffle_width, written
-from calibrant.llm.vectors import column_matrix, common_size, sample, unit, usable
+from calibrant.llm.vectors import column_matrix, lengths, sample, unit, usable
 
 
 @dataclass(frozen=True)
@@ -193,7 +195,7 @@ def _members(nodes: DataFrame, parts: list[tuple[int, int]], n: int) -> DataFram
         for batch in batches:
             node, code = batch.column(0), batch.columns[2:]
             codes = np.array([c.to_numpy().view(np.uint64) for c in code])
-            label = batch.column(1).to_numpy().astype(np.uint64)
+            label = batch.column(1).to_numpy().view(np.uint64)
             for table, bit, rest in _places(codes, parts):
                 place = table * 64 + bit
                 key = mix(mix(mix(label) + rest) + np.uint64(place))
@@ -272,21 +274,28 @@ def link_vectors(
     """vec_id, n_links, component_id, kept of every row."""
     rows = df.select(
         F.col(id_column).cast("bigint").alias("vec_id"),
-        F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("bigint").alias("label"))
+        F.col(vector).cast("array<double>").alias("v"),
+        F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"))
     rows = rows.withColumn("fit", usable("v") & F.col("label").isNotNull())
-    size = common_size(rows.filter("fit"), "v")
-    rows = rows.withColumn("fit", F.col("fit") & (F.size("v") == size))
     rows = rows.withColumn("node", F.when(F.col("fit"), F.xxhash64("label", "v")))
-    groups = rows.filter("fit").groupBy("node").agg(
-        F.first("v").alias("v"), F.first("label").alias("label"), F.min("vec_id").alias("lowest"),
-        F.count(F.lit(1)).alias("copies"))
-    alone = rows.select("vec_id", "node")
-    if not size:
+    alone, fitting = rows.select("vec_id", "node"), rows.filter("fit")
+    told = [_linked(fitting.filter(F.size("v") == size), size, settings) for size in lengths(fitting, "v")]
+    if not told:
         return alone.select(
             "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
             F.lit(True).alias("kept"))
-    search = fit(sample(rows.filter("fit"), "vec_id", "v", size, settings.sample, settings.seed),
-                 settings)
+    return alone.join(functools.reduce(DataFrame.unionByName, told), "node", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
+
+
+def _linked(rows: DataFrame, size: int, settings: Quantisation) -> DataFrame:
+    """node, n_links, component_id of the distinct vectors of one length."""
+    groups = rows.groupBy("node").agg(
+        F.first("v").alias("v"), F.first("label").alias("label"), F.min("vec_id").alias("lowest"),
+        F.count(F.lit(1)).alias("copies"))
+    search = fit(sample(rows, "vec_id", "v", size, settings.sample, settings.seed), settings)
     parts, n_codes = search.parts, len(search.coders)
     names = _names(n_codes)
     code_kinds = ", ".join(f"{name} bigint" for name in names)
@@ -361,11 +370,7 @@ def link_vectors(
         .select("node", "lowest", F.coalesce("component", "node").alias("component"),
                 (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     lowest = placed.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    told = placed.join(lowest, "component").select("node", "n_links", "component_id")
-    return alone.join(told, "node", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
+    return placed.join(lowest, "component").select("node", "n_links", "component_id")
 
 
 def _joined(root: list[int], one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:

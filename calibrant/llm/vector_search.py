@@ -12,13 +12,15 @@ Centroids are fitted on a bounded sample (``sample``); every row is indexed. ``p
 smallest number that reaches ``recall`` on a part of the sample, measured against brute force.
 Lists and their queries are dealt out in blocks, so one list may hold a third of all rows.
 
-Rows whose vector or id is NULL, whose vector is zero, has other components than finite numbers or
-another length than most take no part. A repeated query id is one query, with its smallest vector;
-rows with the id of a query are no candidates for it.
+Vectors are neighbours of vectors of their own length; every length has an index of its own. Rows
+whose vector or id is NULL, whose vector is zero or has other components than finite numbers take no
+part. A repeated query id is one query, with its smallest vector; rows with the id of a query are no
+candidates for it.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrant.llm.tables import shuffle_width, written
-from calibrant.llm.vectors import column_matrix, common_size, sample, unit, usable
+from calibrant.llm.vectors import column_matrix, lengths, sample, unit, usable
 
 
 @dataclass(frozen=True)
@@ -143,11 +145,16 @@ def neighbours(df: DataFrame, queries: DataFrame, search: Search = Search()) ->
             F.col("vec_id").isNotNull() & usable("v"))
 
     points = clean(df)
-    size = common_size(points, "v")
-    if not size:
+    asked = clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    found = [_found(points.filter(F.size("v") == size), asked.filter(F.size("v") == size), size, search)
+             for size in lengths(points, "v")]
+    if not found:
         return df.sparkSession.createDataFrame([], schema)
-    points = points.filter(F.size("v") == size)
-    asked = clean(queries).filter(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _found(points: DataFrame, asked: DataFrame, size: int, search: Search) -> DataFrame:
+    """The neighbours of vectors of one length."""
     index = fit(sample(points, "vec_id", "v", size, search.sample, search.seed), points.count(), search)
 
     def assign(probes: int):
@@ -197,7 +204,7 @@ def neighbours(df: DataFrame, queries: DataFrame, search: Search = Search()) ->
                 names=["query_id", "vec_id", "score"])
 
     met = dealt(stored, "parts", "turns", True).union(dealt(probing, "turns", "parts", False))
-    found = met.repartition(shuffle_width(df.sparkSession), "key").sortWithinPartitions(
+    found = met.repartition(shuffle_width(points.sparkSession), "key").sortWithinPartitions(
         "key", "is_row").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(

@@ -15,14 +15,10 @@ def usable(vector: str) -> Column:
     return F.coalesce(finite & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def common_size(df: DataFrame, vector: str) -> int:
-    """The most frequent number of components, of several the largest; 0 without rows.
-
-    Vectors of another length cannot be compared with these and take no part.
-    """
-    sizes = df.groupBy(F.size(vector).alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
-    return row[0].size if row else 0
+def lengths(df: DataFrame, vector: str) -> list[int]:
+    """The numbers of components that vectors have, ascending. Each is a space of its own; a table
+    holds as many as it holds embedding models."""
+    return sorted(row.size for row in df.select(F.size(vector).alias("size")).distinct().collect())
 
 
 def to_matrix(blobs: list[bytes], size: int) -> np.ndarray:

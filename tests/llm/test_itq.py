@@ -11,12 +11,8 @@ SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
 def expected(rows, least=0.98):
     n, good = len(rows), []
-    sizes = [len(v) for _, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)
-             and any(v)]
-    size = max(set(sizes), key=lambda s: (sizes.count(s), s), default=0)
     for _, v, label in rows:
-        good.append(bool(v) and len(v) == size and label is not None and any(v)
-                    and all(x is not None and np.isfinite(x) for x in v))
+        good.append(bool(v) and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v))
     links, root = [0] * n, list(range(n))
 
     def find(i):
@@ -28,7 +24,8 @@ def expected(rows, least=0.98):
     units = [None if u is None else u / np.linalg.norm(u) for u in units]
     for i in range(n):
         for j in range(i):
-            if good[i] and good[j] and rows[i][2] == rows[j][2] and units[i] @ units[j] >= least:
+            same = good[i] and good[j] and rows[i][2] == rows[j][2] and len(units[i]) == len(units[j])
+            if same and units[i] @ units[j] >= least:
                 links[i] += 1
                 links[j] += 1
                 x, y = find(i), find(j)
@@ -146,3 +143,16 @@ def test_every_pair_is_judged_once():
         judged = [place for place in a if a[place] == b[place] and itq._judged_here(
             np.array([one ^ two]), parts, *place)[0]]
         assert len(judged) == 1
+
+
+@pytest.mark.parametrize("schema, label", [(SCHEMA, lambda i: i % 2), (
+    "vec_id bigint, embedding array<float>, label string", lambda i: ["one", "two words"][i % 2])])
+def test_lengths_and_labels_are_groups(spark, schema, label):
+    """Every length is searched, not the most frequent one alone; labels need not be numbers."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=(2, 3, 16)[i % 3]).tolist(), label(i // 3)) for i in range(90)]
+    rows += [(100 + i, [x * 2 for x in rows[i][1]], rows[i][2]) for i in range(0, 90, 4)]
+    rows += [(200, [1.0, 1.0], label(0)), (201, [1.0, 1.0], label(0)), (202, [2.0, 2.0], label(0)),
+             (203, [1.0, 1.0, 0.0], label(0)), (204, [1.0], label(0)), (205, [5.0], label(0))]
+    got = cases.table(itq.link_vectors(spark.createDataFrame(rows, schema)))
+    assert got == expected(rows)

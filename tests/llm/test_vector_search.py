@@ -14,8 +14,14 @@ def usable(v, size):
         x is not None and np.isfinite(x) for x in v)
 
 
-def expected(rows, every, size, k=5):
+def expected(rows, every, size=None, k=5):
+    """Per length of the vectors, or of one length."""
+    if size is None:
+        sizes = {len(v) for _, v in rows if v}
+        return {q: found for s in sizes for q, found in expected(rows, every, s, k).items()}
     rows = [(i, np.float32(v).astype(float)) for i, v in rows if i is not None and usable(v, size)]
+    if not rows:
+        return {}
     ids = np.array([i for i, _ in rows])
     units = np.array([v / np.linalg.norm(v) for _, v in rows])
     out = {}
@@ -114,3 +120,12 @@ def test_candidates_are_abandoned_early():
     found = list(vector_search.scan(
         index, Search(), points[:1], np.array([0]), points, np.arange(2000)))
     assert set(found[0][1].tolist()) == {1, 2, 3, 4, 5}
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=(4, 16, 16)[i % 3]).tolist()) for i in range(600)]
+    rows += [(1000, [1.0, 2.0]), (1001, [2.0, 1.0]), (1002, [1.0])]
+    got = answers(vector_search.search_table(spark.createDataFrame(rows, SCHEMA), 50))
+    want = {q: found for q, found in expected(rows, 50).items() if found}
+    assert recall(got, want) >= 0.9 and got[1000] == [(1001, pytest.approx(0.8))]
