@@ -137,3 +137,40 @@ def test_segments_partition_the_filter():
     grams = np.arange(1, 50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     place = Filter.segment_of(grams, 7)
     assert set(place.tolist()) == set(range(7))
+
+
+def smoothed(rows, settings):
+    """The score by exact counts of one and two tokens, quantised as the filter's are."""
+    one, two = Counter(), Counter()
+    train = [tokens(text) for doc_id, text in rows if not held_out(doc_id)]
+    for t in train:
+        one.update(t)
+        two.update(zip(["begin", *t], t))
+    total, distinct = sum(one.values()), len(one)
+
+    def read(n):
+        return float(level_values(settings.base)[levels(np.array([n]), settings.base)[0]]) if n else 0.0
+
+    out = {}
+    for doc_id, text in rows:
+        score, t = 0.0, tokens(text)
+        for before, word in zip(["begin", *t], t):
+            p = (read(one[word]) + 0.1) / (total + 0.1 * (distinct + 1))
+            history = read(one[None if before == "begin" else before])  # as many beginnings as ends
+            pair = min(read(two[before, word]), history)
+            score += math.log10(min((pair + settings.mu * p) / (history + settings.mu), 1.0))
+        out[doc_id] = score
+    return out
+
+
+@pytest.mark.parametrize("most_bytes", [96 << 20, 1])
+def test_score_by_exact_counts(spark, most_bytes):
+    """With so many bits a key that nothing is read too high, on both ways to the filter."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{int(x) % 40}" for x in rng.zipf(1.3, int(rng.integers(0, 60)))) or None)
+            for i in range(150)]
+    settings = Settings(bits_per_key=64.0, most_bytes=most_bytes)
+    got = ngram_lm.score_texts(cases.docs(spark, [(*row, None, None, None) for row in rows]), settings).collect()
+    want = smoothed(rows, settings)
+    wrong = [row.doc_id for row in got if row.score != pytest.approx(want[row.doc_id], rel=1e-6)]
+    assert not wrong, [(row.score, want[row.doc_id]) for row in got if row.doc_id in wrong][:3]
