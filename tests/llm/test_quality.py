@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -120,3 +121,30 @@ def test_features_of_every_passage():
     assert np.diff(first).tolist() == [1, 1, 1, 3, 2]
     assert not features[:2].any() and features[2].any() and np.isfinite(features).all()
     assert isinstance(quality.train([features], np.array([1.0]), Training(epochs=1)), Network)
+
+
+def test_scores_by_single_steps():
+    """The forward pass of a fitted network against its definition, one number at a time."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["the", "Word", "x1!!", "###", "ünï", "a,b."], size=n)) for n in (1, 7, 48, 49, 200, 0)]
+    bags = [passage_features(pa.array([t]), 12) for t in texts]
+    network = quality.train([f for f, _ in bags], np.array([0.0, 1, 0, 1, 0, 1]), Training(epochs=3))
+    model, p = quality.Model(network, 0.5, 12), network.parts
+    got = model.scores(pa.array(texts))
+
+    def dot(row, matrix, offset):
+        return [sum(a * matrix[i][j] for i, a in enumerate(row)) + offset[j] for j in range(len(offset))]
+
+    for text_score, (features, _) in zip(got, bags):
+        codes, raw = [], []
+        for passage in features:
+            x = [(value - c) / s for value, c, s in zip(passage, network.center, network.scale)]
+            code = [math.tanh(v) for v in dot(x, p["encode"], p["encode0"])]
+            content = [math.tanh(v) for v in dot(code, p["content"], p["content0"])]
+            gate = [1 / (1 + math.exp(-v)) for v in dot(code, p["gate"], p["gate0"])]
+            codes.append(code)
+            raw.append(sum(c * g * w for c, g, w in zip(content, gate, p["attend"])))
+        shares = [math.exp(r) for r in raw]
+        pooled = [sum(s * code[j] for s, code in zip(shares, codes)) / sum(shares) for j in range(len(codes[0]))]
+        z = sum(a * w for a, w in zip(pooled, p["score"])) + float(p["score0"])
+        assert text_score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
