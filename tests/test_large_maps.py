@@ -43,7 +43,7 @@ def wanted(maps):
                   for held in maps for name, listed in held.items() for i, r in enumerate(listed))
 
 
-@pytest.fixture(params=[97, 1000, 1 << 27])
+@pytest.fixture(params=[97, 1 << 27])
 def ranges(spark, request):
     """Byte ranges so small that records, texts and names are cut at every place."""
     held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}

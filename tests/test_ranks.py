@@ -53,7 +53,7 @@ def frozen(row):
     return repr(tuple(row))
 
 
-ORDERS = [["i"], ["s", "i"], ["d", "x"], ["day", "at", "b"], ["m", "raw", "s"], ["x"], ["b", "d", "s", "i"]]
+ORDERS = [["s", "i"], ["d", "x", "m"], ["b", "raw", "day", "at"]]
 
 
 @pytest.mark.parametrize("order", ORDERS)
@@ -68,7 +68,7 @@ def test_ranks_of_odd_values(spark, order):
         assert not Counter(frozen(row) for row in got) - held  # rows of the table, no more copies than it has
 
 
-@pytest.mark.parametrize("n", [1, 5, 250, 999, 1000, 1001])
+@pytest.mark.parametrize("n", [5, 250, 1001])
 def test_first_n_with_ties_is_exact(spark, n):
     df = spark.range(1000).select((F.col("id") % 4).alias("season"), "id").repartition(6)
     got = take_first_n(df, n, ["season"]).collect()
@@ -76,7 +76,7 @@ def test_first_n_with_ties_is_exact(spark, n):
     assert len({r["id"] for r in got}) == len(got)
 
 
-@pytest.mark.parametrize("stride", [2, 8, 333, 1000, 5000])
+@pytest.mark.parametrize("stride", [8, 333, 5000])
 def test_stride_with_ties_is_exact(spark, stride):
     df = spark.range(1000).select((F.col("id") % 4).alias("season"), "id")
     assert stride_sample(df, stride, ["season"]).count() == math.ceil(1000 / stride)
@@ -95,7 +95,7 @@ def test_equal_rows_are_counted_not_ordered(spark):
 def test_same_rows_for_every_partitioning(spark):
     df = spark.range(3000).select((F.col("id") % 7).alias("k"), (F.col("id") * 31 % 1009).alias("v"), "id")
     wanted = sorted(r["id"] for r in R.select_ranks(df, ["k"], R.every(11), 50, 64).collect())
-    for parts in (1, 3, 17):
+    for parts in (1, 7):
         got = R.select_ranks(df.repartition(parts), ["k"], R.every(11), 50, 64).collect()
         assert sorted(r["id"] for r in got) == wanted
 
