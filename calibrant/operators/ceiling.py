@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from calibrant.functions.numbers import clipped
+from calibrant.operators.boosting import Boosting, fit
 from calibrant.operators.calibration import score
 from calibrant.operators.pairing import long_forecasts
-from calibrant.session import shared_folder
 
 # The state features of the boosted-tree forecaster.
 FEATURE_COLUMNS = [
@@ -25,30 +20,14 @@ FEATURE_COLUMNS = [
 
 def boosted_forecast(
     train: DataFrame, rows: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
-    outcome: str = "outcome", iterations: int = 400, depth: int = 4, rate: float = 0.05,
-    seed: int = 0, name: str = "boosted",
+    outcome: str = "outcome", settings: Boosting = Boosting(), name: str = "boosted",
+    cuts: Mapping[str, Sequence[float]] | None = None,
 ) -> DataFrame:
     """``rows`` with the probability of gradient-boosted trees trained on ``train``.
 
-    Missing features are imputed by the median. Training is iterative and cuts its lineage in the
-    checkpoint folder.
+    Missing features take the side that each split gives them.
     """
-    shared_folder(train.sparkSession)
-    inputs = list(features)
-    filled = [f"_{f}" for f in inputs]
-    stages = Pipeline(stages=[
-        Imputer(inputCols=inputs, outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=filled, outputCol="_x"),
-        GBTClassifier(
-            featuresCol="_x", labelCol="_y", predictionCol="_call", maxIter=iterations,
-            maxDepth=depth, stepSize=rate, seed=seed,
-        ).setProbabilityCol("_prob").setRawPredictionCol("_raw"),
-    ])
-    doubles = {f: F.col(f).cast("double") for f in inputs}
-    model = stages.fit(train.withColumns(doubles).withColumn("_y", F.col(outcome).cast("double")))
-    scored = model.transform(rows.withColumns(doubles))
-    return scored.withColumn(name, vector_to_array("_prob")[1]).drop(
-        *filled, "_x", "_raw", "_prob", "_call")
+    return rows.withColumn(name, fit(train, features, outcome, settings, cuts).probability())
 
 
 def ceiling_table(
