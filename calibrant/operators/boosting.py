@@ -235,18 +235,19 @@ def _histograms(cells: DataFrame, cuts: list[np.ndarray], forest: Forest, tree:
     shape = (1 << level, features, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((int(np.prod(shape)), 3), np.int64)
+        sums = np.zeros((3, int(np.prod(shape))), np.int64)
         for batch in batches:
             ranges, n, y, score = _block(batch, features)
             p = _sigmoid(score + forest.added(ranges))
             node = _descend(ranges, tree.feature, tree.last, tree.missing_left, level) - (1 << level)
-            each = np.stack([n * np.rint(p * ONE).astype(np.int64) - y * ONE,
-                             n * np.rint(p * (1 - p) * ONE).astype(np.int64), n], axis=1)
-            for f in range(features):
-                np.add.at(sums, (node * features + f) * width + ranges[:, f] + 1, each)
-        place = np.flatnonzero(sums[:, 2])
+            each = (n * np.rint(p * ONE).astype(np.int64) - y * ONE,
+                    n * np.rint(p * (1 - p) * ONE).astype(np.int64), n)
+            place = ((node[:, None] * features + np.arange(features)) * width + ranges + 1).reshape(-1)
+            for total, one in zip(sums, each):
+                np.add.at(total, place, np.repeat(one, features))
+        place = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(place)] + [pa.array(column) for column in sums[place].T], names=["place", "g", "h", "n"])
+            [pa.array(place)] + [pa.array(total[place]) for total in sums], names=["place", "g", "h", "n"])
 
     found = cells.mapInArrow(run, "place bigint, g bigint, h bigint, n bigint").groupBy("place").agg(
         F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()

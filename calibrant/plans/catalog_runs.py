@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions.wording import possession_line, render_prompt
-from calibrant.operators import ceiling, requests, telemetry, trajectory
+from calibrant.operators import boosting, ceiling, requests, telemetry, trajectory
 from calibrant.operators.calibration import score
 from calibrant.operators.rates import backoff_lookup
 from calibrant.operators.staging import computed_once
@@ -215,6 +215,75 @@ def ceiling_boosted(t: Tables):
     return table.select("split", "variant", "n", bounds.alias("in_bounds"))
 
 
+#: Cut values of the stumps; a value lies in the range of the cuts below it.
+STUMP_CUTS = {
+    "score_differential": S.SCORE_EDGES, "game_seconds_remaining": S.TIME_EDGES,
+    "spread_line": S.SPREAD_EDGES, "down": (1, 2, 3), "yardline_100": S.FIELD_EDGES, "qtr": (1, 2, 3, 4),
+}
+STUMPS = boosting.Boosting(rounds=4, depth=1, rate=0.3)
+
+
+def _stump_views() -> dict[str, str]:
+    """Four rounds of trees with one split, written out over rows."""
+    n, one, l2 = len(STUMP_CUTS), boosting.ONE, STUMPS.l2
+    value = {f: S.POSSESSION_LINE if f == "spread_line" else f for f in STUMP_CUTS}
+    ranges = ", ".join(
+        f"CASE WHEN {value[f]} IS NULL THEN -1 ELSE " + " + ".join(f"CAST({value[f]} > {e} AS INT)" for e in edges)
+        + f" END AS b{i}" for i, (f, edges) in enumerate(STUMP_CUTS.items()))
+    views = {"s0": f"""SELECT row_id, split, outcome AS y, vegas_wp, {ranges},
+      (SELECT ln(avg(outcome) / (1 - avg(outcome))) FROM labelled WHERE split = 'train') AS score FROM labelled"""}
+    cuts = " UNION ALL ".join(
+        f"SELECT {i} AS f, c, c = {len(edges)} AS beyond FROM generate_series(0, {len(edges)}) x(c)"
+        for i, edges in enumerate(STUMP_CUTS.values()))
+    stacked = " UNION ALL ".join(f"SELECT {i} AS f, b{i} AS b, g, h FROM e" for i in range(n))
+    asked = "CASE f " + " ".join(f"WHEN {i} THEN b{i}" for i in range(n)) + " END"
+
+    def worth(g, h):
+        return f"({g} / {one}e0) * ({g} / {one}e0) / ({h} / {one}e0 + {l2})"
+
+    for r in range(STUMPS.rounds):
+        views[f"h{r}"] = f"""SELECT f, b, sum(g) AS g, sum(h) AS h, count(*) AS n FROM (
+            WITH e AS (SELECT *, CAST(round_even(p * {one}, 0) AS BIGINT) - y * {one} AS g,
+              CAST(round_even(p * (1 - p) * {one}, 0) AS BIGINT) AS h
+              FROM (SELECT *, 1 / (1 + exp(-score)) AS p FROM s{r} WHERE split = 'train') x)
+            {stacked}) u GROUP BY f, b"""
+        views[f"c{r}"] = f"""SELECT f, c, coalesce(side, n1 >= n2) AS missing_left,
+            -{STUMPS.rate} * (g1 / {one}e0) / (h1 / {one}e0 + {l2}) AS left_leaf,
+            -{STUMPS.rate} * (g2 / {one}e0) / (h2 / {one}e0 + {l2}) AS right_leaf
+          FROM (SELECT k.f, k.c, side, sum(g) FILTER (WHERE toleft) AS g1, sum(h) FILTER (WHERE toleft) AS h1,
+              coalesce(sum(n) FILTER (WHERE toleft), 0) AS n1,
+              sum(g) FILTER (WHERE NOT toleft) AS g2, sum(h) FILTER (WHERE NOT toleft) AS h2,
+              coalesce(sum(n) FILTER (WHERE NOT toleft), 0) AS n2, sum(g) AS g, sum(h) AS h
+            FROM (SELECT h.*, k.c, side, CASE WHEN h.b < 0 THEN side ELSE h.b <= k.c END AS toleft
+              FROM h{r} h JOIN ({cuts}) k ON h.f = k.f
+              JOIN (SELECT f, min(b) < 0 AS gone FROM h{r} GROUP BY f) m ON m.f = h.f AND (gone OR NOT beyond)
+              JOIN (VALUES (TRUE), (FALSE), (NULL)) v(side) ON (side IS NOT NULL) = gone) k
+            GROUP BY k.f, k.c, side) q
+          WHERE least(n1, n2) >= {STUMPS.least_rows}
+          ORDER BY {worth('g1', 'h1')} + {worth('g2', 'h2')} - {worth('g', 'h')} DESC, f, side DESC, c LIMIT 1"""
+        views[f"s{r + 1}"] = f"""SELECT s.* EXCLUDE (score), score + CASE
+            WHEN CASE WHEN {asked} < 0 THEN missing_left ELSE {asked} <= c END THEN left_leaf ELSE right_leaf END
+            AS score FROM s{r} s CROSS JOIN c{r}"""
+    return views
+
+
+@query("ceiling_stumps", with_views(
+    S.metrics(["n", "brier", "ece"], by="split, variant"), "labelled", **_stump_views(),
+    forecasts=f"""SELECT split, 'boosted' AS variant, 1 / (1 + exp(-score)) AS prob, y AS outcome
+      FROM s{STUMPS.rounds} WHERE split <> 'train' UNION ALL
+      SELECT split, 'market', vegas_wp, y FROM s0 WHERE split <> 'train'""",
+    stats=S.stats("forecasts", "split, variant")))
+def ceiling_stumps(t: Tables):
+    """A few boosted trees of one split, with the scores that the checking SQL reaches row by row."""
+    rows = t.labelled.withColumn("spread_line", possession_line(
+        F.col("spread_line"), F.col("posteam"), F.col("home_team")))
+    kept = rows.select("outcome", "vegas_wp", "split", *STUMP_CUTS)
+    scored = ceiling.boosted_forecast(
+        kept.where(F.col("split") == "train"), kept.where(F.col("split") != "train"), list(STUMP_CUTS),
+        settings=STUMPS, cuts=STUMP_CUTS)
+    return rounded(ceiling.ceiling_table(scored, {"boosted": F.col("boosted"), "market": F.col("vegas_wp")}))
+
+
 _EVENTS = """SELECT ts, event_type AS variant,
   CAST(CAST(floor(value) AS BIGINT) % 101 AS DOUBLE) / 100 AS prob,
   CAST(json_extract_string(props, '$.k') AS INT) % 2 AS outcome,
