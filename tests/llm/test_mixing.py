@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import cases
 from calibrant.llm import mixing
 from calibrant.llm.catalog import QUERIES
-from calibrant.llm.mixing import Mix, fill_targets, split_quotas
+from calibrant.llm.mixing import Mix, split_quotas, with_targets
 
 
 def words(text):
@@ -121,13 +121,42 @@ def test_too_many_sources_is_an_error(spark):
 
 
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 1, 1000], [0, 5, 0, 7], [1000, 1, 1, 1, 1], []])
-def test_targets(sizes):
-    weights = [i % 3 + 1 for i in range(len(sizes))]
-    got = fill_targets(sizes, weights, 3)
+def test_targets(spark, sizes):
+    sources = spark.createDataFrame(
+        [(i, n, float(i % 3 + 1)) for i, n in enumerate(sizes)], "i int, size bigint, weight double")
+    got = [r.target for r in with_targets(sources, (1, 2, 3), 3).orderBy("i").collect()]
     assert sum(got) == pytest.approx(sum(sizes))
     assert got == pytest.approx(shares(sizes) if sizes else [])
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_many_sources(spark, monkeypatch, few):
+    """Thousands of sources, one with a third of the rows; tables broadcast or joined with salts."""
+    monkeypatch.setattr(mixing, "FEW", 1 << 17 if few else 0)
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(rng.integers(0, 9)), "en", None if i % 3 == 0 else f"s{i}", 1) for i in range(4500)]
+    docs = spark.createDataFrame(rows, cases.DOCS)
+    mix = Mix(block_words=20, shard_words=1500)
+    table = mixing.mix_table(docs, mix).collect()
+    verify([(r[0], r[1], r[3]) for r in rows], table, mix)
+    shards = math.ceil(sum(r.size for r in table) / 1500)
+    held = [0] * shards
+    for r in table:
+        for shard in r.shards:
+            held[shard] += r.size
+    assert sum(held) and max(held) < 2 * sum(held) / shards
+
+
+def test_tree_with_sizes_of_shards():
+    rng = np.random.default_rng(1)
+    units = rng.integers(0, 6, 200)
+    capacity = rng.multinomial(units.sum(), [0.5, 0, 0.2, 0.3])
+    quotas = np.zeros((200, 4), dtype=np.int64)
+    for shard, rows, draws in mixing.leaves(units, capacity, [3, 1]):
+        quotas[rows, shard] = draws
+    assert (quotas.sum(axis=1) == units).all() and (quotas.sum(axis=0) == capacity).all()
+
+
 def test_splitting_tree():
     units = [700, 31, 1, 0, 268]
     draws = np.array([split_quotas(units, 8, seed) for seed in range(200)])
