@@ -22,8 +22,8 @@ def write_split_jsonl(df: DataFrame, path: str, split: str = "split") -> None:
     _guarded(df).write.option("ignoreNullFields", "false").partitionBy(split).json(path)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    _guarded(df).write.option("ignoreNullFields", "false").json(path)
+def write_jsonl(df: DataFrame, path: str, compression: str | None = None) -> None:
+    _guarded(df).write.option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def _guarded(df: DataFrame) -> DataFrame:
