@@ -4,8 +4,12 @@ Features are cut into at most ``bins`` ranges, and rows that agree in every rang
 its number of rows and of positive outcomes, once and before the first tree. The cells stay
 partitioned; every level of every tree is one pass over them that adds, per node, feature and range,
 the gradient, the curvature and the rows. Those sums, at most 2^(depth - 1) x features x (bins + 1)
-rows, are all that comes to the driver. Scores of cells are written now and then and in between come
-from the trees grown since, so no plan gets longer with the rounds.
+rows, are all that leaves a task. Sums are taken of the smaller child of a node; the other has the
+rest of its parent's.
+
+In between, cells lie in persisted blocks with their scores and gradients, made anew by each tree from
+those of the tree before. Scores of cells are written now and then, and blocks begin again from the
+written ones, so neither plans nor lineages get longer with the rounds.
 
 Gradients are rounded to whole multiples of 2^-26 a row and added as integers: a sum is the same for
 every partitioning (and an error, not a wrong number, above 2^37 rows).
@@ -18,10 +22,12 @@ train nothing. No rows, or outcomes that are all alike, give a forecast without
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,20 +152,27 @@ def fit(
         *[F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None)).alias(f"x{i}") for i, f in enumerate(features)],
         y.cast("bigint").alias("y"))
     edges = _edges(rows, features, given, settings.bins)
-    cells = stored(_cells(rows, edges), "cells")
+    cells = stored(_cells(rows, edges).repartition(train.sparkSession.sparkContext.defaultParallelism), "cells")
     n, positive = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
     share = min(max(positive / n, _MOST), 1 - _MOST) if n else 0.5
     base, forest = float(np.log(share / (1 - share))), Forest.empty(settings.depth)
     booster = Booster(features, edges, base, forest)
     if positive in (0, n):
         return booster
-    known = 0
+    known, blocks, tree = 0, None, None
     cells = cells.withColumn("score", F.lit(base))
     for _ in range(settings.rounds):
         if len(forest) - known >= settings.kept_trees:
             cells = stored(_scored(cells, len(edges), forest.since(known)), "cells")
-            known = len(forest)
-        forest = forest.grown(_grown(cells, edges, forest.since(known), settings))
+            known, tree = len(forest), None
+        before, blocks = blocks, (_blocks(cells, len(edges)) if tree is None else blocks.map(partial(_after, tree))
+                                  ).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+        tree = _grown(blocks, edges, settings)
+        forest = forest.grown(tree)
+        if before is not None:
+            before.unpersist()
+    if blocks is not None:
+        blocks.unpersist()
     return Booster(features, edges, base, forest)
 
 
@@ -205,60 +218,150 @@ def _sigmoid(score: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-score))
 
 
-def _block(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
-    columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-    return np.stack(columns[:features], axis=1), *columns[features:]
+BLOCK = 1 << 16         # cells of a block
+EXACT = 1 << 26         # rows whose gradients a sum of doubles holds exactly
 
 
-def _scored(cells: DataFrame, features: int, forest: Forest) -> DataFrame:
+@dataclass
+class _Cells:
+    """A block of cells: ranges (a row per feature), rows, positive ones, the score that is written,
+    what the trees since add to it, gradients and curvatures."""
+
+    ranges: np.ndarray
+    n: np.ndarray
+    y: np.ndarray
+    score: np.ndarray
+    since: np.ndarray
+    g: np.ndarray = None
+    h: np.ndarray = None
+
+    def weighed(self) -> _Cells:
+        p = _sigmoid(self.score + self.since)
+        return replace(self, g=self.n * np.rint(p * ONE).astype(np.int64) - self.y * ONE,
+                       h=self.n * np.rint(p * (1 - p) * ONE).astype(np.int64))
+
+    def nodes(self, tree: Tree, levels: int) -> np.ndarray:
+        return _descend(self.ranges.T, tree.feature, tree.last, tree.missing_left, levels)
+
+    def add_to(self, sums: np.ndarray, slot: np.ndarray) -> None:
+        """Adds to ``sums`` (feature, slot, range + 1, [gradient, curvature, rows]) what cells with a slot have."""
+        mine = np.flatnonzero(slot >= 0)
+        weights = [x[mine] for x in (self.g, self.h, self.n)]
+        exact = int(weights[2].sum()) < EXACT
+        if exact:
+            weights = [weight.astype(float) for weight in weights]
+        features, slots, width, _ = sums.shape
+        first = slot[mine] * width + 1
+        for f in range(features):
+            place, totals = first + self.ranges[f][mine], sums[f].reshape(-1, 3)
+            for i, weight in enumerate(weights):
+                if exact:
+                    totals[:, i] += np.bincount(place, weight, slots * width).astype(np.int64)
+                else:
+                    np.add.at(totals[:, i], place, weight)
+
+
+def _blocks(cells: DataFrame, features: int) -> RDD:
+    """Cells with their written scores, in blocks."""
+    size = BLOCK
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ranges, _, _, score = _block(batch, features)
-            yield batch.set_column(features + 2, "score", pa.array(score + forest.added(ranges)))
+        for table in _gathered(batches, size):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()])], names=["block"])
+
+    return cells.mapInArrow(run, "block binary").rdd.map(partial(_opened, features))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together to at most ``size`` rows, unless one has more."""
+    some, rows = [], 0
+    for batch in batches:
+        if some and rows + batch.num_rows > size:
+            yield pa.Table.from_batches(some)
+            some, rows = [], 0
+        some.append(batch)
+        rows += batch.num_rows
+    if rows:
+        yield pa.Table.from_batches(some)
+
+
+def _opened(features: int, row) -> _Cells:
+    columns = [c.to_numpy() for c in pa.ipc.open_stream(bytes(row.block)).read_all().columns]
+    n, y, score = columns[features:]
+    return _Cells(np.stack(columns[:features]), n, y, score, np.zeros(len(n))).weighed()
 
-    return cells.mapInArrow(run, cells.schema)
 
+def _after(tree: Tree, cells: _Cells) -> _Cells:
+    """Cells once ``tree`` is grown."""
+    leaf = tree.leaf[cells.nodes(tree, tree.depth) - (1 << tree.depth)]
+    return replace(cells, since=cells.since + leaf).weighed()
 
-def _grown(cells: DataFrame, cuts: list[np.ndarray], forest: Forest, settings: Boosting) -> Tree:
-    """One tree on top of the scores of ``cells`` and of ``forest``."""
-    tree = Tree(settings.depth)
+
+def _grown(blocks: RDD, cuts: list[np.ndarray], settings: Boosting) -> Tree:
+    """One tree on top of the scores of ``blocks``."""
+    tree, width = Tree(settings.depth), max(map(len, cuts)) + 2
+    sums = _histograms(blocks, tree, 0, np.zeros(2, np.int64), (len(cuts), 1, width, 3))
     for level in range(settings.depth):
-        sums = _histograms(cells, cuts, forest, tree, level)
-        for node in range(1 << level, 2 << level):
-            _split(tree, node, sums[node - (1 << level)], cuts, settings, level == settings.depth - 1)
+        first, final = 1 << level, level == settings.depth - 1
+        rows = [[int(side[2]) for side in _split(tree, first + i, sums[i], cuts, settings, final)]
+                for i in range(first)]
+        if final:
+            break
+        # The smaller side of every node that has two; the others follow.
+        smaller, slot, asked = [int(two < one) for one, two in rows], np.full(4 * first, -1), 0
+        for i, sides in enumerate(rows):
+            if min(sides):
+                slot[2 * (first + i) + smaller[i]] = asked
+                asked += 1
+        if asked:
+            found = _histograms(blocks, tree, level + 1, slot, (len(cuts), asked, width, 3))
+        below = np.zeros((2 * first, *sums.shape[1:]), np.int64)
+        for i, side in enumerate(smaller):
+            at = slot[2 * (first + i) + side]
+            if at >= 0:
+                below[2 * i + side] = found[at]
+            below[2 * i + 1 - side] = sums[i] - below[2 * i + side]
+        sums = below
     return tree
 
 
-def _histograms(cells: DataFrame, cuts: list[np.ndarray], forest: Forest, tree: Tree, level: int) -> np.ndarray:
-    """Sums (node, feature, range + 1, [gradient, curvature, rows]) of one level."""
-    features, width = len(cuts), max(map(len, cuts)) + 2
-    shape = (1 << level, features, width)
+def _histograms(blocks: RDD, tree: Tree, level: int, slot: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Sums (slot, feature, range + 1, [gradient, curvature, rows]) of the nodes of a level that have a slot."""
+    parts = blocks.mapPartitions(partial(_summed, tree, level, slot, shape))
+    if blocks.getNumPartitions() > 64:
+        found = parts.treeReduce(np.add)
+    else:
+        found = sum(parts.collect(), np.zeros(shape, np.int64))
+    return found.swapaxes(0, 1)
+
+
+def _summed(tree: Tree, level: int, slot: np.ndarray, shape: tuple[int, ...], blocks: Iterator[_Cells]) -> Iterator[np.ndarray]:
+    sums = np.zeros(shape, np.int64)
+    for cells in blocks:
+        cells.add_to(sums, slot[cells.nodes(tree, level)])
+    yield sums
 
+
+def _scored(cells: DataFrame, features: int, forest: Forest) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, int(np.prod(shape))), np.int64)
         for batch in batches:
-            ranges, n, y, score = _block(batch, features)
-            p = _sigmoid(score + forest.added(ranges))
-            node = _descend(ranges, tree.feature, tree.last, tree.missing_left, level) - (1 << level)
-            each = (n * np.rint(p * ONE).astype(np.int64) - y * ONE,
-                    n * np.rint(p * (1 - p) * ONE).astype(np.int64), n)
-            place = ((node[:, None] * features + np.arange(features)) * width + ranges + 1).reshape(-1)
-            for total, one in zip(sums, each):
-                np.add.at(total, place, np.repeat(one, features))
-        place = np.flatnonzero(sums[2])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(place)] + [pa.array(total[place]) for total in sums], names=["place", "g", "h", "n"])
-
-    found = cells.mapInArrow(run, "place bigint, g bigint, h bigint, n bigint").groupBy("place").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((int(np.prod(shape)), 3), np.int64)
-    out[found.column("place").to_numpy()] = np.stack(
-        [found.column(c).to_numpy() for c in ("g", "h", "n")], axis=1)
-    return out.reshape(*shape, 3)
-
-
-def _split(tree: Tree, node: int, sums: np.ndarray, cuts, settings: Boosting, final: bool) -> None:
-    """The best split of a node; of equal ones that of the first feature and the lowest cut."""
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            added = forest.added(np.stack(columns[:features], axis=1))
+            yield batch.set_column(features + 2, "score", pa.array(columns[features + 2] + added))
+
+    return cells.mapInArrow(run, cells.schema)
+
+
+def _split(
+    tree: Tree, node: int, sums: np.ndarray, cuts, settings: Boosting, final: bool,
+) -> tuple[np.ndarray, np.ndarray]:
+    """The best split of a node; of equal ones that of the first feature and the lowest cut.
+
+    Returns the sums of its two sides.
+    """
     whole = sums[0].sum(axis=0)
     best, sides = 0.0, (whole, np.zeros(3, np.int64))
     for f, edges in enumerate(cuts):
@@ -281,6 +384,7 @@ def _split(tree: Tree, node: int, sums: np.ndarray, cuts, settings: Boosting, fi
         for child, (g, h, _) in zip((2 * node, 2 * node + 1), sides):
             at = child - (1 << tree.depth)
             tree.leaf[at] = -settings.rate * (g / ONE) / (h / ONE + settings.l2)
+    return sides
 
 
 def _worth(sums: np.ndarray, l2: float) -> np.ndarray:

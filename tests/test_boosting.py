@@ -132,3 +132,55 @@ def test_learns_more_than_the_base_rate(spark):
     brier = np.mean([(r.boosted - r.outcome) ** 2 for r in got])
     assert set(got[0].asDict()) == {"a", "b", "outcome", "boosted"}
     assert brier < 0.93 * np.mean([(base - r.outcome) ** 2 for r in got])
+
+
+def test_blocks_of_any_size_give_the_same_trees(spark, monkeypatch):
+    """Scores that are written after every tree, and never; one batch a block, and many."""
+    df = spark.createDataFrame(rows(2000), SCHEMA)
+    cuts = {"a": [i + 0.5 for i in range(7)], "b": [i / 10 for i in range(-9, 10)]}
+    forests = []
+    for kept, block, parts in ((1, 1 << 16, 3), (100, 1, 2)):
+        monkeypatch.setattr(boosting, "BLOCK", block)
+        forests.append(boosting.fit(df.repartition(parts), ["a", "b"], cuts=cuts, settings=Boosting(
+            rounds=4, depth=3, rate=0.3, kept_trees=kept)).forest)
+    for other in forests[1:]:
+        assert (forests[0].feature == other.feature).all() and (forests[0].last == other.last).all()
+        assert (forests[0].missing_left == other.missing_left).all()
+        assert forests[0].leaf == pytest.approx(other.leaf, abs=1e-9)
+
+
+def test_sums_of_many_blocks(spark):
+    """Above 64 tasks sums meet in a tree of tasks."""
+    cells = boosting._Cells(np.array([[0, 1, -1]], np.int16), np.array([3, 1, 2]), np.array([1, 0, 2]),
+                            np.zeros(3), np.zeros(3)).weighed()
+    blocks = spark.sparkContext.parallelize([cells] * 70, 80)
+    found = boosting._histograms(blocks, boosting.Tree(2), 0, np.zeros(2, np.int64), (1, 1, 3, 3))
+    expected = np.zeros((1, 1, 3, 3), np.int64)
+    cells.add_to(expected, np.zeros(3, np.int64))
+    assert (found == 70 * expected).all() and found.any()
+
+
+def test_a_level_is_one_job_without_a_shuffle(spark):
+    """Rounds add no stage but the passes over cells that are kept."""
+    df, context = spark.createDataFrame(rows(), SCHEMA), spark.sparkContext
+    stages = []
+    for rounds in (2, 8):
+        context.setJobGroup(f"boosting of {rounds} rounds", "")
+        boosting.fit(df, ["a", "b"], settings=Boosting(rounds=rounds, depth=3))
+        tracker = context.statusTracker()
+        jobs = tracker.getJobIdsForGroup(f"boosting of {rounds} rounds")
+        stages.append(sum(len(tracker.getJobInfo(job).stageIds) for job in jobs))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert stages[1] - stages[0] <= 6 * 3
+
+
+def test_sums_of_cells_too_heavy_for_doubles():
+    n, y = np.array([1 << 30, (1 << 30) + 1, 5]), np.array([1, 0, 2])
+    cells = boosting._Cells(np.array([[0, 0, -1]], np.int16), n, y, np.full(3, 0.1), np.zeros(3)).weighed()
+    p = 1 / (1 + math.exp(-0.1))
+    g, h = round(p * boosting.ONE), round(p * (1 - p) * boosting.ONE)
+    sums = np.zeros((1, 1, 3, 3), np.int64)
+    cells.add_to(sums, np.zeros(3, np.int64))
+    assert sums[0, 0].tolist() == [
+        [5 * g - 2 * boosting.ONE, 5 * h, 5],
+        [int(sum(n[:2])) * g - boosting.ONE, int(sum(n[:2])) * h, int(sum(n[:2]))], [0, 0, 0]]
