@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from calibrant.functions.extract import answer_region
 from calibrant.operators import judging, pairing, requests, trajectory
 from calibrant.operators.joins import salted_join
 from calibrant.operators.staging import with_verdict
+from calibrant.plans import catalog_audits
 
 
 def kappa(spark, a, b):
@@ -213,3 +216,22 @@ def test_messages_of_every_request(spark, sf_dir):
     assert {r.row_id: r.content for r in rows if r.role == "user"} == requests_
     assert {r.row_id for r in rows if r.content == audit.SYSTEM_MESSAGE} == set(requests_)
     assert len(rows) == 2 * len(requests_) and any(i % 9 for i in requests_)
+
+
+def test_judged_lines_never_broadcast_ground_truths(spark, tmp_path, monkeypatch):
+    """Ground truths are far wider than the orders file that Spark estimates them by."""
+    spark.createDataFrame(
+        [(k, k % 7, "FOP"[k % 3], 1000.0 * k, datetime(1998, 1, 1)) for k in range(60)],
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    plans, write = [], catalog_audits.judged_source.write_judged
+
+    def seen(rows, path):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(rows, path)
+
+    monkeypatch.setattr(catalog_audits.judged_source, "write_judged", seen)
+    rows = contract.queries()["judged_source_sink"](spark, str(tmp_path)).collect()
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    assert sorted((r.row_id, r.label) for r in rows) == sorted(
+        (k, label) for k in range(60) if k % 3 != 2 and k % 97 for label in ("base", "coupled", "masked"))
