@@ -43,6 +43,7 @@ END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _JOIN = np.uint64(0x9FB21C651E98DF25)
 _LEVEL = np.uint64(0xA0761D6478BD642F)
 _MOST_LEVELS = 120
+CHUNK = 4 << 20         # bytes of text that ask a filter in segments together
 
 
 @dataclass(frozen=True)
@@ -120,6 +121,14 @@ class Filter:
         """The count that the levels present in the filter stand for."""
         return level_values(self.base)[self.read_levels(grams)]
 
+    def counts(self, found: list[np.ndarray]) -> list[np.ndarray]:
+        """Readings of all n-grams; each distinct one is read once."""
+        out = []
+        for grams in found:
+            unique, back = np.unique(grams, return_inverse=True)
+            out.append(self.read(unique)[back])
+        return out
+
     def read_levels(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grams), dtype=np.int64)
         base = self.segment_of(grams, self.segments) * np.uint64(self.width)
@@ -141,14 +150,24 @@ class Filter:
 
 
 class Answers:
-    """Levels that came back for the n-grams of a chunk."""
+    """Levels that came back for the distinct n-grams of a chunk, segment after segment."""
 
-    def __init__(self, grams: np.ndarray, found: np.ndarray, base: float):
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.values = grams[order], level_values(base)[found[order]]
+    def __init__(self, levels: np.ndarray, segments: int, base: float):
+        self.levels, self.segments, self.base = levels, segments, base
 
-    def read(self, grams: np.ndarray) -> np.ndarray:
-        return self.values[np.searchsorted(self.grams, grams)]
+    def counts(self, found: list[np.ndarray]) -> list[np.ndarray]:
+        """Readings of all n-grams of the chunk."""
+        grams, back = np.unique(np.concatenate(found), return_inverse=True)
+        values = np.empty(len(grams))
+        values[_by_segment(grams, self.segments)[0]] = level_values(self.base)[self.levels]
+        return np.split(values[back], len(found))
+
+
+def _by_segment(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by segment, and where each segment's begin in it."""
+    place = Filter.segment_of(grams, segments).astype(np.min_scalar_type(segments))
+    order = np.argsort(place, kind="stable")
+    return order, np.searchsorted(place[order], np.arange(segments + 1))
 
 
 def is_training(column: str = "doc_id"):
@@ -290,11 +309,11 @@ def build_filter(texts: DataFrame, tokens: int, settings: Settings) -> Filter:
 
 def _asked(part: pa.RecordBatch, order: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a chunk by segment, and where each segment's begin."""
-    found, _ = ngrams(part.column(2), order)
-    grams = np.unique(np.concatenate(found))
-    place = Filter.segment_of(grams, segments).astype(np.int64)
-    by = np.argsort(place, kind="stable")
-    return grams[by], np.searchsorted(place[by], np.arange(segments + 1))
+    # By hand: without counts or places, np.unique goes by a hash table, which takes longer.
+    grams = np.sort(np.concatenate(ngrams(part.column(2), order)[0]))
+    grams = grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
+    by, cuts = _by_segment(grams, segments)
+    return grams[by], cuts
 
 
 def _chunk(data: bytes) -> pa.RecordBatch:
@@ -314,7 +333,7 @@ def answered(
 
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", CHUNK):
                 sink = pa.BufferOutputStream()
                 options = pa.ipc.IpcWriteOptions(compression="zstd")
                 with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
@@ -341,25 +360,19 @@ def answered(
                     names=["chunk", "segment", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(layout.width // 8, dtype=np.uint8)
         now, filter_ = None, None
         for batch in batches:
-            chunk, segment, out = [], [], []
-            for i in range(batch.num_rows):
-                place, data = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                asker = batch.column(0)[i].as_py()
-                if place != now:
-                    now, filter_ = place, Filter(empty, 1, layout.hashes, base)
-                if asker < 0:
-                    filter_ = Filter(np.frombuffer(data, np.uint8), 1, layout.hashes, base)
-                    continue
-                found = filter_.read_levels(np.frombuffer(data, dtype=np.uint64))
-                chunk.append(asker)
-                segment.append(place)
-                out.append(found.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk, pa.int64()), pa.array(segment, pa.int32()),
-                 pa.array(out, pa.binary())], names=["chunk", "segment", "data"])
+            who, places, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            begins = np.flatnonzero(np.diff(places, prepend=-1))
+            for begin, end in zip(begins, [*begins[1:], batch.num_rows]):
+                if places[begin] != now:
+                    now, filter_ = places[begin], Filter(
+                        np.zeros(layout.width // 8, dtype=np.uint8), 1, layout.hashes, base)
+                if who[begin] < 0:
+                    filter_ = Filter(np.frombuffer(data[begin].as_py(), np.uint8), 1, layout.hashes, base)
+                    begin += 1
+                if begin < end:
+                    yield _told(filter_, who[begin:end], now, data.slice(begin, end - begin))
 
     # The segment itself sorts before those who ask it.
     bits = filled(merged, layout).select(
@@ -370,14 +383,26 @@ def answered(
         width, "chunk").sortWithinPartitions("chunk", "segment")
 
 
+def _told(filter_: Filter, chunks: np.ndarray, segment: int, asked: pa.Array) -> pa.RecordBatch:
+    """The levels that chunks ask one segment for. They are read together: the many chunks of a large
+    table ask for few n-grams each, and many of them for the same."""
+    blobs = [blob.as_buffer() for blob in asked]
+    grams, back = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in blobs]),
+                            return_inverse=True)
+    found = filter_.read_levels(grams).astype(np.uint8)[back]
+    cuts = np.cumsum([x.size // 8 for x in blobs])[:-1]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunks), pa.array(np.full(len(chunks), segment, np.int32)),
+         pa.array([x.tobytes() for x in np.split(found, cuts)], pa.binary())],
+        names=["chunk", "segment", "data"])
+
+
 def chunks_with_answers(
     batches: Iterator[pa.RecordBatch], settings: Settings, segments: int
 ) -> Iterator[tuple[pa.RecordBatch, Answers]]:
     """The chunks of a sorted partition of ``answered``."""
     def told(data: bytes, found: list[bytes]) -> tuple[pa.RecordBatch, Answers]:
-        part = _chunk(data)
-        grams, _ = _asked(part, settings.order, segments)
-        return part, Answers(grams, np.frombuffer(b"".join(found), np.uint8), settings.base)
+        return _chunk(data), Answers(np.frombuffer(b"".join(found), np.uint8), segments, settings.base)
 
     data, found = None, []
     for batch in batches:
@@ -422,14 +447,11 @@ def log_probabilities(
     mu: float,
 ) -> np.ndarray:
     """log10 p of every token given the words before it, from readings of the filter."""
-    counts = []
-    for grams in found:
-        unique, back = np.unique(grams, return_inverse=True)
-        counts.append(filter_.read(unique)[back])
+    counts = filter_.counts(found)
     begins = np.flatnonzero(np.diff(documents, prepend=-1))
     p = (counts[0] + 0.1) / (tokens + 0.1 * (distinct + 1))
     # After the begin mark a text's first word has as many chances as there are texts: the ends.
-    texts = filter_.read(np.array([END]))[0]
+    texts = counts[0][-1] if len(documents) else 0.0
     for n in range(1, len(found)):
         history = np.empty(len(documents))
         history[1:] = counts[n - 1][:-1]

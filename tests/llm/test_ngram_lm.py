@@ -174,3 +174,18 @@ def test_score_by_exact_counts(spark, most_bytes):
     want = smoothed(rows, settings)
     wrong = [row.doc_id for row in got if row.score != pytest.approx(want[row.doc_id], rel=1e-6)]
     assert not wrong, [(row.score, want[row.doc_id]) for row in got if row.doc_id in wrong][:3]
+
+
+def test_a_segment_is_read_once_for_many_chunks(monkeypatch):
+    """One reading for all chunks of a batch gives each what a reading of its own would."""
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 256, 4000, dtype=np.uint8)
+    filter_ = Filter(bits, 1, 3, 1.5)
+    asked = [np.sort(rng.choice(np.arange(1, 500, dtype=np.uint64), n, replace=False)) for n in (5, 1, 300, 40)]
+    alone = [filter_.read_levels(grams).tolist() for grams in asked]
+    calls, read = [], Filter.read_levels
+    monkeypatch.setattr(Filter, "read_levels", lambda self, grams: calls.append(len(grams)) or read(self, grams))
+    got = ngram_lm._told(filter_, np.array([7, 8, 9, 10]), 3, pa.array([x.tobytes() for x in asked], pa.binary()))
+    assert len(calls) == 1 and calls[0] == len(set(np.concatenate(asked).tolist()))
+    assert [list(x) for x in got.column(2).to_pylist()] == alone
+    assert (got.column(0).to_pylist(), got.column(1).to_pylist()) == ([7, 8, 9, 10], [3] * 4)
