@@ -24,7 +24,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +82,7 @@ class Forest:
 
     def added(self, ranges: np.ndarray) -> np.ndarray:
         """What the trees add to the log odds of rows of ``ranges`` (one column per feature)."""
-        total = np.zeros(len(ranges))
+        total, ranges = np.zeros(len(ranges)), np.ascontiguousarray(ranges.T)
         for t in range(len(self)):
             node = _descend(ranges, self.feature[t], self.last[t], self.missing_left[t], self.depth)
             total += self.leaf[t][node - (1 << self.depth)]
@@ -107,13 +107,34 @@ class Tree:
 
 
 def _descend(ranges, feature, last, missing_left, levels: int) -> np.ndarray:
-    node, rows = np.ones(len(ranges), np.int64), np.arange(len(ranges))
-    for _ in range(levels):
-        mine = ranges[rows, feature[node]]
-        node = 2 * node + np.where(mine < 0, ~missing_left[node], mine > last[node])
+    """The node of each row (a row of ``ranges`` per feature) after so many levels."""
+    columns = _unsigned(ranges)
+    top = np.iinfo(columns.dtype).max
+    node = np.ones(columns.shape[1], np.min_scalar_type((2 << levels) - 1))
+    turns = []
+    for level in range(levels):
+        if level < WHOLE:
+            # Whole columns are asked for every node, which costs less than a look-up per row.
+            sides = []
+            for i in range(1 << level, 2 << level):
+                mine = columns[feature[i]]
+                right = mine > int(last[i])
+                sides.append(right & (mine != top) if missing_left[i] else right)
+            for turn in reversed(turns):
+                sides = [left ^ ((left ^ right) & turn) for left, right in zip(sides[::2], sides[1::2])]
+            turns += sides
+        else:
+            mine = columns[feature[node], np.arange(len(node))]
+            turns.append((mine > last[node]) & ~((mine == top) & missing_left[node]))
+        node = (node << 1) | turns[-1]
     return node
 
 
+def _unsigned(ranges: np.ndarray) -> np.ndarray:
+    """Ranges without sign: a missing one is above all others, and one more is 0."""
+    return ranges.view(f"u{ranges.itemsize}")
+
+
 @dataclass
 class Booster:
     """A fitted forecast: cut values of each feature, the base log odds, and the trees."""
@@ -220,13 +241,16 @@ def _sigmoid(score: np.ndarray) -> np.ndarray:
 
 
 BLOCK = 1 << 16         # cells of a block
+WHOLE = 5               # levels that are gone down by whole columns
+LIGHT = 31              # rows of a cell whose gradients 32 bits hold
 EXACT = 1 << 26         # rows whose gradients a sum of doubles holds exactly
 
 
 @dataclass
 class _Cells:
     """A block of cells: ranges (a row per feature), rows, positive ones, the score that is written,
-    what the trees since add to it, gradients and curvatures."""
+    what the trees since add to it, gradients and curvatures. Blocks are read at every level, so their
+    numbers take as few bytes as hold them."""
 
     ranges: np.ndarray
     n: np.ndarray
@@ -238,23 +262,27 @@ class _Cells:
 
     def weighed(self) -> _Cells:
         p = _sigmoid(self.score + self.since)
-        return replace(self, g=self.n * np.rint(p * ONE).astype(np.int64) - self.y * ONE,
-                       h=self.n * np.rint(p * (1 - p) * ONE).astype(np.int64))
+        kind = np.int32 if self.n.max(initial=0) <= LIGHT else np.int64
+        g = self.n * np.rint(p * ONE).astype(np.int64) - self.y * np.int64(ONE)
+        h = self.n * np.rint(p * (1 - p) * ONE).astype(np.int64)
+        return replace(self, g=g.astype(kind), h=h.astype(kind))
 
     def nodes(self, tree: Tree, levels: int) -> np.ndarray:
-        return _descend(self.ranges.T, tree.feature, tree.last, tree.missing_left, levels)
+        return _descend(self.ranges, tree.feature, tree.last, tree.missing_left, levels)
 
     def add_to(self, sums: np.ndarray, slot: np.ndarray) -> None:
         """Adds to ``sums`` (feature, slot, range + 1, [gradient, curvature, rows]) what cells with a slot have."""
-        mine = np.flatnonzero(slot >= 0)
+        mine = slice(None) if slot.min(initial=0) >= 0 else np.flatnonzero(slot >= 0)
         weights = [x[mine] for x in (self.g, self.h, self.n)]
         exact = int(weights[2].sum()) < EXACT
         if exact:
             weights = [weight.astype(float) for weight in weights]
         features, slots, width, _ = sums.shape
-        first = slot[mine] * width + 1
+        first, above = slot[mine] * width, _unsigned(self.ranges) + _unsigned(np.ones(1, self.ranges.dtype))
         for f in range(features):
-            place, totals = first + self.ranges[f][mine], sums[f].reshape(-1, 3)
+            place, totals = above[f][mine].astype(np.int64), sums[f].reshape(-1, 3)
+            if slots > 1:
+                place += first
             for i, weight in enumerate(weights):
                 if exact:
                     totals[:, i] += np.bincount(place, weight, slots * width).astype(np.int64)
@@ -291,8 +319,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table
 
 def _opened(features: int, row) -> _Cells:
     columns = [c.to_numpy() for c in pa.ipc.open_stream(bytes(row.block)).read_all().columns]
-    n, y, score = columns[features:]
-    return _Cells(np.stack(columns[:features]), n, y, score, np.zeros(len(n))).weighed()
+    (n, y, score), ranges = columns[features:], np.stack(columns[:features])
+    if ranges.max(initial=0) < 255:
+        ranges = ranges.astype(np.uint8)   # a missing one is 255
+    kind = np.min_scalar_type(int(n.max()))
+    return _Cells(ranges, n.astype(kind), y.astype(kind), score, np.zeros(len(n))).weighed()
 
 
 def _after(tree: Tree, cells: _Cells) -> _Cells:
@@ -348,11 +379,12 @@ def _summed(tree: Tree, level: int, slot: np.ndarray, shape: tuple[int, ...], bl
     yield sums
 
 
+@cache
 def _spare_imports() -> None:
     """Takes imported modules out of the garbage collection that ends each task of a kept worker: at
-    hundreds of short tasks a worker it takes longer than the sums."""
-    if not gc.get_freeze_count():
-        gc.freeze()
+    hundreds of short tasks a worker it takes longer than the sums. Once a worker: to ask how many
+    objects are out takes as long as a collection."""
+    gc.freeze()
 
 
 def _scored(cells: DataFrame, features: int, forest: Forest) -> DataFrame:

@@ -1,10 +1,13 @@
 """Boosted trees against a version that sums over rows, and their defined results."""
 
 import math
+import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
 from calibrant.operators import boosting
 from calibrant.operators.boosting import Boosting
@@ -184,3 +187,55 @@ def test_sums_of_cells_too_heavy_for_doubles():
     assert sums[0, 0].tolist() == [
         [5 * g - 2 * boosting.ONE, 5 * h, 5],
         [int(sum(n[:2])) * g - boosting.ONE, int(sum(n[:2])) * h, int(sum(n[:2]))], [0, 0, 0]]
+
+
+def opened(rng, rows, features, top):
+    """A block as it is read from written cells, and its ranges."""
+    ranges = rng.integers(-1, top + 1, (features, rows)).astype(np.int16)
+    n = rng.integers(1, 4, rows)
+    table = pa.table({**{f"b{i}": x for i, x in enumerate(ranges)}, "n": n, "y": n // 2, "score": rng.normal(0, 1, rows)})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return boosting._opened(features, Row(block=sink.getvalue().to_pybytes())), ranges, n
+
+
+@pytest.mark.parametrize("top", [254, 300])
+def test_blocks_in_few_bytes(top):
+    """A block is read at every level: half the bytes, the same nodes and sums as row by row."""
+    rng = np.random.default_rng(3)
+    cells, ranges, n = opened(rng, 3000, 5, top)
+    assert len(pickle.dumps(cells)) / 3000 < (32 if top == 254 else 37)
+    tree = boosting.Tree(7)
+    for i in range(1, 128):
+        if i % 5:
+            tree.feature[i], tree.last[i], tree.missing_left[i] = i % 5, rng.integers(0, top), i % 2
+    nodes = cells.nodes(tree, 7)
+    for k in range(0, 3000, 7):
+        node = 1
+        for _ in range(7):
+            x = ranges[tree.feature[node], k]
+            node = 2 * node + int(not tree.missing_left[node] if x < 0 else x > tree.last[node])
+        assert nodes[k] == node
+    slot = np.where(np.arange(256) % 3 == 0, -1, np.arange(256) % 2)
+    sums = np.zeros((5, 2, top + 3, 3), np.int64)
+    cells.add_to(sums, slot[nodes])
+    expected = np.zeros_like(sums)
+    for f in range(5):
+        for k in np.flatnonzero(slot[nodes] >= 0):
+            expected[f, slot[nodes[k]], ranges[f, k] + 1] += [cells.g[k], cells.h[k], n[k]]
+    assert (sums == expected).all()
+
+
+def test_imports_are_spared_once_a_worker(monkeypatch):
+    """To ask each time how many objects are spared takes longer than a block."""
+    def asked():
+        raise AssertionError("counted all spared objects")
+
+    monkeypatch.setattr(boosting.gc, "get_freeze_count", asked)
+    cells, _, _ = opened(np.random.default_rng(1), 50, 2, 9)
+    try:
+        for _ in range(2):
+            cells = boosting._after(boosting.Tree(2), cells)
+    finally:
+        boosting.gc.unfreeze()
