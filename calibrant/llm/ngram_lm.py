@@ -484,6 +484,7 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 yield part, filter_.value
+            batch = part = None   # else it is held while the next one is read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = frequent.value
@@ -514,6 +515,7 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                     "word": rare[begin].view(np.int64),
                     "n_tokens": np.diff(np.append(begin, len(rare))),
                     "n_known": None, "base": None, "score": None}, at[begin])
+            part = None
 
     # Rows of a document with its sums, and one per word that is not frequent. The former carry
     # their own key in ``word`` and a kind that no count has, so none is dealt to one task.
